@@ -111,3 +111,19 @@ def crc32_of_id(doc_id: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Like :func:`sized_slices` over a whole partition: small batches are put together up to ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        for part in sized_slices(batch, column, limit):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            if len(part):
+                held.append(part)
+                size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athenaeum.llm import mixing, quality, simhash
+from athenaeum.llm import mixing, ngrams, pieces, quality, simhash
 from athenaeum.llm.common import cut, documents
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -18,17 +29,30 @@ def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(documents(spark, sf_dir))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_host_quality_rules, op10_entropy_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece_unigram,
+        op3_simhash_near_duplicates,
+        op4_host_quality_rules,
+        op7_backoff_automaton,
+        op10_entropy_mix,
+    )
+}
 
 ORACLE_SQL = {
     "op4_host_quality_rules": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
 v AS (SELECT doc_id, pos,
              CASE WHEN lead(word, 7) OVER p IS NOT NULL THEN
