@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athenaeum.llm import mixing, ngrams, pieces, quality, simhash
+from athenaeum.llm import mixing, ngrams, pieces, quality, records, simhash
 from athenaeum.llm.common import cut, documents
 
 
@@ -33,6 +33,10 @@ def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(documents(spark, sf_dir))
 
 
+def op8_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read(records.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -44,6 +48,7 @@ QUERIES = {
         op3_simhash_near_duplicates,
         op4_host_quality_rules,
         op7_backoff_automaton,
+        op8_length_delimited_records,
         op10_entropy_mix,
     )
 }
