@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athenaeum.llm import mixing, ngrams, pieces, quality, records, simhash
+from athenaeum.llm import media, mixing, ngrams, pieces, quality, records, simhash
 from athenaeum.llm.common import cut, documents
 
 
@@ -37,6 +37,11 @@ def op8_length_delimited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op9_png_cosine_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut(media.store(documents(spark, sf_dir)), "media")
+    return media.features(stored).withColumn("feature", F.lower(F.hex("hash"))).drop("hash")
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -49,6 +54,7 @@ QUERIES = {
         op4_host_quality_rules,
         op7_backoff_automaton,
         op8_length_delimited_records,
+        op9_png_cosine_hash,
         op10_entropy_mix,
     )
 }

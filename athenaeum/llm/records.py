@@ -41,7 +41,7 @@ END_ID = 0
 CACHED = 1_000_000
 READ = 8 << 20
 #: Spaces beyond ASCII, which the tokenizer's pattern knows and the cutting rule doesn't.
-OTHER_SPACE = "[\u0085   -     　]"
+OTHER_SPACE = "[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
 
 _ALNUM, _PUNCT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 for _b in range(0x21, 0x7F):
