@@ -32,6 +32,8 @@ MARKER = "▁"
 UNKNOWN = 10.0
 #: Bytes from which a string is walked alone.
 LONG = 256
+#: Bytes of text solved together: the arrays over them take some hundred times as much memory.
+SLICE = 2 << 20
 
 
 @dataclass
@@ -231,7 +233,7 @@ def encode(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)
         is_byte = np.zeros(len(vocabulary.scores), dtype=bool)
         is_byte[vocabulary.byte_ids] = True
         for batch in batches:
-            for part in sized_slices(batch, "text"):
+            for part in sized_slices(batch, "text", SLICE):
                 texts = part.column("text")
                 ids, starts, scores = vocabulary.encode(texts)
                 fallback = np.concatenate([[0], np.cumsum(is_byte[ids])])[starts]
