@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athenaeum.llm import media, mixing, ngrams, pieces, quality, records, simhash
+from athenaeum.llm import media, mixing, ngrams, pieces, pii, quality, records, simhash
 from athenaeum.llm.common import cut, documents
 
 
@@ -29,6 +29,14 @@ def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Keys the pseudonyms of the registered queries; a deployment passes its own.
+PII_KEY = b"a key for tests"
+
+
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "pii_count", "pii_spans")
+
+
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(documents(spark, sf_dir))
 
@@ -52,6 +60,7 @@ QUERIES = {
         op1_sentencepiece_unigram,
         op3_simhash_near_duplicates,
         op4_host_quality_rules,
+        op5_feistel_pseudonyms,
         op7_backoff_automaton,
         op8_length_delimited_records,
         op9_png_cosine_hash,
