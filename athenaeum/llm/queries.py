@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athenaeum.llm import media, mixing, ngrams, pieces, pii, quality, records, simhash
+from athenaeum.llm import media, mixing, ngrams, pieces, pii, quality, records, simhash, toxicity
 from athenaeum.llm.common import cut, documents
 
 
@@ -37,6 +37,11 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "pii_count", "pii_spans")
 
 
+def op6_levenshtein_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score(documents(spark, sf_dir))
 
@@ -61,6 +66,7 @@ QUERIES = {
         op3_simhash_near_duplicates,
         op4_host_quality_rules,
         op5_feistel_pseudonyms,
+        op6_levenshtein_lexicon,
         op7_backoff_automaton,
         op8_length_delimited_records,
         op9_png_cosine_hash,
