@@ -164,3 +164,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """Sizes every document and mixes them; one row per document."""
     sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sized")
     return copies(sized, weights, share, cap).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it, with all its columns.
+
+    Rows alike in id, text and source share their copies, which one of them stands for.
+    """
+    key = {"_id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_hash": F.xxhash64("text"), "_source": F.xxhash64("source")}
+    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *[c.alias(k) for k, c in key.items()]), "sized")
+    taken = copies(sized, weights, share, cap).groupBy(*key).agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
+    found = docs.withColumns(key).join(taken, list(key)).dropDuplicates(list(key))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from athenaeum.llm.common import SPACE_CLASS, bind
+from athenaeum.llm.common import SPACE_CLASS, bind, cut
 
 #: The characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -117,6 +117,20 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return by.join(F.broadcast(prior)).select("host", "n", "f", ((F.col("f") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("host_rate"))
 
 
+def _verdict(judged: DataFrame, rates: DataFrame, distrust: float) -> DataFrame:
+    # the verdict travels to the documents: hosts are joined by key, and a host with a third of the rows is split by the skew join
+    named = rates.select(F.col("host").alias("rated"), "host_rate")
+    kept = ~F.col("base_failed") & ~F.col("severe") & ~(F.col("mild") & (F.col("host_rate") >= distrust))
+    return judged.join(named, F.col("host").eqNullSafe(F.col("rated")), "left").withColumn("kept", kept)
+
+
+def keep(docs: DataFrame, host: str = "source", distrust: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Texts are read twice instead of being moved."""
+    rates = cut(host_rates(rules(docs, host)), "rates")
+    judged = rules(docs, host, tuple(docs.columns))
+    return _verdict(judged, rates, distrust).filter("kept").select(*docs.columns)
+
+
 def judge(docs: DataFrame, host: str = "source", distrust: float = 0.5, key: tuple[str, ...] = ("doc_id",), staged=None) -> DataFrame:
     """Rules, hosts' verdicts, and ``kept`` for every document.
 
@@ -124,8 +138,5 @@ def judge(docs: DataFrame, host: str = "source", distrust: float = 0.5, key: tup
     """
     judged = rules(docs, host, key)
     judged = staged(judged) if staged else judged
-    # the verdict travels to the documents: hosts are joined by key, and a host with a third of the rows is split by the skew join
-    rates = host_rates(judged).select(F.col("host").alias("rated"), "host_rate")
-    out = judged.join(rates, F.col("host").eqNullSafe(F.col("rated")), "left")
-    verdict = ~F.col("base_failed") & ~F.col("severe") & ~(F.col("mild") & (F.col("host_rate") >= distrust))
-    return out.select(*key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "severe", "mild", F.col("host_rate"))
+    out = _verdict(judged, host_rates(judged), distrust)
+    return out.select(*key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severe", "mild", "host_rate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athenaeum.llm import media, mixing, ngrams, pieces, pii, quality, records, simhash, toxicity
+from athenaeum.llm import media, mixing, ngrams, pieces, pii, preference, quality, records, simhash, toxicity
 from athenaeum.llm.common import cut, documents
 
 
@@ -20,6 +20,13 @@ def op1_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gathered = cut(preference.gather(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "gathered")
+    made = preference.format_pairs(gathered, preference.pair_by_number(gathered))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return made.withColumns({"chosen_spans": text("chosen_spans"), "rejected_spans": text("rejected_spans")})
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -63,6 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece_unigram,
+        op2_preference_pairs,
         op3_simhash_near_duplicates,
         op4_host_quality_rules,
         op5_feistel_pseudonyms,
@@ -75,6 +83,27 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_preference_pairs": r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS made, length(role) + 5 AS head FROM t),
+w AS (SELECT conv_id, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS n FROM t GROUP BY conv_id),
+p AS (SELECT pair, arg_max(conv_id, (n, -conv_id)) AS chosen_id, arg_min(conv_id, (n, -conv_id)) AS rejected_id FROM w GROUP BY pair HAVING count(*) = 2),
+d AS (SELECT p.chosen_id, p.rejected_id, a.pos FROM p JOIN r a ON a.conv_id = p.chosen_id
+      LEFT JOIN r b ON b.conv_id = p.rejected_id AND b.pos = a.pos WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text),
+z AS (SELECT conv_id, max(pos) AS last FROM r GROUP BY conv_id),
+n AS (SELECT p.chosen_id, p.rejected_id, coalesce(min(d.pos) - 1, min(c.last)) AS n_common
+      FROM p JOIN z c ON c.conv_id = p.chosen_id LEFT JOIN d ON d.chosen_id = p.chosen_id GROUP BY p.chosen_id, p.rejected_id),
+s AS (SELECT n.*, r.*, sum(length(made)) OVER (PARTITION BY n.chosen_id, r.conv_id, r.pos > n_common ORDER BY r.pos) AS upto
+      FROM n JOIN r ON r.conv_id IN (n.chosen_id, n.rejected_id))
+SELECT chosen_id, rejected_id, n_common,
+       coalesce(string_agg(made, '' ORDER BY pos) FILTER (WHERE conv_id = chosen_id AND pos <= n_common), '') AS prompt,
+       coalesce(string_agg(made, '' ORDER BY pos) FILTER (WHERE conv_id = chosen_id AND pos > n_common), '') AS chosen,
+       coalesce(string_agg(made, '' ORDER BY pos) FILTER (WHERE conv_id = rejected_id AND pos > n_common), '') AS rejected,
+       coalesce(string_agg((upto - length(made) + head) || '-' || upto, ',' ORDER BY pos) FILTER (WHERE conv_id = chosen_id AND pos > n_common AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((upto - length(made) + head) || '-' || upto, ',' ORDER BY pos) FILTER (WHERE conv_id = rejected_id AND pos > n_common AND role = 'assistant'), '') AS rejected_spans
+FROM s GROUP BY chosen_id, rejected_id, n_common
+""",
     "op4_host_quality_rules": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
