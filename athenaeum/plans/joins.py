@@ -107,7 +107,7 @@ def d12_as_of_marker(t: Tables) -> DataFrame:
     return as_of(t.usage.filter("operation <> 'view'"), views, "user_id", "seen", "seen", "page").select("event_id", "page")
 
 
-@query("""WITH own AS (SELECT section, work_id, 0 AS src FROM fragments WHERE relevance = 5 AND chapter = 1 GROUP BY 1, 2), s AS (SELECT DISTINCT section FROM own), c AS (SELECT section, w.work_id, 1 AS src FROM s JOIN works w ON w.chapter = 1 AND w.status = 'completed'),
+@query("""WITH own AS (SELECT section, work_id, 0 AS src FROM fragments WHERE relevance = 5 AND chapter = 1 GROUP BY 1, 2), s AS (SELECT DISTINCT section FROM own), c AS (SELECT s.section, w.work_id, 1 AS src FROM s JOIN works w ON w.chapter = 1 AND w.status = 'completed'),
  u AS (SELECT section, work_id, min(src) AS src FROM (SELECT * FROM own UNION ALL SELECT * FROM c) GROUP BY 1, 2) SELECT section, work_id, src FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY src, work_id) AS n FROM u) WHERE n <= 25""")
 def d13_top_up(t: Tables) -> DataFrame:
     own = t.fragments.filter("relevance = 5 and chapter = 1").select("section", "work_id").distinct().withColumn("src", F.lit(0))

@@ -1 +1,185 @@
-"""Plans."""
+"""Text plans: scalar functions, extraction, verification."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from athenaeum.functions import arrow, text
+from athenaeum.plans.registry import query
+from athenaeum.sources.tables import Tables
+
+
+@query(r"SELECT work_id, trim(regexp_replace(regexp_replace(text, '-[\r\n]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM works")
+def j1_squeeze(t: Tables) -> DataFrame:
+    return t.works.select("work_id", text.squeeze(F.col("text")).alias("t"))
+
+
+@query()
+def j1_normalize_unicode(t: Tables) -> DataFrame:
+    return t.works.select("work_id", arrow.squeeze_udf("text").alias("t"))
+
+
+@query("SELECT d.work_id, b.item_id, instr(d.text, substr(b.text, 1, 80)) AS place FROM works d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 80)) AND b.item_id < 40")
+def j3_locate_exact(t: Tables) -> DataFrame:
+    """Places of given quotations: the quotations (a fixed list) travel, texts stay."""
+    quotes = F.broadcast(t.raw("benchmark").filter("item_id < 40").select("item_id", F.substring("text", 1, 80).alias("q")))  # 40 rows
+    return t.works.select("work_id", "text").join(quotes, F.col("text").contains(F.col("q"))).select("work_id", "item_id", F.expr("cast(locate(q, text) as bigint)").alias("place"))
+
+
+@query()
+def j3_locate_fuzzy(t: Tables) -> DataFrame:
+    """The same with up to a twentieth of the characters changed; a quotation's opening words choose the texts to look in."""
+    quotes = F.broadcast(t.raw("benchmark").filter("item_id < 40").select("item_id", F.col("text").alias("q"), F.substring("text", 1, 25).alias("k")))  # 40 rows
+    met = t.works.select("work_id", "text").join(quotes, F.col("text").contains(F.col("k")))
+    return met.select("work_id", "item_id", arrow.locate_udf("q", "text").alias("span")).filter(F.col("span.start").isNotNull())
+
+
+@query("SELECT item_id, count(d.work_id) > 0 AS confirmed, CASE WHEN count(d.work_id) > 0 THEN 'confirmed' ELSE 'downgraded' END AS status FROM benchmark b LEFT JOIN works d ON contains(d.text, substr(b.text, 1, 80)) WHERE item_id < 40 GROUP BY item_id")
+def j4_verbatim(t: Tables) -> DataFrame:
+    quotes = t.raw("benchmark").filter("item_id < 40").select("item_id", F.substring("text", 1, 80).alias("q"))
+    found = t.works.select("text").join(F.broadcast(quotes), F.col("text").contains(F.col("q"))).select("item_id").distinct().withColumn("hit", F.lit(True))
+    out = quotes.join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("confirmed"))
+    return out.withColumn("status", F.when(F.col("confirmed"), "confirmed").otherwise("downgraded"))
+
+
+@query(r"SELECT cited, trim(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g')) AS a, substr(regexp_replace(lower(title), '[^a-zа-яё0-9]', '', 'g'), 1, 40) AS key, md5(lower(trim(title))) AS h FROM cited".replace("AS a,", "AS raw,").replace("trim(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g')) AS raw", r"trim(regexp_replace(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g'), '\s+', ' ', 'g')) AS a"))
+def j5_j6_title_keys(t: Tables) -> DataFrame:
+    return t.cited.select("cited", text.comparable(F.concat("title", F.lit(" – “X”  y"))).alias("a"), text.title_key(F.col("title")).alias("key"), F.md5(F.lower(F.trim("title"))).alias("h"))
+
+
+@query(r"SELECT work_id, lower(regexp_replace(regexp_extract('see https://doi.org/' || doi || './', '(10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9_]+)', 1), '[./]+$', '')) AS doi FROM works WHERE doi IS NOT NULL")
+def j7_doi(t: Tables) -> DataFrame:
+    return t.works.filter("doi is not null").select("work_id", text.doi(F.concat(F.lit("see https://doi.org/"), F.col("doi"), F.lit("./"))).alias("doi"))
+
+
+@query(r"SELECT work_id, regexp_extract(body, '(?is)abstract\s*\n(.*?)\n\s*\n', 1) AS abstract FROM (SELECT work_id, 'Intro' || chr(10) || 'Abstract' || chr(10) || title || chr(10) || chr(10) || text AS body FROM works)")
+def j8_abstract(t: Tables) -> DataFrame:
+    body = F.concat(F.lit("Intro\nAbstract\n"), "title", F.lit("\n\n"), "text")
+    return t.works.select("work_id", F.regexp_extract(F.substring(body, 1, 100000), r"(?is)abstract\s*\n(.*?)\n\s*\n", 1).alias("abstract"))
+
+
+@query(r"""SELECT work_id, regexp_extract(ref, '\(((?:19|20)[0-9]{2})\)', 1) AS year, regexp_extract(ref, '^([^,(]+),', 1) AS surname, regexp_extract(ref, '\)\. ([^.]+)\.', 1) AS title, regexp_extract(ref, '(https?://[^ ]+)', 1) AS url
+ FROM (SELECT work_id, authors || ' (' || year || '). ' || title || '. https://x.org/' || work_id || ' .' AS ref FROM works WHERE year IS NOT NULL AND title <> '')""")
+def j9_reference_parts(t: Tables) -> DataFrame:
+    ref = F.concat("authors", F.lit(" ("), F.col("year").cast("string"), F.lit("). "), "title", F.lit(". https://x.org/"), F.col("work_id").cast("string"), F.lit(" ."))
+    part = lambda p: F.regexp_extract("ref", p, 1)
+    r = t.works.filter("year is not null and title <> ''").select("work_id", ref.alias("ref"))
+    return r.select("work_id", part(r"\(((?:19|20)[0-9]{2})\)").alias("year"), part("^([^,(]+),").alias("surname"), part(r"\)\. ([^.]+)\.").alias("title"), part(r"(https?://[^ ]+)").alias("url"))
+
+
+@query("SELECT work_id, split_part(authors, ',', 1) AS surname, split_part(authors, ',', 1) || coalesce(CAST(year AS VARCHAR), '') AS stem FROM works")
+def j10_surnames(t: Tables) -> DataFrame:
+    s = text.surname(F.col("authors"))
+    return t.works.select("work_id", s.alias("surname"), F.concat(s, F.coalesce(F.col("year").cast("string"), F.lit(""))).alias("stem"))
+
+
+@query()
+def j11_latin(t: Tables) -> DataFrame:
+    return t.works.select("work_id", arrow.latin_udf("title").alias("title"))
+
+
+@query(r"""WITH k AS (SELECT cited, authors || year AS base FROM cited) SELECT cited, base || CASE n WHEN 1 THEN '' ELSE chr(CAST(95 + n AS INTEGER)) END AS key FROM (SELECT cited, base, row_number() OVER (PARTITION BY base ORDER BY cited) AS n FROM k) WHERE n <= 27""")
+def j12_citekeys(t: Tables) -> DataFrame:
+    k = t.cited.select("cited", F.concat("authors", F.col("year").cast("string")).alias("base"))
+    n = k.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("cited"))).filter("n <= 27")
+    return n.select("cited", F.concat("base", F.when(F.col("n") == 1, "").otherwise(F.char(95 + F.col("n")))).alias("key"))
+
+
+@query("SELECT work_id, sha256('w' || work_id || ':' || title || ':0') AS content, substr(sha256('w' || work_id || ':' || title || ':0'), 1, 16) AS short FROM works WHERE title IS NOT NULL")
+def j13_hashes(t: Tables) -> DataFrame:
+    h = text.content_hash(F.concat(F.lit("w"), F.col("work_id").cast("string")), F.col("title"), F.lit(None))
+    return t.works.filter("title is not null").select("work_id", h.alias("content"), F.substring(h, 1, 16).alias("short"))
+
+
+@query("SELECT CASE WHEN intent IS NULL THEN '' ELSE intent END AS intent, sha256(string_agg(section, ',' ORDER BY section)) AS state FROM (SELECT DISTINCT intent, section FROM fragments) GROUP BY 1")
+def j13_state_hash(t: Tables) -> DataFrame:
+    return t.fragments.groupBy(F.coalesce("intent", F.lit("")).alias("intent")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("section")), ","), 256).alias("state"))
+
+
+@query("SELECT fragment_id, section || '.4' AS deepest, CAST(split_part(section, '.', 1) AS INTEGER) AS chapter FROM fragments WHERE work_id < 100")
+def j14_section_ids(t: Tables) -> DataFrame:
+    s = F.concat(F.lit("ch. 7 see "), "section", F.lit(".4 and 2"))
+    return t.fragments.filter("work_id < 100").select("fragment_id", text.deepest_section(s).alias("deepest"), F.split_part("section", F.lit("."), F.lit(1)).cast("int").alias("chapter"))
+
+
+@query("SELECT work_id, CASE WHEN contains(lower(title), 'tion') THEN 'method' WHEN contains(lower(title), 'que') THEN 'theory' WHEN contains(lower(title), 'th') THEN 'results' ELSE 'other' END AS kind, CASE WHEN regexp_matches(text, '[\\x{0400}-\\x{04FF}]') THEN 'ru' ELSE 'other' END AS script FROM works")
+def j15_keyword_class(t: Tables) -> DataFrame:
+    kind = text.first_hit(F.col("title"), [("tion", "method"), ("que", "theory"), ("th", "results")], "other")
+    return t.works.select("work_id", kind.alias("kind"), F.when(F.col("text").rlike("[\\x{0400}-\\x{04FF}]"), "ru").otherwise("other").alias("script"))
+
+
+@query()
+def j18_claims(t: Tables) -> DataFrame:
+    draft = F.concat(F.lit('Some 12.5 percent agree [@w1]. "'), F.substring("title", 1, 60), F.lit('" stands there [2]. '), F.substring("text", 1, 2000))
+    c = t.works.select("work_id", F.explode(arrow.claims_udf(draft)).alias("c"))
+    return c.select("work_id", "c.*")
+
+
+@query("SELECT event_id, CASE WHEN amount > 50 THEN 'ok' WHEN amount > 20 THEN 'soft_warn' WHEN operation = 'error' THEN 'hard_warn' ELSE 'unverifiable' END AS verdict FROM usage")
+def j20_verdicts(t: Tables) -> DataFrame:
+    ladder = F.when(F.col("amount") > 50, "ok").when(F.col("amount") > 20, "soft_warn").when(F.col("operation") == "error", "hard_warn").otherwise("unverifiable")
+    return t.usage.select("event_id", ladder.alias("verdict"))
+
+
+@query("SELECT work_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 2))), ' ') AS words FROM works")
+def j25_title_words(t: Tables) -> DataFrame:
+    return t.works.select("work_id", F.array_join(F.array_sort(text.title_words(F.col("title"))), " ").alias("words"))
+
+
+@query("SELECT citing, string_agg(w, ' ' ORDER BY p, w) AS text FROM (SELECT DISTINCT citing, line AS p, intent AS w FROM edges WHERE citing < 500) GROUP BY citing")
+def j23_inverted_index(t: Tables) -> DataFrame:
+    places = t.edges.filter("citing < 500").groupBy("citing", "intent").agg(F.collect_set("line").alias("ps"))
+    index = places.groupBy("citing").agg(F.map_from_entries(F.collect_list(F.struct("intent", "ps"))).alias("index"))
+    return index.select("citing", text.from_inverted_index(F.col("index")).alias("text"))
+
+
+@query("SELECT chapter, printf('%d works in chapter %d', count(*), chapter) AS phrase FROM works GROUP BY chapter")
+def j24_phrases(t: Tables) -> DataFrame:
+    return t.works.groupBy("chapter").agg(F.count(F.lit(1)).alias("n")).select("chapter", F.format_string("%d works in chapter %d", "n", "chapter").alias("phrase"))
+
+
+@query("SELECT work_id, datediff('day', DATE '1990-01-01', DATE '1990-01-01' + CAST(work_id AS INTEGER)) AS days, CAST(DATE '2024-03-01' - INTERVAL 14 DAY AS DATE) AS since FROM works")
+def l1_dates(t: Tables) -> DataFrame:
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.col("work_id").cast("int"))
+    return t.works.select("work_id", F.datediff(day, F.lit("1990-01-01").cast("date")).cast("long").alias("days"), F.date_sub(F.lit("2024-03-01").cast("date"), 14).alias("since"))
+
+
+@query("SELECT event_id, greatest(1.0::DOUBLE, least(10.0::DOUBLE, coalesce(TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(amount AS VARCHAR) END AS DOUBLE), 5.0))) AS score, round_even(event_id / 2.0, 0) AS even FROM usage")
+def l2_clamp_and_round(t: Tables) -> DataFrame:
+    given = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("amount").cast("string"))
+    return t.usage.select("event_id", text.clamp(given, 1.0, 10.0, 5.0).alias("score"), F.bround(F.col("event_id") / F.lit(2.0), 0).alias("even"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM usage")
+def l5_json_path(t: Tables) -> DataFrame:
+    return t.usage.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
+
+
+@query("SELECT work_id, array_to_string(list_distinct(list_filter(['1.' || chapter, section, section], lambda x: x IS NOT NULL)), ',') AS s FROM works WHERE false")
+def l3_array_functions_empty(t: Tables) -> DataFrame:
+    return t.works.filter("false").select("work_id", F.array_join(F.array_distinct(F.array(F.concat(F.lit("1."), F.col("chapter").cast("string")), "section", "section")), ",").alias("s"))
+
+
+@query("SELECT work_id, CASE WHEN '1.' || chapter = section THEN section ELSE '1.' || chapter || ',' || section END AS s FROM works")
+def l3_array_functions(t: Tables) -> DataFrame:
+    parsed = F.from_json(F.concat(F.lit('["1.'), F.col("chapter").cast("string"), F.lit('", "'), "section", F.lit('", "'), "section", F.lit('"]')), "array<string>")
+    return t.works.select("work_id", F.array_join(F.array_distinct(parsed), ",").alias("s"))
+
+
+@query()
+def l4_repair_json(t: Tables) -> DataFrame:
+    chatty = F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", "}", ",}"), F.lit("\n```"))
+    return t.usage.select("event_id", arrow.repair_json_udf(chatty).alias("json"))
+
+
+@query("SELECT status, CASE status WHEN 'completed' THEN 'done' WHEN 'failed' THEN 'again' WHEN 'skipped' THEN 'again' ELSE 'open' END AS label, count(*) AS n FROM works GROUP BY 1, 2")
+def l7_vocabulary(t: Tables) -> DataFrame:
+    names = t.spark.sql("SELECT * FROM VALUES ('completed', 'done'), ('failed', 'again'), ('skipped', 'again') AS v(status, label)")
+    return t.works.join(F.broadcast(names), "status", "left").groupBy("status", F.coalesce("label", F.lit("open")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def f7_chunks(t: Tables) -> DataFrame:
+    c = t.works.select("work_id", F.explode(arrow.chunks_udf("text")).alias("c"))
+    return c.select("work_id", "c.start", "c.end")
