@@ -1 +1,84 @@
-"""Plans."""
+"""Scan plans: pages, exports, outlines built from the provided tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from athenaeum.functions import arrow, text
+from athenaeum.plans.registry import query
+from athenaeum.sources import files
+from athenaeum.sources.tables import Tables
+
+
+def _export(t: Tables) -> DataFrame:
+    """Works as reference-manager documents, a collection each."""
+    creator = F.struct(F.when(F.col("work_id") % 7 == 0, "editor").otherwise("author").alias("creatorType"), F.split_part("authors", F.lit(","), F.lit(1)).alias("lastName"), F.lit("A.").alias("firstName"))
+    item = F.struct(
+        F.when(F.col("work_id") % 10 == 9, "note").otherwise("book").alias("itemType"), F.when(F.col("work_id") % 13 != 0, F.concat(F.lit("k"), F.col("work_id").cast("string"))).alias("citationKey"),
+        F.col("doi").alias("DOI"), "title", F.concat(F.lit("May "), F.col("year").cast("string")).alias("date"), F.array(creator).alias("creators"), F.array(F.struct(F.lit("a.PDF").alias("path"))).alias("attachments"), F.array(F.struct(F.col("lang").alias("tag"))).alias("tags"),
+    )
+    return t.works.groupBy("collection", (F.col("work_id") % 50).alias("part")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("data"))
+
+
+@query("""SELECT 'k' || work_id AS key, trim(title) AS title, CASE WHEN work_id % 7 = 0 THEN '' ELSE split_part(authors, ',', 1) || ', A.' END AS authors, year, lower(doi) AS doi, 'a.PDF' AS pdf, lang AS keywords FROM works WHERE work_id % 10 <> 9 AND work_id % 13 <> 0""")
+def a2_reference_export(t: Tables) -> DataFrame:
+    return files.uploads(_export(t))
+
+
+@query(r"SELECT work_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '-' || chr(10), '', 'g'), '(?m)^[ \t]*[0-9]+[ \t]*\n?', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS n FROM works")
+def a4_tidy_pages(t: Tables) -> DataFrame:
+    return t.works.select("work_id", F.length(text.tidy_page(F.col("text"))).cast("long").alias("n"))
+
+
+@query()
+def a5_visible_text(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", arrow.visible_text_udf("html").alias("text"))
+
+
+@query(r"""WITH p AS (SELECT work_id, length(title) AS a, length(lang) AS b FROM works) SELECT work_id, unnest([1, 2]) AS page, unnest([5, 6 + a]) AS start, unnest([5 + a, 6 + a + b]) AS "end" FROM p""")
+def a6_page_spans(t: Tables) -> DataFrame:
+    marked = F.concat(F.lit("head\n<!-- Page 1 -->\n"), "title", F.lit("\n<!-- Page 2 -->\n"), "lang")
+    spans = t.works.select("work_id", F.explode(files.pages_of(marked)).alias("s")).select("work_id", "s.*")
+    return spans.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+@query()
+def a8_bibtex(t: Tables) -> DataFrame:
+    works = t.works.filter("title <> ''").select(F.concat(F.lit("k"), F.col("work_id").cast("string")).alias("key"), F.lit("online").alias("type"), "title", "authors", "year")
+    parsed = files.bibtex(files.to_bibtex(works))
+    return parsed.select("type", "key", F.try_element_at("fields", F.lit("title")).alias("title"), F.try_element_at("fields", F.lit("year")).alias("year"))
+
+
+@query("SELECT chapter AS plan, CAST(unnest([0, 1, 2]) AS INTEGER) AS place, unnest([CAST(chapter AS VARCHAR), chapter || '.1', chapter || '.1.2']) AS id, CAST(unnest([1, 2, 3]) AS INTEGER) AS level, unnest(['Chapter', 'Part', 'Item']) AS title, CAST(chapter AS VARCHAR) AS top FROM (SELECT DISTINCT chapter FROM works)")
+def a10_outline(t: Tables) -> DataFrame:
+    c = F.col("chapter").cast("string")
+    plans = t.works.select("chapter").distinct().select(F.col("chapter").alias("plan"), F.concat(c, F.lit(". Chapter\n"), c, F.lit(".1 Part\n"), c, F.lit(".1.2 Item\nloose line")).alias("text"))
+    return files.outline(plans, "plan", "text").withColumnRenamed("chapter", "top")
+
+
+@query("SELECT w.work_id, coalesce(a.title, w.title) AS title, CASE WHEN a.cited IS NOT NULL THEN 'first' ELSE 'own' END AS source FROM works w LEFT JOIN cited a ON a.cited = w.work_id AND length(a.title) > 9")
+def a11_lookup_chain(t: Tables) -> DataFrame:
+    """Staged lookups in order of trust: the first that answers gives the value."""
+    a = t.cited.filter(F.length("title") > 9).select(F.col("cited").alias("work_id"), F.col("title").alias("t1"))
+    return t.works.join(a, "work_id", "left").select("work_id", F.coalesce("t1", "title").alias("title"), F.when(F.col("t1").isNotNull(), "first").otherwise("own").alias("source"))
+
+
+@query("""WITH f AS (SELECT 'http/' || p_name || ' ' || p_partkey || '.pdf' AS path, p_partkey FROM part), c AS (SELECT x.cited, f.path, CASE WHEN f.p_partkey = x.cited THEN 1 ELSE 2 END AS tier FROM cited x JOIN f ON f.p_partkey = x.cited OR f.p_partkey = x.cited + 1)
+ SELECT cited, path FROM (SELECT *, row_number() OVER (PARTITION BY cited ORDER BY tier, path) AS n FROM c) WHERE n = 1""")
+def a13_path_resolution(t: Tables) -> DataFrame:
+    from athenaeum.operators.matching import cascade
+
+    f = t.raw("part").select(F.concat(F.lit("http/"), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"), F.col("p_partkey").alias("cited"))
+    return cascade("cited", [f.select("cited", "path"), f.select((F.col("cited") - 1).alias("cited"), "path").join(t.cited.select("cited"), "cited", "left_semi")], ["path"]).select("cited", "path")
+
+
+@query("SELECT collection, lang, count(*) AS n FROM works GROUP BY 1, 2")
+def a7_tag_histogram(t: Tables) -> DataFrame:
+    return t.works.select("collection", F.explode(F.array("lang")).alias("lang")).groupBy("collection", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT fragment_id, text, least(5, greatest(1, CAST(round_even(relevance / 2.0, 0) AS INTEGER) + 1)) AS relevance FROM fragments WHERE intent IS NOT NULL ORDER BY fragment_id, text LIMIT 50")
+def b13_dataset_export(t: Tables) -> DataFrame:
+    first = t.fragments.filter("intent is not null").orderBy("fragment_id", "text").limit(50)
+    return first.select("fragment_id", "text", F.least(F.lit(5), F.greatest(F.lit(1), F.bround(F.col("relevance") / F.lit(2.0), 0).cast("int") + 1)).alias("relevance"))

@@ -1 +1,57 @@
-"""Plans."""
+"""Batch twins of the streaming operators; tests run the streams against them."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from athenaeum.plans.registry import query
+from athenaeum.sources.tables import Tables
+from athenaeum.streaming import events
+
+
+def _events(t: Tables) -> DataFrame:
+    return t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def n0_tumbling_counts(t: Tables) -> DataFrame:
+    return events.tumbling(_events(t)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def n0_sessions(t: Tables) -> DataFrame:
+    s = events.sessions(_events(t))
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query()
+def n1_rate_limiter(t: Tables) -> DataFrame:
+    return events.limiter(_events(t))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15 10:00:00' - INTERVAL 2 HOUR THEN 'failed' ELSE event_type END AS state FROM events")
+def n2_stale_work(t: Tables) -> DataFrame:
+    limit = F.lit(datetime.datetime(2024, 1, 15, 8)).cast("timestamp_ntz")
+    return t.raw("events").select("event_id", F.when((F.col("event_type") == "view") & (F.col("ts") < limit), "failed").otherwise(F.col("event_type")).alias("state"))
+
+
+@query("SELECT event_id, user_id FROM events")
+def n3_replay(t: Tables) -> DataFrame:
+    """A day's events sent twice count once."""
+    e = _events(t)
+    return events.deduplicated(e.unionByName(e.filter("event_id % 3 = 0"))).select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def n4_incremental_pull(t: Tables) -> DataFrame:
+    return t.raw("events").filter(F.col("ts") >= F.lit(datetime.datetime(2024, 1, 20)).cast("timestamp_ntz")).select("event_id")
+
+
+@query("SELECT sha256(string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY user_id)) AS state FROM (SELECT DISTINCT user_id FROM events)")
+def n5_state_key(t: Tables) -> DataFrame:
+    """What a cached result is kept under: equal sets of users give equal keys."""
+    return t.usage.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set("user_id")), lambda u: u.cast("string")), ","), 256).alias("state"))

@@ -156,11 +156,6 @@ def l5_json_path(t: Tables) -> DataFrame:
     return t.usage.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
 
 
-@query("SELECT work_id, array_to_string(list_distinct(list_filter(['1.' || chapter, section, section], lambda x: x IS NOT NULL)), ',') AS s FROM works WHERE false")
-def l3_array_functions_empty(t: Tables) -> DataFrame:
-    return t.works.filter("false").select("work_id", F.array_join(F.array_distinct(F.array(F.concat(F.lit("1."), F.col("chapter").cast("string")), "section", "section")), ",").alias("s"))
-
-
 @query("SELECT work_id, CASE WHEN '1.' || chapter = section THEN section ELSE '1.' || chapter || ',' || section END AS s FROM works")
 def l3_array_functions(t: Tables) -> DataFrame:
     parsed = F.from_json(F.concat(F.lit('["1.'), F.col("chapter").cast("string"), F.lit('", "'), "section", F.lit('", "'), "section", F.lit('"]')), "array<string>")
