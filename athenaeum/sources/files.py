@@ -42,7 +42,7 @@ def bibtex(texts: DataFrame, column: str = "value") -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """Markdown notes under a folder: path, front matter as a map of texts, tags, body."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value")
     head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     pairs = F.filter(F.transform(F.split(head, "\n"), lambda s: F.struct(F.trim(F.regexp_extract(s, r"^([\w-]+):", 1)).alias("k"), F.trim(F.regexp_extract(s, r"^[\w-]+:\s*(.*)$", 1)).alias("v"))), lambda p: p["k"] != "")
     tags = F.filter(F.split(F.regexp_replace(F.regexp_extract(head, r"(?m)^tags:\s*\[?([^\]\n]*)\]?", 1), r"[\"']", ""), r"\s*,\s*"), lambda x: x != "")
@@ -86,8 +86,8 @@ def write_swapped(df: DataFrame, root: str, version: str) -> str:
     path = f"{root}/v={version}"
     df.write.mode("overwrite").parquet(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
-    mine = jvm.org.apache.hadoop.fs.Path(f"{root}/_current.{version}")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/current")
+    mine = jvm.org.apache.hadoop.fs.Path(f"{root}/current.{version}")
     fs = pointer.getFileSystem(conf)
     out = fs.create(mine, True)
     out.write(bytearray(version.encode()))
@@ -98,5 +98,5 @@ def write_swapped(df: DataFrame, root: str, version: str) -> str:
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/_current").first()[0]
+    version = spark.read.text(f"{root}/current").first()[0]
     return spark.read.parquet(f"{root}/v={version}")
