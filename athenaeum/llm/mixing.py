@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from athenaeum.llm.common import SPACE_CLASS, cut, drop
+from athenaeum.llm.common import cut, drop
 
 #: Weights dealt to the sources in order, the mix's share of all words, the most of a source and of a document.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -33,16 +33,16 @@ MAX_STEPS = 60
 CLOSE = 1e-7
 
 
+#: A run of word characters; runs collapse to one letter and the letters are counted.
+WORD_RUN = r"[^\x20\x09-\x0D]+"
+
+
 def size_of(text: Column) -> Column:
-    """Words of the text: one plus the number of separating runs, after both ends are cleared of them."""
+    """Words of the text."""
     inner = F.regexp_replace(F.coalesce(text, F.lit("")), WORD_RUN, "w")
     return (F.length(inner) - F.length(F.replace(inner, F.lit("w"), F.lit("")))).cast("long")
 
 
-#: A run of word characters; runs collapse to one letter and the letters are counted.
-WORD_RUN = r"[^\x20\x09-\x0D]+"
-
-
 def targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Adds ``target`` to (source, source_size): weighted shares of ``share`` of all words, none above ``cap`` times its size.
 

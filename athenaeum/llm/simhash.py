@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from athenaeum.llm.common import cut, drop, sized_slices
+from athenaeum.llm.common import cut, sized_slices
 from athenaeum.llm.components import components
 
 SHINGLE = 3
