@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from athenaeum.llm import shingles
 from athenaeum.llm.common import cut, sized_slices
 from athenaeum.llm.components import components
 
@@ -205,11 +206,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Whole rows of ``docs``: of each group the one with the least id (of its repeats the first by text, then by lang and source)."""
-    found = near_duplicates(docs)
-    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
-    # the id with nulls made plain, and the text's hash: rows alike in both are copies of one row, of which any may stay
-    key = lambda i: F.coalesce(i, F.lit(-(2**63)))
-    chosen = chosen.select(key(F.col("k.doc_id")).alias("_id"), F.col("k.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_id": key(F.col("doc_id")), "_hash": F.xxhash64("text")})
-    return keyed.join(chosen, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    """Whole rows of ``docs``: of each group the one with the least id (of its repeats the first by text, then by lang and source).
+
+    Groups are those of :mod:`athenaeum.llm.shingles` (five words, similarity 0.8), not the fingerprints' of the query.
+    """
+    rows = shingles.sketches(docs)
+    found = rows.join(shingles.groups(docs, rows), "key", "left").select("_id", "_hash", F.coalesce("root", "key").alias("root"))
+    # the id with nulls made plain, which come last, and the text's hash: rows alike in both are copies of one row, of which any may stay
+    chosen = found.groupBy("root").agg(F.min(F.struct((F.col("_id") == -(2**63)).alias("n"), "_id", "_hash")).alias("k"))
+    chosen = chosen.select(F.col("k._id").alias("_id"), F.col("k._hash").alias("_hash"))
+    return shingles.keyed(docs).join(chosen, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
