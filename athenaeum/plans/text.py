@@ -82,8 +82,9 @@ def j11_latin(t: Tables) -> DataFrame:
 @query(r"""WITH k AS (SELECT cited, authors || year AS base FROM cited) SELECT cited, base || CASE n WHEN 1 THEN '' ELSE chr(CAST(95 + n AS INTEGER)) END AS key FROM (SELECT cited, base, row_number() OVER (PARTITION BY base ORDER BY cited) AS n FROM k) WHERE n <= 27""")
 def j12_citekeys(t: Tables) -> DataFrame:
     k = t.cited.select("cited", F.concat("authors", F.col("year").cast("string")).alias("base"))
-    n = k.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("cited"))).filter("n <= 27")
-    return n.select("cited", F.concat("base", F.when(F.col("n") == 1, "").otherwise(F.char(95 + F.col("n")))).alias("key"))
+    n = k.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("cited")))
+    mark = F.when(F.col("n") == 1, "").when(F.col("n") <= 27, F.char(95 + F.col("n"))).otherwise(F.concat(F.lit("_"), F.substring(F.md5(F.col("cited").cast("string")), 1, 6)))
+    return n.select("cited", F.concat("base", mark).alias("key"))
 
 
 @query("SELECT work_id, sha256('w' || work_id || ':' || title || ':0') AS content, substr(sha256('w' || work_id || ':' || title || ':0'), 1, 16) AS short FROM works WHERE title IS NOT NULL")
