@@ -218,17 +218,17 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [x[:3] for x in found]
 
 
-_DIGITS = re.compile(r"\d{2}")
+_DIGITS, _DIGIT, _DOTTED = re.compile(r"\d{2}"), re.compile(r"\d"), re.compile(r"\d\.\d")
 #: In order of precedence: kind, what a text must hold for the pattern to be tried, pattern. All quantifiers are bounded.
 PATTERNS = (
     ("mail", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")),
     ("key", "AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("secret", re.compile(r"[=:]"), re.compile(r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_~-]{6,128})")),
     ("account", _DIGITS, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("card", _DIGITS, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
+    ("card", _DIGIT, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", _DIGITS, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("date", _DIGITS, re.compile(r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w-])")),
-    ("address", _DIGITS, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")),
+    ("address", _DOTTED, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")),
     ("phone", _DIGITS, re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])")),
 )
 

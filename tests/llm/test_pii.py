@@ -82,3 +82,11 @@ def test_operator(spark):
     assert [(r.doc_id, r.pii_count) for r in got] == [(1, 1), (2, 0), (3, 0), (1, 1), (None, 0)]
     assert got[0].text == got[3].text != rows[0][1] and got[1].text is None and got[4].text == "clean"
     assert pseudonymize(docs.limit(0), b"k").count() == 0
+
+
+def test_values_of_single_digits_are_found():
+    names = Pseudonyms(b"k")
+    with_others, alone = names.replace("8.8.8.8 and 42")[0], names.replace("8.8.8.8")[0]
+    assert alone != "8.8.8.8" and with_others == f"{alone} and 42"
+    card = "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"
+    assert names.replace(card)[1] == [(0, len(card), "card")]
