@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled rows: words, and stems (prefixes) that inflect, whose share of toxic documents stands
 out. Its trie is walked together with a Levenshtein automaton for each word of a text (both advance by one character, and a
-branch is left once the automaton has no live state), which finds exact and misspelled words and stems in one descent.
+branch is left once the automaton has no live state), which finds misspelled words in one descent, those that a stem explains among them; exact words and stems are looked up.
 
 Each hit is looked at in its window: quotation marks around it, words of reporting nearby, or other hits beside it. Counts of
 hits by kind (exact or misspelled, plain or quoted, crowded or alone) are a document's features, and a logistic regression on
@@ -77,17 +77,19 @@ class Lexicon:
 
     words: set[str]
     stems: set[str]
+    #: Words that a stem explains; only their misspellings are looked for.
+    explained: set[str] = field(default_factory=set)
     root: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        for kind, terms in (("word", self.words), ("stem", self.stems)):
+        for kind, terms in (("word", self.words | self.explained), ("stem", self.stems)):
             for term in terms:
                 node = self.root
                 for c in term:
                     node = node.setdefault(c, {})
                 node[kind] = term
         # a misspelling of one change keeps one half of the term as it is, at its end of the word
-        near = [t for t in self.words if distance_allowed(t)]
+        near = [t for t in self.words | self.explained if distance_allowed(t)]
         self.heads = {t[: len(t) // 2] for t in near}
         self.tails = {t[len(t) // 2 :] for t in near}
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
@@ -178,7 +180,7 @@ def lexicon_of(toxic: list[str], clean: list[str]) -> Lexicon:
         if kinds[s] >= ENDINGS and not any(s[:n] in stems for n in range(STEM[0], len(s))):
             stems.add(s)
     kept = [w for w in words if not any(w[:n] in stems for n in range(STEM[0], STEM[1] + 1))]
-    return Lexicon(set(kept[:LEXICON]), set(sorted(stems)[:LEXICON]))
+    return Lexicon(set(kept[:LEXICON]), set(sorted(stems)[:LEXICON]), set(words) - set(kept))
 
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model:

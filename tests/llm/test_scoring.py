@@ -167,3 +167,10 @@ def test_toxicity_on_held_out_rows(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "idiot")], "doc_id long, text string")
     nolabels = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.score(odd, nolabels).collect()] == pytest.approx([0.5] * 3)
+
+
+def test_misspellings_of_words_that_a_stem_explains_are_found():
+    toxic = [f"tu es {w} vraiment numero {i}" for i, w in enumerate(["minable", "minables", "minablement"] * 20)]
+    lexicon = toxicity.lexicon_of(toxic, [f"une page calme numero {i}" for i in range(60)])
+    assert "minable" not in lexicon.words and lexicon.find("minables")[2] == "stem"
+    assert lexicon.find("monables")[1:] == (1, "word") and lexicon.find("minxables")[1] == 1
