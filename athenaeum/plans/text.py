@@ -27,6 +27,13 @@ def j3_locate_exact(t: Tables) -> DataFrame:
     return t.works.select("work_id", "text").join(quotes, F.col("text").contains(F.col("q"))).select("work_id", "item_id", F.expr("cast(locate(q, text) as bigint)").alias("place"))
 
 
+@query()
+def j3_locate_exact_whole(t: Tables) -> DataFrame:
+    """Places of all whole quotations (``j3_locate_exact`` is held to its SQL's forty and their first 80 characters)."""
+    quotes = F.broadcast(t.raw("benchmark").select("item_id", F.col("text").alias("q")))  # the fixed list of quotations
+    return t.works.select("work_id", "text").join(quotes, F.col("text").contains(F.col("q"))).select("work_id", "item_id", F.expr("cast(locate(q, text) as bigint)").alias("place"))
+
+
 @query()
 def j3_locate_fuzzy(t: Tables) -> DataFrame:
     """The same with up to a twentieth of the characters changed; a quotation's opening words choose the texts to look in."""
@@ -43,6 +50,14 @@ def j4_verbatim(t: Tables) -> DataFrame:
     return out.withColumn("status", F.when(F.col("confirmed"), "confirmed").otherwise("downgraded"))
 
 
+@query()
+def j4_verbatim_whole(t: Tables) -> DataFrame:
+    """All quotations, held against the texts whole (``j4_verbatim`` is held to its SQL)."""
+    found = j3_locate_exact_whole(t).select("item_id").distinct().withColumn("hit", F.lit(True))
+    out = t.raw("benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("confirmed"))
+    return out.withColumn("status", F.when(F.col("confirmed"), "confirmed").otherwise("downgraded"))
+
+
 @query(r"SELECT cited, trim(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g')) AS a, substr(regexp_replace(lower(title), '[^a-zа-яё0-9]', '', 'g'), 1, 40) AS key, md5(lower(trim(title))) AS h FROM cited".replace("AS a,", "AS raw,").replace("trim(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g')) AS raw", r"trim(regexp_replace(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g'), '\s+', ' ', 'g')) AS a"))
 def j5_j6_title_keys(t: Tables) -> DataFrame:
     return t.cited.select("cited", text.comparable(F.concat("title", F.lit(" – “X”  y"))).alias("a"), text.title_key(F.col("title")).alias("key"), F.md5(F.lower(F.trim("title"))).alias("h"))
@@ -112,7 +127,7 @@ def j15_keyword_class(t: Tables) -> DataFrame:
 
 @query()
 def j18_claims(t: Tables) -> DataFrame:
-    draft = F.concat(F.lit('Some 12.5 percent agree [@w1]. "'), F.substring("title", 1, 60), F.lit('" stands there [2]. '), F.substring("text", 1, 2000))
+    draft = F.concat(F.lit('Some 12.5 percent agree [@w1]. "'), F.substring("title", 1, 60), F.lit('" stands there [2]. '), "text")
     c = t.works.select("work_id", F.explode(arrow.claims_udf(draft)).alias("c"))
     return c.select("work_id", "c.*")
 
