@@ -1,6 +1,7 @@
 """Language-model scoring by a weighted backoff automaton.
 
-A text is read token by token (its lower-cased words, then one end), from left to right. It starts in the state of one of
+The word model is a unigram mixed over classes: no n-gram of words is counted, so any order of a text's words scores the same, and
+a document is scored from its distinct tokens and their times. A text (its lower-cased words, then one end) is in the state of one of
 a few classes (the most frequent languages of the training rows; which one is not told but summed over, weighted by their
 shares). From a class an arc leads along each token that the class has in training; a failure arc leads to the state of
 all classes, with arcs for all training tokens; its failure arc leads into a byte automaton that spells the token: byte
