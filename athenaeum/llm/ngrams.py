@@ -1,27 +1,26 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-The word model is a unigram mixed over classes: no n-gram of words is counted, so any order of a text's words scores the same, and
-a document is scored from its distinct tokens and their times. A text (its lower-cased words, then one end) is in the state of one of
-a few classes (the most frequent languages of the training rows; which one is not told but summed over, weighted by their
-shares). From a class an arc leads along each token that the class has in training; a failure arc leads to the state of
-all classes, with arcs for all training tokens; its failure arc leads into a byte automaton that spells the token: byte
-n-grams up to ``ORDER`` (interpolated Witten-Bell) are its states, arcs carry log probabilities, and a failure arc leads to
-the context without its first byte and carries the backoff weight. A token's probability is the sum over these paths,
-``own * c_k / N_k + shared * c / N + novel * spelled`` with the weights ``PATHS``: a proper distribution over texts. A
-traversal carries one log probability for each class. The byte automaton learns from each document's distinct words, since it is there for the rare ones. Long tokens are walked
-in lanes that start ``ORDER - 1`` bytes early, which is all a state can remember.
-
-A byte n-gram is kept if it makes up at least ``KEEP`` of all positions, which bounds the automaton that is broadcast by
-``1 / KEEP`` n-grams of each order whatever the corpus is; what falls below is left to the backoff.
-
-Token arcs have no such bound, so they are never held in one place: texts are tokenized in blocks, each block sends its
-distinct tokens (as 64-bit hashes) with their counts once, the sums come back to the blocks that asked, and documents are
-scored against their own block's list. The base score comes of the same counts.
+"""Language-model scoring by a weighted backoff automaton over words.
+
+A text is read from left to right as tokens: its lower-cased words, then one end. The automaton's states are contexts, the last
+``GRAMS - 1`` tokens (a start mark before the first); a state that training has seen ``n`` times has an arc for each token that
+followed it and a failure arc to the state without the oldest token. With ``theta(n) = n ** HEAPS`` the failure arc weighs
+``theta / (n + theta)`` and an arc taken ``c`` times adds ``c / (n + theta)``, so a token's probability is
+
+    p(w | context) = (c(context w) + theta(n) * p(w | shorter context)) / (n + theta(n)),
+
+a proper distribution at every state (a Dirichlet prior whose strength follows Heaps' law, which stands for the number of kinds
+of followers that Witten-Bell smoothing counts). A state that training never saw fails at no cost. The state of no tokens fails
+into a byte automaton that spells the token: byte n-grams up to ``ORDER`` (interpolated Witten-Bell), learned from each
+document's distinct tokens, with the end as an empty word. A text's score is the sum of the log probabilities along its path.
+
+No table of the model is ever in one place. Texts are dealt to blocks; a block sends each of its distinct n-grams (56 bits of a
+64-bit hash) once, with its count in training rows, to the bucket of its hash; buckets sum up and answer; and the block's texts
+walk their states with those counts. An n-gram is one entry for each block that holds it however frequent it is, and buckets
+are ranges of hashes, so none is hot. Nothing is cut off: all n-grams of all training rows count. What is broadcast is the byte
+automaton, which has at most ``256 ** ORDER`` n-grams whatever the corpus is (some ten thousand in practice).
 
 Defined results: null and empty texts are the end alone; a null id is in the training fold; repeated rows count and are
-returned each; without training rows every count is 0 and the end has what weight the words leave; a table without the
-class column, or null classes, have the shared class only; an empty table gives an empty result; extra columns are not
-carried.
+returned each; without training rows every count is 0 and tokens are spelled; an empty table gives an empty result; extra
+columns are not carried. A text is scored whole by one task, which takes some 60 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -29,26 +28,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenaeum.llm.common import LOWER, SPACE, binaries, crc32_of_id, cut, drop, gathered, utf8
+from athenaeum.llm.common import LOWER, SPACE, binaries, crc32_of_id, cut, gathered, utf8
 from athenaeum.llm.trie import DoubleArray
 
-ORDER = 5
-KEEP = 1e-6
+#: Words of the longest n-gram, and the exponent of a state's kinds of followers.
+GRAMS = 3
+HEAPS = 0.9
+ORDER = 3
 LANE = 512
-#: Text of one block: smaller blocks take less memory and repeat more tokens between them.
-BLOCK_BYTES = 8 << 20
+#: Text of one block and one bucket's share of all text: smaller ones take less memory and cost more rows.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 STOP = 0x20
-PATHS = (0.8, 0.1, 0.1)
-CLASSES = 8
 FOLDS = 10
 SMOOTH = 0.1
+#: Hashes of the end and of the start mark; no word holds a space.
+END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" end", b" start"))
+#: Bits of an n-gram's hash that tell it apart.
+KEY_BITS = 56
+#: In place of a byte n-gram: bytes of all texts, tokens and documents of training rows.
+BYTES, TOKENS, DOCS = -1, -2, -3
 
 
 class Words:
@@ -66,36 +69,88 @@ class Words:
         first = np.flatnonzero(starts)
         # bytes of words before each word
         self.starts = np.append(np.cumsum(inside, dtype=np.int32)[first] - 1, len(self.data)).astype(np.int64)
-        self.doc_words = np.searchsorted(first, offsets)
-
+        self.per_doc = np.diff(np.searchsorted(first, offsets))
         self.coded = binaries(self.data, self.starts).dictionary_encode()
         self.local = self.coded.indices.to_numpy().astype(np.int64)
         self.kinds = len(self.coded.dictionary)
-        self.per_doc = np.diff(self.doc_words)
-        self.doc = np.repeat(np.arange(len(self.per_doc)), self.per_doc)
-        # each text's distinct tokens and how often it has them
-        self.pairs, self.times = np.unique(self.doc * max(self.kinds, 1) + self.local, return_counts=True)
 
     def spelled(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct tokens as the byte automaton reads them, each with a stop, and where each starts."""
+        """The distinct words and the empty word as the byte automaton reads them, each with a stop, and where each starts."""
+        if not self.kinds:
+            return np.full(1, STOP, dtype=np.uint8), np.arange(2)
         _, at, data = self.coded.dictionary.buffers()
         at = np.frombuffer(at, dtype=np.int32)[: self.kinds + 1].astype(np.int64)
-        out = np.full(int(at[-1]) + self.kinds, STOP, dtype=np.uint8)
+        out = np.full(int(at[-1]) + self.kinds + 1, STOP, dtype=np.uint8)
         out[np.arange(at[-1]) + np.repeat(np.arange(self.kinds), np.diff(at))] = np.frombuffer(data, dtype=np.uint8)[: at[-1]]
-        return out, at + np.arange(self.kinds + 1)
+        return out, np.append(at + np.arange(self.kinds + 1), len(out))
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' tokens as places in the list of distinct ones, whose last is the end, and where each text's start."""
+        starts = np.concatenate([[0], np.cumsum(self.per_doc + 1)])
+        out = np.full(int(starts[-1]), self.kinds, dtype=np.int64)
+        out[np.arange(len(self.local)) + np.repeat(np.arange(len(self.per_doc)), self.per_doc)] = self.local
+        return out, starts
+
+    def hashes(self) -> np.ndarray:
+        return np.array([*map(xxhash.xxh64_intdigest, self.coded.dictionary.to_pylist()), int(END)], dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _before(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """For each token what ``values`` has for the one before it, and ``first`` for the first of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts[:-1]] = first
+    return out
+
+
+def levels(hashes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1: which tokens end an n-gram of it (within their text and its start mark), and those n-grams' hashes."""
+    place = np.arange(len(hashes)) - np.repeat(starts[:-1], np.diff(starts))
+    out, last = [(np.arange(len(hashes)), hashes)], hashes
+    for n in range(2, GRAMS + 1):
+        last = _mixed(_before(last, starts, START) * np.uint64(0x9E3779B97F4A7C15) + hashes)
+        some = np.flatnonzero(place >= n - 2)
+        out.append((some, last[some]))
+    return out
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that the mostly empty high bytes lie together and deflate to nothing."""
+    wide = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(wide), codec="zstd", asbytes=True)
+
+
+def _numbers(planes: bytes, n: int) -> np.ndarray:
+    wide = np.frombuffer(pa.decompress(planes, decompressed_size=8 * n, codec="zstd"), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(wide.T).view("<u8").ravel()
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all n-grams of full order in the distinct words of a partition's documents; a word starts after stops."""
+    """Counts of all byte n-grams of full order in the distinct tokens of each training document, and the totals."""
     total: tuple[np.ndarray, np.ndarray] | None = None
+    sums = {BYTES: 0, TOKENS: 0, DOCS: 0}
     for part in gathered(batches, "text", 4 << 20):
-        words = Words(part.column("text"))
-        if not words.kinds:
+        sums[BYTES] += len(utf8(part.column("text"))[0])
+        part = part.filter(pa.compute.invert(part.column("held_out")))
+        if not len(part):
             continue
-        weight = np.bincount(words.pairs % words.kinds, minlength=words.kinds)
+        words = Words(part.column("text"))
+        tokens, starts = words.tokens()
+        sums[TOKENS] += len(tokens)
+        sums[DOCS] += len(part)
+        # each document's distinct tokens
+        in_doc = np.unique(np.repeat(np.arange(len(part)), np.diff(starts)) * (words.kinds + 1) + tokens)
+        weight = np.bincount(in_doc % (words.kinds + 1), minlength=words.kinds + 1)
         stream, at = words.spelled()
-        padded = np.full(len(stream) + (ORDER - 1) * words.kinds, STOP, dtype=np.uint8)
-        place = np.arange(len(stream)) + np.repeat(np.arange(1, words.kinds + 1) * (ORDER - 1), np.diff(at))
+        padded = np.full(len(stream) + (ORDER - 1) * (words.kinds + 1), STOP, dtype=np.uint8)
+        place = np.arange(len(stream)) + np.repeat(np.arange(1, words.kinds + 2) * (ORDER - 1), np.diff(at))
         padded[place] = stream
         code = np.zeros(len(stream), dtype=np.int64)
         for back in range(ORDER - 1, -1, -1):
@@ -105,16 +160,17 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, weights = np.concatenate([total[0], code]), np.concatenate([total[1], weights])
         grams, inverse = np.unique(code, return_inverse=True)
         total = grams, np.bincount(inverse, weights=weights).astype(np.int64)
-    if total:
-        for i in range(0, len(total[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in total], names=["gram", "n"])
+    found = [np.array(list(sums), dtype=np.int64), np.array(list(sums.values()), dtype=np.int64)]
+    found = [np.concatenate(x) for x in zip(found, total, strict=True)] if total else found
+    for i in range(0, len(found[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in found], names=["gram", "n"])
 
 
 class Automaton:
     """States, arcs with log10 probabilities, and failure arcs with log10 backoff weights, over a double-array."""
 
     def __init__(self, grams: list[dict[bytes, int]]) -> None:
-        """``grams``: for each order from 1, the kept n-grams and their counts."""
+        """``grams``: for each order from 1, the n-grams and their counts."""
         one = {bytes([b]): grams[0].get(bytes([b]), 0) for b in range(256)}
         levels = [one, *grams[1:]]
         trie = DoubleArray([(g, 0) for level in levels for g in level])
@@ -212,155 +268,134 @@ class Automaton:
         return np.bincount(doc, weights=total, minlength=len(sizes))
 
 
-def train(docs: DataFrame) -> Automaton:
-    """The automaton of all texts of ``docs``. Fetched are the kept n-grams only."""
-    counts = cut(docs.select("text").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    levels: list[dict[bytes, int]] = []
+def train(marked: DataFrame) -> tuple[Automaton, dict[int, int]]:
+    """The byte automaton of the training rows of ``marked`` (text, held_out), and the totals. Fetched are byte n-grams only."""
+    got = marked.select("text", "held_out").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    gram, n = (got.column(x).to_numpy() for x in ("gram", "n"))
+    totals = {BYTES: 0, TOKENS: 0, DOCS: 0} | {int(g): int(k) for g, k in zip(gram[gram < 0], n[gram < 0], strict=True)}
+    gram, n, found = gram[gram >= 0], n[gram >= 0], []
     for k in range(1, ORDER + 1):
-        level = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        got = level.filter(F.col("n") >= KEEP * total).toArrow()
-        levels.append(dict(zip((g.to_bytes(k, "big") for g in got.column("gram").to_pylist()), got.column("n").to_pylist(), strict=True)))
-    drop(counts)
-    return Automaton(levels)
-
+        kinds, inverse = np.unique(gram & ((1 << 8 * k) - 1), return_inverse=True)
+        counts = np.bincount(inverse, weights=n, minlength=len(kinds)).astype(np.int64)
+        found.append({g.to_bytes(k, "big"): c for g, c in zip(kinds.tolist(), counts.tolist(), strict=True)})
+    return Automaton(found), totals
 
-BLOCK_FIELDS = "block long, doc_id {id}, held_out boolean, n_tokens long, ids binary, times binary, spelled binary, tokens array<long>, counts array<array<int>>, first int"
-NAMES = ["block", "doc_id", "held_out", "n_tokens", "ids", "times", "spelled", "tokens", "counts", "first"]
-#: Distinct tokens in one row of a block's list.
-CHUNK = 1 << 15
 
+def _asked(buckets: int):
+    """A block's distinct n-grams in order of their hashes, cut at the buckets' bounds: as steps from one to the next, with twice their count in training rows (and one more if it is a single token)."""
+    bounds = np.array([(b << KEY_BITS) // buckets for b in range(buckets)], dtype=np.uint64)
 
-def _planes(values: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, so that the mostly empty high bytes lie together and deflate to nothing."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def _blocks(model, n_classes: int):
-    """A row for each document (its distinct tokens by their place in the block's list, each as the step from the one before), then rows with the block's list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
-        automaton = model.value
-        partition = TaskContext.get().partitionId()
-        for nth, part in enumerate(gathered(batches, "text", BLOCK_BYTES)):
-            words = Words(part.column("text"))
-            kinds, n = words.kinds, len(part)
-            held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            of_class = part.column("class").to_numpy(zero_copy_only=False).astype(np.int64)
-            used = ~held[words.doc]
-            counts = np.bincount(words.local[used] * n_classes + of_class[words.doc][used], minlength=kinds * n_classes).astype(np.int32)
-            cuts = np.searchsorted(words.pairs, np.arange(n + 1) * max(kinds, 1))
-            ids, times = words.pairs % max(kinds, 1), words.times
-            ids[1:] -= np.where(np.isin(np.arange(1, len(ids)), cuts), 0, ids[:-1]) if len(ids) else 0
-            slices = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            block = pa.scalar((partition << 24) + nth, pa.int64())
-            runs = lambda x: pa.array([_planes(x[a:b]) for a, b in slices], pa.binary())
-            made = {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "first": part.column("class"), "n_tokens": pa.array(words.per_doc + 1), "ids": runs(ids), "times": runs(times)}
-            schema = pa.schema([("block", pa.int64()), ("doc_id", made["doc_id"].type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("times", pa.binary()), ("spelled", pa.binary()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.list_(pa.int32()))), ("first", pa.int32())])
-
-            def batch(rows: int, made: dict) -> pa.RecordBatch:
-                made["block"] = pa.repeat(block, rows)  # noqa: B023
-                return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(rows, f.type) for f in schema], schema=schema)  # noqa: B023
-
-            yield batch(n, made)
-            if kinds:
-                spelled = automaton.score(*words.spelled()).astype("<f4")
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.coded.dictionary.to_pylist()], dtype=np.uint64).view(np.int64)
-                firsts = list(range(0, kinds, CHUNK))
-                bounds = pa.array([*firsts, kinds], pa.int32())
-                lists = {"tokens": pa.ListArray.from_arrays(bounds, pa.array(hashes)), "counts": pa.ListArray.from_arrays(bounds, pa.ListArray.from_arrays(pa.array(np.arange(kinds + 1) * n_classes, pa.int32()), pa.array(counts)))}
-                pieces = pa.array([spelled[i : i + CHUNK].tobytes() for i in firsts], pa.binary())
-                yield batch(len(firsts), lists | {"spelled": pieces, "first": pa.array(firsts, pa.int32())})
+        block = part.column("block")[0].as_py()
+        words = Words(part.column("text").combine_chunks())
+        tokens, starts = words.tokens()
+        trained = np.repeat(~part.column("held_out").to_numpy().astype(bool), np.diff(starts)).astype(np.uint64)
+        # hash, whether it is a single token, whether a training row has it: in one number, so that one sort does
+        held = [h >> np.uint64(8) << np.uint64(8) | np.uint64(2 * (n == 0)) | trained[at] for n, (at, h) in enumerate(levels(words.hashes()[tokens], starts))]
+        sorted_ = np.sort(np.concatenate(held))
+        del held
+        keys = sorted_ >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        counts = np.add.reduceat(sorted_ & np.uint64(1), first) * np.uint64(2) + (sorted_[first] >> np.uint64(1) & np.uint64(1))
+        keys = keys[first]
+        cuts = np.append(np.searchsorted(keys, bounds), len(keys))
+        some = np.flatnonzero(np.diff(cuts))
+        rows = {"bucket": some, "n": np.diff(cuts)[some], "keys": [], "counts": []}
+        for b in some.tolist():
+            own = keys[cuts[b] : cuts[b + 1]]
+            rows["keys"].append(_planes(np.diff(own, prepend=bounds[b])))
+            rows["counts"].append(_planes(counts[cuts[b] : cuts[b + 1]]))
+        made = {k: pa.array(v, pa.int64() if k in ("bucket", "n") else pa.binary()) for k, v in rows.items()}
+        return pa.table({"block": pa.array(np.full(len(some), block)), **made})
 
     return run
 
 
-def _lookup(sizes: list[int], ends: list[int]):
-    """One block's documents against its tokens' counts in the corpus; sizes, ends: of each class, in training.
-
-    The last class is that of all rows without one; it has no state of its own.
-    """
-    total, n_classes = sum(sizes), len(sizes)
-    own, shared, novel = PATHS
-    states = [k for k in range(n_classes - 1) if sizes[k]]
+def _answered(rows: pa.Table) -> pa.Table:
+    """One bucket: every block's n-grams with their counts in all blocks, and in the first row how many single tokens training has."""
+    sizes = rows.column("n").to_numpy()
+    keys = np.concatenate([np.cumsum(_numbers(k, n), dtype=np.uint64) for k, n in zip(rows.column("keys").to_pylist(), sizes.tolist(), strict=True)])
+    counts = np.concatenate([_numbers(k, n) for k, n in zip(rows.column("counts").to_pylist(), sizes.tolist(), strict=True)])
+    order = np.argsort(keys, kind="stable")
+    first = np.concatenate([[True], np.diff(keys[order]) > 0])
+    total = np.add.reduceat(counts[order] >> np.uint64(1), np.flatnonzero(first))
+    single = counts[order][first] & np.uint64(1) > 0
+    each = np.empty(len(keys), dtype=np.uint64)
+    each[order] = total[np.cumsum(first) - 1]
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    packed = pa.array([_planes(each[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    kinds = np.zeros(len(sizes), dtype=np.int64)
+    kinds[0] = np.count_nonzero(single & (total > 0))
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": rows.column("n"), "totals": packed, "kinds": pa.array(kinds)})
+
+
+def walk(counts: list[np.ndarray], starts: np.ndarray, spelled: np.ndarray, n_tokens: int, n_docs: int) -> np.ndarray:
+    """log10 probability of each token. counts: of each order, how often training has the n-gram that ends there (0 where none does)."""
+    theta = lambda n: n**HEAPS
+    tiny = 1e-290  # below, what a token's spelling is worth is kept as a logarithm
+    p, back = 10.0**spelled, np.zeros(len(spelled))
+    state: np.ndarray | float = np.full(len(spelled), float(n_tokens))
+    for order, c in enumerate(counts):
+        # the state of this order before each token, as often as training was in it
+        state = state if order == 0 else _before(counts[order - 1], starts, float(n_docs if order == 1 else 0))
+        seen = state > 0
+        whole = np.where(seen, state + theta(state), 1.0)
+        fail = np.where(seen, theta(state) / whole, 1.0)
+        p, back = np.where(seen, c / whole, 0.0) + fail * p, back + np.log10(fail)
     with np.errstate(divide="ignore"):
-        prior = np.log10(np.array([ends[k] for k in states] + [0.5], dtype=float) / (sum(ends[k] for k in states) + 0.5))
-    if not total:
-        end = np.log10(np.array([own + shared]))
-    else:
-        end = np.log10(np.array([own * ends[k] / sizes[k] + shared * sum(ends) / total for k in states] + [(own + shared) * sum(ends) / total]))
-
-    def run(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        lists = rows[rows["spelled"].notna()].sort_values("first")
-        docs = rows[rows["spelled"].isna()]
-        spelled = np.frombuffer(b"".join(lists["spelled"]), dtype="<f4").astype(np.float64)
-        c = np.zeros((n_classes, len(spelled)))
-        for k in range(n_classes):
-            c[k, counts["local"].to_numpy(dtype=np.int64)] = counts[f"c{k}"].to_numpy()
-        every = c.sum(axis=0)
-        base = np.log10(every + SMOOTH)
-        common = every / max(total, 1)
-        with np.errstate(divide="ignore"):
-            weights = [np.log10(own * c[k] / sizes[k] + shared * common + novel * 10.0**spelled) for k in states]
-            weights.append(np.log10((own + shared) * common + novel * 10.0**spelled))
-        # a token so long that its probability underflows has no other path than being spelled
-        weights = np.array([np.where(np.isfinite(w), w, spelled + np.log10(novel)) for w in weights])
-        out = docs[["doc_id", "held_out", "n_tokens", "first"]].rename(columns={"first": "class"})
-        raw, mixed, known = [], [], []
-        for ids, times in zip(docs["ids"], docs["times"], strict=True):
-            i, t = np.cumsum(_numbers(ids)), _numbers(times)
-            each = prior + end + weights[:, i] @ t
-            top = each.max()
-            raw.append(float(base[i] @ t))
-            mixed.append(float(top + np.log10((10.0 ** (each - top)).sum())))
-            known.append(int(t[every[i] > 0].sum()))
-        out["raw"], out["mixed"], out["known"], out["new"] = raw, mixed, known, 0
-        if len(out):
-            out.iloc[0, out.columns.get_loc("new")] = int((counts["newest"].to_numpy(dtype=bool) & (counts[[f"c{k}" for k in range(n_classes)]].sum(axis=1) > 0)).sum())
-        return out
+        return np.where(p > tiny, np.log10(np.maximum(p, tiny)), spelled + back)
+
+
+def _scored(model, n_tokens: int, n_docs: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        words = Words(docs.column("text").combine_chunks())
+        tokens, starts = words.tokens()
+        found = levels(words.hashes()[tokens], starts)
+        keys, inverse = np.unique(np.concatenate([h >> np.uint64(8) for _, h in found]), return_inverse=True)
+        answers = answers.sort_by("bucket")
+        totals = np.concatenate([_numbers(t, n) for t, n in zip(answers.column("totals").to_pylist(), answers.column("n").to_pylist(), strict=True)]).astype(np.float64)
+        if len(totals) != len(keys):
+            raise RuntimeError(f"{len(keys)} n-grams asked for, {len(totals)} answered")
+        each, counts, at = totals[inverse], [], 0
+        for some, _ in found:
+            c = np.zeros(len(tokens))
+            c[some] = each[at : at + len(some)]
+            counts.append(c)
+            at += len(some)
+        spelled = model.value.score(*words.spelled())[tokens]
+        logs = walk(counts, starts, spelled, n_tokens, n_docs)
+        sums = lambda x: np.add.reduceat(x, starts[:-1])
+        new = np.zeros(len(docs), dtype=np.int64)
+        new[0] = sum(answers.column("kinds").to_pylist())
+        columns = {"n_tokens": np.diff(starts), "n_known": sums((counts[0] > 0).astype(np.int64)), "raw": sums(np.log10(counts[0] + SMOOTH)), "score": sums(logs), "new": new}
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: pa.array(v) for k, v in columns.items()}})
 
     return run
 
 
-def score(docs: DataFrame, folds: int = FOLDS, classes: str | None = "lang") -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Base and model scores of every row of ``docs`` (doc_id, text), learned from those outside fold 0."""
     spark = docs.sparkSession
     held = F.coalesce(crc32_of_id(F.col("doc_id")) % folds == 0, F.lit(False))
-    named = F.col(classes) if classes in docs.columns else F.lit(None).cast("string")
-    marked = docs.select("doc_id", held.alias("held_out"), named.alias("class"), "text")
-    trained = ~F.col("held_out")
-    top = [r[0] for r in marked.filter(trained & F.col("class").isNotNull()).groupBy("class").count().orderBy(F.desc("count"), "class").limit(CLASSES).collect()]
-    number = F.lit(len(top))
-    for i, name in enumerate(top):
-        number = F.when(F.col("class") == name, i).otherwise(number)
-    marked = marked.withColumn("class", number.cast("int"))
-    n_classes = len(top) + 1
-    model = spark.sparkContext.broadcast(train(marked.filter(trained)))
+    marked = docs.select("doc_id", held.alias("held_out"), "text")
+    automaton, totals = train(marked)
+    model = spark.sparkContext.broadcast(automaton)
+    n_blocks = max(1, -(-totals[BYTES] // BLOCK_BYTES))
+    n_buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals[BYTES] // BUCKET_BYTES))
+    # repeated rows go apart by where they are read
+    dealt = marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks))).repartition("block")
+    asked = dealt.groupBy("block").applyInArrow(_asked(n_buckets), "block long, bucket long, n long, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, bucket long, n long, totals binary, kinds long")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    blocks = cut(marked.mapInArrow(_blocks(model, n_classes), BLOCK_FIELDS.format(id=id_type)), "blocks")
-    listed = blocks.filter(F.col("tokens").isNotNull()).select("block", "first", F.posexplode(F.arrays_zip("tokens", "counts")).alias("at", "x"))
-    numbers = [F.get("x.counts", F.lit(k)).alias(f"n{k}") for k in range(n_classes)]
-    asked = listed.select("block", (F.col("first") + F.col("at")).alias("local"), F.col("x.tokens").alias("token"), *numbers)
-    # a token has one row for each block that has it; its sums go back to each, and one of them counts it as distinct
-    every = Window.partitionBy("token")
-    answered = asked.select("block", "local", *[F.sum(f"n{k}").over(every).alias(f"c{k}") for k in range(n_classes)], (F.min("block").over(every) == F.col("block")).alias("newest"))
-    rows = blocks.select("block", "doc_id", "held_out", "n_tokens", "ids", "times", "spelled", "first")
-    by_class = {r[0]: (r[1], r[2]) for r in blocks.filter(F.col("spelled").isNull() & trained).groupBy("first").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()}
-    sizes, ends = ([by_class.get(k, (0, 0))[i] for k in range(n_classes)] for i in (0, 1))
-    joined = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(_lookup(sizes, ends), f"doc_id {id_type}, held_out boolean, n_tokens long, class int, raw double, mixed double, known long, new long")
-    found = cut(joined, "scored")
-    drop(blocks)
-    kinds = found.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0] + (1 if sum(ends) else 0)
-    norm = float(np.log10(sum(sizes) + SMOOTH * (kinds + 1)))
+    walked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model, totals[TOKENS], totals[DOCS]), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, raw double, score double, new long")
+    found = cut(walked, "scored")
+    kinds = found.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
+    norm = float(np.log10(totals[TOKENS] + SMOOTH * (kinds + 1)))
     return found.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.lit(1 if sum(ends) else 0)).cast("long").alias("n_known"),
-        F.lit(sum(sizes)).cast("long").alias("train_tokens"),
-        (F.col("raw") + F.lit(float(np.log10(sum(ends) + SMOOTH))) - F.col("n_tokens") * norm).alias("base_score"),
-        F.col("mixed").alias("score"),
+        "doc_id", "held_out", "n_tokens", "n_known",
+        F.lit(totals[TOKENS]).cast("long").alias("train_tokens"),
+        (F.col("raw") - F.col("n_tokens") * norm).alias("base_score"),
+        "score",
     )

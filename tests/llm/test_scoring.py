@@ -34,49 +34,91 @@ def brute_spelled(types, order, word):
     return sum(math.log10(p(s[j - order + 1 : j + 1])) for j in range(order - 1, len(s)))
 
 
-def test_scores_equal_brute_force(spark):
+def brute_automaton(rows, held):
+    """Backoff word model by plain counting: a function of a text, its base score, and how many of its tokens are known."""
+    grams, states, types, n_docs = [Counter() for _ in range(ngrams.GRAMS)], Counter(), Counter(), 0
+    for i, t, *_ in rows:
+        if held[i]:
+            continue
+        n_docs += 1
+        seq = ["<s>", *tokens(t), "</s>"]
+        types.update({w if w != "</s>" else b"" for w in seq[1:]})
+        for j in range(1, len(seq)):
+            for n in range(ngrams.GRAMS):
+                if j - n >= 0:
+                    grams[n][tuple(seq[j - n : j + 1])] += 1
+                    states[tuple(seq[j - n : j])] += 1
+    total, kinds, spelled = states[()], len(grams[0]), {}
+
+    def logp(w, context):
+        n = states[context]
+        word = b"" if w == "</s>" else w
+        if word not in spelled:
+            spelled[word] = brute_spelled(types, ngrams.ORDER, word)
+        # fractions keep what underflows as a float
+        lower = logp(w, context[1:]) if context else spelled[word]
+        if not n:
+            return lower
+        theta = n**ngrams.HEAPS
+        c = grams[len(context)][(*context, w)]
+        back = math.log10(theta / (n + theta)) + lower
+        return math.log10(c / (n + theta) + 10**back) if c else back
+
+    def of(t):
+        seq = ["<s>", *tokens(t), "</s>"]
+        score = sum(logp(seq[j], tuple(seq[max(0, j - ngrams.GRAMS + 1) : j])) for j in range(1, len(seq)))
+        base = sum(math.log10((grams[0][(w,)] + 0.1) / (total + 0.1 * (kinds + 1))) for w in seq[1:])
+        return score, base, len(seq) - 1, sum(grams[0][(w,)] > 0 for w in seq[1:])
+
+    return of, total
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
     rng = random.Random(4)
-    words = ["the", "The", "thing", "sing", "élan", "x", "of"]
-    rows = [(i, " ".join(rng.choices(words + [f"n{rng.randint(0, 30)}"], k=rng.randint(0, 25))), ["en", "fr", None][i % 3]) for i in range(60)] + [(100, None, "en"), (101, "", None), (102, "z" * 1500, "en"), (103, "the", "fr"), (103, "the", "fr")]
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows}
-    own, shared, novel = ngrams.PATHS
-    classes = {"en": 0, "fr": 1}
-    by, types, ends = {}, Counter(), Counter()
-    for i, t, lang in rows:
-        if not held[i]:
-            k = classes.get(lang, 2)
-            by.setdefault(k, Counter()).update(tokens(t))
-            ends[k] += 1
-            types.update(set(tokens(t)))
-    every = sum(by.values(), Counter())
-    n, v = sum(every.values()) + sum(ends.values()), len(every) + 1
-    size = {k: sum(by[k].values()) + ends[k] for k in by}
-    got = ngrams.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
-    assert len(got) == len(rows)
-    want = {}
-    spelled = {}
-    for i, t, _ in rows:
-        ts = tokens(t)
-        base = sum(math.log10((every[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ts) + math.log10((sum(ends.values()) + 0.1) / (n + 0.1 * (v + 1)))
-        for w in ts:
-            if w not in spelled:
-                spelled[w] = brute_spelled(types, ngrams.ORDER, w)
-        prior = {0: ends[0], 1: ends[1], "all": 0.5}
-        total = []
-        for k, weight in prior.items():
-            mine = (lambda c: own * by[k][c] / size[k]) if k != "all" else (lambda c: own * every[c] / n)
-            end = (own * ends[k] / size[k] if k != "all" else own * sum(ends.values()) / n) + shared * sum(ends.values()) / n
-            logs = math.log10(weight / (ends[0] + ends[1] + 0.5)) + math.log10(end)
-            for w in ts:
-                q = mine(w) + shared * every[w] / n + novel * 10 ** spelled[w]
-                logs += math.log10(q) if q > 0 else spelled[w] + math.log10(novel)
-            total.append(logs)
-        top = max(total)
-        want[i] = (base, top + math.log10(sum(10 ** (x - top) for x in total)), len(ts) + 1, sum(every[w] > 0 for w in ts) + 1)
-    for r in got:
-        base, model, length, known = want[r.doc_id]
-        assert r.held_out == held[r.doc_id] and r.train_tokens == n and (r.n_tokens, r.n_known) == (length, known)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model, rel=1e-5)
+    words = ["the", "The", "thing", "sing", "élan", "x", "of", "|", "a\u00a0b"]
+    rows = [(i, " ".join(rng.choices(words + [f"n{rng.randint(0, 30)}"], k=rng.randint(0, 25)))) for i in range(90)]
+    rows += [(100, None), (101, ""), (102, "z" * 1500), (103, "the"), (103, "the"), (104, "only once said"), (None, " \t\n"), (105, rows[3][1])]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    assert any(held.values())
+    of, total = brute_automaton(rows, held)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # an extra column of every name that is used inside
+    odd = docs.selectExpr("*", *(f"1 AS {c}" for c in ("block", "bucket", "held_out", "n", "keys", "counts", "totals", "kinds", "raw", "score", "new", "lang", "n_tokens")))
+    for block in (ngrams.BLOCK_BYTES, 200):
+        monkeypatch.setattr(ngrams, "BLOCK_BYTES", block)
+        got = ngrams.score(odd).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+        want = {i: of(t) for i, t in rows}
+        for r in got:
+            score, base, length, known = want[r.doc_id]
+            assert r.held_out == held[r.doc_id] and r.train_tokens == total and (r.n_tokens, r.n_known) == (length, known)
+            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
+
+
+def test_order_of_words_counts(spark):
+    text = "one two three four five six seven eight"
+    shuffled = " ".join(reversed(text.split()))
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(1, text), (2, text), (held[0], text), (held[1], shuffled)]
+    by = {r.doc_id: r for r in ngrams.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[held[0]].score > by[held[1]].score + 3 and by[held[0]].base_score == pytest.approx(by[held[1]].base_score)
+    # a text that training has twice is surer than one it has once
+    twice = ngrams.score(spark.createDataFrame([(1, text), (2, text), (3, shuffled)], "doc_id long, text string"))
+    at = {r.doc_id: r.score for r in twice.collect()}
+    assert at[1] == at[2] > at[3]
+
+
+def test_what_may_follow_adds_up_to_one():
+    """The arcs of a state, with what fails to the shorter state, make up a distribution."""
+    spelled = np.log10(np.array([0.25, 0.25, 0.25, 0.25]))
+    # after state (u, v), seen 3 times; v seen 10 times; 40 tokens in all
+    counts = [np.array([20.0, 10, 10, 0]), np.array([7.0, 3, 0, 0]), np.array([3.0, 0, 0, 0])]
+    total = 0.0
+    for w in range(4):
+        at = [np.array([40.0, 10.0, c[w]]) for c in counts]
+        at[1][1], at[2][:2] = 3.0, 0
+        total += 10 ** ngrams.walk(at, np.array([0, 3]), np.array([0.0, 0.0, spelled[w]]), 40, 40)[2]
+    assert total == pytest.approx(1)
 
 
 def test_lm_edges(spark):
