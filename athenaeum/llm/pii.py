@@ -3,8 +3,10 @@
 Card numbers, bank accounts, telephone and social security numbers, network addresses, dates, mail addresses and secrets
 are found by pattern, validated (checksums, ranges, the calendar), and replaced inside their format: the value becomes a
 number of the format's domain, a keyed Feistel network permutes that domain, and the result is written back with the
-separators that were there. Equal values therefore get equal pseudonyms in all documents (whatever their separators), no
-two values share one, a card number stays a valid card number and a date a date, and who has the key can turn it back.
+separators that were there. Equal values therefore get equal pseudonyms in all documents (whatever their separators; a day in
+any of its notations; a North American number with or without its country code), no two values share one, a card number stays a
+valid card number and a date a date, and who has the key can turn it back. Country codes, domains, the kinds of a secret's
+characters, and whether a day is beyond the 12th stay as they are: the last keeps ``25/12/1999`` readable day first only.
 
 A Feistel network permutes a rectangle a x b that holds the domain; results outside the domain are permuted again (cycle
 walking), which keeps it a permutation.
@@ -12,12 +14,12 @@ walking), which keeps it a permutation.
 What fails its validation is left alone.
 
 Defined results: null text stays null, empty text empty; repeated rows get the same text each; an empty table gives an
-empty result; all other columns are carried as they are, except that the two added ones replace any of the same name.
+empty result; all other columns are carried as they are, except that the two added ones replace any of the same name. A text is
+searched whole, whatever its length, in time linear in it.
 """
 
 from __future__ import annotations
 
-import bisect
 import datetime
 import hashlib
 import math
@@ -87,8 +89,13 @@ def mod97(account: str) -> int:
 #: The kinds of characters that keep their kind.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 HEX = "0123456789abcdef"
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
-LATE = [n for n in range(FIRST_DAY, FIRST_DAY + DAYS) if datetime.date.fromordinal(n).day > 12]
+#: Days of 1900 to 2099 up to the 12th of a month, and those beyond: each permutes among itself, see :meth:`Pseudonyms.date`.
+EARLY, LATE = ([n for n in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()) if (datetime.date.fromordinal(n).day > 12) is late] for late in (False, True))
+PLACE = {n: i for days in (EARLY, LATE) for i, n in enumerate(days)}
+#: Country calling codes of one and of two digits; all others have three.
+SHORT_CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+#: Characters of a secret that are permuted together.
+RUN = 128
 
 
 class Pseudonyms:
@@ -130,14 +137,16 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", m[0])
         if not 7 <= len(digits) <= 15:
             return None
-        national, head = (digits[-10:], digits[:-10]) if len(digits) >= 10 else (digits, "")
-        if len(national) == 10 and national[0] in "23456789" and national[3] in "23456789":
+        # what follows a plus sign begins with a country code, which stays; without one the number is North American
+        code = (next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3)) if "+" in m[0] else 0
+        head, national = digits[:code], digits[code:]
+        if head in ("", "1") and len(national) == 10 and national[0] in "23456789" and national[3] in "23456789":
             area, exchange, line = int(national[:3]) - 200, int(national[3:6]) - 200, int(national[6:])
             n = self.move((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, b"phone")
             out = f"{n // 8_000_000 + 200}{n // 10_000 % 800 + 200}{n % 10_000:04d}"
         else:
             size = len(national)
-            out = f"{self.move(int(national), 10**size, b'phone%d' % size):0{size}d}"
+            out = f"{self.move(int(national), 10**size, b'phone%d %s' % (size, head.encode())):0{size}d}"
         return self._refill(m[0], head + out)
 
     def ssn(self, m: re.Match) -> str | None:
@@ -157,23 +166,22 @@ class Pseudonyms:
         return ".".join(map(str, n.to_bytes(4, "big")))
 
     def date(self, m: re.Match) -> str | None:
+        """A day of another month and year. With slashes the month comes first unless only the other order is a date, which
+
+        takes a day beyond the 12th; those permute among themselves, so that a day-first date stays one in all notations.
+        """
         a, mark, b, _, c = re.split(r"([-/.])", m[0])
-        # with slashes the month comes first, unless only the other order is a date: those permute among themselves
-        orders = [(a, b, c, "ymd")] if len(a) == 4 else [(c, a, b, "mdy"), (c, b, a, "late")] if mark == "/" else [(c, b, a, "dmy")]
-        for year, month, day, order in orders:
+        for year, month, day in [(a, b, c)] if len(a) == 4 else [(c, a, b), (c, b, a)] if mark == "/" else [(c, b, a)]:
             try:
                 n = datetime.date(int(year), int(month), int(day)).toordinal()
             except ValueError:
                 continue
-            if not FIRST_DAY <= n < FIRST_DAY + DAYS:
+            if n not in PLACE:
                 continue
-            if order == "late":
-                n = LATE[self.move(bisect.bisect_left(LATE, n), len(LATE), b"late")]
-            else:
-                n = FIRST_DAY + self.move(n - FIRST_DAY, DAYS, b"date")
-            d = datetime.date.fromordinal(n)
-            parts = {"ymd": (d.year, d.month, d.day), "mdy": (d.month, d.day, d.year)}.get(order, (d.day, d.month, d.year))
-            return mark.join(f"{x:02d}" for x in parts)
+            days, tweak = (LATE, b"late") if int(day) > 12 else (EARLY, b"early")
+            d = datetime.date.fromordinal(days[self.move(PLACE[n], len(days), tweak)])
+            made = {id(year): f"{d.year:04d}", id(month): f"{d.month:02d}", id(day): f"{d.day:02d}"}
+            return mark.join(made[id(x)] for x in (a, b, c))
         return None
 
     def account(self, m: re.Match) -> str | None:
@@ -195,22 +203,29 @@ class Pseudonyms:
     def secret(self, m: re.Match) -> str:
         value = m["value"]
         alphabets = (HEX,) if re.fullmatch("[0-9a-f]+", value) else ALPHABETS
-        return m[0][: m.start("value") - m.start()] + self._symbols(value, b"secret", alphabets) + m[0][m.end("value") - m.start() :]
+        # a long one is permuted run by run, for the numbers of whole ones would take time quadratic in their length
+        made = [self._symbols(value[i : i + RUN], b"secret%d" % i if i else b"secret", alphabets) for i in range(0, len(value), RUN)]
+        return m[0][: m.start("value") - m.start()] + "".join(made) + m[0][m.end("value") - m.start() :]
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and (start, end, kind) of each in the given text."""
         found: list[tuple[int, int, str, str]] = []
         for kind, sign, pattern in PATTERNS:
-            if sign.search(text) if isinstance(sign, re.Pattern) else sign in text:
-                for m in pattern.finditer(text):
-                    if any(a < m.end() and m.start() < b for a, b, _, _ in found):
-                        continue
-                    made = getattr(self, kind)(m)
-                    if made is not None:
-                        found.append((m.start(), m.end(), kind, made))
+            if not (sign.search(text) if isinstance(sign, re.Pattern) else sign in text):
+                continue
+            at, new = 0, []
+            for m in pattern.finditer(text):
+                # matches and what is found so far both run in order of their places
+                while at < len(found) and found[at][1] <= m.start():
+                    at += 1
+                if at < len(found) and found[at][0] < m.end():
+                    continue
+                made = getattr(self, kind)(m)
+                if made is not None:
+                    new.append((m.start(), m.end(), kind, made))
+            found = sorted(found + new)
         if not found:
             return text, []
-        found.sort()
         out, at = [], 0
         for a, b, _, made in found:
             out += [text[at:a], made]
@@ -219,17 +234,17 @@ class Pseudonyms:
 
 
 _DIGITS, _DIGIT, _DOTTED = re.compile(r"\d{2}"), re.compile(r"\d"), re.compile(r"\d\.\d")
-#: In order of precedence: kind, what a text must hold for the pattern to be tried, pattern. All quantifiers are bounded.
+#: In order of precedence: kind, what a text must hold for the pattern to be tried, pattern. Quantifiers are bounded, but for a secret's, which nothing follows.
 PATTERNS = (
     ("mail", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")),
     ("key", "AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"[=:]"), re.compile(r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_~-]{6,128})")),
+    ("secret", re.compile(r"[=:]"), re.compile(r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_~-]{6,})")),
     ("account", _DIGITS, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("card", _DIGIT, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", _DIGITS, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("date", _DIGITS, re.compile(r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w-])")),
     ("address", _DOTTED, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")),
-    ("phone", _DIGITS, re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])")),
+    ("phone", _DIGITS, re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d(?:\)?[ .-]?\(?\d){6,14}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])")),
 )
 
 

@@ -1,5 +1,8 @@
+import datetime
+import random
 import re
 import string
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +93,68 @@ def test_values_of_single_digits_are_found():
     assert alone != "8.8.8.8" and with_others == f"{alone} and 42"
     card = "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"
     assert names.replace(card)[1] == [(0, len(card), "card")]
+
+
+def read_day(text):
+    """The day that a date in any notation means, slashed ones month first where that is a date."""
+    a, b, c = map(int, re.split("[-/.]", text))
+    for order in [(a, b, c)] if a > 1000 else [(c, a, b), (c, b, a)] if "/" in text else [(c, b, a)]:
+        try:
+            return datetime.date(*order)
+        except ValueError:
+            pass
+
+
+def test_a_day_keeps_its_link_in_all_notations():
+    for day in (datetime.date(1999, 12, 25), datetime.date(2004, 2, 29), datetime.date(1950, 3, 7), datetime.date(2099, 12, 31)):
+        dressed = [day.strftime(f) for f in ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d-%m-%Y", "%m/%d/%Y")] + [day.strftime("%d/%m/%Y")] * (day.day > 12)
+        made = [MASK.replace(x)[0] for x in dressed]
+        assert len({read_day(x) for x in made}) == 1 and read_day(made[0]) != day
+        assert [UNMASK.replace(x)[0] for x in made] == dressed
+
+
+def test_dates_are_permuted():
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(n) for n in range(3000)]
+    assert len({MASK.replace(d.isoformat())[0] for d in days}) == len(days)
+
+
+def test_telephone_numbers_keep_their_country():
+    for text in ("+33 612 345 678", "+33 6 12 34 56 78", "+49 30 901820", "+358 9 1234567", "+7 495 123-45-67", "+44 (0)20 7946 0958"):
+        out, spans = MASK.replace(f"call {text}, please")
+        code = re.match(r"\+\d+", text)[0]
+        assert spans == [(5, 5 + len(text), "phone")] and out[5:].startswith(code) and shape(out) == shape(f"call {text}, please")
+        assert text not in out and UNMASK.replace(out)[0] == f"call {text}, please"
+    digits = lambda t: re.sub(r"\D", "", MASK.replace(t)[0])
+    assert digits("+33 6 12 34 56 78") == digits("+33 612 345 678") and digits("+1 415-555-1234") == "1" + digits("415-555-1234")
+
+
+def test_whole_secrets():
+    for n in (6, 127, 128, 129, 180, 5000):
+        value = "".join(random.Random(n).choices(string.ascii_letters + string.digits, k=n))
+        out, spans = MASK.replace(f"token={value} end")
+        assert spans == [(0, 6 + n, "secret")] and UNMASK.replace(out)[0] == f"token={value} end"
+        assert sum(a == b for a, b in zip(out[6 : 6 + n], value, strict=True)) < n / 8 + 6
+
+
+def test_everything_planted_is_found_and_nothing_else():
+    """Against a plain search: values laid between fillers that hold none."""
+    rng = random.Random(11)
+    values = [(v, k) for k, vs in CASES.items() for v in vs]
+    fillers = ["and so on", "Version 2.0.", "no", "é;", "(see below)", "12 apples", "x = y"]
+    for _ in range(200):
+        text, want = "", []
+        for _ in range(rng.randint(0, 12)):
+            text += rng.choice(fillers) + " ; "
+            v, kind = rng.choice(values)
+            want.append((len(text), len(text) + len(v.rstrip('"')), kind))  # a closing mark of quotation is no part
+            text += v + " ; "
+        out, spans = MASK.replace(text)
+        assert spans == want and UNMASK.replace(out)[0] == text
+        # the first of the kinds that overlap wins, and what is left never overlaps
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_hundred_thousand_addresses():
+    text = " ".join(f"mail{i}@example.com 10.0.{i % 256}.{i % 199}" for i in range(50_000))
+    began = time.time()
+    assert len(MASK.replace(text)[1]) == 100_000 and time.time() - began < 30
