@@ -2,22 +2,27 @@
 
 The lexicon is learned from labelled rows: words, and stems (prefixes) that inflect, whose share of toxic documents stands
 out. Its trie is walked together with a Levenshtein automaton for each word of a text (both advance by one character, and a
-branch is left once the automaton has no live state), which finds misspelled words in one descent, those that a stem explains among them; exact words and stems are looked up.
+branch is left once the automaton has no live state), which finds misspelled words, and words that begin with a misspelled stem,
+in one descent; exact words and stems are looked up. A word near a term is no misspelling if it is an ordinary word (one of
+the clean training rows), and terms whose neighbours are ordinary in more than ``NEIGHBOURS`` of these are matched exactly only.
 
 Each hit is looked at in its window: quotation marks around it, words of reporting nearby, or other hits beside it. Counts of
 hits by kind (exact or misspelled, plain or quoted, crowded or alone) are a document's features, and a logistic regression on
-the labelled rows weighs them; so whether quotation excuses a word is learned, not assumed.
+the labelled rows weighs them; so whether quotation excuses a word is learned, not assumed. Labelled rows may hold few
+misspellings, so each toxic row is fitted twice with half its weight: as it is, and with its terms misspelled by one letter.
 
 Labels are learned from at most ``SAMPLE`` rows of each label, those with the smallest hash of their id: a documented bound
-on what is fitted on the driver. All documents are scored.
+on what is fitted on the driver (of rows with the same id the text with the smallest hash). All documents are scored.
 
 Defined results: null and empty texts have no hits; repeated rows are scored each; without usable labels every score is the
-labels' share (0.5 without any); an empty table gives an empty result; extra columns are not carried.
+labels' share (0.5 without any); an empty table gives an empty result; extra columns are not carried; a text is read whole,
+whatever its length.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,11 +37,12 @@ from athenaeum.llm.common import crc32_of_id, sized_slices
 FOLDS, HELD = 4, 2
 SAMPLE = 1000
 THRESHOLD = 0.3
-LEXICON = 400
 #: Distinct toxic texts that hold a term: as a share of them, and for a word and a stem at least; endings of a stem.
 SUPPORT, WORD_TEXTS, STEM_TEXTS, ENDINGS = 0.015, 3, 3, 3
 LOG_ODDS = 3.0
 STEM = (4, 7)
+#: Of the clean texts, in how many a term may have neighbours for misspellings of it to be looked for.
+NEIGHBOURS = 0.01
 WINDOW = 4
 WORD = re.compile(r"[^\W_]+")
 #: Marks of quotation, and words (and stems) of reporting.
@@ -45,9 +51,9 @@ REPORTING = {"said", "says", "say", "called", "wrote", "quoted", "quote", "quoti
 FEATURES = ("exact", "stem", "misspelled", "quoted", "crowded", "density")
 
 
-def distance_allowed(term: str) -> int:
+def distance_allowed(term: str, stem: bool = False) -> int:
     """Misspellings are looked for in terms long enough that one change leaves them recognizable."""
-    return 1 if len(term) >= 5 else 0
+    return 1 if len(term) >= (6 if stem else 5) else 0
 
 
 class Levenshtein:
@@ -79,42 +85,55 @@ class Lexicon:
     stems: set[str]
     #: Words that a stem explains; only their misspellings are looked for.
     explained: set[str] = field(default_factory=set)
-    root: dict = field(default_factory=dict)
+    #: Terms that are matched exactly only, and words near others that are no misspellings.
+    exact: set[str] = field(default_factory=set)
+    ordinary: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
-        for kind, terms in (("word", self.words | self.explained), ("stem", self.stems)):
+        self.root: dict = {}
+        kinds = {"word": {t for t in self.words | self.explained if distance_allowed(t)} - self.exact, "stem": {t for t in self.stems if distance_allowed(t, True)} - self.exact}
+        for kind, terms in kinds.items():
             for term in terms:
                 node = self.root
                 for c in term:
                     node = node.setdefault(c, {})
                 node[kind] = term
-        # a misspelling of one change keeps one half of the term as it is, at its end of the word
-        near = [t for t in self.words | self.explained if distance_allowed(t)]
-        self.heads = {t[: len(t) // 2] for t in near}
-        self.tails = {t[len(t) // 2 :] for t in near}
+        # a misspelling of one change keeps one half of the term as it is: at an end of the word, or a stem's second half a place from its own
+        self.heads = {t[: len(t) // 2] for t in kinds["word"] | kinds["stem"]}
+        self.tails = {t[len(t) // 2 :] for t in kinds["word"]}
+        self.inner = {(at, t[len(t) // 2 :]) for t in kinds["stem"] for at in range(len(t) // 2 - 1, len(t) // 2 + 2)}
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
-        self.shortest, self.longest = min(map(len, near), default=0) - 1, max(map(len, near), default=-2) + 1
+        self.inner_places = sorted({(at, at + len(x)) for at, x in self.inner})
         self.stem_sizes = sorted({len(s) for s in self.stems})
 
-    def find(self, word: str) -> tuple[str, int, str] | None:
-        """(term, changes, "word" or "stem") of the best match: exact words, exact stems, then misspelled words."""
-        if word in self.words:
-            return word, 0, "word"
-        for n in self.stem_sizes:
-            if len(word) > n and word[:n] in self.stems or word in self.stems:
-                return word[:n] if word[:n] in self.stems else word, 0, "stem"
-        if not self.shortest <= len(word) <= self.longest or not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
-            return None
+    def near(self, word: str) -> set[tuple[str, str]]:
+        """All terms (with "word" or "stem") that are one change from the word, or from how it begins."""
+        if not (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes) or any((a, word[a:b]) in self.inner for a, b in self.inner_places)):
+            return set()
         automaton = Levenshtein(word, 1)
-        best, todo = None, [(self.root, automaton.start())]
+        found, todo = set(), [(self.root, automaton.start())]
         while todo:
             node, state = todo.pop()
-            if "word" in node and state[-1] <= distance_allowed(node["word"]):
-                best = min(best or (node["word"], 1, "word"), (node["word"], 1, "word"))
+            if "word" in node and state[-1] <= 1:
+                found.add((node["word"], "word"))
+            if "stem" in node and min(state) <= 1:
+                found.add((node["stem"], "stem"))
             for c, below in node.items():
                 if len(c) == 1 and (after := automaton.step(state, c)):
                     todo.append((below, after))
-        return best
+        return found
+
+    def find(self, word: str) -> tuple[str, int, str] | None:
+        """(term, changes, "word" or "stem") of the best match: exact words, exact stems, then misspelled words and stems."""
+        if word in self.words:
+            return word, 0, "word"
+        for n in self.stem_sizes:
+            if word[:n] in self.stems:
+                return word[:n], 0, "stem"
+        if word in self.ordinary:
+            return None
+        term, kind = min(self.near(word), key=lambda x: (x[1] == "stem", x[0]), default=(None, None))
+        return (term, 1, kind) if term else None
 
 
 @dataclass
@@ -179,8 +198,35 @@ def lexicon_of(toxic: list[str], clean: list[str]) -> Lexicon:
         s = k[0]
         if kinds[s] >= ENDINGS and not any(s[:n] in stems for n in range(STEM[0], len(s))):
             stems.add(s)
-    kept = [w for w in words if not any(w[:n] in stems for n in range(STEM[0], STEM[1] + 1))]
-    return Lexicon(set(kept[:LEXICON]), set(sorted(stems)[:LEXICON]), set(words) - set(kept))
+    kept = {w for w in words if not any(w[:n] in stems for n in range(STEM[0], STEM[1] + 1))}
+    made = Lexicon(kept, stems, set(words) - kept)
+    # what lies near the terms in clean texts
+    neighbours, ordinary, seen = Counter(), set(), {}
+    for t in clean:
+        near = set()
+        for w in set(WORD.findall(t.lower())):
+            if w not in seen:
+                seen[w] = made.near(w) if made.find(w) else set()
+                ordinary |= {w} if seen[w] else set()
+            near |= {term for term, _ in seen[w]}
+        neighbours.update(near)
+    return Lexicon(kept, stems, made.explained, {t for t, n in neighbours.items() if n > NEIGHBOURS * len(clean)}, ordinary)
+
+
+def misspelled(text: str, lexicon: Lexicon) -> str:
+    """The text in lower case with one letter of each of its terms changed, dropped or doubled (which and how follows from the term)."""
+
+    def change(m: re.Match) -> str:
+        found = lexicon.find(m[0])
+        if not found or found[1]:
+            return m[0]
+        size = len(found[0])
+        code = zlib.crc32(m[0].encode())
+        at = 1 + code % max(1, size - 2)
+        put = (chr(ord("a") + code // 64 % 26), "", 2 * m[0][at : at + 1])[code // 16 % 3]
+        return m[0][:at] + put + m[0][at + 1 :]
+
+    return WORD.sub(change, text.lower())
 
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model:
@@ -190,17 +236,21 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     made = [lexicon_of([t for t, y in h if y], [t for t, y in h if not y]) for h in (half[1], half[0], rows)]
     model = Model(made[2], np.zeros(len(FEATURES)), 0.0)
     seen = []
+    labels, parts = [], []
     for lexicon, part in zip(made, half, strict=False):
         known: dict = {}
-        seen += [Model(lexicon, model.weights, 0.0).features(t, known) for t, _ in part]
-    x = np.array(seen).reshape(-1, len(FEATURES))
-    rows = half[0] + half[1]
-    y = np.array([float(y) for _, y in rows])
+        for t, y in part:
+            shown = [t, misspelled(t, lexicon)] if y else [t]
+            seen += [Model(lexicon, model.weights, 0.0).features(x, known) for x in shown]
+            labels += [float(y)] * len(shown)
+            parts += [1 / len(shown)] * len(shown)
+    x, y, part = np.array(seen).reshape(-1, len(FEATURES)), np.array(labels), np.array(parts)
     share = min(max(share, 1e-3), 1 - 1e-3)
     if not len(y) or y.min() == y.max():
         model.bias = float(np.log(share / (1 - share)))
         return model
-    w = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
+    mean = (part * y).sum() / part.sum()
+    w = part * np.where(y > 0, share / mean, (1 - share) / (1 - mean))
     full, used = np.hstack([x, np.ones((len(x), 1))]), np.ones(x.shape[1] + 1, dtype=bool)
     while True:
         beta = _logistic(full[:, used], y, w)
@@ -240,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for label in (0, 1):
         some = usable.filter(F.col("toxic") == label).orderBy(mark, "doc_id").limit(SAMPLE)
         chosen = some if chosen is None else chosen.union(some)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", mark.alias("mark")).collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", mark.alias("mark")).collect()
     rows.sort(key=lambda r: (r["mark"], r["text"], r["toxic"]))
     return fit([(r["text"], int(r["toxic"])) for r in rows], share)
 

@@ -169,10 +169,10 @@ def test_levenshtein_automaton():
 
 
 def test_lexicon_lookup_equals_brute_force():
-    lexicon = toxicity.Lexicon({"idiot", "scum", "worthless", "clown"}, {"lowei"})
+    lexicon = toxicity.Lexicon({"idiot", "scum", "worthless", "clown"}, {"lowei", "achlich"}, exact={"clown"}, ordinary={"idiots"})
     rng = random.Random(3)
-    for _ in range(3000):
-        term = rng.choice(["idiot", "scum", "worthless", "clown", "loweix", "plain"])
+    for _ in range(6000):
+        term = rng.choice(["idiot", "scum", "worthless", "clown", "loweix", "plain", "achlichkeit", "idiots"])
         w = list(term)
         for _ in range(rng.randint(0, 2)):
             k = rng.randrange(len(w))
@@ -182,11 +182,14 @@ def test_lexicon_lookup_equals_brute_force():
         got = lexicon.find(word)
         if word in lexicon.words:
             assert got == (word, 0, "word")
-        elif word.startswith("lowei"):
-            assert got == ("lowei", 0, "stem")
+        elif word.startswith(("lowei", "achlich")):
+            assert got == (word[:5] if word[0] == "l" else "achlich", 0, "stem")
+        elif word == "idiots":
+            assert got is None
         else:
-            near = [t for t in lexicon.words if toxicity.distance_allowed(t) and within(t, word) <= 1]
-            assert (got is not None) == bool(near), (word, got, near)
+            near = sorted(t for t in ("idiot", "worthless") if within(t, word) <= 1)
+            stems = ["achlich"] if min(within("achlich", word[:n]) for n in range(len(word) + 1)) <= 1 else []
+            assert got == ((near or stems)[0], 1, "word" if near else "stem") if near or stems else got is None, (word, got, near)
 
 
 def test_quotation_is_told_from_abuse():
@@ -216,3 +219,65 @@ def test_misspellings_of_words_that_a_stem_explains_are_found():
     lexicon = toxicity.lexicon_of(toxic, [f"une page calme numero {i}" for i in range(60)])
     assert "minable" not in lexicon.words and lexicon.find("minables")[2] == "stem"
     assert lexicon.find("monables")[1:] == (1, "word") and lexicon.find("minxables")[1] == 1
+
+
+def test_features_equal_brute_force():
+    lexicon = toxicity.Lexicon({"idiot", "worthless", "scum"}, {"achlich"}, ordinary={"idiots"})
+    model, rng = toxicity.Model(lexicon, np.zeros(len(toxicity.FEATURES)), 0.0), random.Random(6)
+    pool = ["idiot", "Idiot", "idjot", "idiots", "worthles", "worthless", "scum", "scvm", "achlichen", "achluchen", '"idiot"', "said", "the", "of", "«scum»", "plain", "word", "é", "x" * 300]
+    for _ in range(400):
+        text = " ".join(rng.choices(pool, k=rng.randint(0, 30)))
+        words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text.lower())]
+        kinds = []
+        for w, _, _ in words:
+            exact = w in lexicon.words
+            stem = w.startswith("achlich")
+            near = w != "idiots" and (any(within(t, w) <= 1 for t in ("idiot", "worthless")) or min(within("achlich", w[:n]) for n in range(len(w) + 1)) <= 1)
+            kinds.append("exact" if exact else "stem" if stem else "misspelled" if near else None)
+        want = dict.fromkeys(toxicity.FEATURES, 0.0)
+        hits = [i for i, k in enumerate(kinds) if k]
+        for i in hits:
+            want[kinds[i]] += 1
+            a, b = words[i][1:]
+            marks = any(c in toxicity.QUOTES for c in text[max(0, a - 2) : a]) and any(c in toxicity.QUOTES for c in text[b : b + 2])
+            around = [words[j][0] for j in range(max(0, i - 4), min(len(words), i + 5)) if j != i]
+            want["quoted"] += marks or "said" in around
+            want["crowded"] += any(j != i and abs(j - i) <= 4 for j in hits)
+        want = {k: math.log1p(v) for k, v in want.items()} | {"density": math.log1p(1000 * len(hits) / (len(words) + 20))}
+        assert model.features(text, {}) == pytest.approx([want[k] for k in toxicity.FEATURES])
+
+
+def planted(rng, i, terms):
+    filler = [f"{a}{b}" for a in ("ra", "lo", "mi", "tu") for b in ("na", "ver", "sol", "pim")]
+    return " ".join(rng.sample([*rng.choices(filler, k=20), *terms, f"n{i}"], k=21 + len(terms)))
+
+
+def test_planted_misspellings_are_caught(spark):
+    """Terms that training has as they are stand misspelled in held-out rows; clean rows stay clean, and copies score alike."""
+    rng = random.Random(9)
+    terms = ["moronic", "imbecile", "worthless", "pathetic", "disgusting"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        chosen = rng.sample(terms, 2) if toxic else []
+        if held:
+            chosen = [t[:k] + rng.choice(["", "z", t[k] * 2]) + t[k + 1 :] for t in chosen for k in [rng.randrange(1, len(t) - 1)]]
+        rows.append((i, planted(rng, i, chosen), "x", 0.5))
+        labels.append((i, int(toxic)))
+    rows += [rows[2], (10_001, rows[0][1], "x", 0.5), (10_002, "clean words " * 50_000, "x", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string, score double")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights[toxicity.FEATURES.index("misspelled")] > 0.2
+    got = toxicity.score(docs, model).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and by[10_001].score == by[0].score and by[10_002].predicted == 0
+    right = [by[i].predicted == y for i, y in labels if by[i].held_out]
+    assert len(right) > 100 and sum(right) / len(right) > 0.97
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_give_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) is not None
