@@ -12,7 +12,7 @@ of followers that Witten-Bell smoothing counts). A state that training never saw
 into a byte automaton that spells the token: byte n-grams up to ``ORDER`` (interpolated Witten-Bell), learned from each
 document's distinct tokens, with the end as an empty word. A text's score is the sum of the log probabilities along its path.
 
-No table of the model is ever in one place. Texts are dealt to blocks; a block sends each of its distinct n-grams (56 bits of a
+No table of the model is ever in one place. Runs of texts make blocks; a block sends each of its distinct n-grams (56 bits of a
 64-bit hash) once, with its count in training rows, to the bucket of its hash; buckets sum up and answer; and the block's texts
 walk their states with those counts. An n-gram is one entry for each block that holds it however frequent it is, and buckets
 are ranges of hashes, so none is hot. Nothing is cut off: all n-grams of all training rows count. What is broadcast is the byte
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -281,16 +282,28 @@ def train(marked: DataFrame) -> tuple[Automaton, dict[int, int]]:
     return Automaton(found), totals
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows as blocks: one compressed value each."""
+    partition = TaskContext.get().partitionId()
+    for nth, part in enumerate(gathered(batches, "text", BLOCK_BYTES)):
+        with pa.BufferOutputStream() as out:
+            with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(part)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([(partition << 24) + nth], pa.int64()), "rows": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+
+def _opened(rows: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+
+
 def _asked(buckets: int):
-    """A block's distinct n-grams in order of their hashes, cut at the buckets' bounds: as steps from one to the next, with twice their count in training rows (and one more if it is a single token)."""
+    """Each block's distinct n-grams in order of their hashes, cut at the buckets' bounds: as steps from one to the next, with twice their count in training rows (and one more if it is a single token)."""
     bounds = np.array([(b << KEY_BITS) // buckets for b in range(buckets)], dtype=np.uint64)
 
-    def run(part: pa.Table) -> pa.Table:
-        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
-        block = part.column("block")[0].as_py()
-        words = Words(part.column("text").combine_chunks())
+    def of(block: int, part: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(part.column("text"))
         tokens, starts = words.tokens()
-        trained = np.repeat(~part.column("held_out").to_numpy().astype(bool), np.diff(starts)).astype(np.uint64)
+        trained = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts)).astype(np.uint64)
         # hash, whether it is a single token, whether a training row has it: in one number, so that one sort does
         held = [h >> np.uint64(8) << np.uint64(8) | np.uint64(2 * (n == 0)) | trained[at] for n, (at, h) in enumerate(levels(words.hashes()[tokens], starts))]
         sorted_ = np.sort(np.concatenate(held))
@@ -307,7 +320,13 @@ def _asked(buckets: int):
             rows["keys"].append(_planes(np.diff(own, prepend=bounds[b])))
             rows["counts"].append(_planes(counts[cuts[b] : cuts[b + 1]]))
         made = {k: pa.array(v, pa.int64() if k in ("bucket", "n") else pa.binary()) for k, v in rows.items()}
-        return pa.table({"block": pa.array(np.full(len(some), block)), **made})
+        return pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(some), block)), **made})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
+        for batch in batches:
+            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                yield of(block, _opened(rows))
 
     return run
 
@@ -348,9 +367,10 @@ def walk(counts: list[np.ndarray], starts: np.ndarray, spelled: np.ndarray, n_to
 
 
 def _scored(model, n_tokens: int, n_docs: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
-        words = Words(docs.column("text").combine_chunks())
+        docs = _opened(blocks.column("rows")[0])
+        words = Words(docs.column("text"))
         tokens, starts = words.tokens()
         found = levels(words.hashes()[tokens], starts)
         keys, inverse = np.unique(np.concatenate([h >> np.uint64(8) for _, h in found]), return_inverse=True)
@@ -382,11 +402,10 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     marked = docs.select("doc_id", held.alias("held_out"), "text")
     automaton, totals = train(marked)
     model = spark.sparkContext.broadcast(automaton)
-    n_blocks = max(1, -(-totals[BYTES] // BLOCK_BYTES))
     n_buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals[BYTES] // BUCKET_BYTES))
-    # repeated rows go apart by where they are read
-    dealt = marked.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks))).repartition("block")
-    asked = dealt.groupBy("block").applyInArrow(_asked(n_buckets), "block long, bucket long, n long, keys binary, counts binary")
+    # blocks are made once: what asks and what is answered both read them from this exchange
+    dealt = marked.mapInArrow(_blocks, "block long, rows binary").repartition("block")
+    asked = dealt.mapInArrow(_asked(n_buckets), "block long, bucket long, n long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, bucket long, n long, totals binary, kinds long")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     walked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model, totals[TOKENS], totals[DOCS]), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, raw double, score double, new long")
