@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,11 @@ SLICE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own where all run on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="athenaeum-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -53,6 +56,18 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one value, so that their names meet no others."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def rank(docs: DataFrame, *apart: str) -> Column:
+    """A value that orders rows by all columns but those named; what has no order of its own is ordered as text."""
+    some = [f for f in docs.schema if f.name not in apart]
+    plain = lambda f: "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{f.name}`").alias(f"c{i}") if plain(f) else F.col(f"`{f.name}`").cast("string").alias(f"c{i}") for i, f in enumerate(some)])
+
+
 def bind(value: Column, body) -> Column:
     """``let x = value in body(x)``: evaluates ``value`` once however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

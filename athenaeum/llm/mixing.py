@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from athenaeum.llm.common import cut, drop
+from athenaeum.llm.common import cut, drop, rank, row
 
 #: Weights dealt to the sources in order, the mix's share of all words, the most of a source and of a document.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -29,7 +29,7 @@ CAP = 2
 #: Documents of one (source, size) that are rounded together.
 CELL = 1024
 STARTS = 32
-MAX_STEPS = 60
+MAX_STEPS, TOGETHER = 60, 4
 CLOSE = 1e-7
 
 
@@ -78,37 +78,40 @@ def tilts(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame:
     """Solves every source's dual: adds ``tilt`` (null where the target is all that the cap allows) to ``wanted``.
 
     One step: the gradient and curvature of each source over all cells (an aggregate), then Newton, or halving where
-    Newton leaves the bracket. Steps are cut in the shared folder; only the number of unsettled sources is fetched.
+    Newton leaves the bracket. ``TOGETHER`` steps run as one job and are cut in the shared folder; only whether a source is
+    unsettled is fetched.
     """
     ratio = F.col("target") / (cap * F.col("source_size"))
     start = wanted.select(
         "source", "source_size", "target",
-        (F.col("source_size") / F.greatest(F.col("docs"), F.lit(1))).alias("unit"),
+        F.when(F.col("source_size") > 0, F.col("source_size") / F.col("docs")).otherwise(F.lit(1.0)).alias("unit"),
         F.when((F.col("source_size") > 0) & (ratio < 1 - 1e-12), F.ln(ratio / (1 - ratio))).alias("tilt"),
         F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("settled"),
     )
-    state = cut(start, "tilts")
-    for _ in range(MAX_STEPS):
+    carried = [c for c in start.columns if c != "source"]
+
+    def step(state: DataFrame) -> DataFrame:
         x = F.col("size") / F.col("unit")
         p = _sigmoid(F.col("tilt") * x)
         words = F.sum(F.col("n") * F.col("size") * cap * p)
         slope = F.sum(F.col("n") * F.col("size") * cap * p * (1 - p) * x)
-        key = state.select(F.col("source").alias("s"), "unit", "tilt").filter(F.col("tilt").isNotNull())
-        got = cells.join(key, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(words.alias("words"), slope.alias("slope"))
+        met = cells.join(state.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        got = met.groupBy("source").agg(words.alias("words"), slope.alias("slope"), *[F.first(c).alias(c) for c in carried])
         miss = F.col("words") - F.col("target")
         low = F.when(miss < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(miss >= 0, F.col("tilt")).otherwise(F.col("high"))
-        step = F.col("tilt") - miss / F.when(F.col("slope") > 0, F.col("slope"))
-        inside = (step > low) & (step < high)
-        done = F.col("settled") | F.col("tilt").isNull() | F.col("words").isNull() | (F.abs(miss) <= CLOSE * F.greatest(F.col("target"), F.lit(1.0))) | (high - low < 1e-12)
-        after = cut(
-            state.join(got, F.col("source").eqNullSafe(F.col("s")), "left").select(
-                "source", "source_size", "target", "unit",
-                F.when(done, F.col("tilt")).when(inside, step).otherwise(F.sinh((F.asinh(low) + F.asinh(high)) / 2)).alias("tilt"),
-                low.alias("low"), high.alias("high"), done.alias("settled"),
-            ),
-            "tilts",
-        )
+        newton = F.col("tilt") - miss / F.when(F.col("slope") > 0, F.col("slope"))
+        inside = (newton > low) & (newton < high)
+        done = F.col("settled") | F.col("tilt").isNull() | (F.abs(miss) <= CLOSE * F.greatest(F.col("target"), F.lit(1.0))) | (high - low < 1e-12)
+        tilt = F.when(done, F.col("tilt")).when(inside, newton).otherwise(F.sinh((F.asinh(low) + F.asinh(high)) / 2))
+        return got.select("source", "source_size", "target", "unit", tilt.alias("tilt"), low.alias("low"), high.alias("high"), done.alias("settled"))
+
+    state = cut(start, "tilts")
+    for _ in range(MAX_STEPS // TOGETHER):
+        after = state
+        for _ in range(TOGETHER):
+            after = step(after)
+        after = cut(after, "tilts")
         drop(state)
         state = after
         if not state.filter(~F.col("settled")).limit(1).count():
@@ -117,9 +120,10 @@ def tilts(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """Copies for every row of ``sized`` (doc_id, source, size and any other columns): adds source_size, target, rate, copies, taken."""
-    spark = sized.sparkSession
-    mark = F.xxhash64(F.col("doc_id"), F.lit(17))
+    """Copies for every row of ``sized`` (doc_id, source, size, mark and others): adds source_size, target, rate, copies, taken.
+
+    ``mark`` is a number that deals documents of one source and size into parts and orders them there.
+    """
     per_size = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     sources = per_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     wanted = targets(sources, weights, share, cap).join(sources.select(F.col("source").alias("s"), "docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -130,7 +134,10 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     cells = cut(keyed.select("source", "size", "source_size", "target", rate.alias("rate"), F.greatest(F.ceil(F.col("n") / CELL), F.lit(1)).alias("parts")), "cells")
     c = cells.select(F.col("source").alias("cs"), F.col("size").alias("cz"), "source_size", "target", "rate", "parts")
     placed = sized.join(c, F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz"))).drop("cs", "cz")
-    placed = cut(placed.withColumn("part", F.pmod(mark, F.col("parts"))).drop("parts"), "placed")
+    drop(solved)
+    drop(per_size)
+    placed = cut(placed.withColumn("part", F.pmod("mark", "parts")).drop("parts"), "placed")
+    drop(cells)
     # fractions of copies before each cell: over chunks of a source, then over the cells of a chunk
     cell = placed.groupBy("source", "size", "part", "rate", "target").agg(F.count(F.lit(1)).alias("n"))
     cell = cell.withColumn("chunk_size", F.floor(F.col("size") / 64)).withColumn("chunk_part", F.floor(F.col("part") / 64))
@@ -151,28 +158,33 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"u{j}") - F.col("target")).alias("miss"), F.lit(u).alias("u")) for j, u in enumerate(starts)]))["u"]
     at = cell.join(sums.select(F.col("source").alias("_s"), best.alias("u")), F.col("source").eqNullSafe(F.col("_s")))
     at = at.select(F.col("source").alias("as"), F.col("size").alias("az"), F.col("part").alias("ap"), (F.col("ahead") + F.col("u")).alias("ahead"))
-    order = Window.partitionBy("source", "size", "part").orderBy(mark, "doc_id")
+    order = Window.partitionBy("source", "size", "part").orderBy("mark", "doc_id")
     numbered = placed.withColumn("nth", F.row_number().over(order))
     numbered = numbered.join(at, F.col("source").eqNullSafe(F.col("as")) & (F.col("size") == F.col("az")) & (F.col("part") == F.col("ap"))).drop("as", "az", "ap")
     # a document takes the extra copy where the running total passes a whole number
     total = lambda k: F.floor(F.col("ahead") + k * (F.col("rate") - whole))
     n = F.least(whole + total(F.col("nth")) - total(F.col("nth") - 1), F.lit(cap))
-    return numbered.withColumn("copies", F.when(F.col("size") > 0, n).otherwise(F.lit(0)).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("part", "nth", "ahead")
+    return numbered.withColumn("copies", F.when(F.col("size") > 0, n).otherwise(F.lit(0)).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("part", "nth", "ahead", "mark")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Sizes every document and mixes them; one row per document."""
-    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sized")
-    return copies(sized, weights, share, cap).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    mark = F.xxhash64("doc_id", "text", F.lit(17))
+    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), mark.alias("mark")), "sized")
+    made = copies(sized, weights, share, cap).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    drop(sized)
+    return made
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, with all its columns.
 
-    Rows alike in id, text and source share their copies, which one of them stands for.
+    Rows alike in id, text and source share their copies, which the first of them by its other columns stands for.
     """
     key = {"_id": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "_hash": F.xxhash64("text"), "_source": F.xxhash64("source")}
-    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *[c.alias(k) for k, c in key.items()]), "sized")
+    keyed = docs.select(row(docs).alias("_row"), rank(docs, "doc_id", "text", "source").alias("_rank"), "doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(17)).alias("mark"), *[c.alias(k) for k, c in key.items()])
+    sized = cut(keyed.select("doc_id", "source", size_of(F.col("text")).alias("size"), "mark", *key), "sized")
     taken = copies(sized, weights, share, cap).groupBy(*key).agg(F.sum("copies").alias("_copies")).filter(F.col("_copies") > 0)
-    found = docs.withColumns(key).join(taken, list(key)).dropDuplicates(list(key))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    drop(sized)
+    found = keyed.select("_row", "_rank", *key).join(taken, list(key)).groupBy(*key).agg(F.min_by("_row", "_rank").alias("_row"), F.first("_copies").alias("_copies"))
+    return found.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

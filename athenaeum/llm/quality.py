@@ -5,13 +5,15 @@ expression given), the hosts' failure rates are shrunk towards the corpus by a b
 themselves (method of moments), and each host's verdict is joined back to its documents:
 
 * base rules (too few words, repeated passages) and severe rules (symbols, shouting, stuttering) reject anywhere;
-* mild rules (repeated lines, odd word lengths) reject only on a host whose shrunk failure rate is ``distrust`` or more.
+* mild rules (repeated lines, odd word lengths) reject only on a host that stands out: the lower bound of its failure rate,
+  ``SURE`` deviations of its beta posterior below the shrunk rate, is above ``EXCESS`` times the corpus' rate.
 
 A document without any failure is therefore kept whatever its host is. All of it is DataFrame functions; the counts are
 taken inside the row, so no word leaves its document and the only exchange is a handful of counters per host.
 
 Defined results: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated
-rows are judged (and counted) each by itself; an empty table gives an empty result; extra columns are not carried.
+rows are judged (and counted) each by itself; an empty table gives an empty result; ``judge`` carries the columns named in
+``key`` only, ``keep`` all columns whatever their names. A text is one row's work: it takes some dozen times its size in memory.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from athenaeum.llm.common import SPACE_CLASS, bind, cut
+from athenaeum.llm.common import SPACE_CLASS, bind, cut, row
 
 #: The characters counted as symbols.
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 MIN_WORDS = 20
+#: How far above the corpus' failure rate, and how surely, a host must be for its documents' mild failures to count.
+EXCESS, SURE = 1.2, 2.0
 
 
 def _repeat_words(words: Column) -> Column:
@@ -103,8 +107,8 @@ def rules(docs: DataFrame, host: str = "source", key: tuple[str, ...] = ("doc_id
     )
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """Each host's failure rate, shrunk by a beta prior whose mean and strength are fitted to all hosts."""
+def host_rates(judged: DataFrame, excess: float = EXCESS, sure: float = SURE) -> DataFrame:
+    """Each host's failure rate, shrunk by a beta prior whose mean and strength are fitted to all hosts, and its verdict."""
     failed = F.col("base_failed") | F.col("severe") | F.col("mild")
     by = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("f"))
     rate = F.col("f") / F.col("n")
@@ -114,29 +118,32 @@ def host_rates(judged: DataFrame) -> DataFrame:
     between = F.greatest(F.col("S") / F.col("N") - mean * mean - noise * F.col("H") / F.col("N"), F.lit(1e-9))
     prior = moments.select(mean.alias("mean"), F.greatest(noise / between - 1, F.lit(1.0)).alias("strength"))
     # prior is one row, whatever the input: attaching it pairs nothing
-    return by.join(F.broadcast(prior)).select("host", "n", "f", ((F.col("f") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("host_rate"))
+    shrunk = by.join(F.broadcast(prior)).withColumn("host_rate", (F.col("f") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength")))
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + F.col("strength") + 1))
+    return shrunk.select("host", "n", "f", "host_rate", (F.col("host_rate") - sure * deviation > excess * F.col("mean")).alias("distrusted"))
 
 
-def _verdict(judged: DataFrame, rates: DataFrame, distrust: float) -> DataFrame:
+def _verdict(judged: DataFrame, rates: DataFrame) -> DataFrame:
     # the verdict travels to the documents: hosts are joined by key, and a host with a third of the rows is split by the skew join
-    named = rates.select(F.col("host").alias("rated"), "host_rate")
-    kept = ~F.col("base_failed") & ~F.col("severe") & ~(F.col("mild") & (F.col("host_rate") >= distrust))
+    named = rates.select(F.col("host").alias("rated"), "host_rate", "distrusted")
+    kept = ~F.col("base_failed") & ~F.col("severe") & ~(F.col("mild") & F.col("distrusted"))
     return judged.join(named, F.col("host").eqNullSafe(F.col("rated")), "left").withColumn("kept", kept)
 
 
-def keep(docs: DataFrame, host: str = "source", distrust: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, host: str = "source", excess: float = EXCESS, sure: float = SURE) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Texts are read twice instead of being moved."""
-    rates = cut(host_rates(rules(docs, host)), "rates")
-    judged = rules(docs, host, tuple(docs.columns))
-    return _verdict(judged, rates, distrust).filter("kept").select(*docs.columns)
+    rates = cut(host_rates(rules(docs, host), excess, sure), "rates")
+    # rows travel as one value, so that no name of theirs meets one of ours
+    whole = docs.select(row(docs).alias("row"), F.col(host).alias("host"), "text")
+    return _verdict(rules(whole, "host", ("row",)), rates).filter("kept").select("row.*")
 
 
-def judge(docs: DataFrame, host: str = "source", distrust: float = 0.5, key: tuple[str, ...] = ("doc_id",), staged=None) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", excess: float = EXCESS, sure: float = SURE, key: tuple[str, ...] = ("doc_id",), staged=None) -> DataFrame:
     """Rules, hosts' verdicts, and ``kept`` for every document.
 
     ``staged`` may cut the lineage after the rules (see :func:`athenaeum.llm.common.cut`) so that texts are read once.
     """
     judged = rules(docs, host, key)
     judged = staged(judged) if staged else judged
-    out = _verdict(judged, host_rates(judged), distrust)
-    return out.select(*key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severe", "mild", "host_rate")
+    out = _verdict(judged, host_rates(judged, excess, sure))
+    return out.select(*key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severe", "mild", "host_rate", "distrusted")

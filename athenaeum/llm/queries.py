@@ -130,9 +130,9 @@ r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed OR severe OR mild) AS DOUBLE) AS x FROM r GROUP BY source),
 t AS (SELECT sum(x) / sum(n) AS mean, sum(n * (x / n) * (x / n)) / sum(n) AS second, count(*) / sum(n) AS share FROM h),
 q AS (SELECT mean, greatest(mean * (1 - mean) / greatest(second - mean * mean - mean * (1 - mean) * share, 1e-9) - 1, 1.0) AS strength FROM t),
-k AS (SELECT source, (x + mean * strength) / (n + strength) AS host_rate FROM h, q)
+k AS (SELECT source, n, mean, strength, (x + mean * strength) / (n + strength) AS host_rate FROM h, q)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT severe AND NOT (mild AND host_rate >= 0.5) AS kept
+       NOT base_failed AND NOT severe AND NOT (mild AND host_rate - 2 * sqrt(host_rate * (1 - host_rate) / (k.n + strength + 1)) > 1.2 * mean) AS kept
 FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source
 """,
 }

@@ -206,13 +206,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Whole rows of ``docs``: of each group the one with the least id (of its repeats the first by text, then by lang and source).
+    """Whole rows of ``docs``: of each group the one with the least id (null last; of its repeats the first by the text's hash, then by the other columns).
 
     Groups are those of :mod:`athenaeum.llm.shingles` (five words, similarity 0.8), not the fingerprints' of the query.
     """
     rows = shingles.sketches(docs)
     found = rows.join(shingles.groups(docs, rows), "key", "left").select("_id", "_hash", F.coalesce("root", "key").alias("root"))
-    # the id with nulls made plain, which come last, and the text's hash: rows alike in both are copies of one row, of which any may stay
+    # the id with nulls made plain, which come last, and the text's hash; rows alike in both are told apart by their other columns below
     chosen = found.groupBy("root").agg(F.min(F.struct((F.col("_id") == -(2**63)).alias("n"), "_id", "_hash")).alias("k"))
     chosen = chosen.select(F.col("k._id").alias("_id"), F.col("k._hash").alias("_hash"))
-    return shingles.keyed(docs).join(chosen, ["_id", "_hash"]).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return shingles.keyed(docs).join(chosen, ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.min_by("_row", "_rank").alias("_row")).select("_row.*")

@@ -83,3 +83,29 @@ def test_edges(spark):
     twice = spark.createDataFrame([(1, "a b", "s", "x"), (1, "a b", "s", "x"), (2, "c", "s", "y"), (None, "d e f", None, "z")], "doc_id long, text string, source string, extra string")
     m = mixing.mix(twice)
     assert mixing.mixed(twice).count() == m.agg(F.sum("copies")).first()[0] and mixing.mixed(twice).columns == twice.columns
+
+
+NAMES = ("_id", "_hash", "_source", "_copies", "_copy", "_row", "_rank", "size", "mark", "copies", "taken", "rate", "part", "nth", "target", "source_size")
+
+
+def test_columns_of_any_name_and_ties(spark):
+    """Names that are used inside pass through; of rows alike in id, text and source always the same one stays."""
+    rows = [(i % 40, "w " * (i % 7 + 1), "ab"[i % 2], f"lang{i % 3}", {"k": i % 5}) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, m map<string,int>")
+    odd = docs.selectExpr("*", *(f"concat('{c}', lang) AS {c}" for c in NAMES))
+    seen = []
+    for n in (1, 5):
+        got = mixing.mixed(odd.repartition(n))
+        assert got.columns == odd.columns
+        seen.append(sorted(str(r) for r in got.collect()))
+    assert seen[0] == seen[1] and seen[0]
+    assert all(f"_copies='_copies{r.split(chr(39))[5]}'" in r for r in seen[0])
+    assert mixing.mix(odd).count() == len(rows)
+
+
+def test_one_very_long_text_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, f"a b {i}", "s") for i in range(3000)] + [(1, "long " * 400_000, "t"), (2, "x", "t")], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 3002 and max(r.size for r in got) == 400_000
+    s = sum(r.taken for r in got if r.size == 3)
+    assert abs(s - next(r.target for r in got if r.size == 3)) <= 3

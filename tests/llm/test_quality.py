@@ -58,3 +58,22 @@ def test_edges(spark):
     assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0
     docs = spark.createDataFrame([(1, CLEAN, "s", 5), (1, CLEAN, "s", 5), (None, CLEAN, None, 5)], "doc_id long, text string, source string, n_words int")
     assert quality.judge(docs).filter("kept").count() == 3
+
+
+def test_hosts_decide_at_ordinary_rates(spark):
+    """A host that fails three times as often as the corpus loses its mild failures; one a little above it doesn't, nor does a small one."""
+    rates = {"even": (1000, 100), "third": (400, 120), "close": (1000, 112), "small": (4, 1)}
+    rows = [(1000 * k + i, "x" if i < bad else CLEAN, host) for k, (host, (n, bad)) in enumerate(rates.items()) for i in range(n)]
+    rows += [(9000 + k, MILD, host) for k, host in enumerate(rates)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[9000 + k].kept for k in range(4)] == [True, False, True, True]
+    assert all(got[9000 + k].mild for k in range(4)) and got[9001].host_rate < 0.35
+
+
+def test_keep_with_columns_of_any_name(spark):
+    names = ("n_words", "host", "m", "severe", "mild", "host_rate", "rated", "kept", "row", "key", "distrusted", "base_failed", "w", "l")
+    rows = [(1, CLEAN, "s"), (1, CLEAN, "s"), (None, CLEAN, None), (2, None, "s"), (3, "", "s"), (4, CLEAN + " long" * 200_000, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *(f"concat('{c}', source) AS {c}" for c in names))
+    got = quality.keep(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in got.collect()) == [(0, None, None), (1, "n_wordss", "kepts"), (1, "n_wordss", "kepts")]

@@ -91,3 +91,22 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in components(chain.union(star)).collect()}
     assert got == {i: 0 for i in range(60)} | {i: 1000 for i in range(1000, 1100)}
     assert components(chain.limit(0)).count() == 0
+
+
+def test_one_of_each_with_columns_of_any_name_and_ties(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, "b"), (5, text, "a"), (5, text, "c"), (7, text + " more", "a"), (None, "quite other", "z"), (None, "quite other", "y"), (2, None, "n"), (8, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = ("_id", "_hash", "_row", "_rank", "_text", "key", "root", "n", "bands", "k", "fp")
+    odd = docs.selectExpr("*", *(f"concat('{c}', lang) AS {c}" for c in names))
+    for n in (1, 4):
+        got = simhash.one_of_each(odd.repartition(n))
+        assert got.columns == odd.columns
+        assert sorted((r.doc_id or 0, r.lang, r._id, r.key) for r in got.collect()) == [(0, "y", "_idy", "keyy"), (2, "n", "_idn", "keyn"), (5, "a", "_ida", "keya")]
+
+
+def test_one_very_long_text(spark):
+    long = " ".join(f"v{i % 5000}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "short")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {1, 3}
