@@ -9,8 +9,10 @@ the public library. Decoding joins pieces, turns markers to spaces, bytes to cha
 No piece has a marker behind another character, so the best path of a text is made of the best paths of its words, and
 the distinct words of a slice of texts are solved all at once with array operations, byte by byte.
 
-Defined results: null or empty text has no pieces and score 0; a literal marker character reads as a space; repeated rows
-are returned each; an empty table gives an empty result; ``encode`` carries the columns named in ``keys`` only.
+Defined results: null or empty text has no pieces and score 0; a literal marker character reads as a space, and so doesn't come
+back (``lossless`` is false there); repeated rows are returned each; an empty table gives an empty result; ``encode`` carries
+the columns named in ``keys`` only. Long texts are solved in runs of whole words, with some nine bytes of memory for each of
+the text; a single word of many megabytes is solved whole.
 """
 
 from __future__ import annotations
@@ -192,17 +194,12 @@ class Pieces:
         sizes = np.bincount(who, weights=reps, minlength=count).astype(np.int64)
         return out, np.concatenate([[0], np.cumsum(sizes)]), scores
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids of all texts, where each text's ids start, and each text's score."""
-        texts = pc.replace_substring(texts.fill_null(""), MARKER, " ")
-        full = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
-        data, offsets = utf8(full)
-        if not len(data):
-            return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64), np.zeros(len(texts))
+    def _solved(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of a run of whole words, and of each word that starts at a place of ``first`` or at a bound of words: where it starts, its number of ids, its score."""
         space, alone = data == 0x20, self.apart[data]
         begins = alone | space
         begins[1:] = (space[1:] & ~space[:-1]) | alone[1:] | alone[:-1]
-        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins[first] = True
         starts = np.append(np.flatnonzero(begins), len(data))
         coded = binaries(data, starts).dictionary_encode()
         inverse = coded.indices.to_numpy().astype(np.int64)
@@ -210,23 +207,54 @@ class Pieces:
         word_at = np.frombuffer(word_at, dtype=np.int32)[: len(coded.dictionary) + 1].astype(np.int64)
         ids, id_at, scores = self.viterbi(np.frombuffer(word_data, dtype=np.uint8)[: word_at[-1]], word_at)
         sizes = (id_at[1:] - id_at[:-1])[inverse]
-        out = ids[ranges(id_at[:-1][inverse], sizes)]
-        words = np.searchsorted(starts[:-1], offsets)  # the first word of each text
-        ends, sums = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0.0], np.cumsum(scores[inverse])])
-        return out, ends[words], sums[words[1:]] - sums[words[:-1]]
+        return ids[ranges(id_at[:-1][inverse], sizes)], np.array([starts[:-1], sizes]), scores[inverse]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all texts, where each text's ids start, and each text's score. ``SLICE`` bytes are solved together: a longer text is cut before a word."""
+        texts = pc.replace_substring(texts.fill_null(""), MARKER, " ")
+        full = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+        data, offsets = utf8(full)
+        found, n_ids, scores, at = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), 0
+        while at < len(data):
+            to = self._bound(data, offsets, at + SLICE)
+            first = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
+            ids, (starts, sizes), worth = self._solved(data[at:to], np.append(first, 0))
+            text = np.searchsorted(offsets, starts + at, side="right") - 1
+            found.append(ids)
+            n_ids += np.bincount(text, weights=sizes, minlength=len(texts)).astype(np.int64)
+            scores += np.bincount(text, weights=worth, minlength=len(texts))
+            at = to
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(n_ids)]), scores
+
+    @staticmethod
+    def _bound(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+        """The first place from ``at`` on where a text starts or white space begins a word."""
+        while at < len(data):
+            end = at + (1 << 16)
+            window = data[at - 1 : end]
+            word = np.flatnonzero((window[1:] == 0x20) & (window[:-1] != 0x20))
+            text = int(offsets[np.searchsorted(offsets, at)])
+            found = [at + int(x) for x in word[:1]] + [text] * (text <= end)
+            if found:
+                return min(found)
+            at = end
+        return len(data)
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
-        """The bytes of each run of ids; the leading marker is dropped."""
-        sizes = (self.spelled_at[1:] - self.spelled_at[:-1])[ids]
-        data = self.spelled[ranges(self.spelled_at[ids], sizes)].tobytes()
-        at = np.concatenate([[0], np.cumsum(sizes)])[starts]
+        """The bytes of each run of ids; the leading marker is dropped. Ids are spelled out some at a time."""
+        ends, data = np.zeros(len(ids) + 1, dtype=np.int64), []
+        np.cumsum((self.spelled_at[1:] - self.spelled_at[:-1])[ids], out=ends[1:])
+        at_once = max(1, SLICE // 8)
+        for i in range(0, len(ids), at_once):
+            some = ids[i : i + at_once]
+            data.append(self.spelled[ranges(self.spelled_at[some], (self.spelled_at[1:] - self.spelled_at[:-1])[some])].tobytes())
+        data, at = b"".join(data), ends[starts]
         return [data[a + (data[a : a + 1] == b" ") : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def encode(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",), log_scores: str = "auto") -> DataFrame:
     """``keys``, ids, their number, how many are byte pieces, the path's score, and whether decoding gives the text back."""
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_path, log_scores))
-    marker = MARKER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces.value
@@ -238,7 +266,7 @@ def encode(docs: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",)
                 ids, starts, scores = vocabulary.encode(texts)
                 fallback = np.concatenate([[0], np.cumsum(is_byte[ids])])[starts]
                 back = vocabulary.decode(ids, starts)
-                same = [b == (t or "").replace(marker, " ").encode() for b, t in zip(back, texts.to_pylist(), strict=True)]
+                same = [b == (t or "").encode() for b, t in zip(back, texts.to_pylist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
                 columns = [lists, pa.array(np.diff(starts)), pa.array(np.diff(fallback)), pa.array(scores), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *columns], names=[*keys, "ids", "n_tokens", "n_bytes", "score", "lossless"])

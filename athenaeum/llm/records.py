@@ -12,14 +12,17 @@ same bytes and replaces the file. What comes back to the driver is one line for
 
 Byte-level BPE never joins characters across the start of a run of white space, nor a letter or digit to punctuation
 after it, so texts are cut there and each distinct piece is encoded once per worker (a bounded cache); texts with other
-Unicode spaces are encoded whole.
+Unicode spaces or with one of the tokenizer's added tokens are encoded whole. Special tokens in a text are read as the library
+reads them by default.
 
-Defined results: null and empty texts hold the end id alone; a null id comes first; repeated rows are records of their own,
-in order of their text; an empty table writes no file; extra columns are not carried.
+Defined results: null and empty texts hold the end id alone; a null id comes first; repeated ids are records of their own, in
+order of their texts' hashes (and dealt by them, so that many rows of one id, or without one, are no single task's); an empty
+table writes no file; extra columns are not carried. A text is one record, made in memory: some ten times its size.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -85,7 +88,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        # a text that holds an added token is encoded whole: such tokens are found before anything is cut
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([OTHER_SPACE, *added])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
 
@@ -114,7 +119,7 @@ class Encoder:
         space = SPACE[data]
         begins = np.zeros(len(data), dtype=bool)
         begins[1:] = space[1:] & ~space[:-1] | _PUNCT[data[1:]] & _ALNUM[data[:-1]]
-        whole = pc.match_substring_regex(texts, OTHER_SPACE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(whole):
             begins[offsets[i] : offsets[i + 1]] = False
         begins[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -182,7 +187,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> Da
     with open(tokenizer_path, encoding="utf-8") as f:
         text = f.read()
     spec, folder = spark.sparkContext.broadcast(text), folder or stage_path(spark, "records")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows alike in id and text differ in where they were read, which parts them and changes nothing else
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("read"))
+    dealt = keyed.repartitionByRange("doc_id", "hash", "read").sortWithinPartitions("doc_id", "hash", "read").select("doc_id", "text")
     listed = cut(dealt.mapInArrow(lambda batches: _write(spec, folder, batches), "part long, path string, records long, tokens long, bytes long"), "manifest")
     return listed.withColumns({"folder": F.lit(folder), "width": F.lit(Encoder(text).dtype.itemsize)})
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from athenaeum.llm.pieces import MARKER, Pieces
+from athenaeum.llm.pieces import MARKER, Pieces, decode, encode
 from athenaeum.llm.trie import DoubleArray
 
 PATH = __import__("public_tokenizers").path("piece_bpe_32k.model")
@@ -87,3 +87,45 @@ def test_double_array():
     keys = [(w.encode(), i) for i, w in enumerate(["a", "ab", "abc", "b", "ñ", "zz"])]
     trie = DoubleArray(keys)
     assert [trie.get(k) for k, _ in keys] == [i for _, i in keys] and trie.get(b"z") == trie.get(b"q") == -1
+
+
+def test_long_texts_are_cut_before_words(unigram, monkeypatch):
+    """What is solved together changes nothing, wherever it is cut."""
+    ours, library = unigram
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "ation", "Straße", "", "東京", "x1y2!!", "\n"], k=rng.randint(0, 40))) for _ in range(60)] + ["", None, "東京ñandú" * 60]
+    want = run(ours, texts)
+    assert want[0] == [library.encode(t or "") for t in texts]
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr("athenaeum.llm.pieces.SLICE", size)
+        got = run(ours, texts)
+        assert got[0] == want[0] and np.allclose(got[1], want[1]) and got[2] == want[2]
+
+
+def test_a_text_of_a_hundred_megabytes_takes_less_than_a_gigabyte():
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, sys
+sys.path.insert(0, {str(__import__("pathlib").Path(__file__).parents[2])!r})
+import pyarrow as pa
+from athenaeum.llm.pieces import Pieces
+ours = Pieces.load({PATH!r})
+text = pa.array([" ".join("w%x" % (i * 2654435761 % 4294967296) for i in range(10_500_000))])
+ids, starts, _ = ours.encode(text)
+assert len(text[0].as_buffer()) > 95_000_000 and starts[-1] == len(ids) > 10_000_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 1024 + 500  # 500: the list the text is made of
+
+
+def test_encoding_and_decoding_frames(spark):
+    rows = [(1, "the Straße 東京", "a"), (1, "the Straße 東京", "b"), (None, None, None), (2, "", "c"), (3, f"a{MARKER}b", "d"), (4, "  two  spaces ", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS ids", "1 AS score", "2 AS n_tokens")
+    coded = encode(docs, PATH, ("doc_id", "lang"))
+    got = {(r.doc_id, r.lang): r for r in coded.collect()}
+    assert len(got) == 6 and got[(None, None)].n_tokens == 0 and {k[0]: r.lossless for k, r in got.items()} == {1: True, None: True, 2: True, 3: False, 4: True}
+    back = {(r.doc_id, r.lang): r.text for r in decode(coded, PATH, ("doc_id", "lang")).collect()}
+    assert back == {(i, k): (t or "").replace(MARKER, " ") for i, t, k in rows}
+    assert encode(docs.limit(0), PATH).count() == 0 and decode(coded.limit(0), PATH).count() == 0

@@ -6,14 +6,13 @@ import pytest
 from athenaeum.llm import records
 
 PATH = __import__("public_tokenizers").path("byte_bpe_50k.json")
-TEXTS = ["Hello, world! it's  fine\n\n next", "", None, "a  b 　c", "x" * 3000 + " end.", "<|endoftext|> don't 12,5% (a)b", "élève, ñandú!  \t", "same", "same", " lead", "trail ", "\n", "a.b c..d 3.5e-7"]
+TEXTS = ["Hello, world! it's  fine\n\n next", "", None, "a  b 　c", "x" * 3000 + " end.", "<|endoftext|> don't 12,5% (a)b", "a <|endoftext|> b", "x<|endoftext|>", "élève, ñandú!  \t", "same", "same", " lead", "trail ", "\n", "a.b c..d 3.5e-7"]
 
 
 def expected():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in TEXTS]
 
 
@@ -46,3 +45,22 @@ def test_damage_is_found():
         bad[at] ^= 1
         with pytest.raises(ValueError):
             records.unframe(bytes(bad), 0)
+
+
+def test_special_tokens_read_as_the_library_reads_them():
+    encoder = records.Encoder(open(PATH, encoding="utf-8").read())
+    ids, starts = encoder.encode(__import__("pyarrow").array(["a <|endoftext|> b"]))
+    assert ids[starts[0] : starts[1]].tolist() == [64, 220, 50256, 275, 0]
+
+
+def test_many_rows_of_one_id_and_one_very_long_text(spark):
+    rows = [(None, f"t {i % 50}") for i in range(2000)] + [(7, "same")] * 500 + [(9, "long text " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS hash", "3 AS read").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = records.write(docs, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = records.read(manifest).orderBy("start").collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got] == [None] * 2000 + [7] * 500 + [9]
+    assert manifest.count() > 2 and got[-1].n_tokens >= 600_000
