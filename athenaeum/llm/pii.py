@@ -28,6 +28,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from athenaeum.llm.common import sized_slices
 
@@ -262,6 +264,6 @@ def pseudonymize(docs: DataFrame, key: bytes, unmask: bool = False) -> DataFrame
                 columns = [pa.array([t for t, _ in made], part.schema.field("text").type) if n == "text" else part.column(n) for n in carried]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for _, s in made], pa.int32()), spans], names=[*carried, "pii_count", "pii_spans"])
 
-    source = docs.select(*carried)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{fields}, pii_count int, pii_spans array<struct<start:int,end:int,kind:string>>")
+    source = docs.select(*[F.col(f"`{c}`") for c in carried])
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())])
+    return source.mapInArrow(run, T.StructType([*source.schema, T.StructField("pii_count", T.IntegerType()), T.StructField("pii_spans", T.ArrayType(span))]))

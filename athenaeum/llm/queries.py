@@ -20,6 +20,12 @@ def op1_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def decoded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other way of op1: the texts that its ids spell."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    return pieces.decode(pieces.encode(documents(spark, sf_dir), model), model)
+
+
 def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     gathered = cut(preference.gather(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "gathered")
     made = preference.format_pairs(gathered, preference.pair_by_number(gathered))
@@ -79,10 +85,12 @@ QUERIES = {
         op8_length_delimited_records,
         op9_png_cosine_hash,
         op10_entropy_mix,
+        decoded_pieces,
     )
 }
 
 ORACLE_SQL = {
+    "decoded_pieces": "SELECT doc_id, replace(coalesce(text, ''), '▁', ' ') AS text FROM documents",
     "op2_preference_pairs": r"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
                   coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
