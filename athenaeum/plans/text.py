@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenaeum.functions import arrow, text
+from athenaeum.operators import quotations
 from athenaeum.plans.registry import query
 from athenaeum.sources.tables import Tables
 
@@ -15,47 +16,57 @@ def j1_squeeze(t: Tables) -> DataFrame:
     return t.works.select("work_id", text.squeeze(F.col("text")).alias("t"))
 
 
-@query()
+@query(r"SELECT work_id, trim(regexp_replace(regexp_replace(replace(nfc_normalize(text), chr(173), ''), '-[\r\n]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM works")
 def j1_normalize_unicode(t: Tables) -> DataFrame:
     return t.works.select("work_id", arrow.squeeze_udf("text").alias("t"))
 
 
-@query("SELECT d.work_id, b.item_id, instr(d.text, substr(b.text, 1, 80)) AS place FROM works d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 80)) AND b.item_id < 40")
+@query(r"SELECT work_id, length(t) AS n, md5(t) AS squeezed FROM (SELECT work_id, trim(regexp_replace(regexp_replace(replace(nfc_normalize(text), chr(173), ''), '-[\r\n]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM works)")
+def j2_normalize_with_places(t: Tables) -> DataFrame:
+    """Every character's place is kept: as many places as characters, in order, and each word is found again at its place."""
+    made = t.works.select("work_id", "text", arrow.squeeze_with_places_udf("text").alias("m"))
+    ordered = F.forall(F.sequence(F.lit(1), F.size("m.places") - 1), lambda i: F.get("m.places", i) > F.get("m.places", i - 1))
+    fits = (F.size("m.places") == F.length("m.text")) & ((F.size("m.places") < 2) | ordered)
+    return made.select("work_id", F.length("m.text").cast("long").alias("n"), F.when(fits, F.md5("m.text")).alias("squeezed"))
+
+
+_WHOLE = "SELECT d.work_id, b.item_id, instr(d.text, b.text) AS place FROM works d JOIN benchmark b ON contains(d.text, b.text)"
+_FOUND = "SELECT item_id, count(d.work_id) > 0 AS confirmed, CASE WHEN count(d.work_id) > 0 THEN 'confirmed' ELSE 'downgraded' END AS status FROM benchmark b LEFT JOIN works d ON contains(d.text, b.text) GROUP BY item_id"
+
+
+def _quotes(t: Tables) -> DataFrame:
+    return t.raw("benchmark").select("item_id", F.col("text").alias("q"))
+
+
+@query(_WHOLE)
 def j3_locate_exact(t: Tables) -> DataFrame:
-    """Places of given quotations: the quotations (a fixed list) travel, texts stay."""
-    quotes = F.broadcast(t.raw("benchmark").filter("item_id < 40").select("item_id", F.substring("text", 1, 80).alias("q")))  # 40 rows
-    return t.works.select("work_id", "text").join(quotes, F.col("text").contains(F.col("q"))).select("work_id", "item_id", F.expr("cast(locate(q, text) as bigint)").alias("place"))
+    """Places of all whole quotations in all texts."""
+    return quotations.exact(t.works.select("work_id", "text"), _quotes(t))
 
 
-@query()
+@query(_WHOLE)
 def j3_locate_exact_whole(t: Tables) -> DataFrame:
-    """Places of all whole quotations (``j3_locate_exact`` is held to its SQL's forty and their first 80 characters)."""
-    quotes = F.broadcast(t.raw("benchmark").select("item_id", F.col("text").alias("q")))  # the fixed list of quotations
-    return t.works.select("work_id", "text").join(quotes, F.col("text").contains(F.col("q"))).select("work_id", "item_id", F.expr("cast(locate(q, text) as bigint)").alias("place"))
+    """The same under the name it had when ``j3_locate_exact`` read a part."""
+    return j3_locate_exact(t)
 
 
 @query()
 def j3_locate_fuzzy(t: Tables) -> DataFrame:
-    """The same with up to a twentieth of the characters changed; a quotation's opening words choose the texts to look in."""
-    quotes = F.broadcast(t.raw("benchmark").filter("item_id < 40").select("item_id", F.col("text").alias("q"), F.substring("text", 1, 25).alias("k")))  # 40 rows
-    met = t.works.select("work_id", "text").join(quotes, F.col("text").contains(F.col("k")))
-    return met.select("work_id", "item_id", arrow.locate_udf("q", "text").alias("span")).filter(F.col("span.start").isNotNull())
+    """The same with up to a twentieth of the characters changed, wherever they stand."""
+    return quotations.fuzzy(t.works.select("work_id", "text"), _quotes(t))
 
 
-@query("SELECT item_id, count(d.work_id) > 0 AS confirmed, CASE WHEN count(d.work_id) > 0 THEN 'confirmed' ELSE 'downgraded' END AS status FROM benchmark b LEFT JOIN works d ON contains(d.text, substr(b.text, 1, 80)) WHERE item_id < 40 GROUP BY item_id")
+@query(_FOUND)
 def j4_verbatim(t: Tables) -> DataFrame:
-    quotes = t.raw("benchmark").filter("item_id < 40").select("item_id", F.substring("text", 1, 80).alias("q"))
-    found = t.works.select("text").join(F.broadcast(quotes), F.col("text").contains(F.col("q"))).select("item_id").distinct().withColumn("hit", F.lit(True))
-    out = quotes.join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("confirmed"))
+    found = j3_locate_exact(t).select("item_id").distinct().withColumn("hit", F.lit(True))
+    out = t.raw("benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("confirmed"))
     return out.withColumn("status", F.when(F.col("confirmed"), "confirmed").otherwise("downgraded"))
 
 
-@query()
+@query(_FOUND)
 def j4_verbatim_whole(t: Tables) -> DataFrame:
-    """All quotations, held against the texts whole (``j4_verbatim`` is held to its SQL)."""
-    found = j3_locate_exact_whole(t).select("item_id").distinct().withColumn("hit", F.lit(True))
-    out = t.raw("benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("confirmed"))
-    return out.withColumn("status", F.when(F.col("confirmed"), "confirmed").otherwise("downgraded"))
+    """The same under the name it had when ``j4_verbatim`` read a part."""
+    return j4_verbatim(t)
 
 
 @query(r"SELECT cited, trim(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g')) AS a, substr(regexp_replace(lower(title), '[^a-zа-яё0-9]', '', 'g'), 1, 40) AS key, md5(lower(trim(title))) AS h FROM cited".replace("AS a,", "AS raw,").replace("trim(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g')) AS raw", r"trim(regexp_replace(regexp_replace(lower(title || ' – “X”  y'), '[‐‑‒–—―−]', '-', 'g'), '\s+', ' ', 'g')) AS a"))
@@ -68,10 +79,14 @@ def j7_doi(t: Tables) -> DataFrame:
     return t.works.filter("doi is not null").select("work_id", text.doi(F.concat(F.lit("see https://doi.org/"), F.col("doi"), F.lit("./"))).alias("doi"))
 
 
-@query(r"SELECT work_id, regexp_extract(body, '(?is)abstract\s*\n(.*?)\n\s*\n', 1) AS abstract FROM (SELECT work_id, 'Intro' || chr(10) || 'Abstract' || chr(10) || title || chr(10) || chr(10) || text AS body FROM works)")
+_HEADS = "CASE work_id % 4 WHEN 0 THEN 'Intro' || chr(10) || 'Abstract' || chr(10) WHEN 1 THEN 'Аннотация: ' WHEN 2 THEN 'РЕЗЮМЕ.' || chr(10) ELSE 'Nothing ' END || title || CASE WHEN work_id % 3 = 0 THEN ' Keywords: a' WHEN work_id % 3 = 1 THEN chr(10) || 'more' || chr(10) || ' ' || chr(10) ELSE ' Введение' END || chr(10) || text"
+
+
+@query(rf"SELECT work_id, regexp_replace(regexp_replace(regexp_extract(body, '{text.ABSTRACT.replace('(?isu)', '(?is)')}', 1), '^\s+|\s+$', '', 'g'), '\s*\n\s*', ' ', 'g') AS abstract FROM (SELECT work_id, {_HEADS} AS body FROM works)")
 def j8_abstract(t: Tables) -> DataFrame:
-    body = F.concat(F.lit("Intro\nAbstract\n"), "title", F.lit("\n\n"), "text")
-    return t.works.select("work_id", F.regexp_extract(F.substring(body, 1, 100000), r"(?is)abstract\s*\n(.*?)\n\s*\n", 1).alias("abstract"))
+    head = F.when(F.col("work_id") % 4 == 0, "Intro\nAbstract\n").when(F.col("work_id") % 4 == 1, "Аннотация: ").when(F.col("work_id") % 4 == 2, "РЕЗЮМЕ.\n").otherwise("Nothing ")
+    tail = F.when(F.col("work_id") % 3 == 0, " Keywords: a").when(F.col("work_id") % 3 == 1, "\nmore\n \n").otherwise(" Введение")
+    return t.works.select("work_id", text.abstract(F.concat(head, "title", tail, F.lit("\n"), "text")).alias("abstract"))
 
 
 @query(r"""SELECT work_id, regexp_extract(ref, '\(((?:19|20)[0-9]{2})\)', 1) AS year, regexp_extract(ref, '^([^,(]+),', 1) AS surname, regexp_extract(ref, '\)\. ([^.]+)\.', 1) AS title, regexp_extract(ref, '(https?://[^ ]+)', 1) AS url
@@ -89,12 +104,12 @@ def j10_surnames(t: Tables) -> DataFrame:
     return t.works.select("work_id", s.alias("surname"), F.concat(s, F.coalesce(F.col("year").cast("string"), F.lit(""))).alias("stem"))
 
 
-@query()
+@query("SELECT work_id, strip_accents(replace(replace(replace(replace(lower(title), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o')) AS title FROM works")
 def j11_latin(t: Tables) -> DataFrame:
     return t.works.select("work_id", arrow.latin_udf("title").alias("title"))
 
 
-@query(r"""WITH k AS (SELECT cited, authors || year AS base FROM cited) SELECT cited, base || CASE n WHEN 1 THEN '' ELSE chr(CAST(95 + n AS INTEGER)) END AS key FROM (SELECT cited, base, row_number() OVER (PARTITION BY base ORDER BY cited) AS n FROM k) WHERE n <= 27""")
+@query(r"""WITH k AS (SELECT cited, authors || year AS base FROM cited) SELECT cited, base || CASE WHEN n = 1 THEN '' WHEN n <= 27 THEN chr(CAST(95 + n AS INTEGER)) ELSE '_' || substr(md5(CAST(cited AS VARCHAR)), 1, 6) END AS key FROM (SELECT cited, base, row_number() OVER (PARTITION BY base ORDER BY cited) AS n FROM k)""")
 def j12_citekeys(t: Tables) -> DataFrame:
     k = t.cited.select("cited", F.concat("authors", F.col("year").cast("string")).alias("base"))
     n = k.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("cited")))
@@ -113,10 +128,10 @@ def j13_state_hash(t: Tables) -> DataFrame:
     return t.fragments.groupBy(F.coalesce("intent", F.lit("")).alias("intent")).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("section")), ","), 256).alias("state"))
 
 
-@query("SELECT fragment_id, section || '.4' AS deepest, CAST(split_part(section, '.', 1) AS INTEGER) AS chapter FROM fragments WHERE work_id < 100")
+@query("SELECT fragment_id, section || '.4' AS deepest, CAST(split_part(section, '.', 1) AS INTEGER) AS chapter FROM fragments")
 def j14_section_ids(t: Tables) -> DataFrame:
     s = F.concat(F.lit("ch. 7 see "), "section", F.lit(".4 and 2"))
-    return t.fragments.filter("work_id < 100").select("fragment_id", text.deepest_section(s).alias("deepest"), F.split_part("section", F.lit("."), F.lit(1)).cast("int").alias("chapter"))
+    return t.fragments.select("fragment_id", text.deepest_section(s).alias("deepest"), F.split_part("section", F.lit("."), F.lit(1)).cast("int").alias("chapter"))
 
 
 @query("SELECT work_id, CASE WHEN contains(lower(title), 'tion') THEN 'method' WHEN contains(lower(title), 'que') THEN 'theory' WHEN contains(lower(title), 'th') THEN 'results' ELSE 'other' END AS kind, CASE WHEN regexp_matches(text, '[\\x{0400}-\\x{04FF}]') THEN 'ru' ELSE 'other' END AS script FROM works")
@@ -143,9 +158,9 @@ def j25_title_words(t: Tables) -> DataFrame:
     return t.works.select("work_id", F.array_join(F.array_sort(text.title_words(F.col("title"))), " ").alias("words"))
 
 
-@query("SELECT citing, string_agg(w, ' ' ORDER BY p, w) AS text FROM (SELECT DISTINCT citing, line AS p, intent AS w FROM edges WHERE citing < 500) GROUP BY citing")
+@query("SELECT citing, string_agg(w, ' ' ORDER BY p, w) AS text FROM (SELECT DISTINCT citing, line AS p, intent AS w FROM edges) GROUP BY citing")
 def j23_inverted_index(t: Tables) -> DataFrame:
-    places = t.edges.filter("citing < 500").groupBy("citing", "intent").agg(F.collect_set("line").alias("ps"))
+    places = t.edges.groupBy("citing", "intent").agg(F.collect_set("line").alias("ps"))
     index = places.groupBy("citing").agg(F.map_from_entries(F.collect_list(F.struct("intent", "ps"))).alias("index"))
     return index.select("citing", text.from_inverted_index(F.col("index")).alias("text"))
 
@@ -178,7 +193,7 @@ def l3_array_functions(t: Tables) -> DataFrame:
     return t.works.select("work_id", F.array_join(F.array_distinct(parsed), ",").alias("s"))
 
 
-@query()
+@query("""SELECT event_id, '{"k": ' || json_extract_string(props, '$.k') || '}' AS json FROM usage""")
 def l4_repair_json(t: Tables) -> DataFrame:
     chatty = F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", "}", ",}"), F.lit("\n```"))
     return t.usage.select("event_id", arrow.repair_json_udf(chatty).alias("json"))
@@ -194,3 +209,112 @@ def l7_vocabulary(t: Tables) -> DataFrame:
 def f7_chunks(t: Tables) -> DataFrame:
     c = t.works.select("work_id", F.explode(arrow.chunks_udf("text")).alias("c"))
     return c.select("work_id", "c.start", "c.end")
+
+
+@query()
+def f7_paged_chunks(t: Tables) -> DataFrame:
+    """Chunks of texts in pages: where each starts, and on which page."""
+    pages = F.concat(F.lit("[Page 1]\n"), "text", F.lit("\n\n[Page 2]\n"), "title", F.lit("\n\n[Page 3]\n"), "text")
+    c = t.works.select("work_id", F.explode(arrow.chunks_udf(pages)).alias("c"))
+    return c.select("work_id", "c.start", "c.end", "c.page")
+
+
+# locators, numbers, notes, sections
+
+
+@query(r"""WITH b AS (SELECT work_id, CASE WHEN work_id % 7 <> 0 THEN work_id % 50 END AS page, title || chr(10) || CASE work_id % 3 WHEN 0 THEN ' ' || section || '.2 Rule' WHEN 1 THEN 'Таблица А.' || chapter ELSE 'plain 2.5' END || chr(10) || title || chr(10) || CASE WHEN work_id % 2 = 0 THEN 'приложение б Rest' ELSE '12 items' END || chr(10) || lang AS body FROM works),
+ p AS (SELECT *, unnest([0, CAST(length(body) // 2 AS INTEGER), CAST(length(body) AS INTEGER)]) AS place, unnest([0, 1, 2]) AS nth FROM b),
+ u AS (SELECT *, string_split(substr(body, 1, place) || split_part(substr(body, place + 1), chr(10), 1), chr(10)) AS lines FROM p),
+ m AS (SELECT *, list_filter(list_transform(lines, lambda x: CASE WHEN regexp_extract(x, '^\s*(\d+(?:\.\d+)+)(?:\b|$)', 1) <> '' THEN 'п. ' || regexp_extract(x, '^\s*(\d+(?:\.\d+)+)(?:\b|$)', 1)
+   WHEN regexp_extract(x, '(?i)^\s*таблица\s+([А-ЯA-Z]?\.?\d+(?:\.\d+)*)(?:\b|$)', 1) <> '' THEN 'табл. ' || regexp_extract(x, '(?i)^\s*таблица\s+([А-ЯA-Z]?\.?\d+(?:\.\d+)*)(?:\b|$)', 1)
+   WHEN regexp_extract(x, '(?i)^\s*приложение\s+([А-ЯA-Z])(?:[^\p{L}\p{N}_]|$)', 1) <> '' THEN 'Приложение ' || upper(regexp_extract(x, '(?i)^\s*приложение\s+([А-ЯA-Z])(?:[^\p{L}\p{N}_]|$)', 1)) END), lambda x: x IS NOT NULL) AS found FROM u)
+ SELECT work_id, nth, coalesce(found[-1], 'с. ' || page) AS locator FROM m""")
+def j16_locators(t: Tables) -> DataFrame:
+    """How three places of every text are cited: its beginning, its middle and its end."""
+    second = F.when(F.col("work_id") % 3 == 0, F.concat(F.lit(" "), "section", F.lit(".2 Rule"))).when(F.col("work_id") % 3 == 1, F.concat(F.lit("Таблица А."), F.col("chapter").cast("string"))).otherwise("plain 2.5")
+    fourth = F.when(F.col("work_id") % 2 == 0, "приложение б Rest").otherwise("12 items")
+    body = F.concat_ws("\n", "title", second, "title", fourth, "lang")
+    b = t.works.select("work_id", F.when(F.col("work_id") % 7 != 0, F.col("work_id") % 50).alias("page"), body.alias("body"))
+    p = b.select("*", F.posexplode(F.array(F.lit(0), F.floor(F.length("body") / 2).cast("int"), F.length("body"))).alias("nth", "place"))
+    return p.select("work_id", "nth", text.locator(F.col("body"), F.col("place"), F.col("page")).alias("locator"))
+
+
+@query(r"""WITH s AS (SELECT work_id, 'x 10,5; v0.674 and 52.27.759, 1 999; ' || coalesce(year, 7) || ' of ' || title || ' 3.' AS src FROM works), r AS (SELECT *, unnest(['0,674 mg', '10.5', '27', '52.27', '759', '1999', 'none', '~3', '74']) AS raw FROM s),
+ n AS (SELECT *, regexp_extract(raw, '(\d+)(?:[.,](\d+))?', 1) AS a, regexp_extract(raw, '(\d+)(?:[.,](\d+))?', 2) AS b FROM r)
+ SELECT work_id, raw, CASE WHEN a <> '' THEN nullif(regexp_extract(src, '(?:^|[^0-9.,]|(?:^|[^0-9])[.,])(' || a || CASE WHEN b <> '' THEN '[.,]' || b ELSE '' END || ')(?:$|[^0-9.,]|[.,](?:$|[^0-9]))', 1), '') END AS found FROM n""")
+def j19_numbers_in_source(t: Tables) -> DataFrame:
+    """Numbers as the source spells them: with a point or a comma, and never as a part of a longer one."""
+    src = F.concat(F.lit("x 10,5; v0.674 and 52.27.759, 1 999; "), F.coalesce("year", F.lit(7)).cast("string"), F.lit(" of "), "title", F.lit(" 3."))
+    raws = F.array(*map(F.lit, ("0,674 mg", "10.5", "27", "52.27", "759", "1999", "none", "~3", "74")))
+    r = t.works.select("work_id", src.alias("src"), F.explode(raws).alias("raw"))
+    return r.select("work_id", "raw", text.number_in(F.col("raw"), F.col("src")).alias("found"))
+
+
+@query()
+def j19_passages(t: Tables) -> DataFrame:
+    """What stands around each work's title in its text."""
+    return t.works.filter("title <> ''").select("work_id", text.passage(F.col("text"), F.col("title")).alias("passage"))
+
+
+@query("""WITH v AS (SELECT work_id, title || ' ' || lang AS body, CAST(length(title) AS INTEGER) AS n FROM works),
+ x AS (SELECT work_id, body, unnest([n, 2, n, 2, 900000]) AS pos, unnest([1, 2, 3, 4, 5]) AS i, unnest(['hard_warn', 'soft_warn', 'hard_warn', 'ok', 'error']) AS severity, unnest(['k1', 'k-->2', 'k1', 'k3', 'k4']) AS k FROM v),
+ y AS (SELECT *, least(pos, length(body)) AS place, CASE WHEN severity = 'soft_warn' THEN '<!-- check: check what supports @' ELSE '<!-- check: unsupported by @' END || replace(replace(k, '--', '-'), '>', ' ') || CASE WHEN severity = 'soft_warn' THEN '' ELSE ': raw-  text' END || ' -->' AS note FROM x WHERE severity <> 'ok' AND i <> 3),
+ z AS (SELECT work_id, body, list(lpad(CAST(place AS VARCHAR), 9, '0') || '|' || note ORDER BY place DESC, i) AS notes FROM y GROUP BY work_id, body)
+ SELECT work_id, list_reduce(list_prepend(body, notes), lambda a, b: substr(a, 1, CAST(substr(b, 1, 9) AS INTEGER)) || substr(b, 11) || substr(a, CAST(substr(b, 1, 9) AS INTEGER) + 1)) AS body FROM z""")
+def j22_annotated_drafts(t: Tables) -> DataFrame:
+    """Drafts with comments behind their doubtful anchors; repeated verdicts are noted once, places beyond the end stand at the end."""
+    n = F.length("title")
+    rows = ((n, "hard_warn", "k1"), (F.lit(2), "soft_warn", "k-->2"), (n, "hard_warn", "k1"), (F.lit(2), "ok", "k3"), (F.lit(900_000), "error", "k4"))
+    verdicts = F.array(*[F.struct(F.lit(0).alias("start"), end.cast("int").alias("end"), F.lit(key).alias("key"), F.lit(severity).alias("severity"), F.lit("raw-->\ntext").alias("raw")) for end, severity, key in rows])
+    return t.works.select("work_id", text.annotated(F.concat_ws(" ", "title", "lang"), verdicts).alias("body"))
+
+
+_DRAFT = "'## 1 First' || chr(10) || 'intro ' || lang || chr(10) || '### 1.' || chapter || ' ' || title || chr(10) || chr(10) || 'body ' || work_id || chr(10) || '### Prose heading' || chr(10) || 'more' || chr(10) || '### 1.9 Last' || chr(10) || 'x' || chr(10) || '## 2 End'"
+
+
+def _drafts(t: Tables) -> DataFrame:
+    c = F.col("chapter").cast("string")
+    draft = F.concat(F.lit("## 1 First\nintro "), "lang", F.lit("\n### 1."), c, F.lit(" "), "title", F.lit("\n\nbody "), F.col("work_id").cast("string"), F.lit("\n### Prose heading\nmore\n### 1.9 Last\nx\n## 2 End"))
+    return t.works.select("work_id", "lang", "title", c.alias("chapter"), draft.alias("draft"))
+
+
+@query("SELECT work_id, 'body ' || work_id || chr(10) || '### Prose heading' || chr(10) || 'more' AS body, 'intro ' || lang || chr(10) || '### 1.' || chapter || ' ' || title || chr(10) || chr(10) || 'body ' || work_id || chr(10) || '### Prose heading' || chr(10) || 'more' || chr(10) || '### 1.9 Last' || chr(10) || 'x' AS chapter_body, CAST(NULL AS VARCHAR) AS absent FROM works")
+def j21_section_bodies(t: Tables) -> DataFrame:
+    """A section ends at the next numbered heading of its level or above; headings in prose belong to it."""
+    d = F.col("draft")
+    return _drafts(t).select("work_id", text.section_body(d, F.concat(F.lit("1."), "chapter")).alias("body"), text.section_body(d, F.lit("1")).alias("chapter_body"), text.section_body(d, F.lit("7.7")).alias("absent"))
+
+
+@query(f"SELECT work_id, replace({_DRAFT}, chr(10) || 'body ' || work_id || chr(10) || '### Prose heading' || chr(10) || 'more' || chr(10), chr(10) || 'new text' || chr(10) || chr(10)) AS replaced, {_DRAFT} || chr(10) || chr(10) || '### 7.7 Extra' || chr(10) || chr(10) || 'new text' || chr(10) AS added FROM works")
+def j21_replaced_sections(t: Tables) -> DataFrame:
+    section = F.concat(F.lit("1."), "chapter")
+    body = F.concat(F.lit("\n### "), section, F.lit(" Old title\n\nnew text\n\n"))
+    made = text.with_section(F.col("draft"), section, body, F.lit(None).cast("string"))
+    return _drafts(t).select("work_id", made.alias("replaced"), text.with_section(F.col("draft"), F.lit("7.7"), F.lit("new text"), F.lit("Extra")).alias("added"))
+
+
+@query("SELECT work_id, unnest([0, 2, 5, 7, 9]) AS line, unnest([2, 3, 3, 3, 2]) AS level, unnest(['1', '1.' || chapter, 'prose-heading', '1.9', '2']) AS section_id, unnest(['First', CASE WHEN title = '' THEN '1.' || chapter ELSE title END, 'Prose heading', 'Last', 'End']) AS title FROM works")
+def j21_headings(t: Tables) -> DataFrame:
+    h = _drafts(t).select("work_id", F.explode(text.headings(F.col("draft"))).alias("h"))
+    return h.select("work_id", "h.line", "h.level", "h.section_id", "h.title")
+
+
+@query("""SELECT work_id, 'w' || work_id AS key, 'It is 0.5 of ' || lang || ' here [@w' || work_id || '] and on.' AS sentence FROM works
+ UNION ALL SELECT work_id, '2', 'Last one says ' || lang || ' [2]' FROM works""")
+def j17_sentences(t: Tables) -> DataFrame:
+    """The sentence of every citation: dots between digits end none, headings do, code and front matter cite nothing."""
+    w = F.concat(F.lit("w"), F.col("work_id").cast("string"))
+    draft = F.concat(F.lit("---\nkey: [@no]\n---\nBefore; It is 0.5 of "), "lang", F.lit(" here [@"), w, F.lit("] and on. `[@code]` <!-- [3] -->\n\n# Heading\n\nLast one says "), "lang", F.lit(" [2]\n# Next 4\n"))
+    s = t.works.select("work_id", draft.alias("d"), F.explode(arrow.sentences_udf(draft)).alias("s"))
+    return s.select("work_id", "s.key", F.expr("substring(d, s.start + 1, s.end - s.start)").alias("sentence"))
+
+
+@query("SELECT work_id, lang AS language, '7' AS depth, collection AS collection, CASE WHEN work_id % 2 = 0 THEN 'own' ELSE 'base' END AS kind FROM works")
+def l6_map_merge(t: Tables) -> DataFrame:
+    """Settings of a project over those of the library: inner maps are merged, the nearer value wins."""
+    base = F.create_map(F.lit("text"), F.create_map(F.lit("language"), F.lit("en"), F.lit("depth"), F.lit("7")), F.lit("store"), F.create_map(F.lit("kind"), F.lit("base")))
+    over = F.create_map(F.lit("text"), F.create_map(F.lit("language"), F.col("lang")), F.lit("name"), F.create_map(F.lit("collection"), F.col("collection")))
+    own = F.map_filter(F.create_map(F.lit("store"), F.create_map(F.lit("kind"), F.lit("own"))), lambda k, v: F.col("work_id") % 2 == 0)
+    m = text.deep_merged(text.deep_merged(base, over), own)
+    at = lambda a, b: F.try_element_at(F.try_element_at("m", F.lit(a)), F.lit(b))
+    return t.works.select("work_id", m.alias("m")).select("work_id", at("text", "language").alias("language"), at("text", "depth").alias("depth"), at("name", "collection").alias("collection"), at("store", "kind").alias("kind"))
