@@ -1,11 +1,15 @@
-"""Vector similarity by higher-order functions, exact and by hyperplane signatures."""
+"""Vector similarity: by higher-order functions in the row, by products of blocks over all rows, by hyperplane signatures."""
 
 from __future__ import annotations
 
 import functools
+import heapq
 import operator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +39,110 @@ def centroid(rows: DataFrame, key: str, dim: int) -> DataFrame:
     return rows.filter(F.size("v") == dim).groupBy(key).agg(means.alias("centroid"), F.count(F.lit(1)).alias("n"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
-    """Exact top k of ``base`` (id, v) for each of a stated, bounded set of queries (query_id, q)."""
-    pairs = base.crossJoin(F.broadcast(queries)).filter(F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("similarity")).filter(F.col("similarity") >= floor)
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+def packed(rows: DataFrame, size: int, dim: int, label: str | None = None) -> tuple[DataFrame, int]:
+    """Rows (id, v) as blocks of some ``size`` unit vectors: block, ids, labels and the matrix, each as bytes; and how many blocks.
+
+    Vectors that are zero or of another length are rows of zeros, which are like nothing.
+    """
+    n = max(1, -(-rows.count() // size))
+
+    def pack(part: pa.Table) -> pa.Table:
+        flat = part.column("v").combine_chunks()
+        fits = np.asarray(pc.equal(pc.fill_null(pc.list_value_length(flat), 0), dim))
+        m = np.zeros((len(part), dim))
+        m[fits] = np.asarray(pc.fill_null(flat.filter(pa.array(fits)).flatten(), 0.0), dtype=np.float64).reshape(-1, dim)
+        norms = np.sqrt((m * m).sum(axis=1))
+        m /= np.where(norms > 0, norms, 1.0)[:, None]
+        numbers = [np.asarray(part.column(c), dtype=np.int64).tobytes() for c in ("id", "label")]
+        return pa.table({"block": part.column("block")[:1], "ids": [numbers[0]], "labels": [numbers[1]], "m": [m.tobytes()]})
+
+    some = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), (F.col(label) if label else F.lit(0)).cast("long").alias("label"), "v")
+    return some.groupBy("block").applyInArrow(pack, "block int, ids binary, labels binary, m binary"), n
+
+
+def _met(a: DataFrame, b: DataFrame, of, schema: str) -> DataFrame:
+    """Every two blocks that share ``meet`` in one call of ``of`` (ids, labels and matrix of each), spread over the tasks."""
+    read = lambda row, x: (np.frombuffer(row[f"ids_{x}"], dtype=np.int64), np.frombuffer(row[f"labels_{x}"], dtype=np.int64), np.frombuffer(row[f"m_{x}"]).reshape(len(row[f"ids_{x}"]) // 8, -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield of(*(read(batch.slice(i, 1).to_pylist()[0], x) for x in "ab"))
+
+    named = lambda df, x: df.select("meet", "block", *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "labels", "m")])
+    both = named(a, "a").join(named(b, "b").drop("block"), "meet")
+    return both.repartition("block", "meet").mapInArrow(run, schema)
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, dim: int, floor: float = -1.0, size: int = 1024) -> DataFrame:
+    """Exact top k of ``base`` (id, v) for each of ``queries`` (query_id, q), by id where equally similar.
+
+    Blocks of queries meet blocks of the base as products of matrices; each gives its k best for each query, of which the best
+    are kept. Nothing is broadcast, so the queries may grow with the base.
+    """
+    asked, n = packed(queries.select(F.col("query_id").alias("id"), F.col("q").alias("v")), size, dim)
+    held, _ = packed(base.select("id", "v"), size, dim)
+
+    def best(a: tuple, b: tuple) -> pa.RecordBatch:
+        (ids, _, m), (query_ids, _, q) = a, b
+        s = q @ m.T
+        s[query_ids[:, None] == ids[None, :]] = -np.inf
+        s[s < floor] = -np.inf
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        order = np.lexsort((ids[col], -s[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids[col]), pa.array(s[row, col])], names=["query_id", "id", "similarity"])
+
+    blocks = held.withColumn("meet", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    found = _met(blocks, asked.withColumn("meet", F.col("block")), best, "query_id long, id long, similarity double")
+    place = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+
+
+def all_similar_pairs(rows: DataFrame, threshold: float, dim: int, size: int = 512) -> DataFrame:
+    """Every pair (a < b, similarity) of ``rows`` (id, section, v) of different sections at least as similar as ``threshold``.
+
+    All pairs, so the work grows with the square of the rows (see :func:`similar_pairs` for less): each two blocks meet once, as
+    a product of matrices of which only what reaches the threshold leaves the task.
+    """
+    blocks, n = packed(rows, size, dim, "section")
+
+    def pairs(a: tuple, b: tuple) -> pa.RecordBatch:
+        (left, sections, m), (right, others, w) = a, b
+        s = m @ w.T
+        keep = (s >= threshold) & (sections[:, None] != others[None, :])
+        if len(left) == len(right) and (left == right).all():
+            keep &= left[:, None] < right[None, :]
+        i, j = np.nonzero(keep)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left[i], right[j])), pa.array(np.maximum(left[i], right[j])), pa.array(s[i, j])], names=["a", "b", "similarity"])
+
+    left = blocks.withColumn("meet", F.explode(F.sequence(F.col("block"), F.lit(n - 1))))
+    return _met(left, blocks.withColumn("meet", F.col("block")), pairs, "a long, b long, similarity double")
+
+
+class Nearest:
+    """A table function: of the rows (id, v) of each partition the ``k`` most like a vector. At most ``k`` rows are held."""
+
+    def __init__(self) -> None:
+        self.best: list[tuple[float, int]] = []
+
+    def eval(self, row, q: list, k: int) -> None:
+        self.group, a, b = row["section"], np.array(row["v"], dtype=np.float64), np.array(q, dtype=np.float64)
+        n = np.sqrt((a * a).sum() * (b * b).sum()) if len(a) == len(b) else 0.0
+        entry = (float(a @ b / n) if n else 0.0, -row["id"])
+        heapq.heappush(self.best, entry) if len(self.best) < k else heapq.heappushpop(self.best, entry)
+
+    def terminate(self):
+        for place, (similarity, negative) in enumerate(sorted(self.best, reverse=True), 1):
+            yield self.group, -negative, similarity, place
+
+
+def register_nearest(spark) -> None:
+    """``knn(TABLE(t) PARTITION BY section, q => array, k => number)`` in SQL: section, id, similarity, place."""
+    spark.udtf.register("knn", F.udtf(Nearest, returnType="section int, id long, similarity double, place int"))
 
 
 def signatures(v: Column, dim: int, tables: int, bits: int, seed: int = 42) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from athenaeum import plugs
+from athenaeum.functions import arrow
 from athenaeum.operators import vectors
+from athenaeum.operators.sizes import bounded
 from athenaeum.plans.registry import query
 from athenaeum.sources.tables import Tables
 
@@ -46,7 +49,7 @@ def e12_centroids(t: Tables) -> DataFrame:
 def g3_nearest(t: Tables) -> DataFrame:
     """Top 10 for the stated query set: ids divisible by 100."""
     queries = t.vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return vectors.nearest(queries, t.vectors.select("id", "v"), 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "place")
+    return vectors.nearest(queries, t.vectors.select("id", "v"), 10, DIM).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "place")
 
 
 @query(f"SELECT section, query_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY section, query_id ORDER BY s DESC, id) AS place FROM (SELECT b.section, q.id AS query_id, b.id, {cos('q.v', 'b.v')} AS s FROM vectors q JOIN vectors b ON q.id IN (0, 100) AND q.id <> b.id)) WHERE place <= 3")
@@ -59,13 +62,8 @@ def g4_partitioned_knn(t: Tables) -> DataFrame:
 
 @query(f"SELECT a.id AS a, b.id AS b, round({cos('a.v', 'b.v')}, 6) AS similarity FROM vectors a JOIN vectors b ON a.id < b.id AND a.section <> b.section AND {cos('a.v', 'b.v')} >= 0.4")
 def d5_cross_section_pairs(t: Tables) -> DataFrame:
-    """All pairs of different sections above the threshold, exactly: blocks of sections meet, one pair of blocks a task."""
-    blocks = t.vectors.withColumn("block", (F.col("id") % 16).cast("int"))
-    a = blocks.select(F.col("id").alias("a"), F.col("section").alias("sa"), F.col("v").alias("va"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(F.col("block").alias("i"), k.alias("j")))).alias("k"))
-    b = blocks.select(F.col("id").alias("b"), F.col("section").alias("sb"), F.col("v").alias("vb"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(k.alias("i"), F.col("block").alias("j")))).alias("k"))
-    met = a.join(b, "k").filter((F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb")))
-    scored = met.select("a", "b", vectors.dot(F.col("va"), F.col("vb")).alias("d"), (vectors.norm(F.col("va")) * vectors.norm(F.col("vb"))).alias("n"))
-    return scored.filter((F.col("n") > 0) & (F.col("d") / F.col("n") >= 0.4)).select("a", "b", F.round(F.col("d") / F.col("n"), 6).alias("similarity"))
+    """All pairs of different sections above the threshold, exactly: each two blocks of vectors meet once."""
+    return vectors.all_similar_pairs(t.vectors, 0.4, DIM).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -78,8 +76,8 @@ def d5_similar_pairs_by_signature(t: Tables) -> DataFrame:
  b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, target) AS place, max(CASE WHEN target = section THEN score END) OVER (PARTITION BY id) AS own FROM s)
  SELECT id, section, target, round(score, 6) AS score, round(score - own, 6) AS delta FROM b WHERE place = 1 AND target <> section AND score >= 0.2 AND score - own >= 0.01""")
 def d6_reassign(t: Tables) -> DataFrame:
-    """Each vector against every section's centroid (as many as there are sections)."""
-    s = t.vectors.join(F.broadcast(_centroids(t)))
+    """Each vector against every section's centroid; these are sent to the vectors if there are not too many."""
+    s = t.vectors.join(bounded(_centroids(t)))
     score = vectors.cosine(F.col("v"), F.col("centroid")) - F.when(F.col("section") % 2 != F.col("target") % 2, 0.02).otherwise(0.0) + F.when(F.col("target") == 3, 0.03).otherwise(0.0)
     s = s.select("id", "section", "target", score.alias("score"))
     best = s.groupBy("id", "section").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("b"), F.max(F.when(F.col("target") == F.col("section"), F.col("score"))).alias("own"))
@@ -96,13 +94,13 @@ def e9_semantic_rerank(t: Tables) -> DataFrame:
     return g.select("cited", F.round(F.col("n") * F.coalesce(0.5 + 0.5 * F.col("s"), F.lit(1.0)), 6).alias("score")).orderBy(F.desc("score"), "cited").limit(40)
 
 
-@query(f"""WITH f AS (SELECT id % 50 AS source, max({cos('v', '(SELECT v FROM vectors WHERE id = 1)')}) AS s FROM vectors WHERE id % 3 = 0 GROUP BY 1), d AS (SELECT id AS source, {cos('v', '(SELECT v FROM vectors WHERE id = 1)')} AS s FROM vectors WHERE id < 70)
+@query(f"""WITH f AS (SELECT id % 50 AS source, max({cos('v', '(SELECT v FROM vectors WHERE id = 1)')}) AS s FROM vectors GROUP BY 1), d AS (SELECT id AS source, {cos('v', '(SELECT v FROM vectors WHERE id = 1)')} AS s FROM vectors)
  SELECT coalesce(f.source, d.source) AS source, round(greatest(coalesce(f.s, -1), coalesce(d.s, -1)), 6) AS similarity FROM f FULL JOIN d ON d.source = f.source""")
 def e26_hit_merge(t: Tables) -> DataFrame:
     q = F.broadcast(t.vectors.filter("id = 1").select(F.col("v").alias("q")))  # one row
     s = t.vectors.join(q).select("id", vectors.cosine(F.col("v"), F.col("q")).alias("s"))
-    f = s.filter("id % 3 = 0").groupBy((F.col("id") % 50).alias("source")).agg(F.max("s").alias("f"))
-    both = f.join(s.filter("id < 70").select(F.col("id").alias("source"), F.col("s").alias("d")), "source", "full")
+    f = s.groupBy((F.col("id") % 50).alias("source")).agg(F.max("s").alias("f"))
+    both = f.join(s.select(F.col("id").alias("source"), F.col("s").alias("d")), "source", "full")
     return both.select("source", F.round(F.greatest(F.coalesce("f", F.lit(-1.0)), F.coalesce("d", F.lit(-1.0))), 6).alias("similarity"))
 
 
@@ -110,7 +108,7 @@ def e26_hit_merge(t: Tables) -> DataFrame:
  SELECT block, id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY block) AS n FROM k WHERE place <= 5) WHERE n = 1""")
 def h4_retrieve_per_block(t: Tables) -> DataFrame:
     q = t.vectors.filter(F.col("id").isin(3, 5, 8)).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return vectors.nearest(q, t.vectors.select("id", "v"), 5).groupBy("id").agg(F.min("query_id").alias("block"))
+    return vectors.nearest(q, t.vectors.select("id", "v"), 5, DIM).groupBy("id").agg(F.min("query_id").alias("block"))
 
 
 @query(f"SELECT id, similarity FROM (SELECT id, round({cos('v', '(SELECT v FROM vectors WHERE id = 2)')}, 4) AS similarity FROM vectors WHERE id <> 2) WHERE similarity >= 0.1 ORDER BY similarity DESC, id LIMIT 5")
@@ -118,3 +116,39 @@ def p9_threshold_topk(t: Tables) -> DataFrame:
     q = F.broadcast(t.vectors.filter("id = 2").select(F.col("v").alias("q")))  # one row
     s = t.vectors.filter("id <> 2").join(q).select("id", F.round(vectors.cosine(F.col("v"), F.col("q")), 4).alias("similarity"))
     return s.filter("similarity >= 0.1").orderBy(F.desc("similarity"), "id").limit(5)
+
+
+@query(f"SELECT section, id, round(s, 6) AS similarity, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY s DESC, id) AS place FROM (SELECT section, id, {cos('v', '(SELECT v FROM vectors WHERE id = 7)')} AS s FROM vectors)) WHERE place <= 4")
+def q1_knn_table_function(t: Tables) -> DataFrame:
+    """The four of each section that are most like one vector, by a table function called from SQL."""
+    vectors.register_nearest(t.spark)
+    q = t.vectors.filter("id = 7").select("v").first()
+    args = {"q": q["v"] if q else []}
+    found = t.spark.sql("SELECT * FROM knn(TABLE({rows}) PARTITION BY section, q => :q, k => 4)", args=args, rows=t.vectors.select("id", "section", "v"))
+    return found.select("section", "id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query("SELECT id, CAST(4 * len(v) AS INTEGER) AS bytes, round(CAST(v[1] AS DOUBLE), 6) AS first, round(list_sum(CAST(v AS DOUBLE[])), 6) AS total FROM vectors")
+def h2_packed_vectors(t: Tables) -> DataFrame:
+    """Vectors as bytes of 32-bit floats and back."""
+    blobs = t.vectors.select("id", arrow.pack_udf("v").alias("blob"))
+    back = blobs.select("id", F.length("blob").alias("bytes"), arrow.unpack_udf("blob").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return back.select("id", "bytes", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("first"), F.round(total, 6).alias("total"))
+
+
+@query("SELECT work_id, CASE WHEN trim(title) <> '' THEN 64 END AS dim, CASE WHEN trim(title) <> '' THEN 1.0::DOUBLE END AS norm FROM works")
+def a12_embeddings(t: Tables) -> DataFrame:
+    """Vectors of titles from a provider that is plugged in; here one that hashes words."""
+    v = t.works.select("work_id", plugs.embedded("title", plugs.HashingEmbedder).alias("v"))
+    return v.select("work_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("dim"), F.when(F.col("v").isNotNull(), F.round(vectors.norm(F.col("v")), 4)).alias("norm"))
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT work_id, text, 0 AS s, CAST(length(text) AS INTEGER) AS e FROM works WHERE length(text) > 0
+ UNION ALL SELECT work_id, text, unnest([s, s + (e - s) // 2]), unnest([s + (e - s) // 2, e]) FROM p WHERE e - s > 6000)
+ SELECT work_id, s AS start, e AS "end", 'ok' AS status, CAST(len(regexp_extract_all(substr(text, s + 1, e - s), '[^ 
+	]+')) AS BIGINT) AS words FROM p WHERE e - s <= 6000""")
+def q3_chunk_map(t: Tables) -> DataFrame:
+    """A generator that is plugged in reads every text; what is too long for it is halved until it isn't."""
+    found = plugs.mapped(t.works.select("work_id", "text"), "work_id", "text", plugs.CountingGenerator, least=2000)
+    return found.select("work_id", "start", "end", "status", F.get_json_object("answer", "$.words").cast("long").alias("words"))
