@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from athenaeum.operators.sizes import bounded
+from athenaeum.operators.vectors import dot, unit
 from athenaeum.schemas import INTENT_WEIGHTS
 
 
@@ -16,12 +18,13 @@ def intent_weight(intent: Column, unknown: float | None = 1.0) -> Column:
     return out
 
 
-def gap_scores(edges: DataFrame, quality: DataFrame, key: str = "cited", unknown: float | None = 1.0, default_quality: float = 3.0) -> DataFrame:
+def gap_scores(edges: DataFrame, quality: DataFrame | None = None, key: str = "cited", unknown: float | None = 1.0, default_quality: float = 3.0) -> DataFrame:
     """For each cited work: distinct citing works x mean quality x mean intent weight.
 
-    With ``unknown`` None, null and foreign intents drop out of the mean (1 if none is left); else they weigh that much.
+    Without ``quality`` (citing, quality) the edges have that column. With ``unknown`` None, null and foreign intents drop out of
+    the mean (1 if none is left); else they weigh that much.
     """
-    joined = edges.join(quality, "citing", "left")
+    joined = edges.join(quality, "citing", "left") if quality is not None else edges
     grouped = joined.groupBy(key).agg(
         F.countDistinct("citing").alias("citing_works"),
         F.avg(F.coalesce(F.col("quality").cast("double"), F.lit(default_quality))).alias("mean_quality"),
@@ -30,6 +33,28 @@ def gap_scores(edges: DataFrame, quality: DataFrame, key: str = "cited", unknown
     return grouped.withColumn("score", F.col("citing_works") * F.col("mean_quality") * F.col("mean_weight"))
 
 
+def top_intent(edges: DataFrame, key: str = "cited") -> DataFrame:
+    """What each cited work is cited for most often; of equally frequent intents the weightiest, then the last by name."""
+    each = edges.filter(F.col("intent").isin(*INTENT_WEIGHTS)).groupBy(key, "intent").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(key).agg(F.max(F.struct("n", intent_weight(F.col("intent")).alias("w"), "intent")).alias("best")).select(key, F.col("best.intent").alias("top_intent"))
+
+
+def semantic_factor(edges: DataFrame, vectors: DataFrame, centroids: DataFrame, dim: int, key: str = "cited") -> DataFrame:
+    """For each cited work 0.5 + 0.5 x the mean cosine of its citing works (id, v) with the section (target, centroid) they are nearest to.
+
+    It lies in [0.5, 1] and is a penalty for what fits no section: works with fewer than two citing vectors, and all works if
+    there is no centroid, have no row and count as 1. A mean of cosines with one direction is the cosine of the mean of unit
+    vectors, so each work is averaged once, whatever the number of sections; centroids (one for each section of an outline) travel as
+    one row.
+    """
+    sized = vectors.filter(F.size("v") == dim).select(F.col("id").alias("citing"), unit(F.col("v")).alias("u"))
+    directions = bounded(centroids.filter(F.size("centroid") == dim).agg(F.collect_list(unit(F.col("centroid"))).alias("directions")), 1)
+    means = F.array(*[F.avg(F.get("u", F.lit(i))) for i in range(dim)])
+    each = edges.select(key, "citing").distinct().join(sized, "citing").groupBy(key).agg(means.alias("mean"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    best = F.array_max(F.transform("directions", lambda c: dot(F.col("mean"), c)))
+    return each.join(directions).filter(F.size("directions") > 0).select(key, (0.5 + 0.5 * F.greatest(F.lit(0.0), best)).alias("factor"))
+
+
 def recent_or_classic(year: Column, measure: Column, today: int, max_age: int, classic: float) -> Column:
     """True for rows without a year, young ones, and old ones that measure up."""
     return F.coalesce(year, F.lit(0)).eqNullSafe(0) | (F.lit(today) - year <= max_age) | F.coalesce(measure >= classic, F.lit(False))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenaeum.operators.matching import top_per_group
-from athenaeum.operators.scoring import gap_scores, intent_weight, recent_or_classic
+from athenaeum.operators.scoring import gap_scores, intent_weight, recent_or_classic, semantic_factor, top_intent
+from athenaeum.operators.sizes import bounded
+from athenaeum.operators.vectors import centroid
 from athenaeum.plans.registry import query
 from athenaeum.schemas import STATUSES
 from athenaeum.sources.tables import Tables
@@ -167,16 +169,26 @@ def e7_gap_score_project(t: Tables) -> DataFrame:
     return scored.select("cited", r6(F.col("score") * sections).alias("score")).orderBy(F.desc("score"), "cited").limit(50)
 
 
-@query(f"""SELECT e.cited, count(DISTINCT citing) AS citing_works, round(count(DISTINCT citing) * avg(coalesce(CAST(q.quality AS DOUBLE), 3.0)) * avg({W_SQL}), 6) AS score
- FROM edges e LEFT JOIN (SELECT doc_id, CASE quality WHEN 1 THEN 5 WHEN 0 THEN 1 END AS quality FROM labels) q ON q.doc_id = e.citing % 1000
- WHERE e.cited NOT IN (SELECT cited FROM cited WHERE owned) GROUP BY e.cited ORDER BY score DESC, e.cited LIMIT 50""")
+_M = "SELECT e.* FROM edges e WHERE e.cited NOT IN (SELECT cited FROM cited WHERE owned)"
+_GAPS = f"""WITH m AS ({_M}), q AS (SELECT doc_id, CASE quality WHEN 1 THEN 5 WHEN 0 THEN 1 END AS quality FROM labels),
+ a AS (SELECT section, pos, avg(x) AS x FROM (SELECT section, CAST(unnest(v) AS DOUBLE) AS x, generate_subscripts(v, 1) AS pos FROM vectors) GROUP BY 1, 2), c AS (SELECT section, list(x ORDER BY pos) AS centroid FROM a GROUP BY 1),
+ s AS (SELECT e.cited, c.section, avg(list_cosine_similarity(CAST(v.v AS DOUBLE[]), c.centroid)) AS mean, count(*) AS n FROM (SELECT DISTINCT cited, citing FROM m) e JOIN vectors v ON v.id = e.citing JOIN c ON true GROUP BY 1, 2),
+ f AS (SELECT cited, CASE WHEN min(n) >= 2 THEN 0.5 + 0.5 * greatest(0, max(mean)) END AS factor FROM s GROUP BY 1),
+ k AS (SELECT cited, arg_max(intent, (n, w, intent)) AS top_intent FROM (SELECT cited, intent, count(*) AS n, any_value({W_SQL}) AS w FROM m e GROUP BY 1, 2) GROUP BY 1)
+ SELECT m.cited, count(DISTINCT citing) AS citing_works, any_value(top_intent) AS top_intent, round(coalesce(any_value(factor), 1.0), 6) AS factor, round(count(DISTINCT citing) * avg(coalesce(CAST(q.quality AS DOUBLE), 3.0)) * avg({W_SQL.replace('CASE intent', 'CASE m.intent')}) * coalesce(any_value(factor), 1.0), 6) AS score
+ FROM m LEFT JOIN q ON q.doc_id = citing % 1000 LEFT JOIN f ON f.cited = m.cited LEFT JOIN k ON k.cited = m.cited GROUP BY m.cited ORDER BY score DESC, m.cited LIMIT 50"""
+
+
+@query(_GAPS)
 def e8_gap_score_library(t: Tables) -> DataFrame:
-    """Missing cited works by citing works, their quality and what they are cited for."""
+    """Missing cited works by citing works, their quality, what they are cited for, and how near they are to a section."""
     missing = t.edges.join(t.cited.filter("owned").select("cited"), "cited", "left_anti")
-    q = t.raw("labels").select(F.col("doc_id").alias("citing"), F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 1).alias("quality"))
-    keyed = missing.withColumn("work", F.col("citing")).withColumn("citing", F.col("citing") % 1000).join(q, "citing", "left")
-    scored = gap_scores(keyed.select(F.col("work").alias("citing"), "cited", "intent", "quality").drop("quality"), keyed.select(F.col("work").alias("citing"), "quality").distinct())
-    return scored.select("cited", "citing_works", r6("score").alias("score")).orderBy(F.desc("score"), "cited").limit(50)
+    q = t.raw("labels").select(F.col("doc_id").alias("labelled"), F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 1).alias("quality"))
+    scored = gap_scores(missing.join(q, F.col("citing") % 1000 == F.col("labelled"), "left"), unknown=None)
+    near = semantic_factor(missing, t.vectors, centroid(t.vectors, "section", 64).select(F.col("section").alias("target"), "centroid"), 64)
+    with_factor = scored.join(near, "cited", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    first = with_factor.select("cited", "citing_works", r6("factor").alias("factor"), r6(F.col("score") * F.col("factor")).alias("score")).orderBy(F.desc("score"), "cited").limit(50)
+    return first.join(top_intent(missing.join(bounded(first.select("cited")), "cited", "left_semi")), "cited", "left").orderBy(F.desc("score"), "cited")
 
 
 @query("""SELECT chapter, CAST(count(*) FILTER (WHERE intent = 'background') AS BIGINT) AS background, CAST(count(*) FILTER (WHERE intent = 'method') AS BIGINT) AS method,
@@ -326,11 +338,11 @@ def g5_keyset_page(t: Tables) -> DataFrame:
     return todo.filter("work_id > 100").select("work_id").orderBy("work_id").limit(20).join(left)
 
 
-@query("""SELECT work_id FROM (SELECT work_id, row_number() OVER (ORDER BY work_id) AS place FROM works WHERE status = 'pending') WHERE place <= greatest(0, 30 - (SELECT count(*) FROM works WHERE status = 'processing' AND work_id < 100))""")
+@query("""SELECT work_id FROM (SELECT work_id, row_number() OVER (ORDER BY work_id) AS place FROM works WHERE status = 'pending') WHERE place <= greatest(0, 250 - (SELECT count(*) FROM works WHERE status = 'processing'))""")
 def g6_daily_quota(t: Tables) -> DataFrame:
-    used = F.broadcast(t.works.filter("status = 'processing' and work_id < 100").agg(F.count(F.lit(1)).alias("used")))  # one row
-    first = t.works.filter("status = 'pending'").select("work_id").orderBy("work_id").limit(30)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("work_id"))).join(used).filter(F.col("place") <= F.greatest(F.lit(0), 30 - F.col("used"))).select("work_id")
+    used = F.broadcast(t.works.filter("status = 'processing'").agg(F.count(F.lit(1)).alias("used")))  # one row
+    first = t.works.filter("status = 'pending'").select("work_id").orderBy("work_id").limit(250)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("work_id"))).join(used).filter(F.col("place") <= F.greatest(F.lit(0), 250 - F.col("used"))).select("work_id")
 
 
 @query("SELECT work_id, priority FROM works WHERE status = 'pending' AND coalesce(flagged, 0) = 0 ORDER BY CASE priority WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, work_id LIMIT 1")
@@ -352,8 +364,18 @@ def g9_longest_preview(t: Tables) -> DataFrame:
 
 @query("SELECT collection, work_id, used FROM (SELECT collection, work_id, CAST(sum(length(text)) OVER (PARTITION BY collection ORDER BY work_id) AS BIGINT) AS used FROM works) WHERE used <= 20000")
 def g10_budget(t: Tables) -> DataFrame:
-    used = F.sum(F.length("text")).over(Window.partitionBy("collection").orderBy("work_id").rowsBetween(Window.unboundedPreceding, 0))
-    return t.works.select("collection", "work_id", used.alias("used")).filter("used <= 20000")
+    """Works of each collection, in order, as far as a budget of characters goes.
+
+    Sums run over chunks of a thousand ids first; only chunks that begin within the budget are looked into, so a collection's
+    works are never sorted in one task.
+    """
+    sized = t.works.select("collection", "work_id", F.length("text").cast("long").alias("n"), F.floor(F.col("work_id") / 1000).alias("chunk"))
+    before = Window.partitionBy("collection").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = sized.groupBy("collection", "chunk").agg(F.sum("n").alias("sum"))
+    begun = chunks.select(F.col("collection").alias("c"), F.col("chunk").alias("k"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base")).filter("base <= 20000")
+    some = sized.join(begun, F.col("collection").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
+    within = Window.partitionBy("collection", "chunk").orderBy("work_id").rowsBetween(Window.unboundedPreceding, 0)
+    return some.select("collection", "work_id", (F.col("base") + F.sum("n").over(within)).alias("used")).filter("used <= 20000")
 
 
 @query("SELECT doi, min(src) AS src FROM (SELECT doi, 0 AS src FROM works WHERE status = 'completed' AND doi IS NOT NULL UNION ALL SELECT doi, 1 FROM works WHERE doi IS NOT NULL) GROUP BY doi")
@@ -372,10 +394,10 @@ def i3_difference(t: Tables) -> DataFrame:
     return t.cited.select("cited").exceptAll(t.edges.filter("intent = 'method'").select("cited").distinct())
 
 
-@query("""WITH have AS (SELECT section, list_distinct(list(intent)) AS got FROM fragments WHERE relevance = 5 AND intent IS NOT NULL AND work_id < 400 GROUP BY section)
+@query("""WITH have AS (SELECT section, list_distinct(list(intent)) AS got FROM fragments WHERE relevance = 5 AND intent IS NOT NULL AND kind = 'summary' GROUP BY section)
  SELECT section, array_to_string(list_sort(list_filter(['method', 'extends', 'contrasts', 'result_comparison'], lambda x: NOT list_contains(got, x))), ',') AS missing FROM have""")
 def i4_missing_intents(t: Tables) -> DataFrame:
-    have = t.fragments.filter("relevance = 5 and work_id < 400").groupBy("section").agg(F.collect_set("intent").alias("got")).filter(F.size("got") > 0)
+    have = t.fragments.filter("relevance = 5 and kind = 'summary'").groupBy("section").agg(F.collect_set("intent").alias("got")).filter(F.size("got") > 0)
     expected = F.array(*map(F.lit, ("method", "extends", "contrasts", "result_comparison")))
     return have.select("section", F.array_join(F.array_sort(F.array_except(expected, "got")), ",").alias("missing"))
 

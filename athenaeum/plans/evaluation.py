@@ -47,12 +47,12 @@ def e19_reconstruction(t: Tables) -> DataFrame:
     return ev.set_metrics(predicted, truth, "section", "cited").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
-@query("""WITH r AS (SELECT citing % 40 AS query, cited AS item, count(*) * 1000 - cited % 97 AS score FROM edges WHERE cited < 300 GROUP BY 1, 2), g AS (SELECT citing % 40 AS query, cited AS item, max(CASE intent WHEN 'method' THEN 3 WHEN 'extends' THEN 2 ELSE 1 END) AS gain FROM edges WHERE line <= 2 AND cited < 300 GROUP BY 1, 2),
+@query("""WITH r AS (SELECT citing % 40 AS query, cited AS item, count(*) * 1000 - cited % 97 AS score FROM edges GROUP BY 1, 2), g AS (SELECT citing % 40 AS query, cited AS item, max(CASE intent WHEN 'method' THEN 3 WHEN 'extends' THEN 2 ELSE 1 END) AS gain FROM edges WHERE line <= 2 GROUP BY 1, 2),
  x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS place FROM r), h AS (SELECT x.query, count(*) AS ranked, count(gain) AS hits, coalesce(sum((pow(2, gain) - 1) / log2(place + 1)), 0) AS dcg FROM x LEFT JOIN g ON g.query = x.query AND g.item = x.item WHERE place <= 10 GROUP BY 1),
  i AS (SELECT query, count(*) AS relevant, sum(CASE WHEN place <= 10 THEN (pow(2, gain) - 1) / log2(place + 1) END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY gain DESC, item) AS place FROM g) GROUP BY 1)
  SELECT i.query, round(hits / ranked, 6) AS precision, round(hits / relevant, 6) AS recall, round(dcg / best, 6) AS ndcg FROM i JOIN h ON h.query = i.query""")
 def e20_retrieval_at_10(t: Tables) -> DataFrame:
-    e = t.edges.filter("cited < 300").select((F.col("citing") % 40).alias("query"), F.col("cited").alias("item"), "line", "intent")
+    e = t.edges.select((F.col("citing") % 40).alias("query"), F.col("cited").alias("item"), "line", "intent")
     ranked = e.groupBy("query", "item").agg((F.count(F.lit(1)) * 1000 - F.max("item") % 97).alias("score")).select("query", "item", "score")
     gain = F.when(F.col("intent") == "method", 3).when(F.col("intent") == "extends", 2).otherwise(1)
     relevant = e.filter("line <= 2").groupBy("query", "item").agg(F.max(gain).alias("gain"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenaeum.operators.matching import as_of, cascade, duplicate_pairs, exactly_one, latest, overlaps, top_per_group, union_coverage
+from athenaeum.operators.matching import as_of, cascade, duplicate_members, duplicate_pairs, exactly_one, latest, overlaps, top_per_group, union_coverage
 from athenaeum.operators.merge import longest_prefix
 from athenaeum.plans.registry import query
 from athenaeum.sources.tables import Tables
@@ -84,10 +84,20 @@ def d10_dual_key(t: Tables) -> DataFrame:
 @query("""WITH k AS (SELECT work_id, lower(trim(doi)) AS k, 1.0::DOUBLE AS c FROM works WHERE doi IS NOT NULL UNION ALL SELECT work_id, split_part(authors, ',', 1) || '|' || year || '|' || substr(lower(title), 1, 50), 0.9 FROM works WHERE year IS NOT NULL
  UNION ALL SELECT work_id, substr(lower(title), 1, 50), 0.7 FROM works WHERE length(title) >= 15) SELECT x.work_id AS a, y.work_id AS b, max(x.c) AS confidence FROM k x JOIN k y ON x.k = y.k AND x.c = y.c AND x.work_id < y.work_id GROUP BY 1, 2""")
 def d11_duplicate_pairs(t: Tables) -> DataFrame:
+    return duplicate_pairs(t.works, "work_id", _duplicate_keys())
+
+
+def _duplicate_keys() -> list:
     title = F.substring(F.lower("title"), 1, 50)
     named = F.concat_ws("|", F.split_part("authors", F.lit(","), F.lit(1)), F.col("year").cast("string"), title)
-    blocks = [(F.lower(F.trim("doi")), 1.0), (F.when(F.col("year").isNotNull(), named), 0.9), (F.when(F.length("title") >= 15, title), 0.7)]
-    return duplicate_pairs(t.works, "work_id", blocks)
+    return [(F.lower(F.trim("doi")), 1.0), (F.when(F.col("year").isNotNull(), named), 0.9), (F.when(F.length("title") >= 15, title), 0.7)]
+
+
+@query("""WITH k AS (SELECT work_id, lower(trim(doi)) AS k, 1.0::DOUBLE AS c FROM works WHERE doi IS NOT NULL UNION ALL SELECT work_id, split_part(authors, ',', 1) || '|' || year || '|' || substr(lower(title), 1, 50), 0.9 FROM works WHERE year IS NOT NULL
+ UNION ALL SELECT work_id, substr(lower(title), 1, 50), 0.7 FROM works WHERE length(title) >= 15) SELECT work_id, representative, links, c AS confidence FROM (SELECT *, min(work_id) OVER (PARTITION BY c, k) AS representative, count(*) OVER (PARTITION BY c, k) - 1 AS links FROM k) WHERE links > 0""")
+def d11_duplicate_members(t: Tables) -> DataFrame:
+    """The same as members of their keys' groups, with how many others share the key."""
+    return duplicate_members(t.works, "work_id", _duplicate_keys())
 
 
 def _spans(t: Tables, line: int) -> DataFrame:

@@ -26,12 +26,49 @@ def a2_reference_export(t: Tables) -> DataFrame:
     return files.uploads(_export(t))
 
 
+@query("""SELECT 'k' || work_id AS citekey, lower(doi) AS doi, trim(title) AS title, CASE WHEN work_id % 7 = 0 THEN '' ELSE split_part(authors, ',', 1) END AS first_author, year FROM works WHERE work_id % 10 <> 9 AND work_id % 13 <> 0""")
+def a3_uploaded_entries(t: Tables) -> DataFrame:
+    """What matching needs of uploaded exports."""
+    return files.upload_entries(_export(t))
+
+
+@query("SELECT lang, 'https://x.org/' || work_id AS url, title, authors, year, '' AS journal, '12' AS volume, '' AS issue, '' AS pages, coalesce(doi, '') AS doi, CASE WHEN work_id % 2 = 0 THEN section ELSE '' END AS sections FROM works")
+def a9_acquisition_batch(t: Tables) -> DataFrame:
+    """Batches of works to acquire: what an item leaves out has its default."""
+    item = F.struct(
+        F.concat(F.lit("https://x.org/"), F.col("work_id").cast("string")).alias("url"), "title", "authors", "year", F.lit(12).alias("volume"), "doi",
+        F.when(F.col("work_id") % 2 == 0, F.array("section")).alias("sections"),
+    )
+    batches = t.works.groupBy("lang", (F.col("work_id") % 50).alias("part")).agg(F.to_json(F.collect_list(item)).alias("data"))
+    return files.acquisition_batch(batches, "data", "lang").withColumn("sections", F.array_join("sections", ","))
+
+
+@query("SELECT DISTINCT 'k' || work_id AS citekey FROM works WHERE title <> ''")
+def a9_citekey_list(t: Tables) -> DataFrame:
+    lists = t.works.filter("title <> ''").groupBy((F.col("work_id") % 50).alias("part")).agg(F.to_json(F.collect_list(F.concat(F.lit("k"), F.col("work_id").cast("string")))).alias("data"))
+    return files.citekey_list(lists, "data")
+
+
+@query("SELECT CASE WHEN chapter % 2 = 0 THEN 'g' || chapter ELSE 'file' || chapter END AS citekey, chapter AS first_page, chapter + 2 AS last_page, count(*) AS claims FROM works WHERE title <> '' GROUP BY chapter")
+def a9_gold_documents(t: Tables) -> DataFrame:
+    """Gold documents: the frame of pages and the claims in it, checked when read."""
+    c = F.col("chapter").cast("string")
+    docs = t.works.filter("title <> ''").groupBy("chapter").agg(F.collect_list(F.struct(F.col("title").alias("quote"))).alias("claims"))
+    made = docs.select(F.concat(F.lit("file"), c).alias("name"), F.to_json(F.struct(F.when(F.col("chapter") % 2 == 0, F.concat(F.lit("g"), c)).alias("citekey"), F.array("chapter", F.col("chapter") + 2).alias("frame_pages"), "claims")).alias("data"))
+    return files.gold_documents(made, "name", "data").select("citekey", "first_page", "last_page", F.size("claims").cast("long").alias("claims"))
+
+
 @query(r"SELECT work_id, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '-' || chr(10), '', 'g'), '(?m)^[ \t]*[0-9]+[ \t]*\n?', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS n FROM works")
 def a4_tidy_pages(t: Tables) -> DataFrame:
     return t.works.select("work_id", F.length(text.tidy_page(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+_BLOCK = r"(?i)</?(?:p|div|br|li|tr|td|th|h[1-6]|blockquote|article|section|header|footer|nav|aside|figure|figcaption)(?:\s[^>]*)?/?>"
+_SHOWN = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<head[ >].*?</head\s*>|<script.*?</script\s*>|<style.*?</style\s*>', '', 'g'), '{_BLOCK}', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+_PLAIN = "replace(replace(replace(replace(replace(replace(" + _SHOWN + ", '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t\r\f\v]*\n[ \t\r\f\v]*', chr(10), 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages")
 def a5_visible_text(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", arrow.visible_text_udf("html").alias("text"))
 
@@ -43,7 +80,7 @@ def a6_page_spans(t: Tables) -> DataFrame:
     return spans.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
 
 
-@query()
+@query("SELECT 'online' AS type, 'k' || work_id AS key, regexp_replace(title, '[{}]', '', 'g') AS title, CAST(year AS VARCHAR) AS year FROM works WHERE title <> ''")
 def a8_bibtex(t: Tables) -> DataFrame:
     works = t.works.filter("title <> ''").select(F.concat(F.lit("k"), F.col("work_id").cast("string")).alias("key"), F.lit("online").alias("type"), "title", "authors", "year")
     parsed = files.bibtex(files.to_bibtex(works))

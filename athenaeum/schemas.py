@@ -1,16 +1,7 @@
-"""Explicit schemas of the library's tables and its fixed vocabularies."""
+"""The library's fixed vocabularies."""
 
 from __future__ import annotations
 
-#: Schemas in DDL, as Spark's readers take them.
-WORKS = "work_id long, title string, authors string, year int, doi string, status string, quality int, chapter int, section string, priority string, lang string, collection string, text string"
-FRAGMENTS = "fragment_id long, work_id long, text string, kind string, chapter int, section string, relevance int, intent string, added timestamp_ntz"
-EDGES = "citing long, cited long, line int, intent string"
-CITED = "cited long, title string, authors string, year int, owned boolean"
-VECTORS = "id long, section int, v array<float>"
-USAGE = "event_id long, seen timestamp_ntz, user_id long, operation string, amount double, props string"
-CLAIMS = "manuscript string, claim_hash string, anchor string, verdict string, judge string, ai_used boolean, verified_at timestamp, stale boolean"
-
 #: What a citation can be for, its weight, and the six statuses of a work.
 INTENT_WEIGHTS = {"method": 3.0, "extends": 2.5, "result_comparison": 2.0, "contrasts": 2.0, "uses_data": 1.5, "background": 1.0}
 STATUSES = ("pending", "processing", "completed", "failed", "skipped", "degraded")

@@ -29,6 +29,49 @@ def uploads(rows: DataFrame, column: str = "data") -> DataFrame:
     return export_items(rows.select(F.from_json(column, EXPORT, {"mode": "FAILFAST"}).alias("d")).select("d.*"))
 
 
+def upload_entries(rows: DataFrame, column: str = "data") -> DataFrame:
+    """What matching needs of uploaded exports: citekey, doi, title, first author's last name, year. A malformed document is an error, a malformed item is left out."""
+    i = rows.select(F.from_json(column, EXPORT, {"mode": "FAILFAST"}).alias("d")).select(F.explode("d.items").alias("i")).select("i.*")
+    kept = i.filter(~F.coalesce("itemType", F.lit("")).isin("attachment", "note") & (F.coalesce("citationKey", F.lit("")) != ""))
+    named = F.filter("creators", lambda c: (c["creatorType"] == "author") & (F.trim(F.coalesce(c["lastName"], F.lit(""))) != ""))
+    doi = F.regexp_replace(F.regexp_replace(F.lower(F.trim("DOI")), r"^https?://(?:dx\.)?doi\.org/", ""), "^/+", "")
+    return kept.select(
+        F.col("citationKey").alias("citekey"), F.nullif(doi, F.lit("")).alias("doi"), F.coalesce(F.trim("title"), F.lit("")).alias("title"),
+        F.coalesce(F.trim(F.get(named, F.lit(0))["lastName"]), F.lit("")).alias("first_author"), F.regexp_extract("date", r"\b(\d{4})\b", 1).try_cast("int").alias("year"),
+    )
+
+
+#: What is read of a batch of works to acquire; numbers and texts are both taken for ``volume`` and ``issue``.
+BATCH = "array<struct<url:string,title:string,authors:string,year:int,journal:string,volume:string,issue:string,pages:string,doi:string,sections:array<string>>>"
+
+
+def acquisition_batch(rows: DataFrame, column: str = "data", *keys: str) -> DataFrame:
+    """Items of JSON arrays of works to acquire; texts left out are empty, the year null, the sections none."""
+    i = rows.select(*keys, F.explode(F.from_json(column, BATCH, {"mode": "FAILFAST"})).alias("i")).select(*keys, "i.*")
+    texts = ("url", "title", "authors", "journal", "volume", "issue", "pages", "doi")
+    return i.withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {"sections": F.coalesce("sections", F.array().cast("array<string>"))})
+
+
+def citekey_list(rows: DataFrame, column: str = "data") -> DataFrame:
+    """The distinct keys of JSON lists; blanks are left out."""
+    keys = rows.select(F.explode(F.from_json(column, "array<string>", {"mode": "FAILFAST"})).alias("citekey"))
+    return keys.select(F.trim("citekey").alias("citekey")).filter("citekey <> ''").distinct()
+
+
+GOLD = "citekey string, frame_pages array<int>, claims array<struct<quote:string,label:string>>"
+
+
+def gold_documents(rows: DataFrame, name: str, column: str) -> DataFrame:
+    """citekey, first_page, last_page and claims of gold documents; one without a frame or with an empty quotation is an error that names it."""
+    d = rows.select(F.col(name).alias("name"), F.from_json(column, GOLD, {"mode": "FAILFAST"}).alias("d")).select("name", "d.*")
+    frame = (F.size("frame_pages") == 2) & (F.get("frame_pages", F.lit(0)) >= 1) & (F.get("frame_pages", F.lit(1)) >= F.get("frame_pages", F.lit(0)))
+    quoted = (F.size("claims") > 0) & F.forall("claims", lambda c: F.trim(F.coalesce(c["quote"], F.lit(""))) != "")
+    checked = F.when(~F.coalesce(frame, F.lit(False)), F.raise_error(F.concat("name", F.lit(": frame_pages must be [first, last] with 1 <= first <= last"))))
+    checked = checked.when(~F.coalesce(quoted, F.lit(False)), F.raise_error(F.concat("name", F.lit(": there must be claims, each with a quotation"))))
+    named = checked.otherwise(F.coalesce("citekey", "name"))
+    return d.select(named.alias("citekey"), F.get("frame_pages", F.lit(0)).alias("first_page"), F.get("frame_pages", F.lit(1)).alias("last_page"), "claims")
+
+
 def bibtex(texts: DataFrame, column: str = "value") -> DataFrame:
     """Entries of BibTeX texts: type, key, and fields as a map; an entry ends where the next begins. One brace level nests."""
     entries = texts.select(F.explode(F.split(column, r"(?m)^(?=\s*@\w+\s*\{)")).alias("e")).filter(F.col("e").rlike(r"^\s*@\w+\s*\{"))

@@ -62,11 +62,19 @@ def limiter(events: DataFrame, most: int = 2, seconds: float = 3600.0) -> DataFr
 
         return events.groupBy("user_id").applyInPandasWithState(step, LIMITED, "times array<double>", "append", "NoTimeout")
 
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, times = rows.sort_values(["ts", "event_id"]), []
-        return pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": [_limit(times, t.timestamp(), most, seconds) for t in rows["ts"]]})
-
-    return events.groupBy("user_id").applyInPandas(whole, LIMITED)
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, times = None, []
+        for rows in parts:
+            allowed = []
+            for u, at in zip(rows["user_id"], rows["at"], strict=True):
+                if u != user:
+                    user, times = u, []
+                allowed.append(_limit(times, at, most, seconds))
+            yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
+
+    # calls pass by in order; what is held is one user's times, however many calls there are
+    sent = events.select("event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return sent.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(whole, LIMITED)
 
 
 def merge_each(events: DataFrame, root: str, checkpoint: str):
