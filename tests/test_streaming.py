@@ -31,6 +31,35 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, events.limiter(e).collect()))
 
 
+def test_sessions_agree_with_the_batch(spark, tmp_path):
+    """All sessions but those that may still grow when the stream ends; the batch has those too."""
+    e = split(spark, tmp_path)
+    pick = lambda df: {(r.user_id, r.start, r.end, r.n) for r in df.collect()}
+    sent = pick(drain(events.sessions(events.stream(spark, str(tmp_path / "in"))), "append", "sessions", spark, tmp_path))
+    whole = pick(events.sessions(e))
+    last = e.agg(F.max("ts")).first()[0]
+    assert sent <= whole and all((last - r[2]).total_seconds() < 3600 for r in whole - sent) and len(sent) > 100
+
+
+def test_repeats_within_the_watermark_count_once(spark, tmp_path):
+    e = spark.read.parquet(FOLDER).withColumn("ts", F.col("ts").cast("timestamp"))
+    e.unionByName(e.filter("event_id % 3 = 0")).orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    sent = drain(events.deduplicated(events.stream(spark, str(tmp_path / "in"))), "append", "once", spark, tmp_path)
+    ids = [r.event_id for r in sent.select("event_id").collect()]
+    assert len(ids) == len(set(ids)) == e.count() == events.deduplicated(e.unionByName(e)).count()
+
+
+def test_limiter_of_a_user_whose_calls_fill_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        calls = spark.range(100).selectExpr("id AS event_id", "timestamp_seconds(id * 600) AS ts", "id % 2 AS user_id")
+        got = {r.event_id: r.allowed for r in events.limiter(calls, most=2, seconds=3600.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # every third call of a user falls within an hour of two that were let through
+    assert [got[i] for i in range(0, 24, 2)] == [True, True, False] * 4
+
+
 def test_merge_each(spark, tmp_path):
     e = split(spark, tmp_path)
     root = f"file://{tmp_path}/table"

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from athenaeum.functions import arrow, text
@@ -127,3 +128,62 @@ def test_swap(spark, tmp_path):
     files.write_swapped(spark.range(3), root, "1")
     files.write_swapped(spark.range(5), root, "2")
     assert files.read_current(spark, root).count() == 5
+
+
+def test_locators(spark):
+    """The nearest clause, table or appendix from the place's line upwards."""
+    body = "1 Scope\n3.4 Terms start here\nplain text\nТаблица А.1 — names\nrows\nприложение б\nend 2.5 mm"
+    at = lambda what: body.index(what)
+    rows = [(body, at("Scope"), 7), (body, at("start"), 7), (body, at("plain"), 7), (body, at("rows"), 7), (body, at("end"), None), (body, 10_000, 7), ("", 0, 7), ("no mark", 3, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, s int, p int").select(text.locator(F.col("t"), F.col("s"), F.col("p"))).collect()]
+    assert got == ["с. 7", "п. 3.4", "п. 3.4", "табл. А.1", "Приложение Б", "Приложение Б", "с. 7", None]
+
+
+def test_numbers_in_a_source(spark):
+    source = "rates of 0,674 and 10.85; clause 52.27.759, 8 items"
+    cases = {"0.674 %": "0,674", "0.8": None, "10,85": "10.85", "27": None, "759": None, "8": "8", "none": None, "52": None}
+    rows = spark.createDataFrame([(k, source) for k in cases], "raw string, source string")
+    assert {r.raw: r.found for r in rows.select("raw", text.number_in(F.col("raw"), F.col("source")).alias("found")).collect()} == cases
+
+
+def test_sections_of_drafts(spark):
+    draft = "# 1 One\nintro\n## 1.1 Sub\nbody\n### Prose\nmore\n## 1.10 Other\nlast"
+    assert one(spark, draft, lambda c: text.section_body(c, F.lit("1.1"))) == "body\n### Prose\nmore"
+    assert one(spark, draft, lambda c: text.section_body(c, F.lit("1.10"))) == "last" and one(spark, draft, lambda c: text.section_body(c, F.lit("2"))) is None
+    put = lambda i, b: one(spark, draft, lambda c: text.with_section(c, F.lit(i), F.lit(b), F.lit("New")))
+    assert put("1.1", "## 1.1 Sub\nfresh") == "# 1 One\nintro\n## 1.1 Sub\n\nfresh\n\n## 1.10 Other\nlast"
+    assert put("3.2", "fresh") == draft + "\n\n### 3.2 New\n\nfresh\n"
+    assert [tuple(h) for h in one(spark, draft + "\n# Some Words!", text.headings)][-1] == (1, "some-words", "Some Words!", 8)
+
+
+def test_notes_in_drafts(spark):
+    verdicts = [(0, 5, "k", "hard_warn", "a --> b"), (0, 5, "k", "error", "again"), (6, 9, "m", "soft_warn", ""), (6, 9, "n", "ok", ""), (0, 99, "z", "error", "x\ny")]
+    df = spark.createDataFrame([("alpha beta", verdicts), ("none", [])], "t string, v array<struct<start:int,end:int,key:string,severity:string,raw:string>>")
+    got = [r[0] for r in df.select(text.annotated(F.col("t"), F.col("v"))).collect()]
+    assert got == ["alpha<!-- check: unsupported by @k: a -  b --> bet<!-- check: check what supports @m -->a<!-- check: unsupported by @z: x y -->", "none"]
+
+
+def test_abstracts(spark):
+    cases = {
+        "Title\nAbstract\nOne\n two.\n\nRest": "One two.", "x АННОТАЦИЯ: Кратко. Ключевые слова: a": "Кратко.", "Резюме\nЭто\nВведение\n": "Это",
+        "Abstract. It is.\n1 Intro": "It is.", "no heading": "", "Abstract without an end": "", "y" * 20_000 + "\nAbstract\nlate\n\n": "late",
+    }
+    assert {k: one(spark, k, text.abstract) for k in cases} == cases
+
+
+def test_malformed_files_are_errors(spark):
+    gold = lambda d: files.gold_documents(spark.createDataFrame([("doc7", d)], "n string, d string"), "n", "d").collect()
+    good = gold('{"frame_pages": [2, 4], "claims": [{"quote": "q"}]}')
+    assert (good[0].citekey, good[0].first_page, good[0].last_page) == ("doc7", 2, 4)
+    for bad in ('{"frame_pages": [4, 2], "claims": [{"quote": "q"}]}', '{"claims": [{"quote": "q"}]}', '{"frame_pages": [1, 2], "claims": []}', '{"frame_pages": [1, 2], "claims": [{"quote": " "}]}', "{"):
+        with pytest.raises(Exception):
+            gold(bad)
+    entries = files.upload_entries(spark.createDataFrame([('{"items": [{"itemType": "book", "citationKey": "k", "DOI": " HTTPS://doi.org/10.1/A ", "date": "Spring 2023", "creators": [{"creatorType": "editor", "lastName": "E"}, {"creatorType": "author", "lastName": " L "}]}, {"itemType": "note", "citationKey": "n"}, {"title": "no key"}]}',)], "data string"))
+    assert [tuple(r) for r in entries.collect()] == [("k", "10.1/a", "", "L", 2023)]
+    batch = files.acquisition_batch(spark.createDataFrame([('[{"url": "u", "volume": 3}, {}]',)], "data string"))
+    assert [(r.url, r.title, r.year, r.volume, r.sections) for r in batch.collect()] == [("u", "", None, "3", []), ("", "", None, "", [])]
+
+
+def test_maps(spark):
+    df = spark.createDataFrame([({"a": {"x": "1", "y": "2"}, "b": {"z": "3"}}, {"a": {"y": "9"}, "c": {"w": "4"}})], "m map<string,map<string,string>>, n map<string,map<string,string>>")
+    assert df.select(text.deep_merged(F.col("m"), F.col("n"))).first()[0] == {"a": {"x": "1", "y": "9"}, "b": {"z": "3"}, "c": {"w": "4"}}
