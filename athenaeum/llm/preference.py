@@ -7,21 +7,26 @@ trained on (the assistant's words and their end mark, not the headers nor other
 All of it is DataFrame functions: turns are gathered per conversation (a conversation is one row's worth of text by its
 nature), and pairs meet by conversation id.
 
-``pair_by_number`` makes pairs where none are given: conversations 2k and 2k + 1, the one with the longer answers chosen.
+Where no pairs are given, ``pair_by_opening`` makes them: conversations that begin with the same turn are paired, within blocks
+of ``BLOCK`` ids so that an opening which many share is no single task's; what is left is paired by number, 2k with 2k + 1. Of a
+pair the one with the longer answers is chosen, of equally long ones that with the lesser id.
 
 Defined results: null role or text counts as empty; repeated turns (same conversation and turn number) are ordered by role
 and text and all kept; turns without a number come first; a conversation without a partner gives no pair; two alike
-conversations give a prompt and empty completions; empty tables give an empty result; extra columns are not carried.
+conversations give a prompt and empty completions; empty tables give an empty result; extra columns are not carried; a
+conversation is one row, whatever its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The template's marks.
 HEADER, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
+#: Ids of one block of conversations with the same opening.
+BLOCK = 128
 
 
 def gather(turns: DataFrame) -> DataFrame:
@@ -72,12 +77,30 @@ def format_pairs(gathered: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_by_number(gathered: DataFrame) -> DataFrame:
-    """(chosen_id, rejected_id): conversations whose ids are 2k and 2k + 1, the one with more assistant text chosen.
+def _answers() -> Column:
+    """Characters of a conversation's answers."""
+    return F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.when(t["role"] == TRAINED, F.length(t["text"])).otherwise(0))
+
 
-    Pairs are made by arithmetic on the id, so a common opening, however many conversations share it, gathers nowhere.
-    """
-    words = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + F.when(t["role"] == TRAINED, F.length(t["text"])).otherwise(0))
-    one = gathered.select(F.floor(F.col("conv_id") / 2).alias("pair"), F.struct(words.alias("n"), (-F.col("conv_id")).alias("k")).alias("x"))
-    both = one.groupBy("pair").agg(F.max("x").alias("best"), F.min("x").alias("worst"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == 2)
+def _paired(keyed: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id) of every ``pair`` of two of ``keyed`` (pair, conv_id, n)."""
+    x = F.struct("n", (-F.col("conv_id")).alias("k"))
+    both = keyed.groupBy("pair").agg(F.max(x).alias("best"), F.min(x).alias("worst"), F.count(F.lit(1)).alias("m")).filter(F.col("m") == 2)
     return both.select((-F.col("best.k")).alias("chosen_id"), (-F.col("worst.k")).alias("rejected_id"))
+
+
+def pair_by_number(gathered: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id): conversations whose ids are 2k and 2k + 1."""
+    return _paired(gathered.select(F.floor(F.col("conv_id") / 2).alias("pair"), "conv_id", _answers().alias("n")))
+
+
+def pair_by_opening(gathered: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id): conversations with the same first turn, then those left by number."""
+    first = F.get("turns", F.lit(0))
+    opened = gathered.select("conv_id", _answers().alias("n"), F.xxhash64(first["role"], first["text"]).alias("opening"), F.floor(F.col("conv_id") / BLOCK).alias("block"))
+    group = Window.partitionBy("opening", "block")
+    placed = opened.withColumns({"place": F.row_number().over(group.orderBy("conv_id")) - 1, "of": F.count(F.lit(1)).over(group)})
+    alike = F.col("place") < F.col("of") - F.col("of") % 2
+    by_number = F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("opening"), F.lit(0).cast("long").alias("block"), F.floor(F.col("conv_id") / 2).alias("at"))
+    by_opening = F.struct(F.lit(1).alias("kind"), "opening", F.col("block").cast("long").alias("block"), F.floor(F.col("place") / 2).alias("at"))
+    return _paired(placed.select(F.when(alike, by_opening).otherwise(by_number).alias("pair"), "conv_id", "n"))

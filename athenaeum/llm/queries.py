@@ -28,7 +28,7 @@ def decoded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     gathered = cut(preference.gather(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "gathered")
-    made = preference.format_pairs(gathered, preference.pair_by_number(gathered))
+    made = preference.format_pairs(gathered, preference.pair_by_opening(gathered))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return made.withColumns({"chosen_spans": text("chosen_spans"), "rejected_spans": text("rejected_spans")})
 
@@ -95,8 +95,10 @@ ORACLE_SQL = {
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
                   coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 r AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS made, length(role) + 5 AS head FROM t),
-w AS (SELECT conv_id, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS n FROM t GROUP BY conv_id),
-p AS (SELECT pair, arg_max(conv_id, (n, -conv_id)) AS chosen_id, arg_min(conv_id, (n, -conv_id)) AS rejected_id FROM w GROUP BY pair HAVING count(*) = 2),
+v AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS n, floor(conv_id / 128.0) AS block, arg_min(role, pos) AS role1, arg_min(text, pos) AS text1 FROM t GROUP BY conv_id),
+u AS (SELECT *, row_number() OVER (PARTITION BY role1, text1, block ORDER BY conv_id) - 1 AS place, count(*) OVER (PARTITION BY role1, text1, block) AS many FROM v),
+w AS (SELECT conv_id, n, CASE WHEN place < many - many % 2 THEN (role1, text1, block, place // 2) ELSE ('', '', -1.0, CAST(floor(conv_id / 2.0) AS BIGINT)) END AS pair, place < many - many % 2 AS alike FROM u),
+p AS (SELECT arg_max(conv_id, (n, -conv_id)) AS chosen_id, arg_min(conv_id, (n, -conv_id)) AS rejected_id FROM w GROUP BY alike, pair HAVING count(*) = 2),
 d AS (SELECT p.chosen_id, p.rejected_id, a.pos FROM p JOIN r a ON a.conv_id = p.chosen_id
       LEFT JOIN r b ON b.conv_id = p.rejected_id AND b.pos = a.pos WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text),
 z AS (SELECT conv_id, max(pos) AS last FROM r GROUP BY conv_id),
