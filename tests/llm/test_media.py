@@ -1,3 +1,4 @@
+import math
 import hashlib
 import struct
 import zlib
@@ -65,3 +66,32 @@ def test_operator(spark):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
     assert got[3].hash == got[4].hash and got[0].media_sha256 == got[1].media_sha256
     assert media.features(media.store(docs.limit(0))).count() == 0
+
+
+def test_hash_equals_brute_force():
+    """Means, the cosine transform and the median, term by term."""
+    rng = np.random.default_rng(4)
+    for height, width in ((1, 576), (7, 576), (100, 64), (33, 31)):
+        image = rng.integers(0, 256, (height, width), dtype=np.uint8)
+        span = lambda i, n: range(i * n // 32, max(-(-(i + 1) * n // 32), i * n // 32 + 1))
+        small = [[sum(float(image[y, x]) for y in span(i, height) for x in span(j, width)) / (len(span(i, height)) * len(span(j, width))) for j in range(32)] for i in range(32)]
+        low = [[sum(small[y][x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+        flat = [round(c, 6) for row in low for c in row]
+        middle = sorted(flat[1:])[31]
+        want = "".join("1" if c > middle else "0" for c in flat)
+        assert int.from_bytes(media.cosine_hash(image), "big") == int(want, 2)
+
+
+def test_bands_are_one_image(monkeypatch):
+    image = np.random.default_rng(1).integers(0, 9, (50, 576), dtype=np.uint8)
+    whole = media.encode_png(image)
+    for band in (1, 7, 49):
+        monkeypatch.setattr(media, "BAND", band)
+        made = media.encode_png(image)
+        assert made == whole and (media.decode_png(made) == image).all()
+
+
+def test_one_very_long_text_and_columns_of_inner_names(spark):
+    docs = spark.createDataFrame([(1, "long text é " * 400_000), (None, None), (2, "x"), (2, "x")], "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS n_bytes", "3 AS hash")
+    got = {r.doc_id: r for r in media.features(media.store(docs)).collect()}
+    assert got[1].n_bytes == 13 * 400_000 and got[1].payload_bytes % 576 == 0 and got[None].n_bytes == 0 and got[2].payload_bytes == 576
