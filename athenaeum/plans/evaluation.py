@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from athenaeum import plugs
 from athenaeum.operators import evaluation as ev
 from athenaeum.operators.matching import top_per_group
 from athenaeum.plans.registry import query
@@ -114,3 +115,20 @@ def p13_strict_chapter(t: Tables) -> DataFrame:
 @query("SELECT fragment_id, intent, 3 - CAST(intent IS NULL AS INTEGER) AS version FROM fragments WHERE fragment_id > 5000 ORDER BY fragment_id, intent LIMIT 20")
 def p20_backfill_batch(t: Tables) -> DataFrame:
     return t.fragments.filter("fragment_id > 5000").select("fragment_id", "intent", (3 - F.col("intent").isNull().cast("int")).alias("version")).orderBy("fragment_id", F.asc_nulls_last("intent")).limit(20)
+
+
+@query("""WITH w AS (SELECT chapter, count(*) AS works, count(*) FILTER (WHERE status = 'completed') AS done FROM works GROUP BY chapter),
+ f AS (SELECT chapter, string_agg(intent || ' ' || n, ', ' ORDER BY n DESC, intent) AS intents FROM (SELECT chapter, intent, count(*) AS n FROM fragments WHERE intent IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+ c AS (SELECT w.chapter, 'Chapter ' || w.chapter || ': ' || works || ' works, ' || done || ' completed. Cited for ' || coalesce(intents, 'nothing') || '.' AS context FROM w LEFT JOIN f ON f.chapter = w.chapter)
+ SELECT chapter, context, CAST(len(regexp_extract_all(context, '[^ ]+')) AS BIGINT) AS words FROM c""")
+def q4_chapter_analysis(t: Tables) -> DataFrame:
+    """A model-backed analysis: its context is put together by Spark, one generator call reads it, its answer is parsed."""
+    w = t.works.groupBy("chapter").agg(F.count(F.lit(1)).alias("works"), F.count_if(F.col("status") == "completed").alias("done"))
+    n = t.fragments.filter("intent is not null").groupBy("chapter", "intent").agg(F.count(F.lit(1)).alias("n"))
+    # six intents at the most for each chapter
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "intent", "n")))
+    f = n.groupBy("chapter").agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(" ", x["intent"], x["n"].cast("string"))), ", ").alias("intents"))
+    context = F.format_string("Chapter %d: %d works, %d completed. Cited for %s.", "chapter", "works", "done", F.coalesce("intents", F.lit("nothing")))
+    c = w.join(f, "chapter", "left").select("chapter", context.alias("context"))
+    said = plugs.mapped(c, "chapter", "context", plugs.CountingGenerator).select("chapter", F.get_json_object("answer", "$.words").cast("long").alias("words"))
+    return c.join(said, "chapter").select("chapter", "context", "words")

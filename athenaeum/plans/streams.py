@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenaeum.plans.registry import query
@@ -61,3 +61,14 @@ def n5_state_key(t: Tables) -> DataFrame:
     """What a cached result is kept under: equal sets of users give equal keys. Sums of hashes need no order and no gathering."""
     part = lambda at: F.coalesce(F.sum(F.conv(F.substring(F.md5(F.col("user_id").cast("string")), at, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
     return t.usage.select("user_id").distinct().agg(F.md5(F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(13))).alias("state"))
+
+
+@query("""WITH j AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN 'finished' WHEN value <= 50 THEN 'queued' WHEN ts < TIMESTAMP '2024-01-15 10:00:00' - INTERVAL 300 SECOND THEN 'timed out' ELSE 'running' END AS state FROM events)
+ SELECT event_id, state, CASE WHEN state = 'queued' THEN row_number() OVER (PARTITION BY user_id, state ORDER BY ts, event_id) END AS place FROM j""")
+def n6_job_states(t: Tables) -> DataFrame:
+    """What of a job queue is data: each job's state (a running one is given up after 300 seconds) and its place in its user's queue."""
+    limit = F.lit(datetime.datetime(2024, 1, 15, 9, 55)).cast("timestamp_ntz")
+    state = F.when(F.col("event_type") == "purchase", "finished").when(F.col("value") <= 50, "queued").when(F.col("ts") < limit, "timed out").otherwise("running")
+    jobs = t.raw("events").select("event_id", "user_id", "ts", state.alias("state"))
+    place = F.row_number().over(Window.partitionBy("user_id", "state").orderBy("ts", "event_id"))
+    return jobs.select("event_id", "state", F.when(F.col("state") == "queued", place).cast("long").alias("place"))
