@@ -20,15 +20,19 @@ automaton, which has at most ``256 ** ORDER`` n-grams whatever the corpus is (so
 
 Defined results: null and empty texts are the end alone; a null id is in the training fold; repeated rows count and are
 returned each; without training rows every count is 0 and tokens are spelled; an empty table gives an empty result; extra
-columns are not carried. A text is scored whole by one task, which takes some 60 bytes of memory for each of its bytes.
+columns are not carried. A text longer than a block is cut at white space into parts, which begin in the state that the
+part before ends in and whose sums are added up: its score is that of the whole text. (Only the byte automaton learns from the
+distinct tokens of parts there.)
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -122,6 +126,61 @@ def levels(hashes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.
     return out
 
 
+PARTS = {"row": pa.int64(), "lead": pa.int32(), "last": pa.bool_()}
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+TAIL = re.compile(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){1,%d}\Z" % (GRAMS - 1))
+
+
+def cut_text(raw: bytes, size: int) -> Iterator[tuple[bytes, int, bool]]:
+    """Parts of some ``size`` bytes, cut at white space: each with the words before it that make its state, their number, and whether it is the last."""
+    at = 0
+    while True:
+        gap = GAP.search(raw, at + size) if len(raw) > at + size else None
+        to = gap.end() if gap else len(raw)
+        state, back = b"", 256
+        while at and not state:
+            m = TAIL.search(raw, max(0, at - back), at)
+            # the first of the words found may be the end of a longer one, unless white space or the text's start is before it
+            whole = m and (m.start() == 0 or m.start() > max(0, at - back)) and len(m[0].split()) == GRAMS - 1
+            state, back = (m[0] if whole or m and back > at else b""), 2 * back
+            if back > 4 * at and not m:
+                break
+        yield state + raw[at:to], len(state.split()), to == len(raw)
+        at = to
+        if at == len(raw):
+            return
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows numbered; texts of more than ``size`` bytes as several rows of one number."""
+    row = (TaskContext.get().partitionId() << 36) - 1
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        long = np.flatnonzero(sizes > size).tolist()
+        for a, b in zip([0, *(i + 1 for i in long)], [*long, len(batch)], strict=True):
+            if b > a:
+                part = batch.slice(a, b - a)
+                made = {"row": np.arange(row + 1, row + 1 + b - a), "lead": np.zeros(b - a, dtype=np.int32), "last": np.ones(b - a, dtype=bool)}
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(made[k], t) for k, t in PARTS.items())], names=[*part.schema.names, *PARTS])
+                row += b - a
+            if b < len(batch):
+                row += 1
+                for text, lead, last in cut_text(batch.column("text")[b].as_buffer().to_pybytes(), size):
+                    one = batch.slice(b, 1)
+                    columns = [pa.array([text.decode()], one.column(n).type) if n == "text" else one.column(n) for n in one.schema.names]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array([v], t) for v, t in zip((row, lead, last), PARTS.values(), strict=True))], names=[*one.schema.names, *PARTS])
+
+
+def _own(part: pa.RecordBatch, starts: np.ndarray) -> np.ndarray:
+    """Which tokens are a part's own: not the words before it, nor an end in the middle of a text."""
+    own = np.ones(int(starts[-1]), dtype=bool)
+    lead = part.column("lead").to_numpy()
+    for i in np.flatnonzero(lead).tolist():
+        own[starts[i] : starts[i] + lead[i]] = False
+    own[starts[1:][~part.column("last").to_numpy(zero_copy_only=False)] - 1] = False
+    return own
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Numbers byte by byte, so that the mostly empty high bytes lie together and deflate to nothing."""
     wide = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
@@ -133,38 +192,42 @@ def _numbers(planes: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(wide.T).view("<u8").ravel()
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams(size: int):
     """Counts of all byte n-grams of full order in the distinct tokens of each training document, and the totals."""
-    total: tuple[np.ndarray, np.ndarray] | None = None
-    sums = {BYTES: 0, TOKENS: 0, DOCS: 0}
-    for part in gathered(batches, "text", 4 << 20):
-        sums[BYTES] += len(utf8(part.column("text"))[0])
-        part = part.filter(pa.compute.invert(part.column("held_out")))
-        if not len(part):
-            continue
-        words = Words(part.column("text"))
-        tokens, starts = words.tokens()
-        sums[TOKENS] += len(tokens)
-        sums[DOCS] += len(part)
-        # each document's distinct tokens
-        in_doc = np.unique(np.repeat(np.arange(len(part)), np.diff(starts)) * (words.kinds + 1) + tokens)
-        weight = np.bincount(in_doc % (words.kinds + 1), minlength=words.kinds + 1)
-        stream, at = words.spelled()
-        padded = np.full(len(stream) + (ORDER - 1) * (words.kinds + 1), STOP, dtype=np.uint8)
-        place = np.arange(len(stream)) + np.repeat(np.arange(1, words.kinds + 2) * (ORDER - 1), np.diff(at))
-        padded[place] = stream
-        code = np.zeros(len(stream), dtype=np.int64)
-        for back in range(ORDER - 1, -1, -1):
-            code = code << 8 | padded[place - back]
-        weights = np.repeat(weight, np.diff(at)).astype(np.int64)
-        if total:
-            code, weights = np.concatenate([total[0], code]), np.concatenate([total[1], weights])
-        grams, inverse = np.unique(code, return_inverse=True)
-        total = grams, np.bincount(inverse, weights=weights).astype(np.int64)
-    found = [np.array(list(sums), dtype=np.int64), np.array(list(sums.values()), dtype=np.int64)]
-    found = [np.concatenate(x) for x in zip(found, total, strict=True)] if total else found
-    for i in range(0, len(found[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in found], names=["gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: tuple[np.ndarray, np.ndarray] | None = None
+        sums = {BYTES: 0, TOKENS: 0, DOCS: 0}
+        for part in gathered(_parts(batches, size), "text", size):
+            sums[BYTES] += len(utf8(part.column("text"))[0])
+            part = part.filter(pc.invert(part.column("held_out")))
+            if not len(part):
+                continue
+            words = Words(part.column("text"))
+            tokens, starts = words.tokens()
+            sums[TOKENS] += int(_own(part, starts).sum())
+            sums[DOCS] += int(pc.sum(part.column("last")).as_py())
+            # each document's distinct tokens
+            in_doc = np.unique(np.repeat(np.arange(len(part)), np.diff(starts)) * (words.kinds + 1) + tokens)
+            weight = np.bincount(in_doc % (words.kinds + 1), minlength=words.kinds + 1)
+            stream, at = words.spelled()
+            padded = np.full(len(stream) + (ORDER - 1) * (words.kinds + 1), STOP, dtype=np.uint8)
+            place = np.arange(len(stream)) + np.repeat(np.arange(1, words.kinds + 2) * (ORDER - 1), np.diff(at))
+            padded[place] = stream
+            code = np.zeros(len(stream), dtype=np.int64)
+            for back in range(ORDER - 1, -1, -1):
+                code = code << 8 | padded[place - back]
+            weights = np.repeat(weight, np.diff(at)).astype(np.int64)
+            if total:
+                code, weights = np.concatenate([total[0], code]), np.concatenate([total[1], weights])
+            grams, inverse = np.unique(code, return_inverse=True)
+            total = grams, np.bincount(inverse, weights=weights).astype(np.int64)
+        found = [np.array(list(sums), dtype=np.int64), np.array(list(sums.values()), dtype=np.int64)]
+        found = [np.concatenate(x) for x in zip(found, total, strict=True)] if total else found
+        for i in range(0, len(found[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in found], names=["gram", "n"])
+
+    return run
 
 
 class Automaton:
@@ -269,9 +332,9 @@ class Automaton:
         return np.bincount(doc, weights=total, minlength=len(sizes))
 
 
-def train(marked: DataFrame) -> tuple[Automaton, dict[int, int]]:
+def train(marked: DataFrame, size: int = BLOCK_BYTES) -> tuple[Automaton, dict[int, int]]:
     """The byte automaton of the training rows of ``marked`` (text, held_out), and the totals. Fetched are byte n-grams only."""
-    got = marked.select("text", "held_out").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    got = marked.select("text", "held_out").mapInArrow(_grams(size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     gram, n = (got.column(x).to_numpy() for x in ("gram", "n"))
     totals = {BYTES: 0, TOKENS: 0, DOCS: 0} | {int(g): int(k) for g, k in zip(gram[gram < 0], n[gram < 0], strict=True)}
     gram, n, found = gram[gram >= 0], n[gram >= 0], []
@@ -282,14 +345,18 @@ def train(marked: DataFrame) -> tuple[Automaton, dict[int, int]]:
     return Automaton(found), totals
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(size: int):
     """Runs of rows as blocks: one compressed value each."""
-    partition = TaskContext.get().partitionId()
-    for nth, part in enumerate(gathered(batches, "text", BLOCK_BYTES)):
-        with pa.BufferOutputStream() as out:
-            with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_batch(part)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([(partition << 24) + nth], pa.int64()), "rows": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = TaskContext.get().partitionId()
+        for nth, part in enumerate(gathered(_parts(batches, size), "text", size)):
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(part)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([(partition << 24) + nth], pa.int64()), "rows": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    return run
 
 
 def _opened(rows: pa.BinaryScalar) -> pa.RecordBatch:
@@ -303,7 +370,7 @@ def _asked(buckets: int):
     def of(block: int, part: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(part.column("text"))
         tokens, starts = words.tokens()
-        trained = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts)).astype(np.uint64)
+        trained = (np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts)) & _own(part, starts)).astype(np.uint64)
         # hash, whether it is a single token, whether a training row has it: in one number, so that one sort does
         held = [h >> np.uint64(8) << np.uint64(8) | np.uint64(2 * (n == 0)) | trained[at] for n, (at, h) in enumerate(levels(words.hashes()[tokens], starts))]
         sorted_ = np.sort(np.concatenate(held))
@@ -386,30 +453,33 @@ def _scored(model, n_tokens: int, n_docs: int):
             at += len(some)
         spelled = model.value.score(*words.spelled())[tokens]
         logs = walk(counts, starts, spelled, n_tokens, n_docs)
-        sums = lambda x: np.add.reduceat(x, starts[:-1])
+        own = _own(docs, starts)
+        sums = lambda x: np.add.reduceat(np.where(own, x, 0), starts[:-1])
         new = np.zeros(len(docs), dtype=np.int64)
         new[0] = sum(answers.column("kinds").to_pylist())
-        columns = {"n_tokens": np.diff(starts), "n_known": sums((counts[0] > 0).astype(np.int64)), "raw": sums(np.log10(counts[0] + SMOOTH)), "score": sums(logs), "new": new}
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: pa.array(v) for k, v in columns.items()}})
+        columns = {"n_tokens": sums(np.ones(len(tokens), dtype=np.int64)), "n_known": sums((counts[0] > 0).astype(np.int64)), "raw": sums(np.log10(counts[0] + SMOOTH)), "score": sums(logs), "new": new}
+        return pa.table({"row": docs.column("row"), "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), **{k: pa.array(v) for k, v in columns.items()}})
 
     return run
 
 
-def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """Base and model scores of every row of ``docs`` (doc_id, text), learned from those outside fold 0."""
+def score(docs: DataFrame, folds: int = FOLDS, size: int = BLOCK_BYTES) -> DataFrame:
+    """Base and model scores of every row of ``docs`` (doc_id, text), learned from those outside fold 0, in blocks of some ``size`` bytes."""
     spark = docs.sparkSession
     held = F.coalesce(crc32_of_id(F.col("doc_id")) % folds == 0, F.lit(False))
     marked = docs.select("doc_id", held.alias("held_out"), "text")
-    automaton, totals = train(marked)
+    automaton, totals = train(marked, size)
     model = spark.sparkContext.broadcast(automaton)
     n_buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals[BYTES] // BUCKET_BYTES))
     # blocks are made once: what asks and what is answered both read them from this exchange
-    dealt = marked.mapInArrow(_blocks, "block long, rows binary").repartition("block")
+    dealt = marked.mapInArrow(_blocks(size), "block long, rows binary").repartition("block")
     asked = dealt.mapInArrow(_asked(n_buckets), "block long, bucket long, n long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, bucket long, n long, totals binary, kinds long")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    walked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model, totals[TOKENS], totals[DOCS]), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, raw double, score double, new long")
-    found = cut(walked, "scored")
+    walked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(model, totals[TOKENS], totals[DOCS]), f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, raw double, score double, new long")
+    # a row for each text again
+    summed = walked.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "held_out")], *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "raw", "score", "new")])
+    found = cut(summed, "scored")
     kinds = found.agg(F.coalesce(F.sum("new"), F.lit(0))).first()[0]
     norm = float(np.log10(totals[TOKENS] + SMOOTH * (kinds + 1)))
     return found.select(

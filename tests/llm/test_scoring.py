@@ -34,7 +34,7 @@ def brute_spelled(types, order, word):
     return sum(math.log10(p(s[j - order + 1 : j + 1])) for j in range(order - 1, len(s)))
 
 
-def brute_automaton(rows, held):
+def brute_automaton(rows, held, size):
     """Backoff word model by plain counting: a function of a text, its base score, and how many of its tokens are known."""
     grams, states, types, n_docs = [Counter() for _ in range(ngrams.GRAMS)], Counter(), Counter(), 0
     for i, t, *_ in rows:
@@ -42,7 +42,8 @@ def brute_automaton(rows, held):
             continue
         n_docs += 1
         seq = ["<s>", *tokens(t), "</s>"]
-        types.update({w if w != "</s>" else b"" for w in seq[1:]})
+        for text, lead, last in ngrams.cut_text((t or "").encode(), size):
+            types.update({*tokens(text.decode())[lead:], *([b""] if last else [])} | set(tokens(text.decode())[:lead]) | {b""})
         for j in range(1, len(seq)):
             for n in range(ngrams.GRAMS):
                 if j - n >= 0:
@@ -73,20 +74,19 @@ def brute_automaton(rows, held):
     return of, total
 
 
-def test_scores_equal_brute_force(spark, monkeypatch):
+def test_scores_equal_brute_force(spark):
     rng = random.Random(4)
     words = ["the", "The", "thing", "sing", "élan", "x", "of", "|", "a\u00a0b"]
     rows = [(i, " ".join(rng.choices(words + [f"n{rng.randint(0, 30)}"], k=rng.randint(0, 25)))) for i in range(90)]
     rows += [(100, None), (101, ""), (102, "z" * 1500), (103, "the"), (103, "the"), (104, "only once said"), (None, " \t\n"), (105, rows[3][1])]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
     assert any(held.values())
-    of, total = brute_automaton(rows, held)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     # an extra column of every name that is used inside
     odd = docs.selectExpr("*", *(f"1 AS {c}" for c in ("block", "bucket", "held_out", "n", "keys", "counts", "totals", "kinds", "raw", "score", "new", "lang", "n_tokens")))
-    for block in (ngrams.BLOCK_BYTES, 200):
-        monkeypatch.setattr(ngrams, "BLOCK_BYTES", block)
-        got = ngrams.score(odd).collect()
+    for size in (ngrams.BLOCK_BYTES, 200, 12):
+        of, total = brute_automaton(rows, held, size)
+        got = ngrams.score(odd, size=size).collect()
         assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
         want = {i: of(t) for i, t in rows}
         for r in got:
@@ -95,6 +95,20 @@ def test_scores_equal_brute_force(spark, monkeypatch):
             assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
 
 
+def test_parts_of_a_text():
+    """Cut anywhere, the parts' own words are the text's, and each has the two words before it."""
+    rng = random.Random(2)
+    for _ in range(300):
+        raw = "".join(rng.choices(["a", "bc", " ", "\n ", "é", "d" * 300], weights=[5, 5, 6, 2, 2, 1], k=rng.randint(1, 60))).encode()
+        words, seen = raw.split(), []
+        parts = list(ngrams.cut_text(raw, rng.choice([1, 5, 40, 1000])))
+        for text, lead, last in parts:
+            own = text.split()
+            assert own[:lead] == seen[len(seen) - lead :] and lead == min(len(seen), ngrams.GRAMS - 1)
+            seen += own[lead:]
+        assert seen == words and [p[2] for p in parts] == [False] * (len(parts) - 1) + [True]
+
+
 def test_order_of_words_counts(spark):
     text = "one two three four five six seven eight"
     shuffled = " ".join(reversed(text.split()))
