@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
-import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +26,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (n == 0), 0.0).otherwise(dot(a, b) / n)
 
 
+def cosines(a: Column, b: Column, dim: int) -> Column:
+    """:func:`cosine` for vectors of ``dim`` components, many rows at a time."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        m, w = (np.asarray(pc.fill_null(c.flatten(), 0.0), dtype=np.float64).reshape(-1, dim) for c in (x, y))
+        n = np.sqrt((m * m).sum(axis=1) * (w * w).sum(axis=1))
+        return pa.array(np.divide((m * w).sum(axis=1), n, out=np.zeros(len(n)), where=n > 0))
+
+    return F.when((F.size(a) == dim) & (F.size(b) == dim), run(F.when(F.size(a) == dim, a).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim)), F.when(F.size(b) == dim, b).otherwise(F.array_repeat(F.lit(0.0).cast("float"), dim)))).otherwise(0.0)
+
+
 def unit(a: Column) -> Column:
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
@@ -146,13 +156,18 @@ def register_nearest(spark) -> None:
 
 
 def signatures(v: Column, dim: int, tables: int, bits: int, seed: int = 42) -> Column:
-    """For each table the signs of ``bits`` random hyperplanes, as one number with the table's."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    out = []
-    for t in range(tables):
-        signs = [F.when(dot(v, F.array(*map(F.lit, planes[t, b].tolist()))) > 0, 1 << b).otherwise(0) for b in range(bits)]
-        out.append(functools.reduce(operator.add, signs) + (t << bits))
-    return F.array(*out)
+    """For each table the signs of ``bits`` random hyperplanes, as one number with the table's; none for vectors of another length."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).reshape(-1, dim)
+
+    @F.arrow_udf("array<int>")
+    def run(part: pa.Array) -> pa.Array:
+        fits = np.asarray(pc.equal(pc.fill_null(pc.list_value_length(part), 0), dim))
+        m = np.asarray(pc.fill_null(part.filter(pa.array(fits)).flatten(), 0.0), dtype=np.float64).reshape(-1, dim)
+        codes = ((m @ planes.T > 0).reshape(-1, tables, bits) << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
+        at = np.concatenate([[0], np.cumsum(np.where(fits, tables, 0))])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(codes.ravel(), pa.int32()))
+
+    return run(v)
 
 
 def similar_pairs(rows: DataFrame, threshold: float, dim: int, tables: int = 8, bits: int = 4) -> DataFrame:
@@ -161,8 +176,10 @@ def similar_pairs(rows: DataFrame, threshold: float, dim: int, tables: int = 8,
     Candidates meet by (table, signature); more bits make buckets smaller, more tables raise the recall
     ``1 - (1 - (1 - angle / pi) ** bits) ** tables``.
     """
-    keyed = rows.select("id", "section", "v", F.explode(signatures(F.col("v"), dim, tables, bits)).alias("bucket"))
+    keyed = rows.select("id", "section", F.explode(signatures(F.col("v"), dim, tables, bits)).alias("bucket"))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.section") != F.col("b.section")))
-    scored = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), cosine(F.col("a.v"), F.col("b.v")).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    left, right = (rows.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+    scored = pairs.join(left, "a").join(right, "b").select("a", "b", cosines(F.col("va"), F.col("vb"), dim).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold)
