@@ -144,8 +144,12 @@ def cosine_hash(image: np.ndarray) -> bytes:
 
     def mean(values: np.ndarray, n: int) -> np.ndarray:
         # means over SIDE spans of the first axis, each one sample long at least
-        spans = [(i * n // SIDE, max(-(-(i + 1) * n // SIDE), i * n // SIDE + 1)) for i in range(SIDE)]
-        return np.array([values[a:b].sum(axis=0, dtype=np.float64) / (b - a) for a, b in spans])
+        a = np.arange(SIDE) * n // SIDE
+        b = np.maximum(-(-(np.arange(1, SIDE + 1) * n) // SIDE), a + 1)
+        if len(values) > BAND:  # spans of a long image are summed by themselves: whole numbers add up alike either way
+            return np.array([values[i:j].sum(axis=0, dtype=np.float64) / (j - i) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+        return (sums[b] - sums[a]) / (b - a)[:, None]
 
     small = mean(mean(image, height).T, width).T
     low = np.round(_COSINE @ small @ _COSINE.T, 6).ravel()
