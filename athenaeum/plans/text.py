@@ -205,13 +205,25 @@ def l7_vocabulary(t: Tables) -> DataFrame:
     return t.works.join(F.broadcast(names), "status", "left").groupBy("status", F.coalesce("label", F.lit("open")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _chunks_sql(texts: str, more: str = "") -> str:
+    """Chunks of ``texts`` (work_id, t): each ends at the last sentence end within 500 of 25,000 characters, the next begins 2,000 before."""
+    end = r"CASE WHEN {s} + 25000 >= length(t) THEN length(t) WHEN regexp_matches(substr(t, {s} + 24501, 1000), '(?s)[.!?]\s') THEN {s} + 24500 + length(regexp_extract(substr(t, {s} + 24501, 1000), '(?s)^(.*[.!?])\s', 1)) ELSE {s} + 25000 END"
+    first, then = end.format(s="0"), end.format(s="greatest(e - 2000, s + 1)")
+    return f"""WITH RECURSIVE x AS ({texts}), c AS (SELECT x.*, CAST(0 AS BIGINT) AS s, CAST({first} AS BIGINT) AS e FROM x WHERE length(t) > 0
+ UNION ALL SELECT * REPLACE (greatest(e - 2000, s + 1) AS s, CAST({then} AS BIGINT) AS e) FROM c WHERE e < length(t))
+ SELECT work_id, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end"{more} FROM c"""
+
+
+@query(_chunks_sql("SELECT work_id, text AS t FROM works"))
 def f7_chunks(t: Tables) -> DataFrame:
     c = t.works.select("work_id", F.explode(arrow.chunks_udf("text")).alias("c"))
     return c.select("work_id", "c.start", "c.end")
 
 
-@query()
+_PAGED = "SELECT work_id, '[Page 1]' || chr(10) || text || chr(10) || chr(10) || '[Page 2]' || chr(10) || title || chr(10) || chr(10) || '[Page 3]' || chr(10) || text AS t, 11 + length(text) AS p2, 22 + length(text) + length(title) AS p3 FROM works"
+
+
+@query(_chunks_sql(_PAGED, ", CASE WHEN s >= p3 THEN 3 WHEN s >= p2 THEN 2 ELSE 1 END AS page"))
 def f7_paged_chunks(t: Tables) -> DataFrame:
     """Chunks of texts in pages: where each starts, and on which page."""
     pages = F.concat(F.lit("[Page 1]\n"), "text", F.lit("\n\n[Page 2]\n"), "title", F.lit("\n\n[Page 3]\n"), "text")
@@ -250,7 +262,12 @@ def j19_numbers_in_source(t: Tables) -> DataFrame:
     return r.select("work_id", "raw", text.number_in(F.col("raw"), F.col("src")).alias("found"))
 
 
-@query()
+_FLAT = r"trim(regexp_replace(regexp_replace(replace({c}, chr(173), ''), '-[\r\n]+', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT work_id, text, {_FLAT.format(c='text')} AS flat, instr({_FLAT.format(c='text')}, {_FLAT.format(c='title')}) AS pos FROM works WHERE title <> ''),
+ p AS (SELECT *, CAST(floor((pos - 1) * length(text) / greatest(length(flat), 1)) AS BIGINT) AS place FROM f)
+ SELECT work_id, CASE WHEN pos > 0 THEN substr(text, greatest(place - 400, 0) + 1, least(place + 400, length(text)) - greatest(place - 400, 0)) ELSE substr(text, 1, 800) END AS passage FROM p""")
 def j19_passages(t: Tables) -> DataFrame:
     """What stands around each work's title in its text."""
     return t.works.filter("title <> ''").select("work_id", text.passage(F.col("text"), F.col("title")).alias("passage"))
