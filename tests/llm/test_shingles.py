@@ -1,6 +1,8 @@
 import random
 
-from athenaeum.llm import simhash
+import numpy as np
+
+from athenaeum.llm import shingles, simhash
 from athenaeum.llm.common import documents
 
 
@@ -62,3 +64,30 @@ def test_no_similar_pair_stays(spark):
             few.setdefault(x, []).append(i)
     pairs = {(i, j) for ids in few.values() if len(ids) <= 40 for i in ids for j in ids if i < j}
     assert not [p for p in pairs if similar(kept[p[0]], kept[p[1]])]
+
+
+def test_a_large_group_meets_in_blocks(spark, monkeypatch):
+    """Variants of one text, some of each two similar enough and some not, in buckets of many blocks."""
+    rng = random.Random(8)
+    base, texts = [f"w{i}" for i in range(80)], []
+    for _ in range(70):
+        words = list(base)
+        for k in rng.sample(range(80), rng.choice((1, 2, 2, 3))):
+            words[k] = f"x{rng.randrange(99999)}"
+        texts.append(" ".join(words))
+    pairs, root = brute_groups([brute_sets(t) for t in texts])
+    assert 3 < len(set(root)) < 60 and len(pairs) > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for members in (shingles.MEMBERS, 5):
+        monkeypatch.setattr(shingles, "MEMBERS", members)
+        assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(root))
+
+
+def test_intersections(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [[np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(n)] for n in (7, 11)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[1]] for x in sets[0]]
+    for cells in (1, 30, 1 << 20):
+        monkeypatch.setattr(shingles, "CELLS", cells)
+        got = shingles.intersections([np.concatenate(s) for s in sets], [np.array([len(x) for x in s]) for s in sets])
+        assert got.tolist() == want
