@@ -10,11 +10,14 @@ from athenaeum.functions import arrow
 
 def word_pairs(text: Column, inner: bool = False) -> Column:
     """Hashes of a text's distinct pairs of neighbouring words; ``inner``: without its first and its last word, which may be cut."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    if inner:
-        words = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.transform(F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b")), lambda p: F.xxhash64(p["a"], p["b"])))
+
+    def of(words: Column) -> Column:
+        skip = 1 if inner else 0
+        n = F.greatest(F.size(words) - 1 - 2 * skip, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(words, F.lit(1 + skip), n), F.slice(words, F.lit(2 + skip), n), lambda a, b: F.xxhash64(a, b)))
+
+    # the one element of an array, so that the text is split once
+    return F.get(F.transform(F.array(F.split(F.trim(text), r"\s+")), of), F.lit(0))
 
 
 def _candidates(texts: DataFrame, quotes: DataFrame, share: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from athenaeum.operators.sizes import bounded
-from athenaeum.operators.vectors import dot, unit
+from athenaeum.operators.vectors import dot, unit, units
 from athenaeum.schemas import INTENT_WEIGHTS
 
 
@@ -47,7 +47,7 @@ def semantic_factor(edges: DataFrame, vectors: DataFrame, centroids: DataFrame,
     vectors, so each work is averaged once, whatever the number of sections; centroids (one for each section of an outline) travel as
     one row.
     """
-    sized = vectors.filter(F.size("v") == dim).select(F.col("id").alias("citing"), unit(F.col("v")).alias("u"))
+    sized = vectors.filter(F.size("v") == dim).select(F.col("id").alias("citing"), units(F.col("v"), dim).alias("u"))
     directions = bounded(centroids.filter(F.size("centroid") == dim).agg(F.collect_list(unit(F.col("centroid"))).alias("directions")), 1)
     means = F.array(*[F.avg(F.get("u", F.lit(i))) for i in range(dim)])
     each = edges.select(key, "citing").distinct().join(sized, "citing").groupBy(key).agg(means.alias("mean"), F.count(F.lit(1)).alias("n")).filter("n >= 2")

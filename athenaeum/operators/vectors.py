@@ -43,6 +43,21 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def units(v: Column, dim: int) -> Column:
+    """:func:`unit` for vectors of ``dim`` components, many rows at a time; null for others."""
+
+    @F.arrow_udf("array<double>")
+    def run(part: pa.Array) -> pa.Array:
+        fits = np.asarray(pc.equal(pc.fill_null(pc.list_value_length(part), 0), dim))
+        m = np.asarray(pc.fill_null(part.filter(pa.array(fits)).flatten(), 0.0), dtype=np.float64).reshape(-1, dim)
+        n = np.sqrt((m * m).sum(axis=1))[:, None]
+        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+        at = np.concatenate([[0], np.cumsum(np.where(fits, dim, 0))])
+        return pc.if_else(pa.array(fits), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(m.ravel())), pa.scalar(None, pa.list_(pa.float64())))
+
+    return run(v)
+
+
 def centroid(rows: DataFrame, key: str, dim: int) -> DataFrame:
     """Component means of each group's vectors of ``dim`` components; partial sums, one row for each group and task."""
     means = F.array(*[F.avg(F.get("v", F.lit(i)).cast("double")) for i in range(dim)])

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from athenaeum.operators.matching import top_per_group
 from athenaeum.operators.scoring import gap_scores, intent_weight, recent_or_classic, semantic_factor, top_intent
-from athenaeum.operators.sizes import bounded
 from athenaeum.operators.vectors import centroid
 from athenaeum.plans.registry import query
 from athenaeum.schemas import STATUSES
@@ -186,9 +185,8 @@ def e8_gap_score_library(t: Tables) -> DataFrame:
     q = t.raw("labels").select(F.col("doc_id").alias("labelled"), F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 1).alias("quality"))
     scored = gap_scores(missing.join(q, F.col("citing") % 1000 == F.col("labelled"), "left"), unknown=None)
     near = semantic_factor(missing, t.vectors, centroid(t.vectors, "section", 64).select(F.col("section").alias("target"), "centroid"), 64)
-    with_factor = scored.join(near, "cited", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
-    first = with_factor.select("cited", "citing_works", r6("factor").alias("factor"), r6(F.col("score") * F.col("factor")).alias("score")).orderBy(F.desc("score"), "cited").limit(50)
-    return first.join(top_intent(missing.join(bounded(first.select("cited")), "cited", "left_semi")), "cited", "left").orderBy(F.desc("score"), "cited")
+    whole = scored.join(near, "cited", "left").join(top_intent(missing), "cited", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    return whole.select("cited", "citing_works", "top_intent", r6("factor").alias("factor"), r6(F.col("score") * F.col("factor")).alias("score")).orderBy(F.desc("score"), "cited").limit(50)
 
 
 @query("""SELECT chapter, CAST(count(*) FILTER (WHERE intent = 'background') AS BIGINT) AS background, CAST(count(*) FILTER (WHERE intent = 'method') AS BIGINT) AS method,
