@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from athenaeum.llm import media, mixing, ngrams, pieces, pii, preference, quality, records, simhash, toxicity
+from athenaeum.llm import manifest, media, mixing, ngrams, passages, pieces, pii, preference, quality, records, simhash, talks, toxicity
 from athenaeum.llm.common import cut, documents
 
 
@@ -72,6 +72,18 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_wu_manber_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.contaminated(passages.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(manifest.manifest(documents(spark, sf_dir)))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return talks.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,11 +97,102 @@ QUERIES = {
         op8_length_delimited_records,
         op9_png_cosine_hash,
         op10_entropy_mix,
+        op11_wu_manber_contamination,
+        op12_merkle_manifest,
+        op13_prefix_trie,
         decoded_pieces,
     )
 }
 
+
+def crc_sql(number: str) -> str:
+    """crc32 of a number's decimal digits, bit by bit."""
+    byte = "list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda c, b: {byte}, 4294967295), 4294967295)"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Levels that the manifest's SQL unrolls (enough for 8 ** 8 leaves).
+HEIGHT = 8
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(name: str) -> str:
+    """The levels of trees that begin with {name}_0 (tree, pos, node): every node with what stands beside it, and the roots."""
+    out = []
+    for i in range(HEIGHT):
+        out.append(f"{name}_c{i} AS (SELECT tree, count(*) AS n FROM {name}_{i} GROUP BY tree)")
+        out.append(f"{name}_r{i} AS (SELECT tree, pos // 8 AS run, list(node ORDER BY pos) AS nodes, n FROM {name}_{i} JOIN {name}_c{i} USING (tree) GROUP BY tree, pos // 8, n)")
+        out.append(f"{name}_{i + 1} AS (SELECT tree, run AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(nodes, '')) ELSE nodes[1] END AS node FROM {name}_r{i})")
+    return ",\n".join(out)
+
+
+def _climb_sql(name: str, below: str, made: str) -> str:
+    """{below} (id, tree, pos, proof, folded) taken up to the root of its tree, level by level."""
+    out = [f"{made}_0 AS ({below})"]
+    for i in range(HEIGHT):
+        left, right = "array_to_string(nodes[1:pos % 8], '')", "array_to_string(nodes[pos % 8 + 2:], '')"
+        out.append(
+            f"{made}_{i + 1} AS (SELECT id, u.tree, pos // 8 AS pos, CASE WHEN n > 1 THEN proof || {left} || {right} ELSE proof END AS proof, "
+            f"CASE WHEN n > 1 THEN sha256({left} || folded || {right}) ELSE folded END AS folded FROM {made}_{i} u JOIN {name}_r{i} r ON r.tree = u.tree AND r.run = u.pos // 8)"
+        )
+    return ",\n".join(out)
+
+
+MANIFEST_SQL = f"""
+WITH l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+             CASE WHEN {crc_sql("doc_id")} % 3 = 0 THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS id FROM l),
+a_0 AS (SELECT tree, pos, leaf AS node FROM p),
+{_tree_sql("a")},
+b_0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, node, tree AS lang FROM a_{HEIGHT}),
+{_tree_sql("b")},
+{_climb_sql("a", "SELECT id, tree, pos, '' AS proof, coalesce(changed, leaf) AS folded FROM p", "x")},
+{_climb_sql("b", f"SELECT id, '' AS tree, b_0.pos, proof, folded FROM x_{HEIGHT} x JOIN b_0 ON b_0.lang = x.tree", "y")}
+SELECT p.doc_id, p.leaf, b_0.node AS subroot, t.node AS root, sha256(y.proof) AS proof_sha256, y.folded AS folded_root, y.folded = t.node AS verified
+FROM p JOIN y_{HEIGHT} y USING (id) JOIN b_0 ON b_0.lang = p.tree CROSS JOIN b_{HEIGHT} t
+"""
+
+TRIE_SQL = f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(coalesce(role, ''), 64), left(coalesce(text, ''), 64), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+             strlen(coalesce(role, '')) || ':' || coalesce(role, '') || strlen(coalesce(text, '')) || ':' || coalesce(text, '') AS said, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc_sql("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, 0 AS part, pos, said, bytes FROM c JOIN o ON o.conv_id = c.base AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, said, bytes FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+d AS (SELECT conv_id, row_number() OVER w AS depth, bytes, sha256(string_agg(sha256(said), '') OVER w) AS node FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT * FROM d UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM s GROUP BY depth, node),
+u AS (SELECT n.depth, n.node, n.conv_id, n.n_convs, n.bytes, up.conv_id AS parent_conv_id, up.node AS parent FROM n
+      LEFT JOIN s ON s.conv_id = n.conv_id AND s.depth = n.depth - 1 LEFT JOIN n up ON up.depth = s.depth AND up.node = s.node),
+k AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY ALL),
+v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (depth, node)),
+t AS (SELECT s.depth, s.node, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.bytes) AS BIGINT) AS saved_tokens
+      FROM v JOIN s ON s.conv_id = v.conv_id AND s.depth <= v.depth GROUP BY s.depth, s.node),
+e AS (SELECT depth, node, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(depth) AS depth, arg_max(node, depth) AS node FROM s GROUP BY conv_id) GROUP BY depth, node)
+SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM v JOIN t USING (depth, node) LEFT JOIN e USING (depth, node)
+"""
+
 ORACLE_SQL = {
+    "op11_wu_manber_contamination": rf"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: ws[i:i + 9])) AS win FROM b WHERE len(ws) > 0),
+d AS (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+n AS (SELECT DISTINCT len(win) AS n FROM p),
+w AS (SELECT id, n, unnest(range(1, len(ws) - n + 2)) AS pos, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: ws[i:i + n - 1])) AS win FROM d JOIN n ON len(ws) >= n),
+h AS (SELECT w.id, w.pos, w.n, p.item_id FROM w JOIN p ON p.win = w.win),
+x AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(pos, pos + n)) AS place FROM (SELECT DISTINCT id, pos, n FROM h)) GROUP BY id),
+i AS (SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT id, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (id) LEFT JOIN i USING (id)
+""",
+    "op12_merkle_manifest": MANIFEST_SQL,
+    "op13_prefix_trie": TRIE_SQL,
     "decoded_pieces": "SELECT doc_id, replace(coalesce(text, ''), '▁', ' ') AS text FROM documents",
     "op2_preference_pairs": r"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
