@@ -73,6 +73,17 @@ def a5_visible_text(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", arrow.visible_text_udf("html").alias("text"))
 
 
+#: What hides more than it should from a reader of tags alone; none of it shows.
+_ODD = """<script>for(var i=0;i<n;i++){if(a<b)document.write("<p>no</p>")}</script><style>a>b{content:"</p>"}</style><!-- <p>no</p> > --><a title="1 > 0" rel='<p>no</p>'></a><script><!-- <script>no</script> <b>no --></script><meta name=x><link rel=y href=z>"""
+
+
+@query(rf"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t\r\f\v]*\n[ \t\r\f\v]*', chr(10), 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS shown FROM pages")
+def a5_odd_markup(t: Tables) -> DataFrame:
+    """Pages with scripts, styles, comments and quoted marks put into their bodies show what they showed without."""
+    odd = F.regexp_replace("html", r"(?i)(<body[^>]*>)", "$1" + _ODD.replace("\\", "\\\\").replace("$", "\\$"))
+    return t.raw("pages").select("page_id", F.md5(arrow.visible_text_udf(odd)).alias("shown"))
+
+
 @query(r"""WITH p AS (SELECT work_id, length(title) AS a, length(lang) AS b FROM works) SELECT work_id, unnest([1, 2]) AS page, unnest([5, 6 + a]) AS start, unnest([5 + a, 6 + a + b]) AS "end" FROM p""")
 def a6_page_spans(t: Tables) -> DataFrame:
     marked = F.concat(F.lit("head\n<!-- Page 1 -->\n"), "title", F.lit("\n<!-- Page 2 -->\n"), "lang")

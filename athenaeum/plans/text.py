@@ -199,6 +199,18 @@ def l4_repair_json(t: Tables) -> DataFrame:
     return t.usage.select("event_id", arrow.repair_json_udf(chatty).alias("json"))
 
 
+@query("SELECT work_id, text || ',}' AS said, (length(text) - length(replace(replace(replace(text, '}', ''), ']', ''), ',', '')))::BIGINT + 2 AS marks, 3::BIGINT AS items FROM works WHERE text <> ''")
+def l4_strings_kept(t: Tables) -> DataFrame:
+    """Whole texts as strings of an answer that needs mending: what they say comes back as it was, line ends, commas and braces too."""
+    said = F.concat("text", F.lit(",}"))
+    # what JSON asks for but the line ends, which answers often hold as they are
+    spelled = F.regexp_replace(F.regexp_replace(said, r"\\", r"\\\\"), '"', r'\\"')
+    answer = F.concat(F.lit('Sure, {as asked}:\n```json\n{"said": "'), spelled, F.lit('", "list": [1, 2, [3,],], }\n``` {done}'))
+    made = t.works.filter("text <> ''").select("work_id", F.from_json(arrow.repair_json_udf(answer), "said string, list array<string>").alias("j"))
+    marks = F.length("j.said") - F.length(F.translate("j.said", "}],", ""))
+    return made.select("work_id", "j.said", marks.cast("long").alias("marks"), F.size("j.list").cast("long").alias("items"))
+
+
 @query("SELECT status, CASE status WHEN 'completed' THEN 'done' WHEN 'failed' THEN 'again' WHEN 'skipped' THEN 'again' ELSE 'open' END AS label, count(*) AS n FROM works GROUP BY 1, 2")
 def l7_vocabulary(t: Tables) -> DataFrame:
     names = t.spark.sql("SELECT * FROM VALUES ('completed', 'done'), ('failed', 'again'), ('skipped', 'again') AS v(status, label)")
