@@ -1,12 +1,28 @@
-"""Where quotations stand in texts: candidates meet by pairs of neighbouring words, then each is looked for."""
+"""Where quotations stand in texts: candidates meet by the rarest words of each quotation, then each is looked for.
+
+How many texts hold a pair of neighbouring words is counted first, for the pairs that quotations have. A whole quotation lies
+only in texts that hold its rarest pair, so it meets these and no others; if changes can spoil ``s`` of its pairs, it lies only in
+texts that hold one of its ``s + 1`` rarest and all but ``s`` of all. Frequent pairs thus meet nothing, and candidates grow with
+the places found and not with the texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenaeum.functions import arrow
 
+#: Share of a quotation's characters that may differ: one in so many.
+CHANGED = 20
+#: Grams of quotations that are sent to every task.
+SENT = 100_000
+
+
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: it is the one element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def word_pairs(text: Column, inner: bool = False) -> Column:
     """Hashes of a text's distinct pairs of neighbouring words; ``inner``: without its first and its last word, which may be cut."""
@@ -16,37 +32,91 @@ def word_pairs(text: Column, inner: bool = False) -> Column:
         n = F.greatest(F.size(words) - 1 - 2 * skip, F.lit(0))
         return F.array_distinct(F.zip_with(F.slice(words, F.lit(1 + skip), n), F.slice(words, F.lit(2 + skip), n), lambda a, b: F.xxhash64(a, b)))
 
-    # the one element of an array, so that the text is split once
-    return F.get(F.transform(F.array(F.split(F.trim(text), r"\s+")), of), F.lit(0))
+    return _once(F.split(F.trim(text), r"\s+"), of)
+
 
+def rarest(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_id, gram): of each quotation's ``grams`` (item_id, wanted, gram) the ``wanted`` that fewest texts have (gram, texts)."""
+    place = Window.partitionBy("item_id").orderBy(F.coalesce("texts", F.lit(0)), "gram")
+    ordered = grams.join(counts, "gram", "left").withColumn("place", F.row_number().over(place))
+    # what no text has takes a place but meets nothing
+    return ordered.filter((F.col("place") <= F.col("wanted")) & F.col("texts").isNotNull()).select("item_id", "gram")
 
-def _candidates(texts: DataFrame, quotes: DataFrame, share: float) -> DataFrame:
-    """(work_id, item_id) of texts (work_id, text) that hold at least a share of a quotation's (item_id, q) inner word pairs."""
-    held = texts.select("work_id", F.explode(word_pairs(F.col("text"))).alias("pair"))
-    asked = quotes.select("item_id", word_pairs(F.col("q"), inner=True).alias("pairs")).select("item_id", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
-    met = held.join(asked, "pair").groupBy("work_id", "item_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
-    return met.filter(F.col("hits") >= F.greatest(F.lit(1), share * F.col("n"))).select("work_id", "item_id")
+
+def met(texts: DataFrame, grams: DataFrame, of: Column) -> DataFrame:
+    """(work_id, item_id) of every text (work_id, text) for each of a quotation's rarest grams that it holds; ``of``: a text's grams.
+
+    The quotations' grams, and what is made of them, are sent to the texts if there are at most ``SENT``.
+    """
+    sent = F.broadcast if grams.limit(SENT + 1).count() <= SENT else lambda df: df
+    held = texts.select("work_id", F.explode(of).alias("gram"))
+    counts = held.join(sent(grams.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    return held.join(sent(rarest(grams, counts)), "gram").select("work_id", "item_id")
+
+
+def exact_candidates(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Texts that hold a quotation's rarest pair of inner words. Quotations of under four words have none."""
+    grams = quotes.select("item_id", F.lit(1).alias("wanted"), F.explode(word_pairs(F.col("q"), inner=True)).alias("gram"))
+    return met(texts, grams, word_pairs(F.col("text")))
 
 
 def exact(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """work_id, item_id and the first place (from 1) of every quotation in every text that holds it whole.
 
-    A text that holds a quotation holds all its inner word pairs. Quotations of under four words have none: those are held
-    against every text.
+    Quotations of under four words are held against every text.
     """
     place = F.expr("cast(locate(q, text) as bigint)").alias("place")
-    out = _candidates(texts, quotes, 1.0).join(quotes, "item_id").join(texts, "work_id").filter(F.col("text").contains(F.col("q"))).select("work_id", "item_id", place)
+    out = exact_candidates(texts, quotes).join(quotes, "item_id").join(texts, "work_id").filter(F.col("text").contains(F.col("q"))).select("work_id", "item_id", place)
     short = quotes.filter(F.size(word_pairs(F.col("q"), inner=True)) == 0)
     if short.limit(1).count():
         out = out.union(texts.join(short, F.col("text").contains(F.col("q"))).select("work_id", "item_id", place))
     return out
 
 
+def changes(q: Column) -> Column:
+    """Characters of a quotation that may differ."""
+    return F.floor(F.length(q) / CHANGED).cast("int")
+
+
+def spoiled(q: Column) -> Column:
+    """Pairs that the allowed changes can spoil: three each, as a changed space touches three; two each, as a letter does, for
+    quotations that could not spare more. Null where even that would be all."""
+    n, k = F.size(word_pairs(q, inner=True)), changes(q)
+    return F.when(n > 3 * k, 3 * k).when(n > 2 * k, 2 * k)
+
+
+def pieces(q: Column) -> Column:
+    """A text cut into one piece more than may be changed; one of them stands as it is wherever the text does."""
+    n = changes(q) + 1
+    size = F.ceil(F.length(q) / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(q, i * size + 1, size))
+
+
+def stands(text: Column, of: Column) -> Column:
+    """Whether one of a quotation's pieces stands in the text."""
+    return F.exists(of, lambda p: F.contains(text, p) & (p != ""))
+
+
+def fuzzy_candidates(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(work_id, item_id) of texts that hold one of the rarest pairs of a quotation (item_id, q), all but the spoiled of its pairs, and a piece."""
+    inner, lost = word_pairs(F.col("q"), inner=True), spoiled(F.col("q"))
+    asked = quotes.select("item_id", inner.alias("asked"), lost.alias("lost"), pieces(F.col("q")).alias("pieces")).filter("lost IS NOT NULL")
+    pairs = met(texts, asked.select("item_id", (F.col("lost") + 1).alias("wanted"), F.explode("asked").alias("gram")), word_pairs(F.col("text"))).distinct()
+    sides = pairs.join(asked, "item_id").join(texts.select("work_id", "text", word_pairs(F.col("text")).alias("said")), "work_id")
+    enough = F.size(F.array_intersect("asked", "said")) >= F.size("asked") - F.col("lost")
+    return sides.filter(enough & stands(F.col("text"), F.col("pieces"))).select("work_id", "item_id")
+
+
 def fuzzy(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """work_id, item_id and the span of every quotation in every text that holds it with up to a twentieth of its characters changed.
 
-    So many changes leave more than a quarter of the word pairs as they are (one word in three is changed at the most, as
-    words have six letters or more with what parts them); tests measure the recall. Quotations of under four words aren't looked for.
+    Quotations with too few words to lose some are held against every text, by pieces of which one must stand. Tests measure the recall.
     """
-    met = _candidates(texts, quotes, 0.25).join(quotes, "item_id").join(texts, "work_id")
-    return met.select("work_id", "item_id", arrow.locate_udf("q", "text").alias("span")).filter(F.col("span.start").isNotNull())
+    plain = texts.select("work_id", arrow.squeeze_udf("text").alias("text"))
+    asked = quotes.select("item_id", arrow.squeeze_udf("q").alias("q")).filter("q <> ''")
+    found = fuzzy_candidates(plain, asked)
+    short = asked.filter(spoiled(F.col("q")).isNull())
+    if short.limit(1).count():
+        found = found.union(plain.join(short.select("item_id", pieces(F.col("q")).alias("pieces")), stands(F.col("text"), F.col("pieces"))).select("work_id", "item_id"))
+    both = found.join(quotes, "item_id").join(texts, "work_id")
+    return both.select("work_id", "item_id", arrow.locate_udf("q", "text").alias("span")).filter(F.col("span.start").isNotNull())
