@@ -148,6 +148,107 @@ def all_similar_pairs(rows: DataFrame, threshold: float, dim: int, size: int = 5
     return _met(left, blocks.withColumn("meet", F.col("block")), pairs, "a long, b long, similarity double")
 
 
+#: Vectors that pivots are chosen from, those with the smallest hash of their id; results don't depend on them.
+PIVOT_SAMPLE = 4096
+
+
+def pivots(rows: DataFrame, dim: int, n: int) -> np.ndarray:
+    """Up to ``n`` unit vectors of a bounded sample that lie far from each other: each the farthest from those before."""
+    sample = rows.filter(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select(F.transform("v", lambda x: x.cast("double")).alias("v"))
+    m = np.array([r.v for r in sample.collect()], dtype=np.float64).reshape(-1, dim)
+    m = m[(norms := np.sqrt((m * m).sum(axis=1))) > 0] / norms[norms > 0][:, None]
+    chosen: list[int] = []
+    away = np.full(len(m), np.inf)
+    while len(chosen) < min(n, len(m)) and away.max() > 1e-6:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, np.arccos(np.clip(m @ m[chosen[-1]], -1.0, 1.0)))
+    return m[chosen]
+
+
+class Cells:
+    """Vectors dealt to their nearest pivots, and which cells each must be compared with to miss no pair.
+
+    Angles obey the triangle inequality. With ``r`` the angle of the threshold, a vector ``a`` can have a partner in the cell of pivot
+    ``p`` only if its angle to ``p`` lies within ``r`` of the angles that the cell has, and exceeds that to its own pivot by ``2 r`` at most.
+    """
+
+    def __init__(self, rows: DataFrame, threshold: float, dim: int, n: int) -> None:
+        self.reach, self.dim, self.pivots = float(np.arccos(threshold)) + 1e-9, dim, pivots(rows, dim, n)
+        self.rows = rows.select(F.col("id").cast("long").alias("id"), F.col("section").cast("long").alias("section"), "v").filter(F.size("v") == dim)
+        found = self._placed(None).groupBy("own").agg(F.min("angle").alias("least"), F.max("angle").alias("most"), F.count(F.lit(1)).alias("n"))
+        self.least, self.most, self.held = np.full(len(self.pivots), np.inf), np.full(len(self.pivots), -np.inf), np.zeros(len(self.pivots), dtype=np.int64)
+        for r in found.collect():  # one row for each pivot
+            self.least[r.own], self.most[r.own], self.held[r.own] = r.least, r.most, r.n
+        self.placed = self._placed((self.least, self.most))
+        seen = self.placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        self.visitors = np.zeros(len(self.pivots), dtype=np.int64)
+        for r in seen.collect():
+            self.visitors[r.cell] = r.n
+
+    def compared(self) -> int:
+        """Pairs that are compared."""
+        return int((self.visitors * self.held).sum())
+
+    def _placed(self, bounds: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+        at, reach, dim = self.pivots, self.reach, self.dim
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = np.asarray(pc.fill_null(pc.list_flatten(batch.column("v")), 0.0), dtype=np.float64).reshape(-1, dim)
+                norms = np.sqrt((m * m).sum(axis=1))
+                some = norms > 0  # a zero vector is like nothing
+                m, batch = m[some] / norms[some][:, None], batch.filter(pa.array(some))
+                angles = np.arccos(np.clip(m @ at.T, -1.0, 1.0))
+                own = angles.argmin(axis=1)
+                nearest = angles[np.arange(len(own)), own]
+                visits = np.zeros(angles.shape, dtype=bool)
+                if bounds:
+                    least, most = bounds
+                    visits = (angles >= least - reach) & (angles <= most + reach) & (angles - nearest[:, None] <= 2 * reach) & (np.arange(len(at)) >= own[:, None])
+                where = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(visits.sum(axis=1))]), pa.int32()), pa.array(np.nonzero(visits)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "section")), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * dim, pa.int32()), pa.array(m.ravel())), pa.array(own, pa.int32()), pa.array(nearest), where], ["id", "section", "v", "own", "angle", "visits"])
+
+        return self.rows.mapInArrow(place, "id long, section long, v array<double>, own int, angle double, visits array<int>")
+
+
+def _stacked(rows: DataFrame, dim: int) -> DataFrame:
+    """Rows (cell, salt, block, id, label, v) as one matrix for each (cell, salt, block)."""
+
+    def stack(part: pa.Table) -> pa.Table:
+        m = np.asarray(pc.list_flatten(part.column("v").combine_chunks()), dtype=np.float64)
+        numbers = [np.asarray(part.column(c), dtype=np.int64).tobytes() for c in ("id", "label")]
+        return pa.table({**{c: part.column(c)[:1] for c in ("cell", "salt", "block")}, "ids": [numbers[0]], "labels": [numbers[1]], "m": [m.tobytes()]})
+
+    return rows.groupBy("cell", "salt", "block").applyInArrow(stack, "cell int, salt int, block int, ids binary, labels binary, m binary")
+
+
+def pairs_by_pivots(rows: DataFrame, threshold: float, dim: int, n: int = 32, size: int = 512) -> DataFrame:
+    """Every pair (a < b, similarity) of ``rows`` (id, section, v) of different sections at least as similar as ``threshold``.
+
+    Exact, as :func:`all_similar_pairs`, but vectors meet only the cells that can hold a partner: for vectors in clusters that are a
+    share of all pairs. Cells and their visitors are cut into parts of some ``size`` rows, so that no cell is one task's.
+    """
+    cells = Cells(rows, threshold, dim, n)
+    parts = lambda counts: F.element_at(F.array(F.lit(1), *[F.lit(max(1, -(-int(x) // size))) for x in counts]), F.col("cell") + 2)
+    salt = lambda counts: F.pmod(F.xxhash64("id"), parts(counts)).cast("int").alias("salt")
+    named = cells.placed.withColumnRenamed("section", "label")
+    held = named.withColumn("cell", F.col("own")).select("cell", salt(cells.held), F.lit(0).alias("block"), "id", "label", "v")
+    seen = named.select("*", F.explode("visits").alias("cell")).select("cell", salt(cells.visitors), (F.col("cell") == F.col("own")).cast("int").alias("block"), "id", "label", "v")
+    places = F.sequence(F.lit(0), parts(cells.held) - 1)
+    left = _stacked(seen, dim).withColumns({"meet": F.explode(places), "block": F.col("salt") * 2 + F.col("block")})
+    left = left.withColumn("meet", F.struct("cell", "meet"))
+    right = _stacked(held, dim).withColumn("meet", F.struct("cell", F.col("salt").alias("meet")))
+
+    def pairs(a: tuple, b: tuple) -> pa.RecordBatch:
+        (one, sections, m), (two, others, w) = a, b
+        s = m @ w.T
+        i, j = np.nonzero((s >= threshold) & (sections[:, None] != others[None, :]))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one[i], two[j])), pa.array(np.maximum(one[i], two[j])), pa.array(s[i, j])], names=["a", "b", "similarity"])
+
+    # a pair within one cell is met from both sides
+    return _met(left, right, pairs, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 class Nearest:
     """A table function: of the rows (id, v) of each partition the ``k`` most like a vector. At most ``k`` rows are held."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from athenaeum.operators.matching import as_of, cascade, duplicate_members, duplicate_pairs, exactly_one, latest, overlaps, top_per_group, union_coverage
+from athenaeum.operators.matching import as_of, duplicate_members, duplicate_pairs, exactly_one, latest, overlaps, top_per_group, union_coverage
 from athenaeum.operators.merge import longest_prefix
 from athenaeum.plans.registry import query
 from athenaeum.sources.tables import Tables
@@ -49,10 +49,14 @@ _PARSED = "p AS (SELECT citing AS ref, CASE WHEN citing % 3 = 0 THEN '10.1234/w'
  UNION ALL SELECT p.ref, w.work_id, 0.7, 1 FROM p JOIN works w ON split_part(w.authors, ',', 1) = p.surname AND w.year = p.year)
  SELECT ref, work_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY tier, work_id) AS n FROM m) WHERE n = 1""")
 def d7_cascaded_match(t: Tables) -> DataFrame:
+    """The order within a tier is the works' own, so each key's first work is taken before references meet it: one row a tier. A reference may be parsed more than once."""
     p, w = _parsed(t), t.works.select("work_id", F.lower("doi").alias("doi"), F.split_part("authors", F.lit(","), F.lit(1)).alias("surname"), "year")
-    by_doi = p.join(w.select("work_id", "doi"), "doi").select("ref", "work_id", F.lit(1.0).alias("confidence"))
-    by_name = p.join(w.select("work_id", "surname", "year"), ["surname", "year"]).select("ref", "work_id", F.lit(0.7).alias("confidence"))
-    return cascade("ref", [by_doi, by_name], ["work_id"]).select("ref", "work_id", "confidence")
+    by_doi = w.filter("doi IS NOT NULL").groupBy("doi").agg(F.min("work_id").alias("first"))
+    by_name = w.filter("year IS NOT NULL").groupBy("surname", "year").agg(F.min("work_id").alias("second"))
+    met = p.join(by_doi, "doi", "left").join(by_name, ["surname", "year"], "left")
+    best = F.min(F.when(F.col("first").isNotNull(), F.struct(F.lit(0).alias("tier"), F.col("first").alias("work_id"))).when(F.col("second").isNotNull(), F.struct(F.lit(1).alias("tier"), F.col("second").alias("work_id")))).alias("best")
+    found = met.groupBy("ref").agg(best).filter("best IS NOT NULL")
+    return found.select("ref", "best.work_id", F.when(F.col("best.tier") == 0, 1.0).otherwise(0.7).alias("confidence"))
 
 
 @query(f"""WITH {_PARSED} SELECT ref, count(w.work_id) AS hits, CASE WHEN count(w.work_id) = 1 THEN min(w.work_id) END AS work_id, CASE count(w.work_id) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS state

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from athenaeum import plugs
 from athenaeum.functions import arrow
 from athenaeum.operators import vectors
-from athenaeum.operators.sizes import bounded
 from athenaeum.plans.registry import query
 from athenaeum.sources.tables import Tables
 
@@ -66,6 +65,24 @@ def d5_cross_section_pairs(t: Tables) -> DataFrame:
     return vectors.all_similar_pairs(t.vectors, 0.4, DIM).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def _similar(least: float) -> str:
+    return f"SELECT a.id AS a, b.id AS b, round({cos('a.v', 'b.v')}, 6) AS similarity FROM vectors a JOIN vectors b ON a.id < b.id AND a.section <> b.section AND {cos('a.v', 'b.v')} >= {least}"
+
+
+@query(_similar(0.4))
+def d5_pairs_by_pivots(t: Tables) -> DataFrame:
+    """The same pairs, met only where the triangle inequality lets them be."""
+    return vectors.pairs_by_pivots(t.vectors, 0.4, DIM).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("WITH p AS (SELECT id, section, list_transform(range(64), lambda i: CAST(v[i + 1] + CASE WHEN i = id % 37 THEN 3 ELSE 0 END AS FLOAT)) AS v FROM vectors) " + _similar(0.75).replace("FROM vectors a JOIN vectors b", "FROM p a JOIN p b"))
+def d5_clustered_pairs(t: Tables) -> DataFrame:
+    """Pairs at the library's threshold of 0.75 among vectors that lie in clusters, each drawn towards one of 37 directions."""
+    drawn = F.transform("v", lambda x, i: (x + F.when(i == F.col("id") % 37, 3.0).otherwise(0.0)).cast("float"))
+    rows = t.vectors.select("id", "section", drawn.alias("v"))
+    return vectors.pairs_by_pivots(rows, 0.75, DIM, n=64).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def d5_similar_pairs_by_signature(t: Tables) -> DataFrame:
     """The same by hyperplane signatures; tests measure the recall."""
@@ -76,11 +93,14 @@ def d5_similar_pairs_by_signature(t: Tables) -> DataFrame:
  b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, target) AS place, max(CASE WHEN target = section THEN score END) OVER (PARTITION BY id) AS own FROM s)
  SELECT id, section, target, round(score, 6) AS score, round(score - own, 6) AS delta FROM b WHERE place = 1 AND target <> section AND score >= 0.2 AND score - own >= 0.01""")
 def d6_reassign(t: Tables) -> DataFrame:
-    """Each vector against every section's centroid; these are sent to the vectors if there are not too many."""
-    s = t.vectors.join(bounded(_centroids(t)))
-    score = vectors.cosine(F.col("v"), F.col("centroid")) - F.when(F.col("section") % 2 != F.col("target") % 2, 0.02).otherwise(0.0) + F.when(F.col("target") == 3, 0.03).otherwise(0.0)
-    s = s.select("id", "section", "target", score.alias("score"))
-    best = s.groupBy("id", "section").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("b"), F.max(F.when(F.col("target") == F.col("section"), F.col("score"))).alias("own"))
+    """Each vector against every section's centroid, within its row: the centroids (one for each section) come as one row."""
+    all_of_them = _centroids(t).agg(F.sort_array(F.collect_list(F.struct("target", "centroid"))).alias("centroids"))
+    apart = lambda c: F.when(F.col("section") % 2 != c["target"] % 2, 0.02).otherwise(0.0)
+    near = lambda c: F.when(c["target"] == 3, 0.03).otherwise(0.0)
+    scored = F.transform("centroids", lambda c: F.struct((vectors.cosine(F.col("v"), c["centroid"]) - apart(c) + near(c)).alias("score"), (-c["target"]).alias("t")))
+    s = t.vectors.join(F.broadcast(all_of_them)).select("id", "section", scored.alias("scores"))  # one row
+    own = F.get(F.filter("scores", lambda x: -x["t"] == F.col("section")), F.lit(0))["score"]
+    best = s.select("id", "section", F.array_max("scores").alias("b"), own.alias("own"))
     out = best.select("id", "section", (-F.col("b.t")).alias("target"), F.col("b.score").alias("score"), (F.col("b.score") - F.col("own")).alias("delta"))
     return out.filter("target <> section and score >= 0.2 and delta >= 0.01").withColumns({"score": F.round("score", 6), "delta": F.round("delta", 6)})
 
@@ -147,7 +167,8 @@ def a12_embeddings(t: Tables) -> DataFrame:
 @query(r"""WITH RECURSIVE p AS (SELECT work_id, text, 0 AS s, CAST(length(text) AS INTEGER) AS e FROM works WHERE length(text) > 0
  UNION ALL SELECT work_id, text, unnest([s, s + (e - s) // 2]), unnest([s + (e - s) // 2, e]) FROM p WHERE e - s > 6000)
  SELECT work_id, s AS start, e AS "end", 'ok' AS status, CAST(len(regexp_extract_all(substr(text, s + 1, e - s), '[^ 
-	]+')) AS BIGINT) AS words FROM p WHERE e - s <= 6000""")
+	
+]+')) AS BIGINT) AS words FROM p WHERE e - s <= 6000""")
 def q3_chunk_map(t: Tables) -> DataFrame:
     """A generator that is plugged in reads every text; what is too long for it is halved until it isn't."""
     found = plugs.mapped(t.works.select("work_id", "text"), "work_id", "text", plugs.CountingGenerator, least=2000)

@@ -115,3 +115,22 @@ def test_plugs(spark):
 def test_broadcasts_are_checked(spark):
     assert "broadcast" in bounded(spark.range(5), 5)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in bounded(spark.range(6), 5)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_pairs_by_pivots_are_all_pairs_at_less_work(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.standard_normal((20, 16)) * 3
+    v = middles[rng.integers(0, 20, 600)] + rng.standard_normal((600, 16)) * 0.6
+    rows = [(i, i % 5, [float(x) for x in r]) for i, r in enumerate(v)] + [(600, 0, [0.0] * 16), (601, 1, [1.0]), (602, 2, None), (603, 3, []), (604, 9, [float(x) for x in v[0]])]
+    df = spark.createDataFrame(rows, "id long, section int, v array<float>")
+    unit = np.vstack([v, v[:1]]).astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    s, section = unit @ unit.T, np.array([*(i % 5 for i in range(600)), 9])
+    ids = np.array([*range(600), 604])
+    for threshold, n, size in ((0.9, 24, 512), (0.75, 8, 40), (0.2, 1, 100)):
+        want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero((s >= threshold) & (section[:, None] != section[None, :]))) if i < j}
+        got = vectors.pairs_by_pivots(df, threshold, 16, n=n, size=size).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and abs(sum(r.similarity for r in got) - sum(s[i if i < 600 else 600, j if j < 600 else 600] for i, j in want)) < 1e-6 * len(want)
+    cells = vectors.Cells(df, 0.9, 16, 24)
+    assert cells.compared() < 0.25 * 601 * 601 / 2 and cells.held.sum() == 601
+    assert vectors.pairs_by_pivots(df.limit(0), 0.9, 16).count() == 0
