@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenaeum.operators.sizes import bounded
@@ -58,3 +58,17 @@ def semantic_factor(edges: DataFrame, vectors: DataFrame, centroids: DataFrame,
 def recent_or_classic(year: Column, measure: Column, today: int, max_age: int, classic: float) -> Column:
     """True for rows without a year, young ones, and old ones that measure up."""
     return F.coalesce(year, F.lit(0)).eqNullSafe(0) | (F.lit(today) - year <= max_age) | F.coalesce(measure >= classic, F.lit(False))
+
+
+def feedback(decisions: DataFrame, notes: int = 10) -> DataFrame:
+    """topic, likes, dislikes and the last ``notes`` of each topic (id, at), latest first, of decisions (id, at, context as JSON, verdict).
+
+    A topic is the context's type, or "unknown". Each task keeps its own last few of each topic (a ranked window that is cut before
+    the shuffle), so that a topic with most of all rows is never gathered.
+    """
+    typed = decisions.withColumn("topic", F.coalesce(F.get_json_object("context", "$.type"), F.lit("unknown")))
+    place = Window.partitionBy("topic").orderBy(F.desc("at"), F.desc("id"))
+    last = typed.filter("verdict IS NOT NULL").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= notes)
+    lists = last.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id", "at"))), lambda n: F.struct(n["id"].alias("id"), n["at"].alias("at"))).alias("notes"))
+    counts = typed.groupBy("topic").agg(F.count_if(F.col("verdict") == "like").alias("likes"), F.count_if(F.col("verdict") == "dislike").alias("dislikes"))
+    return counts.join(lists, "topic", "left")

@@ -256,6 +256,19 @@ def e23_feedback(t: Tables) -> DataFrame:
     return t.usage.groupBy(topic.alias("topic")).agg(F.count_if(F.col("operation") == "purchase").alias("likes"), F.count_if(F.col("operation") == "error").alias("dislikes"))
 
 
+@query("""WITH u AS (SELECT event_id, seen, operation, CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE 'topic ' || CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 END AS topic FROM usage),
+ n AS (SELECT topic, event_id, seen, row_number() OVER (PARTITION BY topic ORDER BY seen DESC, event_id DESC) AS place FROM u WHERE operation IN ('purchase', 'error'))
+ SELECT u.topic, count(*) FILTER (WHERE operation = 'purchase') AS likes, count(*) FILTER (WHERE operation = 'error') AS dislikes, (SELECT string_agg(event_id, ',' ORDER BY place) FROM n WHERE n.topic = u.topic AND place <= 10) AS notes FROM u GROUP BY u.topic""")
+def e23_feedback_notes(t: Tables) -> DataFrame:
+    """Likes, dislikes and the last ten notes of each topic; what names none is "unknown"."""
+    from athenaeum.operators.scoring import feedback
+
+    context = F.when(F.col("event_id") % 4 == 0, F.lit('{"note": 1}')).otherwise(F.concat(F.lit('{"type": "topic '), (F.get_json_object("props", "$.k").cast("int") % 5).cast("string"), F.lit('"}')))
+    verdict = F.when(F.col("operation") == "purchase", "like").when(F.col("operation") == "error", "dislike")
+    made = feedback(t.usage.select(F.col("event_id").alias("id"), F.col("seen").alias("at"), context.alias("context"), verdict.alias("verdict")))
+    return made.withColumn("notes", F.array_join(F.transform("notes", lambda n: n["id"].cast("string")), ","))
+
+
 @query("""SELECT e.citing, 3 * count(*) FILTER (WHERE c.owned) + 2 * count(DISTINCT e.intent) - 5 * CAST(e.citing % 2 = 0 AS INTEGER) AS score FROM edges e JOIN cited c ON c.cited = e.cited GROUP BY e.citing ORDER BY score DESC, e.citing LIMIT 10""")
 def e24_candidates(t: Tables) -> DataFrame:
     g = t.edges.join(t.cited, "cited").groupBy("citing").agg(F.count_if("owned").alias("o"), F.countDistinct("intent").alias("d"))
@@ -420,6 +433,21 @@ def m3_decision_trail(t: Tables) -> DataFrame:
     return t.usage.filter("operation = 'purchase'").select("event_id", "seen", (F.col("event_id") - F.get_json_object("props", "$.k").cast("long")).alias("influenced_by")).orderBy("seen", "event_id")
 
 
+@query("""WITH RECURSIVE d AS (SELECT event_id AS id, seen, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM usage WHERE operation = 'purchase'),
+ l AS (SELECT DISTINCT d.id AS a, o.id AS b FROM d JOIN d o ON o.id IN (d.id - d.k, d.id - 3 * d.k, CASE WHEN d.k = 7 THEN d.id + 21 END) AND o.id <> d.id),
+ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+ SELECT id, seen, (SELECT count(*) FROM l WHERE l.a = id) AS influences, count(b) AS rests_on, coalesce(string_agg(b, ',' ORDER BY b), '') AS trail FROM d LEFT JOIN r ON r.a = d.id AND r.b <> r.a GROUP BY id, seen""")
+def m3_rests_on(t: Tables) -> DataFrame:
+    """Each decision with all that it rests on, through its lists of influences; some lists point ahead and make cycles."""
+    from athenaeum.operators.graph import trail
+
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
+    listed = F.to_json(F.filter(F.array(i - k, i - 3 * k, F.when(k == 7, i + 21)), lambda x: x.isNotNull()))
+    made = trail(t.usage.filter("operation = 'purchase'").select(i.alias("id"), F.col("seen").alias("at"), listed.alias("influenced_by")))
+    text = F.array_join(F.transform("rests_on", lambda x: x.cast("string")), ",")
+    return made.select("id", F.col("at").alias("seen"), F.size("influences").cast("long").alias("influences"), F.size("rests_on").cast("long").alias("rests_on"), text.alias("trail"))
+
+
 @query("""WITH RECURSIVE up(node, parent, depth) AS (SELECT section, section, 0 FROM (SELECT DISTINCT section || '.1' AS section FROM works) UNION ALL
  SELECT node, regexp_replace(parent, '\\.[^.]*$', ''), depth + 1 FROM up WHERE contains(parent, '.')) SELECT node, parent, depth FROM up""")
 def m4_ancestors(t: Tables) -> DataFrame:

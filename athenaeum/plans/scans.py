@@ -121,6 +121,39 @@ def a13_path_resolution(t: Tables) -> DataFrame:
     return cascade("cited", [f.select("cited", "path"), f.select((F.col("cited") - 1).alias("cited"), "path").join(t.cited.select("cited"), "cited", "left_semi")], ["path"]).select("cited", "path")
 
 
+#: Works with keys, and files named in five ways, a seventh of the works each.
+_SURNAME = "'author' || translate(CAST(p_partkey % 97 AS VARCHAR), '0123456789', 'abcdefghij')"
+_FILED = f"""k AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS one, split_part(p_name, ' ', 2) AS two, CAST(1975 + p_size AS VARCHAR) AS year, {_SURNAME} AS surname FROM part),
+ w AS (SELECT id, surname || upper(one[1]) || one[2:] || year AS key, one || ' of ' || two || ' and the other ' || two AS title, CASE WHEN id % 7 = 0 THEN 'store/direct/' || id || '.pdf' WHEN id % 7 = 6 THEN 'gone/' || id || '.pdf' END AS direct,
+  CASE WHEN id % 7 = 1 THEN 'store/lookup/' || id || '/file.pdf' END AS lookup FROM k),
+ f AS (SELECT CASE id % 7 WHEN 0 THEN 'store/direct/' || id || '.pdf' WHEN 1 THEN 'store/lookup/' || id || '/file.pdf' WHEN 2 THEN 'store/keys/x' || surname || upper(one[1]) || one[2:] || year || 'v' || id || '.pdf'
+  WHEN 3 THEN 'store/titles/' || one || '-' || two || ' (' || year || ') ' || id || '.pdf' WHEN 4 THEN 'store/authors/' || surname || ' and others - ' || year || ' - ' || one || '.pdf' END AS path FROM k WHERE id % 7 < 5)"""
+
+
+@query(rf"""WITH {_FILED}, n AS (SELECT DISTINCT path, lower(regexp_extract(path, '[^/]+$')) AS name FROM f),
+ i AS (SELECT path, name, list_concat(regexp_extract_all(name, '\p{{L}}+|\d+'), regexp_extract_all(name, '[\p{{L}}\d]+')) AS words, list_concat(regexp_extract_all(head, '\p{{L}}+|\d+'), regexp_extract_all(head, '[\p{{L}}\d]+')) AS head
+   FROM (SELECT *, CASE WHEN contains(name, ' - ') THEN split_part(name, ' - ', 1) ELSE name[:40] END AS head FROM n)),
+ a AS (SELECT *, regexp_extract(key, '\d{{4}}') AS year, list_distinct(list_slice(regexp_extract_all(lower(title), '[\p{{L}}\d]{{4,}}'), 1, 5)) AS wanted, list_filter(list_transform(regexp_extract_all(key, '[A-Z][a-z]+|[a-z]+|\d{{4}}'), lambda p: lower(p)), lambda p: length(p) >= 3) AS parts FROM w),
+ m AS (SELECT id, 1 AS tier, path FROM a JOIN i ON path = direct UNION ALL SELECT id, 2, path FROM a JOIN i ON path = lookup UNION ALL SELECT id, 3, path FROM a JOIN i ON contains(name, lower(key))
+  UNION ALL SELECT id, 4, path FROM a JOIN i ON len(wanted) >= 2 AND contains(name, year) AND len(list_intersect(wanted, words)) >= 2
+  UNION ALL SELECT id, 5, path FROM a JOIN i ON len(parts) >= 3 AND list_contains(head, parts[1]) AND len(list_intersect(list_distinct(parts[2:]), words)) >= 2)
+ SELECT id, tier, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, path) AS n FROM m) WHERE n = 1""")
+def a13_five_tiers(t: Tables) -> DataFrame:
+    """Each work's file by the best of five tiers."""
+    from athenaeum.operators.paths import resolve
+
+    i, year = F.col("p_partkey"), (1975 + F.col("p_size")).cast("string")
+    one, two = (F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2))
+    surname = F.concat(F.lit("author"), F.translate((i % 97).cast("string"), "0123456789", "abcdefghij"))
+    k = t.raw("part").select(i.alias("id"), one.alias("one"), two.alias("two"), year.alias("year"), surname.alias("surname"), F.concat(surname, F.initcap(one), year).alias("key"))
+    own = lambda n, *parts: F.when(F.col("id") % 7 == n, F.concat(*[F.lit(p) if p[:1] in "/.- (v)" or "/" in p or " " in p else F.col(p) for p in parts]))
+    direct, lookup = own(0, "store/direct/", "id", ".pdf"), own(1, "store/lookup/", "id", "/file.pdf")
+    works = k.select("id", "key", F.concat("one", F.lit(" of "), "two", F.lit(" and the other "), "two").alias("title"), F.coalesce(direct, own(6, "gone/", "id", ".pdf")).alias("direct"), lookup.alias("lookup"))
+    titles, authors = own(3, "store/titles/", "one", "-", "two", " (", "year", ") ", "id", ".pdf"), own(4, "store/authors/", "surname", " and others - ", "year", " - ", "one", ".pdf")
+    path = F.coalesce(direct, lookup, own(2, "store/keys/x", "key", "v", "id", ".pdf"), titles, authors)
+    return resolve(works, k.select(path.alias("path")).filter("path IS NOT NULL"))
+
+
 @query("SELECT collection, lang, count(*) AS n FROM works GROUP BY 1, 2")
 def a7_tag_histogram(t: Tables) -> DataFrame:
     return t.works.select("collection", F.explode(F.array("lang")).alias("lang")).groupBy("collection", "lang").agg(F.count(F.lit(1)).alias("n"))

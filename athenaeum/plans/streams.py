@@ -21,6 +21,12 @@ def n0_tumbling_counts(t: Tables) -> DataFrame:
     return events.tumbling(_events(t)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts), INTERVAL 15 MINUTE)) AS start, event_type, value FROM events) GROUP BY 1, 2""")
+def n0_sliding_counts(t: Tables) -> DataFrame:
+    """Windows of an hour that begin every quarter, as sums of quarters."""
+    return events.sliding(_events(t)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def n0_sessions(t: Tables) -> DataFrame:
@@ -44,6 +50,18 @@ def n2_stale_work(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", F.when((F.col("event_type") == "view") & (F.col("ts") < limit), "failed").otherwise(F.col("event_type")).alias("state"))
 
 
+@query("""WITH m AS (SELECT user_id AS run_id, ts AS "at", CASE WHEN event_type IN ('view', 'click') THEN 'running' ELSE event_type END AS state FROM events),
+ n AS (SELECT *, lead("at") OVER (PARTITION BY run_id ORDER BY "at", state) AS following, max("at") OVER () AS last FROM m)
+ SELECT run_id, "at", state FROM m UNION ALL SELECT run_id, "at" + INTERVAL 2 HOUR, 'failed' FROM n WHERE state = 'running' AND coalesce(following, last) >= "at" + INTERVAL 2 HOUR""")
+def n2_given_up(t: Tables) -> DataFrame:
+    """Runs' messages, and the time at which each run that never ended is given up; the stream does it by timers."""
+    from athenaeum.streaming.runs import given_up
+
+    state = F.when(F.col("event_type").isin("view", "click"), "running").otherwise(F.col("event_type"))
+    made = given_up(_events(t).select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), state.alias("state")))
+    return made.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("SELECT event_id, user_id FROM events")
 def n3_replay(t: Tables) -> DataFrame:
     """A day's events sent twice count once."""

@@ -21,6 +21,15 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def sliding(events: DataFrame, width: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums of overlapping windows. Each event is added to one pane as long as the slide; windows are sums of panes, so
+    the work on events doesn't grow with the number of windows they lie in. ``width`` is a multiple of ``slide``."""
+    panes = (events.withWatermark("ts", late) if events.isStreaming else events).groupBy(F.window("ts", slide).alias("pane"), "event_type")
+    panes = panes.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    windows = panes.groupBy(F.window(F.window_time("pane"), width, slide).alias("window"), "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return windows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     counted = (events.withWatermark("ts", late) if events.isStreaming else events).groupBy(F.session_window("ts", gap), "user_id")
     return counted.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")

@@ -71,3 +71,35 @@ def test_merge_each(spark, tmp_path):
 def test_limiter_rule():
     times = []
     assert [events._limit(times, t, 2, 10.0) for t in (0, 1, 2, 9.5, 10.0, 10.5, 11.0)] == [True, True, False, False, True, False, True]
+
+
+def test_sliding_windows_agree_with_the_batch_and_drop_what_is_late(spark, tmp_path):
+    """Each window is the sum of its panes; what comes later than the watermark is in no window of the stream."""
+    e = split(spark, tmp_path)
+    late = e.filter("event_id < 5").withColumn("event_id", F.col("event_id") + 10_000)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    pick = lambda df: {(r.start, r.event_type, r.n, round(r.total, 6)) for r in df.collect()}
+    sent = pick(drain(events.sliding(events.stream(spark, str(tmp_path / "in"))), "append", "slid", spark, tmp_path))
+    whole = pick(events.sliding(e))
+    last = e.agg(F.max("ts")).first()[0]
+    assert sent <= whole and all((last - r[0]).total_seconds() < 2 * 3600 + 900 for r in whole - sent) and len(sent) > 1000
+    direct = e.groupBy(F.window("ts", "1 hour", "15 minutes"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    assert pick(direct.select("window.start", "event_type", "n", "total")) == whole
+
+
+def test_runs_are_given_up_by_timers(spark, tmp_path):
+    """The stream's timers fail the runs that the batch fails, all but those whose time the watermark hasn't reached."""
+    from athenaeum.streaming.runs import given_up
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        e = split(spark, tmp_path)
+        said = lambda df: df.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.when(F.col("event_type").isin("view", "click"), "running").otherwise(F.col("event_type")).alias("state"))
+        pick = lambda df: sorted((r.run_id, r["at"].replace(microsecond=r["at"].microsecond // 1000 * 1000), r.state) for r in df.collect())
+        sent = pick(drain(given_up(said(events.stream(spark, str(tmp_path / "in")))), "append", "runs", spark, tmp_path))
+        whole, last = given_up(said(e)), e.agg(F.max("ts")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = pick(whole)
+    assert set(sent) <= set(want) and len(sent) == len(set(sent)) and sum(r[2] == "failed" for r in sent) > 100
+    assert all(r[2] == "failed" and (last - r[1]).total_seconds() < 700 for r in set(want) - set(sent))
