@@ -102,7 +102,7 @@ def tilts(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame:
         high = F.when(miss >= 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - miss / F.when(F.col("slope") > 0, F.col("slope"))
         inside = (newton > low) & (newton < high)
-        done = F.col("settled") | F.col("tilt").isNull() | (F.abs(miss) <= CLOSE * F.greatest(F.col("target"), F.lit(1.0))) | (high - low < 1e-12)
+        done = F.col("settled") | F.col("tilt").isNull() | (F.abs(miss) <= CLOSE * F.greatest(F.col("target"), F.lit(1.0))) | (high - low <= 1e-12 * F.greatest(F.lit(1.0), F.abs(F.col("tilt"))))
         tilt = F.when(done, F.col("tilt")).when(inside, newton).otherwise(F.sinh((F.asinh(low) + F.asinh(high)) / 2))
         return got.select("source", "source_size", "target", "unit", tilt.alias("tilt"), low.alias("low"), high.alias("high"), done.alias("settled"))
 
@@ -116,6 +116,8 @@ def tilts(cells: DataFrame, wanted: DataFrame, cap: float = CAP) -> DataFrame:
         state = after
         if not state.filter(~F.col("settled")).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the mix did not settle in {MAX_STEPS} steps")
     return state.select("source", "source_size", "target", "unit", "tilt")
 
 

@@ -6,12 +6,16 @@ number of the format's domain, a keyed Feistel network permutes that domain, and
 separators that were there. Equal values therefore get equal pseudonyms in all documents (whatever their separators; a day in
 any of its notations; a North American number with or without its country code), no two values share one, a card number stays a
 valid card number and a date a date, and who has the key can turn it back. Country codes, domains, the kinds of a secret's
-characters, and whether a day is beyond the 12th stay as they are: the last keeps ``25/12/1999`` readable day first only.
+characters, and whether a day is beyond the 12th stay as they are: the last keeps ``25/12/1999`` readable day first only. A secret is
+all that follows its name up to white space, or up to the closing mark of quotation; its letters and digits are permuted, other marks stay.
 
 A Feistel network permutes a rectangle a x b that holds the domain; results outside the domain are permuted again (cycle
 walking), which keeps it a permutation.
 
-What fails its validation is left alone.
+What fails its validation is left alone. Bounds: days are those of 1900 to 2099, in numbers or with English names of months; mail names
+may have Latin, Greek and Cyrillic letters; telephone numbers without a country code are North American, and where only spaces part
+them they must be valid ones. Restoring gives the same value; a day that was written with single digits or a month's name, and a network
+address, may come back in another spelling of it.
 
 Defined results: null text stays null, empty text empty; repeated rows get the same text each; an empty table gives an
 empty result; all other columns are carried as they are, except that the two added ones replace any of the same name. A text is
@@ -22,9 +26,12 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,6 +98,9 @@ def mod97(account: str) -> int:
 #: The kinds of characters that keep their kind.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 HEX = "0123456789abcdef"
+#: Months, and what a word of a mail's name is made of.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+NAME = "A-Za-z0-9_\u00C0-\u024F\u0300-\u036F\u0370-\u052F"
 #: Days of 1900 to 2099 up to the 12th of a month, and those beyond: each permutes among itself, see :meth:`Pseudonyms.date`.
 EARLY, LATE = ([n for n in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()) if (datetime.date.fromordinal(n).day > 12) is late] for late in (False, True))
 PLACE = {n: i for days in (EARLY, LATE) for i, n in enumerate(days)}
@@ -100,6 +110,19 @@ SHORT_CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "
 RUN = 128
 
 
+@lru_cache(maxsize=4096)
+def alphabet(c: str, alphabets: tuple[str, ...] = ALPHABETS) -> str | None:
+    """The characters that ``c`` may become: those of its kind. Letters beyond ASCII become letters of their block and case."""
+    for a in alphabets:
+        if c in a:
+            return a
+    kind = unicodedata.category(c)
+    if c < "\x80" or kind[0] not in "LN":
+        return None
+    start = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(max(start, 0x80), start + 256)) if unicodedata.category(x) == kind)
+
+
 class Pseudonyms:
     """Finds and replaces; ``unmask`` runs the permutation backwards."""
 
@@ -109,7 +132,7 @@ class Pseudonyms:
 
     def _symbols(self, text: str, tweak: bytes, alphabets: tuple[str, ...] = ALPHABETS) -> str:
         """Every character becomes one of its own alphabet; others stay."""
-        sets = [next((a for a in alphabets if c in a), None) for c in text]
+        sets = [alphabet(c, alphabets) for c in text]
         value, size = 0, 1
         for c, a in zip(text, sets, strict=True):
             if a:
@@ -139,6 +162,8 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", m[0])
         if not 7 <= len(digits) <= 15:
             return None
+        if re.fullmatch(r"\d{3} \d{3} \d{4}", m[0]) and (digits[0] in "01" or digits[3] in "01"):
+            return None  # three numbers rather than a telephone's
         # what follows a plus sign begins with a country code, which stays; without one the number is North American
         code = (next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3)) if "+" in m[0] else 0
         head, national = digits[:code], digits[code:]
@@ -173,26 +198,62 @@ class Pseudonyms:
         takes a day beyond the 12th; those permute among themselves, so that a day-first date stays one in all notations.
         """
         a, mark, b, _, c = re.split(r"([-/.])", m[0])
+        plain = len(a) == 1 or len(b) == 1  # written without leading zeros
         for year, month, day in [(a, b, c)] if len(a) == 4 else [(c, a, b), (c, b, a)] if mark == "/" else [(c, b, a)]:
-            try:
-                n = datetime.date(int(year), int(month), int(day)).toordinal()
-            except ValueError:
+            d = self._day(int(year), int(month), int(day))
+            if d is None:
                 continue
-            if n not in PLACE:
-                continue
-            days, tweak = (LATE, b"late") if int(day) > 12 else (EARLY, b"early")
-            d = datetime.date.fromordinal(days[self.move(PLACE[n], len(days), tweak)])
-            made = {id(year): f"{d.year:04d}", id(month): f"{d.month:02d}", id(day): f"{d.day:02d}"}
+            width = 1 if plain else 2
+            made = {id(year): f"{d.year:04d}", id(month): f"{d.month:0{width}d}", id(day): f"{d.day:0{width}d}"}
             return mark.join(made[id(x)] for x in (a, b, c))
         return None
 
+    def _day(self, year: int, month: int, day: int) -> datetime.date | None:
+        """The day that this one becomes; None if it is none."""
+        try:
+            n = datetime.date(year, month, day).toordinal()
+        except ValueError:
+            return None
+        if n not in PLACE:
+            return None
+        days, tweak = (LATE, b"late") if day > 12 else (EARLY, b"early")
+        return datetime.date.fromordinal(days[self.move(PLACE[n], len(days), tweak)])
+
+    def named_date(self, m: re.Match) -> str | None:
+        """A day with its month's name, in full or by three letters."""
+        name = m["m1"] or m["m2"]
+        month = next(i for i, full in enumerate(MONTHS, 1) if full[:3].lower() == name[:3].lower())
+        if len(name) > 3 and name.lower() != MONTHS[month - 1].lower():
+            return None
+        d = self._day(int(m["y1"] or m["y2"]), month, int(m["d1"] or m["d2"]))
+        if d is None:
+            return None
+        made = MONTHS[d.month - 1] if len(name) > 3 else MONTHS[d.month - 1][:3]
+        made = made.upper() if name.isupper() else made.lower() if name.islower() else made
+        new = {"m1": made, "m2": made, "d1": str(d.day), "d2": str(d.day), "y1": f"{d.year:04d}", "y2": f"{d.year:04d}"}
+        out, at = [], m.start()
+        for group in sorted((g for g in new if m[g] is not None), key=m.start):
+            out += [m.string[at : m.start(group)], new[group]]
+            at = m.end(group)
+        return "".join([*out, m.string[at : m.end()]])
+
+    def address6(self, m: re.Match) -> str | None:
+        try:
+            value = ipaddress.IPv6Address(m[0])
+        except ValueError:
+            return None
+        if len(m[0].replace(":", "")) < 5:
+            return None  # what has few digits is rather a path of names
+        return str(ipaddress.IPv6Address(self.move(int(value), 1 << 128, b"ipv6")))
+
     def account(self, m: re.Match) -> str | None:
-        text = m[0].replace(" ", "")
+        text = m[0].replace(" ", "").upper()
         if not 15 <= len(text) <= 34 or mod97(text) != 1:
             return None
         body = self._symbols(text[4:], b"iban" + text[:2].encode())
         check = 98 - mod97(text[:2] + "00" + body)
-        it = iter(f"{text[:2]}{check:02d}{body}")
+        made = f"{text[:2]}{check:02d}{body}"
+        it = iter(made.lower() if m[0].islower() else made)
         return "".join(c if c == " " else next(it) for c in m[0])
 
     def mail(self, m: re.Match) -> str:
@@ -203,11 +264,19 @@ class Pseudonyms:
         return m[0][:4] + self._symbols(m[0][4:], b"key", ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",))
 
     def secret(self, m: re.Match) -> str:
-        value = m["value"]
+        group = next(g for g in ("double", "single", "plain") if m[g] is not None)
+        value, start = m[group], m.start(group)
+        if group == "plain":
+            value = value.rstrip(".,;:!?)]}>") or value  # the sentence's own marks stay and don't change what it becomes
+        end = start + len(value)
+        # a key or an address keeps its link with where it stands alone
+        for kind in ("key", "mail"):
+            if whole := BY_KIND[kind].fullmatch(value):
+                return m.string[m.start() : start] + getattr(self, kind)(whole) + m.string[end : m.end()]
         alphabets = (HEX,) if re.fullmatch("[0-9a-f]+", value) else ALPHABETS
         # a long one is permuted run by run, for the numbers of whole ones would take time quadratic in their length
         made = [self._symbols(value[i : i + RUN], b"secret%d" % i if i else b"secret", alphabets) for i in range(0, len(value), RUN)]
-        return m[0][: m.start("value") - m.start()] + "".join(made) + m[0][m.end("value") - m.start() :]
+        return m.string[m.start() : start] + "".join(made) + m.string[end : m.end()]
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and (start, end, kind) of each in the given text."""
@@ -235,19 +304,23 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [x[:3] for x in found]
 
 
-_DIGITS, _DIGIT, _DOTTED = re.compile(r"\d{2}"), re.compile(r"\d"), re.compile(r"\d\.\d")
+_DIGITS, _DIGIT, _DOTTED, _HEXES = re.compile(r"\d{2}"), re.compile(r"\d"), re.compile(r"\d\.\d"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]")
+_MONTH = "|".join(f"{full[:3]}(?:{full[3:]})?" if full[3:] else full for full in MONTHS)
 #: In order of precedence: kind, what a text must hold for the pattern to be tried, pattern. Quantifiers are bounded, but for a secret's, which nothing follows.
 PATTERNS = (
-    ("mail", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")),
+    ("secret", re.compile(r"[=:]"), re.compile(r"""(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key))["']?\s{0,3}[=:]\s{0,3}(?:"(?P<double>[^"\n]{6,256})(?=")|'(?P<single>[^'\n]{6,256})(?=')|["']?(?P<plain>[^\s"']{6,}))""")),
+    ("mail", "@", re.compile(rf"(?<![{NAME}.%+-])[{NAME}.%+-]{{1,64}}@(?:[{NAME}-]{{1,63}}\.){{1,8}}[A-Za-z\u00C0-\u024F\u0370-\u052F]{{2,24}}")),
     ("key", "AKIA", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"[=:]"), re.compile(r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_~-]{6,})")),
-    ("account", _DIGITS, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    ("account", _DIGITS, re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("card", _DIGIT, re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("ssn", _DIGITS, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("date", _DIGITS, re.compile(r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w-])")),
+    ("date", _DIGITS, re.compile(r"(?<![\w.-])(?:\d{4}([-/.])\d{2}\1\d{2}(?:(?=T\d{2})|(?![\w-]))|\d{1,2}([-/.])\d{1,2}\2\d{4}(?![\w-]))")),
+    ("named_date", re.compile("[12]\\d{3}"), re.compile(rf"(?i)(?<!\w)(?:(?P<d1>\d{{1,2}})(?:st|nd|rd|th)?[ \u00a0](?P<m1>{_MONTH})\.?,?[ \u00a0](?P<y1>\d{{4}})|(?P<m2>{_MONTH})\.?[ \u00a0](?P<d2>\d{{1,2}})(?:st|nd|rd|th)?,?[ \u00a0](?P<y2>\d{{4}}))(?!\w)")),
     ("address", _DOTTED, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")),
-    ("phone", _DIGITS, re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d(?:\)?[ .-]?\(?\d){6,14}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])")),
+    ("address6", _HEXES, re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")),
+    ("phone", _DIGITS, re.compile(r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d(?:\)?[ .-]?\(?\d){6,14}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])(?<!\d )\d{3}([ .-])\d{3}\1\d{4}(?![\w-]| \d)")),
 )
+BY_KIND = {kind: pattern for kind, _, pattern in PATTERNS}
 
 
 def pseudonymize(docs: DataFrame, key: bytes, unmask: bool = False) -> DataFrame:
