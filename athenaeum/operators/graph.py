@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from athenaeum.operators.shared import settled
+
 #: Doublings after which a path of any length that a table can hold is closed.
 ROUNDS = 60
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and written where all executors can read it, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="athenaeum-"))
-    return df.checkpoint()
-
-
 def reachable(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(a, b) of all that ``a`` reaches by links (a, b), itself left out; members of a cycle reach each other.
 

@@ -135,11 +135,40 @@ def write_swapped(df: DataFrame, root: str, version: str) -> str:
     out = fs.create(mine, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(pointer, False)
-    fs.rename(mine, pointer)
+    # one rename over the old pointer: there is no moment without one
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = overwrite
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(mine, pointer, options)
     return path
 
 
+def export_dataset(fragments: DataFrame, gaps: DataFrame, path: str) -> None:
+    """An evaluation set as JSON lines: the first 50 labelled fragments (id, text, score of 0 to 100, label) and 20 of the first 50 gaps
+    (ref_title, section, relevance), each with what an annotator fills in. Bounded, so one file each."""
+    relevance = F.least(F.lit(5), F.greatest(F.lit(1), F.bround(F.col("score") / 10.0, 0).cast("int") + 1))
+    labelled = fragments.filter("label IS NOT NULL").orderBy("id").limit(50).select("id", "text", F.col("label").alias("ground_truth"), relevance.alias("relevance"))
+    wanted = gaps.orderBy("ref_title", "section").limit(50).orderBy(F.desc("relevance"), "ref_title", "section").limit(20)
+    for name, rows in (("fragments", labelled), ("gaps", wanted)):
+        rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+
+
+def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The fragments and gaps of an exported set; a malformed line is an error."""
+    read = lambda name, schema: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{name}")
+    return read("fragments", "id long, text string, ground_truth string, relevance int"), read("gaps", "ref_title string, section string, relevance int")
+
+
+def write_bibtex(works: DataFrame, path: str) -> None:
+    """Works as BibTeX texts in order of their keys, in as many files as Spark makes of the sort."""
+    to_bibtex(works.orderBy("key")).write.mode("overwrite").text(path)
+
+
+def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a folder of BibTeX files, each file read whole."""
+    return bibtex(spark.read.text(path, wholetext=True))
+
+
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.text(f"{root}/current").first()[0]
     return spark.read.parquet(f"{root}/v={version}")
