@@ -72,3 +72,12 @@ def feedback(decisions: DataFrame, notes: int = 10) -> DataFrame:
     lists = last.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id", "at"))), lambda n: F.struct(n["id"].alias("id"), n["at"].alias("at"))).alias("notes"))
     counts = typed.groupBy("topic").agg(F.count_if(F.col("verdict") == "like").alias("likes"), F.count_if(F.col("verdict") == "dislike").alias("dislikes"))
     return counts.join(lists, "topic", "left")
+
+
+def suggestions(moves: DataFrame, skips: DataFrame) -> DataFrame:
+    """Of moves (work, current, suggested, id, score, delta) one for each (work, current, suggested): the highest score, the least id of
+    equals, and how many it stands for. Those that ``skips`` (work, suggested) names are left out."""
+    best = F.max(F.struct("score", (-F.col("id")).alias("i"), "delta")).alias("best")
+    kept = moves.join(skips.select("work", "suggested").distinct(), ["work", "suggested"], "left_anti")
+    grouped = kept.groupBy("work", "current", "suggested").agg(best, F.count(F.lit(1)).alias("moves"))
+    return grouped.select("work", "current", "suggested", (-F.col("best.i")).alias("id"), "best.score", "best.delta", "moves")

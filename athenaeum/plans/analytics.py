@@ -422,6 +422,14 @@ def m1_graph_statistics(t: Tables) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("links"), F.countDistinct("cited").alias("targets"), F.count_if("owned").alias("internal"), F.count_if(~F.col("owned")).alias("external"), r6(F.count(F.lit(1)) / F.countDistinct("citing")).alias("mean_refs"))
 
 
+@query("""SELECT * FROM (SELECT 'citing' AS side, citing AS id, count(DISTINCT cited) AS n FROM edges GROUP BY citing ORDER BY n DESC, id LIMIT 10)
+ UNION ALL SELECT * FROM (SELECT 'cited' AS side, cited AS id, count(DISTINCT citing) AS n FROM edges GROUP BY cited ORDER BY n DESC, id LIMIT 10)""")
+def m1_top_of_both_sides(t: Tables) -> DataFrame:
+    """The ten works that cite most, and the ten that are cited most."""
+    top = lambda side, other: t.edges.groupBy(F.col(side).alias("id")).agg(F.countDistinct(other).alias("n")).orderBy(F.desc("n"), "id").limit(10).select(F.lit(side).alias("side"), "id", "n")
+    return top("citing", "cited").union(top("cited", "citing"))
+
+
 @query("SELECT e.cited, count(DISTINCT e.citing) AS n FROM edges e WHERE e.citing IN (SELECT citing FROM edges WHERE cited = 7) AND e.cited <> 7 GROUP BY e.cited ORDER BY n DESC, e.cited LIMIT 20")
 def m2_cocitation(t: Tables) -> DataFrame:
     citing = t.edges.filter("cited = 7").select("citing")

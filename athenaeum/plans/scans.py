@@ -112,6 +112,54 @@ def a11_lookup_chain(t: Tables) -> DataFrame:
     return t.works.join(a, "work_id", "left").select("work_id", F.coalesce("t1", "title").alias("title"), F.when(F.col("t1").isNotNull(), "first").otherwise("own").alias("source"))
 
 
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2))"
+_ALIKE = "(coalesce(len(list_intersect(a.ws, {0}.ws)) > 0.6::DOUBLE * greatest(len(a.ws), len({0}.ws)), false))"
+
+
+@query(f"""WITH a AS (SELECT work_id, title, doi, {_WORDS.format("title")} AS ws FROM works WHERE title <> ''),
+ x AS (SELECT doi, min(title) AS title FROM (SELECT doi, title || ' added' AS title FROM works WHERE doi IS NOT NULL AND work_id % 2 = 0 AND title <> '') GROUP BY doi),
+ y AS (SELECT work_id, CASE WHEN work_id % 5 = 0 THEN 'something else' ELSE lower(title) END AS title FROM works WHERE work_id % 3 > 0 AND title <> ''), z AS (SELECT work_id, title FROM works WHERE work_id % 7 > 0 AND title <> ''),
+ x2 AS (SELECT *, {_WORDS.format("title")} AS ws FROM x), y2 AS (SELECT *, {_WORDS.format("title")} AS ws FROM y), z2 AS (SELECT *, {_WORDS.format("title")} AS ws FROM z)
+ SELECT a.work_id, CASE WHEN {_ALIKE.format("x2")} THEN 'first' WHEN {_ALIKE.format("y2")} THEN 'second' WHEN {_ALIKE.format("z2")} THEN 'third' END AS source,
+  CASE WHEN {_ALIKE.format("x2")} THEN x2.title WHEN {_ALIKE.format("y2")} THEN y2.title WHEN {_ALIKE.format("z2")} THEN z2.title END AS found FROM a LEFT JOIN x2 ON x2.doi = a.doi LEFT JOIN y2 ON y2.work_id = a.work_id LEFT JOIN z2 ON z2.work_id = a.work_id""")
+def a11_accepted_lookups(t: Tables) -> DataFrame:
+    """Three staged lookups in order of trust; an answer counts if its title is the one asked for."""
+    from athenaeum.operators.matching import first_accepted
+
+    w = t.works.filter("title <> ''").select("work_id", "title", "doi")
+    by_doi = w.filter("doi IS NOT NULL AND work_id % 2 = 0").select("doi", F.concat("title", F.lit(" added")).alias("title"))
+    by_id = w.filter("work_id % 3 > 0").select("work_id", F.when(F.col("work_id") % 5 == 0, "something else").otherwise(F.lower("title")).alias("title"))
+    last = w.filter("work_id % 7 > 0").select("work_id", "title")
+    found = first_accepted(w.withColumnRenamed("title", "asked"), "asked", [("first", by_doi, "doi"), ("second", by_id, "work_id"), ("third", last, "work_id")], ["title"])
+    return found.select("work_id", "source", F.col("title").alias("found"))
+
+
+@query("""WITH f AS (SELECT fragment_id, 'fragment' AS kind, text AS said, intent AS detail, least(5, greatest(1, CAST(round_even(relevance * 20 / 10.0, 0) AS INTEGER) + 1)) AS relevance FROM fragments WHERE intent IS NOT NULL ORDER BY fragment_id, text LIMIT 50),
+ g AS (SELECT * FROM (SELECT title, authors, CAST(year % 6 AS INTEGER) AS relevance FROM cited ORDER BY title, authors LIMIT 50) ORDER BY relevance DESC, title, authors LIMIT 20)
+ SELECT kind, CAST(fragment_id AS VARCHAR) AS id, said, detail, relevance FROM f UNION ALL SELECT 'gap', '', title, authors, relevance FROM g""")
+def b13_written_dataset(t: Tables) -> DataFrame:
+    """An evaluation set written as JSON lines and read back."""
+    from athenaeum.operators.shared import fresh_path
+
+    path = fresh_path(t.spark, "dataset")
+    labelled = t.fragments.select(F.col("fragment_id").alias("id"), "text", (F.col("relevance") * 20).alias("score"), F.col("intent").alias("label"))
+    files.export_dataset(labelled, t.cited.select(F.col("title").alias("ref_title"), F.col("authors").alias("section"), (F.col("year") % 6).cast("int").alias("relevance")), path)
+    fragments, gaps = files.read_dataset(t.spark, path)
+    one = fragments.select(F.lit("fragment").alias("kind"), F.col("id").cast("string").alias("id"), F.col("text").alias("said"), F.col("ground_truth").alias("detail"), "relevance")
+    return one.union(gaps.select(F.lit("gap"), F.lit(""), "ref_title", "section", "relevance"))
+
+
+@query("SELECT 'k' || work_id AS key, 'online' AS type, regexp_replace(title, '[{}]', '', 'g') AS title, CAST(year AS VARCHAR) AS year, authors FROM works WHERE title <> ''")
+def b13_written_bibliography(t: Tables) -> DataFrame:
+    """All works written as BibTeX files in order of their keys, and scanned again."""
+    from athenaeum.operators.shared import fresh_path
+
+    path = fresh_path(t.spark, "bibliography")
+    files.write_bibtex(t.works.filter("title <> ''").select(F.concat(F.lit("k"), F.col("work_id").cast("string")).alias("key"), F.lit("online").alias("type"), "title", "authors", "year"), path)
+    field = lambda k: F.try_element_at("fields", F.lit(k))
+    return files.read_bibtex(t.spark, path).select("key", "type", field("title").alias("title"), field("year").alias("year"), field("author").alias("authors"))
+
+
 @query("""WITH f AS (SELECT 'http/' || p_name || ' ' || p_partkey || '.pdf' AS path, p_partkey FROM part), c AS (SELECT x.cited, f.path, CASE WHEN f.p_partkey = x.cited THEN 1 ELSE 2 END AS tier FROM cited x JOIN f ON f.p_partkey = x.cited OR f.p_partkey = x.cited + 1)
  SELECT cited, path FROM (SELECT *, row_number() OVER (PARTITION BY cited ORDER BY tier, path) AS n FROM c) WHERE n = 1""")
 def a13_path_resolution(t: Tables) -> DataFrame:

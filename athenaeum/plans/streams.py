@@ -81,6 +81,22 @@ def n5_state_key(t: Tables) -> DataFrame:
     return t.usage.select("user_id").distinct().agg(F.md5(F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1), part(13))).alias("state"))
 
 
+@query("""WITH g AS (SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1), h AS (SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+ SELECT unnest(['made', 'kept']) AS how, event_type, n, total FROM g UNION ALL SELECT 'made anew', event_type, n, total FROM h""")
+def n5_cached_counts(t: Tables) -> DataFrame:
+    """A result made once and read twice, then made anew for another state of what it rests on."""
+    from athenaeum.operators.cache import Results, state_key
+    from athenaeum.operators.shared import fresh_path
+
+    cache, out = Results(t.spark, fresh_path(t.spark, "results")), None
+    for how, rows in (("made", t.raw("events")), ("kept", t.raw("events")), ("made anew", t.raw("events").filter("event_id % 2 = 0"))):
+        counts = lambda rows=rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        found, there = cache.get("user", "project", state_key(rows, "event_id", "event_type", "value"), "", "counts", counts)
+        told = found.select(F.lit(how if there is (how == "kept") else "wrong").alias("how"), "event_type", "n", "total")
+        out = told if out is None else out.union(told)
+    return out
+
+
 @query("""WITH j AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN 'finished' WHEN value <= 50 THEN 'queued' WHEN ts < TIMESTAMP '2024-01-15 10:00:00' - INTERVAL 300 SECOND THEN 'timed out' ELSE 'running' END AS state FROM events)
  SELECT event_id, state, CASE WHEN state = 'queued' THEN row_number() OVER (PARTITION BY user_id, state ORDER BY ts, event_id) END AS place FROM j""")
 def n6_job_states(t: Tables) -> DataFrame:

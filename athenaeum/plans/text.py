@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from athenaeum.functions import arrow, text
+from athenaeum.functions import arrow, references, text
 from athenaeum.operators import quotations
 from athenaeum.plans.registry import query
 from athenaeum.sources.tables import Tables
@@ -98,6 +98,51 @@ def j9_reference_parts(t: Tables) -> DataFrame:
     return r.select("work_id", part(r"\(((?:19|20)[0-9]{2})\)").alias("year"), part("^([^,(]+),").alias("surname"), part(r"\)\. ([^.]+)\.").alias("title"), part(r"(https?://[^ ]+)").alias("url"))
 
 
+_CITABLE = "c AS (SELECT work_id, split_part(authors, ',', 1) AS name, year, doi, replace(replace(replace(title, '(', ''), ')', ''), ';', '') AS title FROM works WHERE year IS NOT NULL AND regexp_matches(title, '^[\\p{L} ,]{10,}$') AND NOT regexp_matches(title, '[,\\s]$'))"
+
+
+@query(rf"""WITH {_CITABLE} SELECT work_id, unnest([1, 3, 4]) AS number, unnest([lower(doi), NULL, '10.5555/x' || work_id]) AS doi, unnest([NULL, 'https://x.org/' || work_id, NULL]) AS url, year,
+ unnest([name || ', A', name || ' A', name || ' A']) AS authors, title, unnest(['Journal of Things', 'Annals', 'Press']) AS journal FROM c""")
+def j9_bibliographies(t: Tables) -> DataFrame:
+    """Bibliographies of four numbered entries in three forms, one too short to be any: cut, parsed and named by number."""
+    name, year = F.split_part("authors", F.lit(","), F.lit(1)), F.col("year").cast("string")
+    c = t.works.filter(F.col("year").isNotNull() & F.col("title").rlike(r"^[\p{L} ,]{10,}$") & ~F.col("title").rlike(r"[,\s]$")).withColumns({"name": name, "y": year, "i": F.col("work_id").cast("string")})
+    lines = [
+        ("[1] ", "name", ", A. (", "y", "). ", "title", ". Journal of Things, 12(3), 4-5.", "doi_part"),
+        ("2. short",),
+        ("[3] ", "name", " A. ", "title", ". Annals. ", "y", ";1:3-4. https://x.org/", "i", "."),
+        (" 4) ", "name", " A. ", "title", ".\n Press. ", "y", ". doi:10.5555/X", "i", "."),
+    ]
+    c = c.withColumn("doi_part", F.coalesce(F.concat(F.lit(" https://doi.org/"), "doi"), F.lit("")))
+    text_of = F.concat_ws("\n", *[F.concat(*[F.col(p) if p in c.columns else F.lit(p) for p in line]) for line in lines])
+    entry = c.select("work_id", F.explode(references.entries(text_of)).alias("e"))
+    return entry.select("work_id", F.col("e.number").alias("number"), references.parsed(F.col("e.entry")).alias("p")).select("work_id", "number", "p.*")
+
+
+@query("""SELECT work_id, form, first, blocking, words, names FROM (SELECT work_id, 'author' || (work_id % 97) AS low, unnest(['last first', 'given last', 'last initial', 'pairs']) AS form, unnest(['Author', 'Author', 'Author', 'Author']) AS first,
+ unnest(['author', 'author', 'j.', 'author']) AS blocking, unnest(['author,doe', 'author,doe,mary', 'author', 'author,doe']) AS words, unnest(['Author A.|Doe B.', 'Author M.|Doe B.', 'J. A.', 'Author A.|Doe B.']) AS names FROM works)""")
+def j10_author_forms(t: Tables) -> DataFrame:
+    """First surname, blocking surname, set of surnames and list of names, of the forms in which sources give authors."""
+    forms = {"last first": "Author, A.; Doe, B.", "given last": "Mary Author and B. Doe", "last initial": "Author J.", "pairs": "Author, A., Doe, B."}
+    each = t.works.select("work_id", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.lit(v).alias("authors")) for k, v in forms.items()])).alias("f")).select("work_id", "f.*")
+    who = F.col("authors")
+    first = F.when(F.col("form") == "given last", references.first_surname(F.split_part(who, F.lit(" and "), F.lit(1)))).otherwise(references.first_surname(who))
+    names = F.array_join(F.transform(references.author_list(who), lambda n: F.concat_ws(" ", n["last"], n["initial"])), "|")
+    return each.select("work_id", "form", first.alias("first"), references.blocking_surname(who).alias("blocking"), F.array_join(references.surname_set(who), ",").alias("words"), names.alias("names"))
+
+
+@query(r"""SELECT work_id, '10.1234/W' || work_id AS anywhere, CASE WHEN length(text) < 2900 THEN '10.1234/w' || work_id END AS near, CASE work_id % 3 WHEN 0 THEN '10.1234/W' || work_id ELSE '' END AS of_url, '10.1234/w' || work_id AS normal FROM works WHERE text <> '' AND NOT regexp_matches(text, '10\.[0-9]{4}')""")
+def j7_doi_forms(t: Tables) -> DataFrame:
+    """DOIs anywhere in a text, near its start, in a resolver's address, and normalized."""
+    i = F.col("work_id").cast("string")
+    found = F.concat(F.col("text"), F.lit("\nfooter 10.1234/W"), i, F.lit(". end"))
+    w = t.works.filter("text <> ''").filter(~F.col("text").rlike(r"10\.[0-9]{4}"))
+    host = F.when(F.col("work_id") % 3 == 0, "https://doi.org/").when(F.col("work_id") % 3 == 1, "https://x.org/").otherwise("doi.org ")
+    dressed = F.when(F.col("work_id") % 2 == 0, F.concat(F.lit(" https://dx.doi.org/10.1234/W"), i, F.lit("/."))).otherwise(F.concat(F.lit("DOI: 10.1234/w"), i))
+    near = F.when(F.length("text") < 2900, text.doi(found))
+    return w.select("work_id", references.doi_anywhere(found).alias("anywhere"), near.alias("near"), references.doi_of_url(F.concat(host, F.lit("10.1234/W"), i)).alias("of_url"), text.normalize_doi(dressed).alias("normal"))
+
+
 @query("SELECT work_id, split_part(authors, ',', 1) AS surname, split_part(authors, ',', 1) || coalesce(CAST(year AS VARCHAR), '') AS stem FROM works")
 def j10_surnames(t: Tables) -> DataFrame:
     s = text.surname(F.col("authors"))
@@ -117,6 +162,12 @@ def j12_citekeys(t: Tables) -> DataFrame:
     return n.select("cited", F.concat("base", mark).alias("key"))
 
 
+@query(r"SELECT work_id, regexp_replace(split_part(authors, ',', 1), '[^\p{L}]', '', 'g') || coalesce(CAST(year AS VARCHAR), '') || '_' || substr(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), 1, 30) AS key FROM works WHERE title <> ''")
+def j12_slugs(t: Tables) -> DataFrame:
+    """Keys of author, year and the title's first letters."""
+    return t.works.filter("title <> ''").select("work_id", text.citekey(F.col("authors"), F.col("year"), F.col("title")).alias("key"))
+
+
 @query("SELECT work_id, sha256('w' || work_id || ':' || title || ':0') AS content, substr(sha256('w' || work_id || ':' || title || ':0'), 1, 16) AS short FROM works WHERE title IS NOT NULL")
 def j13_hashes(t: Tables) -> DataFrame:
     h = text.content_hash(F.concat(F.lit("w"), F.col("work_id").cast("string")), F.col("title"), F.lit(None))
@@ -147,6 +198,20 @@ def j18_claims(t: Tables) -> DataFrame:
     return c.select("work_id", "c.*")
 
 
+@query(r"""WITH s AS (SELECT work_id, unnest([1, 2, 3, 4, 5]) AS n FROM works WHERE length(title) > 20 AND regexp_matches(title, '^[\p{L} ,]*$') AND NOT regexp_matches(title, '^\s|[\s,]$|  ')),
+ d AS (SELECT s.work_id, n, title FROM s JOIN works USING (work_id))
+ SELECT work_id, CASE n WHEN 5 THEN 'k2' ELSE 'k1' END AS key, CASE n WHEN 1 THEN 'number' WHEN 2 THEN 'quote' WHEN 3 THEN 'definition' ELSE 'none' END AS kind,
+  CASE n WHEN 1 THEN (work_id + 7) || '.5 %' WHEN 2 THEN '«' || title || ', and so on and on»' WHEN 3 THEN 'Sea ice refers to what is here .' ELSE '' END AS anchor FROM d""")
+def j18_anchors(t: Tables) -> DataFrame:
+    """Drafts with a number beside a year and a standard, a quotation, a definition, and two keys of one citation: what each sentence lets be checked."""
+    title = F.col("title")
+    some = t.works.filter((F.length("title") > 20) & title.rlike(r"^[\p{L} ,]*$") & ~title.rlike(r"^\s|[\s,]$|  ")).withColumn("number", (F.col("work_id") + 7).cast("string"))
+    parts = ("---\nkeys: [@no]\n---\nIn 2019 it rose by ", "number", ".5 % (see 72039-2025) [@k1]. They say «", "title", ", and so on and on» [@k1]! Sea ice refers to what is here [@k1]. Nothing of that kind, `[@no]` that is [@k1; @k2].")
+    draft = F.concat(*[F.col(p) if p in ("number", "title") else F.lit(p) for p in parts])
+    made = some.select("work_id", F.explode(arrow.claim_rows(draft)).alias("c"))
+    return made.select("work_id", "c.key", "c.kind", "c.anchor")
+
+
 @query("SELECT event_id, CASE WHEN amount > 50 THEN 'ok' WHEN amount > 20 THEN 'soft_warn' WHEN operation = 'error' THEN 'hard_warn' ELSE 'unverifiable' END AS verdict FROM usage")
 def j20_verdicts(t: Tables) -> DataFrame:
     ladder = F.when(F.col("amount") > 50, "ok").when(F.col("amount") > 20, "soft_warn").when(F.col("operation") == "error", "hard_warn").otherwise("unverifiable")

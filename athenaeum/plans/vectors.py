@@ -94,6 +94,10 @@ def d5_similar_pairs_by_signature(t: Tables) -> DataFrame:
  SELECT id, section, target, round(score, 6) AS score, round(score - own, 6) AS delta FROM b WHERE place = 1 AND target <> section AND score >= 0.2 AND score - own >= 0.01""")
 def d6_reassign(t: Tables) -> DataFrame:
     """Each vector against every section's centroid, within its row: the centroids (one for each section) come as one row."""
+    return _moves(t).withColumns({"score": F.round("score", 6), "delta": F.round("delta", 6)})
+
+
+def _moves(t: Tables) -> DataFrame:
     all_of_them = _centroids(t).agg(F.sort_array(F.collect_list(F.struct("target", "centroid"))).alias("centroids"))
     apart = lambda c: F.when(F.col("section") % 2 != c["target"] % 2, 0.02).otherwise(0.0)
     near = lambda c: F.when(c["target"] == 3, 0.03).otherwise(0.0)
@@ -102,7 +106,22 @@ def d6_reassign(t: Tables) -> DataFrame:
     own = F.get(F.filter("scores", lambda x: -x["t"] == F.col("section")), F.lit(0))["score"]
     best = s.select("id", "section", F.array_max("scores").alias("b"), own.alias("own"))
     out = best.select("id", "section", (-F.col("b.t")).alias("target"), F.col("b.score").alias("score"), (F.col("b.score") - F.col("own")).alias("delta"))
-    return out.filter("target <> section and score >= 0.2 and delta >= 0.01").withColumns({"score": F.round("score", 6), "delta": F.round("delta", 6)})
+    return out.filter("target <> section and score >= 0.2 and delta >= 0.01")
+
+
+@query(f"""WITH {_CENTROIDS}, s AS (SELECT v.id, v.section, c.section AS target, {cos('v.v', 'c.centroid')} - CASE WHEN v.section % 2 <> c.section % 2 THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN c.section = 3 THEN 0.03::DOUBLE ELSE 0 END AS score FROM vectors v JOIN c ON true),
+ b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, target) AS place, max(CASE WHEN target = section THEN score END) OVER (PARTITION BY id) AS own FROM s),
+ mv AS (SELECT id % 40 AS work, section AS current, target AS suggested, id, score, score - own AS delta FROM b WHERE place = 1 AND target <> section AND score >= 0.2 AND score - own >= 0.01),
+ k AS (SELECT * FROM mv WHERE (work, suggested) NOT IN (SELECT id % 40, section FROM vectors WHERE id % 9 = 0)),
+ g AS (SELECT *, row_number() OVER (PARTITION BY work, current, suggested ORDER BY score DESC, id) AS n, count(*) OVER (PARTITION BY work, current, suggested) AS moves FROM k)
+ SELECT work, current, suggested, id, round(score, 6) AS score, round(delta, 6) AS delta, moves FROM g WHERE n = 1""")
+def d6_suggestions(t: Tables) -> DataFrame:
+    """One suggestion for each work, section and target, but for what was skipped before."""
+    from athenaeum.operators.scoring import suggestions
+
+    moves = _moves(t).select((F.col("id") % 40).alias("work"), F.col("section").alias("current"), F.col("target").alias("suggested"), "id", "score", "delta")
+    skips = t.vectors.filter("id % 9 = 0").select((F.col("id") % 40).alias("work"), F.col("section").alias("suggested"))
+    return suggestions(moves, skips).withColumns({"score": F.round("score", 6), "delta": F.round("delta", 6)})
 
 
 @query(f"""WITH {_CENTROIDS}, g AS (SELECT e.cited, count(*) AS n, avg({cos('v.v', 'c.centroid')}) AS s FROM edges e LEFT JOIN vectors v ON v.id = e.citing LEFT JOIN c ON c.section = 2 AND v.id IS NOT NULL GROUP BY e.cited)
