@@ -346,8 +346,19 @@ _FLAT = r"trim(regexp_replace(regexp_replace(replace({c}, chr(173), ''), '-[\r\n
  p AS (SELECT *, CAST(floor((pos - 1) * length(text) / greatest(length(flat), 1)) AS BIGINT) AS place FROM f)
  SELECT work_id, CASE WHEN pos > 0 THEN substr(text, greatest(place - 400, 0) + 1, least(place + 400, length(text)) - greatest(place - 400, 0)) ELSE substr(text, 1, 800) END AS passage FROM p""")
 def j19_passages(t: Tables) -> DataFrame:
-    """What stands around each work's title in its text."""
-    return t.works.filter("title <> ''").select("work_id", text.passage(F.col("text"), F.col("title")).alias("passage"))
+    """What stands around each work's title in its text, its place taken from the squeezed text by proportion."""
+    w = t.works.filter("title <> ''").select("work_id", "text", text.squeeze(F.col("text")).alias("flat"), text.squeeze(F.col("title")).alias("anchor"))
+    found = w.withColumn("nth", F.position("anchor", "flat"))
+    place = F.floor((F.col("nth") - 1) * F.length("text") / F.greatest(F.length("flat"), F.lit(1)))
+    near = text.window(F.col("text"), place, place, 400)
+    return found.select("work_id", F.when(F.col("nth") > 0, near).otherwise(F.substring("text", 1, 800)).alias("passage"))
+
+
+@query("SELECT work_id, instr(text, title) - 1 AS start, substr(text, greatest(instr(text, title) - 401, 0) + 1, least(instr(text, title) - 1 + length(title) + 400, length(text)) - greatest(instr(text, title) - 401, 0)) AS passage FROM works WHERE title <> ''")
+def j19_exact_passages(t: Tables) -> DataFrame:
+    """What stands around each work's title, at its very place: the squeezed text keeps where its characters come from."""
+    w = t.works.filter("title <> ''").select("work_id", "text", arrow.squeezed_place_udf(F.col("title"), F.col("text")).alias("s"))
+    return w.select("work_id", F.col("s.start").cast("long").alias("start"), text.window(F.col("text"), F.col("s.start"), F.col("s.end"), 400).alias("passage"))
 
 
 @query("""WITH v AS (SELECT work_id, title || ' ' || lang AS body, CAST(length(title) AS INTEGER) AS n FROM works),
