@@ -13,10 +13,11 @@ into a byte automaton that spells the token: byte n-grams up to ``ORDER`` (inter
 document's distinct tokens, with the end as an empty word. A text's score is the sum of the log probabilities along its path.
 
 No table of the model is ever in one place. Runs of texts make blocks; a block sends each of its distinct n-grams (56 bits of a
-64-bit hash) once, with its count in training rows, to the bucket of its hash; buckets sum up and answer; and the block's texts
-walk their states with those counts. An n-gram is one entry for each block that holds it however frequent it is, and buckets
-are ranges of hashes, so none is hot. Nothing is cut off: all n-grams of all training rows count. What is broadcast is the byte
-automaton, which has at most ``256 ** ORDER`` n-grams whatever the corpus is (some ten thousand in practice).
+64-bit hash) once, with its count in training rows, to the bucket of its hash; buckets sum up and answer; and from the answers the
+block builds the part of the automaton that its texts can reach (:class:`WordAutomaton`: numbered states, arcs in a table, failure
+arcs) and walks it, each text's state passed on from token to token. An n-gram is one entry for each block that holds it however
+frequent it is, and buckets are ranges of hashes, so none is hot. Nothing is cut off: all n-grams of all training rows count. What
+is broadcast is the byte automaton, which has at most ``256 ** ORDER`` n-grams whatever the corpus is (some ten thousand in practice).
 
 Defined results: null and empty texts are the end alone; a null id is in the training fold; repeated rows count and are
 returned each; without training rows every count is 0 and tokens are spelled; an empty table gives an empty result; extra
@@ -45,7 +46,8 @@ from athenaeum.llm.trie import DoubleArray
 GRAMS = 3
 HEAPS = 0.9
 ORDER = 3
-LANE = 512
+#: Bytes that one reader of the byte automaton reads, tokens that one of the word automaton does, and bytes whose n-grams are counted together.
+LANE, RUN, COUNTED = 512, 128, 1 << 20
 #: Text of one block and one bucket's share of all text: smaller ones take less memory and cost more rows.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 STOP = 0x20
@@ -211,17 +213,18 @@ def _grams(size: int):
             in_doc = np.unique(np.repeat(np.arange(len(part)), np.diff(starts)) * (words.kinds + 1) + tokens)
             weight = np.bincount(in_doc % (words.kinds + 1), minlength=words.kinds + 1)
             stream, at = words.spelled()
-            padded = np.full(len(stream) + (ORDER - 1) * (words.kinds + 1), STOP, dtype=np.uint8)
-            place = np.arange(len(stream)) + np.repeat(np.arange(1, words.kinds + 2) * (ORDER - 1), np.diff(at))
-            padded[place] = stream
-            code = np.zeros(len(stream), dtype=np.int64)
-            for back in range(ORDER - 1, -1, -1):
-                code = code << 8 | padded[place - back]
-            weights = np.repeat(weight, np.diff(at)).astype(np.int64)
-            if total:
-                code, weights = np.concatenate([total[0], code]), np.concatenate([total[1], weights])
-            grams, inverse = np.unique(code, return_inverse=True)
-            total = grams, np.bincount(inverse, weights=weights).astype(np.int64)
+            # some bytes at a time, wherever words end, so that a word of any length takes no more
+            for begin in range(0, len(stream), COUNTED):
+                where = np.arange(begin, min(begin + COUNTED, len(stream)))
+                word = np.searchsorted(at, where, side="right") - 1
+                code = np.zeros(len(where), dtype=np.int64)
+                for back in range(ORDER - 1, -1, -1):
+                    code = code << 8 | np.where(where - back >= at[word], stream[np.maximum(where - back, 0)], STOP)
+                weights = weight[word].astype(np.int64)
+                if total:
+                    code, weights = np.concatenate([total[0], code]), np.concatenate([total[1], weights])
+                grams, inverse = np.unique(code, return_inverse=True)
+                total = grams, np.bincount(inverse, weights=weights).astype(np.int64)
         found = [np.array(list(sums), dtype=np.int64), np.array(list(sums.values()), dtype=np.int64)]
         found = [np.concatenate(x) for x in zip(found, total, strict=True)] if total else found
         for i in range(0, len(found[0]), 100_000):
@@ -416,21 +419,130 @@ def _answered(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "n": rows.column("n"), "totals": packed, "kinds": pa.array(kinds)})
 
 
+def _theta(n: np.ndarray) -> np.ndarray:
+    return n**HEAPS
+
+
+class Arcs:
+    """Arcs by (state, symbol), in a table of open addresses that is searched for many at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.table = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]
+            lost = self.table[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.table) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The arc of each key, -1 where there is none."""
+        at = self._first(keys)
+        found = self.table[at]
+        look = np.flatnonzero((found >= 0) & (self.keys[found] != keys)) if len(self.keys) else np.zeros(0, dtype=np.int64)
+        while len(look):
+            at[look] = (at[look] + 1) & (len(self.table) - 1)
+            found[look] = self.table[at[look]]
+            look = look[(found[look] >= 0) & (self.keys[found[look]] != keys[look])]
+        return found
+
+
+class WordAutomaton:
+    """The part of the model that a block's texts can reach: contexts as states, arcs with log10 probabilities, failure arcs with log10 weights.
+
+    State 0 is the empty context, state 1 the start mark; then every context of up to ``GRAMS - 1`` tokens that training has. A state
+    has an arc for each token that training saw behind it; an arc leads to the longest context that is a state. Failing in state 0
+    leads to the token's spelling.
+    """
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, grams: list[np.ndarray], counts: list[np.ndarray], spelled: np.ndarray, n_tokens: int, n_docs: int) -> None:
+        """``grams``, ``counts``: for each order and each token, which n-gram ends there (-1: none) and how often training has it.
+        ``spelled``: log10 probability of each distinct token's letters."""
+        self.symbols, self.spelled = len(spelled), spelled
+        first = np.zeros(len(tokens), dtype=bool)
+        first[starts[:-1]] = True
+        named, sizes, reps = np.zeros((GRAMS, len(tokens)), dtype=np.int32), [np.array([n_tokens, n_docs], dtype=np.float64)], []
+        for n in range(GRAMS):
+            known = np.flatnonzero((grams[n] >= 0) & (counts[n] > 0))
+            rep = np.full(int(grams[n].max(initial=-1)) + 1, -1)
+            rep[grams[n][known]] = known  # n-grams are numbered, so any of their places stands for them
+            kinds = np.flatnonzero(rep >= 0)
+            reps.append(rep[kinds])
+            if n < GRAMS - 1:
+                rep[kinds] = np.arange(len(kinds)) + sum(map(len, sizes))
+                named[n, known] = rep[grams[n][known]]
+                sizes.append(counts[n][reps[n]])
+        seen = np.concatenate(sizes)
+        strength = _theta(seen)
+        self.backoff = np.zeros(len(seen))
+        some = seen > 0
+        self.backoff[some] = np.log10(strength[some] / (seen[some] + strength[some]))
+        self.fail = np.zeros(len(seen), dtype=np.int32)
+        for n in range(1, GRAMS - 1):
+            self.fail[named[n, reps[n]]] = named[n - 1, reps[n]]
+        self.start = 1 if n_docs else 0
+        keys, logs, to, before = [], [], [], None
+        for n, at in enumerate(reps):
+            # the state before the n-gram's last token: none, the one token or the start mark, or the n - 1 before it
+            state = np.zeros(len(at), dtype=np.int64) if n == 0 else np.where(first[at], 1 if n == 1 else 0, named[n - 1, at - 1]).astype(np.int64)
+            lower = spelled[tokens[at]] if n == 0 else before[at]
+            theta = strength[state]
+            logs.append(np.log10((counts[n][at] + theta * 10.0**lower) / (seen[state] + theta)))
+            table = np.zeros(int(grams[n].max(initial=-1)) + 2)
+            table[grams[n][at]] = logs[-1]
+            before = table[grams[n]]  # what has no n-gram reads the last place
+            keys.append(state * self.symbols + tokens[at])
+            to.append(named[min(n, GRAMS - 2), at])
+        self.arcs = Arcs(np.concatenate(keys))
+        self.logp, self.next = np.concatenate(logs), np.concatenate(to)
+
+    def score(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, texts read from left to right with their state carried along.
+
+        A text of more than ``RUN`` tokens is read by several readers, each of which reads the tokens of its first state before its own.
+        """
+        sizes = np.diff(starts)
+        lanes = -(-sizes // RUN)
+        nth = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = np.repeat(starts[:-1], lanes) + nth * RUN
+        stop = np.minimum(begin + RUN, np.repeat(starts[1:], lanes))
+        warm = np.maximum(begin - (GRAMS - 1), np.repeat(starts[:-1], lanes))
+        order = np.argsort(warm - stop, kind="stable")
+        begin, stop, warm = begin[order], stop[order], warm[order]
+        # who begins in the middle of a text knows nothing yet: after as many tokens as a state has, it is where one reader would be
+        state = np.where(warm == np.repeat(starts[:-1], lanes)[order], self.start, 0).astype(np.int64)
+        longest = int((stop - warm).max(initial=0))
+        running = np.searchsorted(warm - stop, -np.arange(longest), side="left")
+        out = np.zeros(len(tokens))
+        for t in range(longest):
+            k = int(running[t])
+            symbol = tokens[warm[:k] + t]
+            s, gain = state[:k].copy(), np.zeros(k)
+            arc = self.arcs.find(s * self.symbols + symbol)
+            left = np.flatnonzero(arc < 0)
+            while len(left):
+                gain[left] += self.backoff[s[left]]
+                down = left[s[left] > 0]
+                s[down] = self.fail[s[down]]
+                arc[down] = self.arcs.find(s[down] * self.symbols + symbol[down])
+                left = down[arc[down] < 0]
+            hit = arc >= 0
+            gain += np.where(hit, self.logp[arc] if len(self.logp) else 0.0, self.spelled[symbol])
+            state[:k] = np.where(hit, self.next[arc] if len(self.next) else 0, 0)
+            own = warm[:k] + t >= begin[:k]
+            out[warm[:k][own] + t] = gain[own]
+        return out
+
+
 def walk(counts: list[np.ndarray], starts: np.ndarray, spelled: np.ndarray, n_tokens: int, n_docs: int) -> np.ndarray:
-    """log10 probability of each token. counts: of each order, how often training has the n-gram that ends there (0 where none does)."""
-    theta = lambda n: n**HEAPS
-    tiny = 1e-290  # below, what a token's spelling is worth is kept as a logarithm
-    p, back = 10.0**spelled, np.zeros(len(spelled))
-    state: np.ndarray | float = np.full(len(spelled), float(n_tokens))
-    for order, c in enumerate(counts):
-        # the state of this order before each token, as often as training was in it
-        state = state if order == 0 else _before(counts[order - 1], starts, float(n_docs if order == 1 else 0))
-        seen = state > 0
-        whole = np.where(seen, state + theta(state), 1.0)
-        fail = np.where(seen, theta(state) / whole, 1.0)
-        p, back = np.where(seen, c / whole, 0.0) + fail * p, back + np.log10(fail)
-    with np.errstate(divide="ignore"):
-        return np.where(p > tiny, np.log10(np.maximum(p, tiny)), spelled + back)
+    """log10 probability of each token of texts in which no n-gram comes twice. counts: of each order, how often training has the n-gram that ends there."""
+    each = np.arange(len(spelled))
+    return WordAutomaton(each, starts, [each] * GRAMS, counts, spelled, n_tokens, n_docs).score(each, starts)
 
 
 def _scored(model, n_tokens: int, n_docs: int):
@@ -445,14 +557,16 @@ def _scored(model, n_tokens: int, n_docs: int):
         totals = np.concatenate([_numbers(t, n) for t, n in zip(answers.column("totals").to_pylist(), answers.column("n").to_pylist(), strict=True)]).astype(np.float64)
         if len(totals) != len(keys):
             raise RuntimeError(f"{len(keys)} n-grams asked for, {len(totals)} answered")
-        each, counts, at = totals[inverse], [], 0
+        counts, grams, at = [], [], 0
         for some, _ in found:
-            c = np.zeros(len(tokens))
-            c[some] = each[at : at + len(some)]
+            c, g = np.zeros(len(tokens)), np.full(len(tokens), -1, dtype=np.int64)
+            g[some] = inverse[at : at + len(some)]
+            c[some] = totals[g[some]]
             counts.append(c)
+            grams.append(g)
             at += len(some)
-        spelled = model.value.score(*words.spelled())[tokens]
-        logs = walk(counts, starts, spelled, n_tokens, n_docs)
+        del inverse
+        logs = WordAutomaton(tokens, starts, grams, counts, model.value.score(*words.spelled()), n_tokens, n_docs).score(tokens, starts)
         own = _own(docs, starts)
         sums = lambda x: np.add.reduceat(np.where(own, x, 0), starts[:-1])
         new = np.zeros(len(docs), dtype=np.int64)

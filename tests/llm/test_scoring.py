@@ -295,3 +295,28 @@ def test_repeated_ids_give_one_text(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "idiot")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, labels) is not None
+
+
+def test_readers_of_parts_carry_the_same_states(monkeypatch):
+    """A text read by one reader and by many gives the same sums; arcs that were never put in are not found."""
+    rng = np.random.default_rng(6)
+    tokens = rng.choice(12, size=4000, p=np.array([1 / (i + 1) for i in range(12)]) / sum(1 / (i + 1) for i in range(12)))
+    starts = np.array([0, 1, 700, 701, 2500, 4000])
+    found = ngrams.levels(rng.integers(0, 2**63, 12).astype(np.uint64)[tokens], starts)
+    grams, counts = [], []
+    for at, h in found:
+        kinds, inverse = np.unique(h, return_inverse=True)
+        n = rng.integers(0, 6, len(kinds)) if len(grams) else np.full(len(kinds), 50)
+        g, c = np.full(len(tokens), -1), np.zeros(len(tokens))
+        g[at], c[at] = inverse, n[inverse]
+        grams.append(g)
+        counts.append(np.where(counts[-1] > 0, c, 0) if counts else c)
+    scored = []
+    for run in (10_000, 128, 3):
+        monkeypatch.setattr(ngrams, "RUN", run)
+        scored.append(ngrams.WordAutomaton(tokens, starts, grams, counts, np.full(12, -3.0), 600, 5).score(tokens, starts))
+    assert np.allclose(scored[0], scored[1]) and np.allclose(scored[0], scored[2])
+    keys = rng.choice(10**12, size=5000, replace=False)
+    arcs = ngrams.Arcs(keys[:4000])
+    assert (arcs.find(keys[:4000]) == np.arange(4000)).all() and (arcs.find(keys[4000:]) == -1).all()
+    assert (ngrams.Arcs(keys[:0]).find(keys) == -1).all()
