@@ -50,7 +50,9 @@ def semantic_factor(edges: DataFrame, vectors: DataFrame, centroids: DataFrame,
     sized = vectors.filter(F.size("v") == dim).select(F.col("id").alias("citing"), units(F.col("v"), dim).alias("u"))
     directions = bounded(centroids.filter(F.size("centroid") == dim).agg(F.collect_list(unit(F.col("centroid"))).alias("directions")), 1)
     means = F.array(*[F.avg(F.get("u", F.lit(i))) for i in range(dim)])
-    each = edges.select(key, "citing").distinct().join(sized, "citing").groupBy(key).agg(means.alias("mean"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    # works without a vector leave before repeated citations are told apart
+    told = edges.select(key, "citing").join(vectors.filter(F.size("v") == dim).select(F.col("id").alias("citing")), "citing", "left_semi").distinct()
+    each = told.join(sized, "citing").groupBy(key).agg(means.alias("mean"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     best = F.array_max(F.transform("directions", lambda c: dot(F.col("mean"), c)))
     return each.join(directions).filter(F.size("directions") > 0).select(key, (0.5 + 0.5 * F.greatest(F.lit(0.0), best)).alias("factor"))
 

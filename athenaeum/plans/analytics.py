@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from athenaeum.operators.matching import top_per_group
@@ -178,15 +178,26 @@ _GAPS = f"""WITH m AS ({_M}), q AS (SELECT doc_id, CASE quality WHEN 1 THEN 5 WH
  FROM m LEFT JOIN q ON q.doc_id = citing % 1000 LEFT JOIN f ON f.cited = m.cited LEFT JOIN k ON k.cited = m.cited GROUP BY m.cited ORDER BY score DESC, m.cited LIMIT 50"""
 
 
-@query(_GAPS)
-def e8_gap_score_library(t: Tables) -> DataFrame:
+def _library_gaps(t: Tables, labelled: Column) -> DataFrame:
     """Missing cited works by citing works, their quality, what they are cited for, and how near they are to a section."""
     missing = t.edges.join(t.cited.filter("owned").select("cited"), "cited", "left_anti")
     q = t.raw("labels").select(F.col("doc_id").alias("labelled"), F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 1).alias("quality"))
-    scored = gap_scores(missing.join(q, F.col("citing") % 1000 == F.col("labelled"), "left"), unknown=None)
+    scored = gap_scores(missing.join(q, labelled == F.col("labelled"), "left"), unknown=None)
     near = semantic_factor(missing, t.vectors, centroid(t.vectors, "section", 64).select(F.col("section").alias("target"), "centroid"), 64)
     whole = scored.join(near, "cited", "left").join(top_intent(missing), "cited", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
-    return whole.select("cited", "citing_works", "top_intent", r6("factor").alias("factor"), r6(F.col("score") * F.col("factor")).alias("score")).orderBy(F.desc("score"), "cited").limit(50)
+    return whole.select("cited", "citing_works", "top_intent", r6("factor").alias("factor"), r6(F.col("score") * F.col("factor")).alias("score"))
+
+
+@query(_GAPS)
+def e8_gap_score_library(t: Tables) -> DataFrame:
+    """The fifty highest; labels are those of the citing works' numbers within a thousand."""
+    return _library_gaps(t, F.col("citing") % 1000).orderBy(F.desc("score"), "cited").limit(50)
+
+
+@query(_GAPS.replace("q.doc_id = citing % 1000", "q.doc_id = citing").replace(" ORDER BY score DESC, m.cited LIMIT 50", ""))
+def e8_gap_scores_by_label(t: Tables) -> DataFrame:
+    """All missing works, each citing work with its own label."""
+    return _library_gaps(t, F.col("citing"))
 
 
 @query("""SELECT chapter, CAST(count(*) FILTER (WHERE intent = 'background') AS BIGINT) AS background, CAST(count(*) FILTER (WHERE intent = 'method') AS BIGINT) AS method,
