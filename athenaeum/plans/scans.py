@@ -202,6 +202,40 @@ def a13_five_tiers(t: Tables) -> DataFrame:
     return resolve(works, k.select(path.alias("path")).filter("path IS NOT NULL"))
 
 
+@query(r"""WITH p AS (SELECT chapter, work_id // 1000 AS part, title, length(title) AS n, row_number() OVER (PARTITION BY chapter, work_id // 1000 ORDER BY work_id) AS page FROM works WHERE regexp_matches(title, '^[\p{L}][\p{L} ,]*[\p{L}]$'))
+ SELECT chapter, part, page, title AS text, CAST(sum(n + length(CAST(page AS VARCHAR)) + 10) OVER (PARTITION BY chapter, part) - 2 AS BIGINT) AS marked FROM p""")
+def a4_page_files(t: Tables) -> DataFrame:
+    """Text files for each chapter and thousand of works, a title a page with its number below, written, scanned as bytes, tidied and marked."""
+    from athenaeum.operators.shared import fresh_path
+
+    path = fresh_path(t.spark, "pages")
+    titled = t.works.filter(F.col("title").rlike(r"^[\p{L}][\p{L} ,]*[\p{L}]$")).select("chapter", "work_id", "title")
+    pages = F.transform(F.sort_array(F.collect_list(F.struct("work_id", "title"))), lambda w: F.concat(w["title"], F.lit("\n"), w["work_id"].cast("string"), F.lit("\n\n\n\n")))
+    name = F.concat_ws("-", F.col("chapter"), F.floor(F.col("work_id") / 1000))
+    files.write_texts(titled.groupBy(name.alias("name")).agg(F.array_join(pages, "\f").alias("text")), path)
+    found = files.page_files(t.spark, path, "*.txt")
+    marked = files.marked_text(found).select("path", F.length("text").cast("long").alias("marked"))
+    of = lambda i: F.regexp_extract("path", r"name=(\d+)-(\d+)", i)
+    return found.join(marked, "path").select(of(1).cast("int").alias("chapter"), of(2).cast("long").alias("part"), F.col("page").cast("long").alias("page"), "text", "marked")
+
+
+@query(r"""WITH n AS (SELECT section, max(lang) AS lang, max(title) AS title, count(*) AS works FROM works WHERE NOT regexp_matches(title, '[\n\r"'':]') GROUP BY section)
+ SELECT section, lang AS state, '#' || section || '|' || lang AS tags, CAST(works AS VARCHAR) AS works, title, contains(lower(title), 'ie') AS found FROM n""")
+def a7_note_files(t: Tables) -> DataFrame:
+    """A note for each section with front matter and tags, written as Markdown texts, scanned, taken apart and searched."""
+    from athenaeum.operators.shared import fresh_path
+
+    path, c = fresh_path(t.spark, "notes"), F.col("section")
+    n = t.works.filter(~F.col("title").rlike("[\\n\\r\"':]")).groupBy("section").agg(F.max("lang").alias("lang"), F.max("title").alias("title"), F.count(F.lit(1)).alias("works"))
+    tags = F.when(F.length(c) % 2 == 0, F.concat(F.lit("tags: ['#"), c, F.lit("', "), "lang", F.lit("]"))).otherwise(F.concat(F.lit("tags:\n  - \"#"), c, F.lit("\"\n  - "), "lang"))
+    text = F.concat(F.lit("---\nstate: first\nworks: "), F.col("works").cast("string"), F.lit("\n"), tags, F.lit("\nstate: "), "lang", F.lit("\n---\n"), "title")
+    files.write_texts(n.select(c.alias("name"), text.alias("text")), path)
+    read = files.notes(t.spark, path, "*.txt")
+    hits = files.find_notes(read.withColumn("front", F.create_map().cast("map<string,string>")), "IE").select("path", F.lit(True).alias("hit"))
+    told = read.join(hits, "path", "left")
+    return told.select(F.regexp_extract("path", r"name=([\d.]+)", 1).alias("section"), F.col("front")["state"].alias("state"), F.array_join("tags", "|").alias("tags"), F.col("front")["works"].alias("works"), F.regexp_replace("body", "\0\\z", "").alias("title"), F.coalesce("hit", F.lit(False)).alias("found"))
+
+
 @query("SELECT collection, lang, count(*) AS n FROM works GROUP BY 1, 2")
 def a7_tag_histogram(t: Tables) -> DataFrame:
     return t.works.select("collection", F.explode(F.array("lang")).alias("lang")).groupBy("collection", "lang").agg(F.count(F.lit(1)).alias("n"))

@@ -83,13 +83,53 @@ def bibtex(texts: DataFrame, column: str = "value") -> DataFrame:
     return entries.select(F.lower(F.regexp_extract("e", r"@(\w+)", 1)).alias("type"), F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1).alias("key"), fields.alias("fields"))
 
 
-def notes(spark: SparkSession, path: str) -> DataFrame:
+def note_parts(rows: DataFrame, column: str = "value") -> DataFrame:
+    """``rows`` with front matter as a map of texts, tags and body in place of a Markdown note's text. Repeated names keep the last value;
+    tags may stand in one line or as a list below their name."""
+    value = F.regexp_replace(column, "\r\n", "\n")
+    head = F.regexp_extract(value, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    pairs = F.filter(F.transform(F.split(head, "\n"), lambda s: F.struct(F.regexp_extract(s, r"^([\w-]+):", 1).alias("k"), F.trim(F.regexp_extract(s, r"^[\w-]+:\s*(.*)$", 1)).alias("v"))), lambda p: p["k"] != "")
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    line, below = F.regexp_extract(head, r"(?m)^tags:[ \t]*\[?([^\]\n]*)\]?", 1), F.regexp_extract(head, r"(?m)^tags:[ \t]*\n((?:[ \t]*-[ \t]+.*(?:\n|\z))+)", 1)
+    listed = F.transform(F.regexp_extract_all(below, F.lit(r"(?m)^[ \t]*-[ \t]+(.*)$"), F.lit(1)), lambda x: F.trim(x))
+    tags = F.filter(F.transform(F.when(F.trim(line) != "", F.split(line, ",")).otherwise(listed), lambda x: F.trim(F.regexp_replace(x, r"[\"']", ""))), lambda x: x != "")
+    body = F.regexp_replace(value, r"(?s)\A---\n.*?\n---(?:\n|\z)", "")
+    return rows.select(*[c for c in rows.columns if c != column], F.map_from_entries(last).alias("front"), tags.alias("tags"), body.alias("body"))
+
+
+def notes(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Markdown notes under a folder: path, front matter as a map of texts, tags, body."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.input_file_name().alias("path"), "value")
-    head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
-    pairs = F.filter(F.transform(F.split(head, "\n"), lambda s: F.struct(F.trim(F.regexp_extract(s, r"^([\w-]+):", 1)).alias("k"), F.trim(F.regexp_extract(s, r"^[\w-]+:\s*(.*)$", 1)).alias("v"))), lambda p: p["k"] != "")
-    tags = F.filter(F.split(F.regexp_replace(F.regexp_extract(head, r"(?m)^tags:\s*\[?([^\]\n]*)\]?", 1), r"[\"']", ""), r"\s*,\s*"), lambda x: x != "")
-    return whole.select("path", F.map_from_entries(pairs).alias("front"), tags.alias("tags"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "").alias("body"))
+    return note_parts(spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.input_file_name().alias("path"), "value"))
+
+
+def find_notes(found: DataFrame, words: str, most: int | None = None) -> DataFrame:
+    """Notes whose body or any front matter holds ``words``, whatever their case; the first ``most`` by path if given."""
+    hay = F.lower(F.concat_ws("\n", "body", F.array_join(F.map_values("front"), "\n")))
+    hits = found.filter(F.contains(hay, F.lower(F.lit(words))))
+    return hits.orderBy("path").limit(most) if most else hits
+
+
+def write_texts(rows: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One folder ``name=...`` with a file for each row's text; rows of one name share a folder."""
+    rows.select(F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\0").text(path)
+
+
+def page_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Pages of text files, which form feeds part (as converters of page formats write them): path, page from 1, tidied text. Files are read as bytes,
+    what isn't UTF-8 is replaced; a file without form feeds is one page, an empty file none."""
+    from athenaeum.functions.text import tidy_page
+
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\0\\z", "")
+    pages = whole.select("path", F.posexplode(F.split(F.regexp_replace(text, "\f\\z", ""), "\f")).alias("page", "text"))
+    return pages.select("path", (F.col("page") + 1).alias("page"), F.regexp_replace(tidy_page(F.col("text")), r"^\s+|\s+$", "").alias("text"))
+
+
+def marked_text(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """path and its pages as one text with a ``[Page N]`` before each, cut to ``most`` characters. A file's pages are one row, as they were in the file."""
+    told = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda p: F.concat(F.lit("[Page "), p["page"].cast("string"), F.lit("]\n"), p["text"]))
+    text = F.array_join(told, "\n\n")
+    return pages.groupBy("path").agg((F.substring(text, 1, most) if most else text).alias("text"))
 
 
 def pages_of(text: Column) -> Column:

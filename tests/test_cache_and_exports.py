@@ -48,3 +48,27 @@ def test_exports_come_back(spark, tmp_path):
     works = spark.createDataFrame([("k2", "online", "A {title}", "L, F", 2001), ("k1", None, "B", None, None)], "key string, type string, title string, authors string, year int")
     files.write_bibtex(works, str(tmp_path / "b"))
     assert sorted((r.key, r.type, r.fields["title"]) for r in files.read_bibtex(spark, str(tmp_path / "b")).collect()) == [("k1", "misc", "B"), ("k2", "online", "A title")]
+
+
+def test_page_files_and_marks(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_bytes("One hyphen-\nated\n12\n\n\n\n\nend\x0cTwo\x00\x0c\x0cFour é".encode() + b"\xff")
+    (tmp_path / "b.txt").write_text("")
+    (tmp_path / "c.md").write_text("no page")
+    pages = files.page_files(spark, str(tmp_path), "*.txt")
+    got = {(r.path.rsplit("/", 1)[1], r.page): r.text for r in pages.collect()}
+    assert got == {("a.txt", 1): "One hyphenated\n\nend", ("a.txt", 2): "Two", ("a.txt", 3): "", ("a.txt", 4): "Four é�"}
+    marked = {r.path.rsplit("/", 1)[1]: r.text for r in files.marked_text(pages).collect()}
+    assert marked == {"a.txt": "[Page 1]\nOne hyphenated\n\nend\n\n[Page 2]\nTwo\n\n[Page 3]\n\n\n[Page 4]\nFour é�"}
+    assert {len(r.text) for r in files.marked_text(pages, 8).collect()} == {8}
+
+
+def test_notes_are_taken_apart_and_found(spark, tmp_path):
+    for name, text in (("x.md", "---\r\nstate: one\r\ntags: [a, 'b c']\r\nstate: two\r\n---\r\nBody of ICE"), ("y.md", "---\ntags:\n  - \"#d\"\n  - e\nkey: Frost\n---\n"), ("z.md", "--- no front\nice"), ("e.md", "")):
+        (tmp_path / name).write_bytes(text.encode())
+    read = files.notes(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1]: (r.front, r.tags, r.body) for r in read.collect()}
+    # an empty file has no text and so no note
+    assert {k: v for k, v in got.items() if k != "e.md"} == {"x.md": ({"state": "two", "tags": "[a, 'b c']"}, ["a", "b c"], "Body of ICE"), "y.md": ({"tags": "", "key": "Frost"}, ["#d", "e"], ""), "z.md": ({}, [], "--- no front\nice")}
+    names = lambda df: [r.path.rsplit("/", 1)[1] for r in df.collect()]
+    assert sorted(names(files.find_notes(read, "ice"))) == ["x.md", "z.md"] and names(files.find_notes(read, "fROST")) == ["y.md"] and len(names(files.find_notes(read, "", 2))) == 2
