@@ -75,15 +75,15 @@ def limiter(events: DataFrame, most: int = 2, seconds: float = 3600.0) -> DataFr
         user, times = None, []
         for rows in parts:
             allowed = []
-            for u, at in zip(rows["user_id"], rows["at"], strict=True):
+            for u, at in zip(zip(rows["nobody"], rows["user_id"], strict=True), rows["at"], strict=True):
                 if u != user:
                     user, times = u, []
                 allowed.append(_limit(times, at, most, seconds))
-            yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "allowed": allowed})
+            yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"].astype("Int64").mask(rows["nobody"]), "allowed": allowed})
 
-    # calls pass by in order; what is held is one user's times, however many calls there are
-    sent = events.select("event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), (F.unix_micros("ts") / 1e6).alias("at"))
-    return sent.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(whole, LIMITED)
+    # calls pass by in order; what is held is one user's times, however many calls there are; calls without a user share a limit
+    sent = events.select("event_id", F.coalesce("user_id", F.lit(0)).alias("user_id"), F.col("user_id").isNull().alias("nobody"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return sent.repartition("nobody", "user_id").sortWithinPartitions("nobody", "user_id", "at", "event_id").mapInPandas(whole, LIMITED)
 
 
 def merge_each(events: DataFrame, root: str, checkpoint: str):

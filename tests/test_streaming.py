@@ -103,3 +103,10 @@ def test_runs_are_given_up_by_timers(spark, tmp_path):
     want = pick(whole)
     assert set(sent) <= set(want) and len(sent) == len(set(sent)) and sum(r[2] == "failed" for r in sent) > 100
     assert all(r[2] == "failed" and (last - r[1]).total_seconds() < 700 for r in set(want) - set(sent))
+
+
+def test_calls_without_a_user_are_nobody_elses(spark):
+    calls = spark.range(30).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 0L ELSE -1L END AS user_id")
+    got = events.limiter(calls, most=2, seconds=3600.0).collect()
+    assert {r.event_id: r.user_id for r in got} == {i: (None, 0, -1)[i % 3] for i in range(30)}
+    assert sorted(r.event_id for r in got if r.allowed) == [0, 1, 2, 3, 4, 5]
