@@ -209,9 +209,11 @@ def e10_intent_pivot(t: Tables) -> DataFrame:
 @query("""SELECT authors, count(DISTINCT title) AS titles, CAST(sum(CASE WHEN owned THEN 1 ELSE 0 END) AS BIGINT) AS owned, string_agg(title, '|' ORDER BY title) FILTER (WHERE place <= 10) AS first
  FROM (SELECT *, row_number() OVER (PARTITION BY authors ORDER BY title) AS place FROM cited) GROUP BY authors HAVING count(DISTINCT title) >= 2""")
 def e13_author_groups(t: Tables) -> DataFrame:
-    placed = t.cited.withColumn("place", F.row_number().over(Window.partitionBy("authors").orderBy("title")))
-    first = F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= 10, F.col("title")))), "|")
-    return placed.groupBy("authors").agg(F.countDistinct("title").alias("titles"), F.count_if("owned").alias("owned"), first.alias("first")).filter("titles >= 2")
+    """Counts are summed up before they meet; of an author's titles each task keeps its own first ten."""
+    first = t.cited.select("authors", "title", F.row_number().over(Window.partitionBy("authors").orderBy("title")).alias("place")).filter("place <= 10")
+    lists = first.groupBy("authors").agg(F.array_join(F.array_sort(F.collect_list("title")), "|").alias("first"))
+    counts = t.cited.groupBy("authors").agg(F.countDistinct("title").alias("titles"), F.count_if("owned").alias("owned")).filter("titles >= 2")
+    return counts.join(lists, "authors")
 
 
 @query("""SELECT chapter, n, verdict, CASE verdict WHEN 'empty' THEN 1 WHEN 'low' THEN 2 WHEN 'low_quality' THEN 3 ELSE 4 END AS urgency FROM (
