@@ -24,11 +24,13 @@ BEFORE, BEHIND = 30, 50
 #: The least length of a sentence, and of a quotation in words or characters.
 SENTENCE, WORDS, CHARACTERS = 10, 5, 30
 
+#: What a key is made of, how citations are written by key and by number, and what points back to the last one.
 KEY = r"[A-Za-z](?:[\w:.+-]*[\w+-])?"
 BY_KEY = re.compile(rf"\[{{1,2}}(?P<group>-?@[^\[\]]+)\]{{1,2}}|(?<![\w\[@/])-?@(?P<bare>{KEY})")
 EACH_KEY = re.compile(rf"(?:^|;)\s*-?@({KEY})")
 BY_NUMBER = re.compile(r"\[(?P<numbers>\d{1,3}(?:\s*[,;]\s*\d{1,3})*)(?:\s*,\s*(?P<place>(?:п|разд|табл|с|гл|p|pp|sec|tab)\.\s*[^\]]+))?\]")
 AGAIN = re.compile(r"\b[Тт]ам же\b|\b[Ii]bid\b\.?")
+#: Headings of a bibliography, and quotations.
 BIBLIOGRAPHY = re.compile(r"(?im)^#*\s*(?:\d+\.?\s*)?(?:references|bibliography|список (?:использованной )?литературы|литература|библиография)\s*$")
 QUOTED = re.compile(r"[«\"“]([^«»\"“”]*)[»\"”]")
 #: A run of digits and the marks that join them, with a sign before and a unit behind.

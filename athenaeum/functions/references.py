@@ -11,6 +11,10 @@ ENTRY, AUTHORS, BETWEEN = 20, 10, ("and", "et", "al", "др")
 DOI, URL, YEAR, NUMBER = r"10\.\d{4,9}/[^\s,;\"<>\]]+", r"https?://[^\s,;\"<>\]]+", r"\b((?:19|20)\d{2})\b", r"^\s*(?:\[(\d{1,3})\]|(\d{1,3})[.)])\s+"
 
 
+#: A DOI anywhere in a text, placeholders that are none, and the hosts that resolve DOIs.
+ANYWHERE, PLACEHOLDER, RESOLVERS = r"(?U)\b(10\.\d{4,9}/[-._;()/:\w]+)\b", r"^10\.(?:0000|1000)/", ("doi.org", "dx.doi.org")
+
+
 def _first(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -106,11 +110,11 @@ def author_list(authors: Column) -> Column:
 
 def doi_of_url(url: Column) -> Column:
     """The DOI that an address of a DOI resolver names; empty for any other address."""
-    named = F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("HOST")), F.lit(""))).isin("doi.org", "dx.doi.org")
+    named = F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("HOST")), F.lit(""))).isin(*RESOLVERS)
     return F.when(named, F.regexp_replace(F.coalesce(F.try_parse_url(F.trim(url), F.lit("PATH")), F.lit("")), "^/+", "")).otherwise("")
 
 
 def doi_anywhere(text: Column) -> Column:
     """The first DOI of a whole text; null for none and for placeholders."""
-    found = F.regexp_replace(F.regexp_extract(text, r"(?U)\b(10\.\d{4,9}/[-._;()/:\w]+)\b", 1), r"\.+$", "")
-    return F.when((found != "") & ~found.rlike(r"^10\.(?:0000|1000)/"), found)
+    found = F.regexp_replace(F.regexp_extract(text, ANYWHERE, 1), r"\.+$", "")
+    return F.when((found != "") & ~found.rlike(PLACEHOLDER), found)

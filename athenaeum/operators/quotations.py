@@ -49,8 +49,10 @@ def met(texts: DataFrame, grams: DataFrame, of: Column) -> DataFrame:
     The quotations' grams, and what is made of them, are sent to the texts if there are at most ``SENT``.
     """
     sent = F.broadcast if grams.limit(SENT + 1).count() <= SENT else lambda df: df
-    held = texts.select("work_id", F.explode(of).alias("gram"))
-    counts = held.join(sent(grams.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    held = texts.select("work_id", F.explode(of).alias("gram")).join(sent(grams.select("gram").distinct()), "gram", "left_semi")
+    # what quotations have is dealt once and read twice: to be counted, and to be met. Counting by id keeps both readings alike
+    held = held.repartition("work_id")
+    counts = held.groupBy("gram").agg(F.count("work_id").alias("texts"))
     return held.join(sent(rarest(grams, counts)), "gram").select("work_id", "item_id")
 
 
