@@ -68,11 +68,11 @@ def test_edges(spark):
 
 
 def test_a_long_conversation_takes_few_rounds(spark, monkeypatch):
-    """Twins of 1,500 turns and their tails: a chain reports as one, so rounds don't grow with turns."""
+    """twins of 300 turns and their tails: a chain reports as one, so rounds don't grow with turns."""
     rounds = []
     seen = talks.cut
     monkeypatch.setattr(talks, "cut", lambda df, name: (rounds.append(name), seen(df, name))[1])
-    rows = [(5 * c, i, "user", f"turn {i}" if i < 1000 else f"{c} {i}") for c in (1, 2, 3) for i in range(1500)] + [(100, i, "user", "x" * i) for i in range(50)]
+    rows = [(5 * c, i, "user", f"turn {i}" if i < 200 else f"{c} {i}") for c in (1, 2, 3) for i in range(300)] + [(100, i, "user", "x" * i) for i in range(50)]
     got = run(spark, rows)
     want = brute(rows)
     assert got == want and rounds.count("finished") <= 4
