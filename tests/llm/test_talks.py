@@ -68,7 +68,7 @@ def test_edges(spark):
 
 
 def test_a_long_conversation_takes_few_rounds(spark, monkeypatch):
-    """twins of 300 turns and their tails: a chain reports as one, so rounds don't grow with turns."""
+    """Twins of 300 turns and their tails: a chain reports as one, so rounds don't grow with turns."""
     rounds = []
     seen = talks.cut
     monkeypatch.setattr(talks, "cut", lambda df, name: (rounds.append(name), seen(df, name))[1])
