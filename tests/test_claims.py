@@ -50,6 +50,11 @@ def test_numbers():
     assert is_identifier("7.3.4.1") and is_identifier("72039-2025") and not is_identifier("10-15") and not is_identifier("123456")
 
 
+def test_long_decimals_with_a_unit_measure():
+    assert [r for *_, r in quantities("10000.5 % 123456.25 кг 10000.5 72039-2025 % 52.27.75912 %")] == ["10000.5 %", "123456.25 кг"]
+    assert said("In 2019 it rose by 10000.5 % (see 72039-2025) [@k1].") == [("k1", "", "number", "10000.5 %")]
+
+
 def test_places_and_windows():
     text = "İ" * 40 + " first. " + "w " * 40 + "is defined as " + "v " * 60 + "[@k]. Next"
     got = manuscript_claims(text)
