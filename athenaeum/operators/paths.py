@@ -1,8 +1,7 @@
 """Which file belongs to which work, by five tiers: named path, lookup, key in the file's name, title words, author.
 
-Every tier is a join by equality. A key is looked for anywhere in a name by its first letters, then as a whole. Title words and
-key parts meet an inverted index of the names' words: of ``n`` words of which ``t`` must occur, one of the ``n - t + 1`` that fewest
-names have must, so only these are joined; candidates are then counted in their row.
+Every tier is a join by equality. A key is looked for anywhere in a name by the rarest of its runs of letters, then as a whole. Title
+words and key parts meet the names' words two by two, as two must occur.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from athenaeum.operators.quotations import rarest
 
 #: Title words that count, their least length, and how many must occur; least length of a key's parts, and how many must occur besides the author.
 TITLE_WORDS, LETTERS, OCCUR, PART, OTHERS = 5, 4, 2, 3, 2
-#: Characters of a name that hold the author where " - " doesn't end them, and of a key by which it is looked for.
-PREFIX, ANCHOR = 40, 6
+#: Characters of a name that hold the author where " - " doesn't end them, and of a run of a key by which it is looked for.
+PREFIX, ANCHOR = 40, 12
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -31,24 +30,48 @@ def name_index(files: DataFrame) -> DataFrame:
     return made.select("path", "name", words(F.col("name")).alias("words"), words(head).alias("head"), _all(F.col("name"), r"(?=(\d{4}))", 1).alias("years"))
 
 
+def _pieces(text: str, length: str) -> Column:
+    """A text's runs of ``length`` characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - F.col(length) + 1)
+    return F.when(F.length(text) >= F.col(length), F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col(length)))))
+
+
 def _by_key(works: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, path) where the key stands in the name."""
-    asked = works.select("id", F.regexp_replace(F.lower("key"), r"[^\w-]", "").alias("safe")).filter("safe <> ''").withColumn("anchor", F.substring("safe", 1, ANCHOR))
-    starts = F.sequence(F.lit(1), F.length("name"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda n: F.substring(F.col("name"), i, n))))
-    held = names.filter("name <> ''").select("path", "name", F.explode(F.array_distinct(runs)).alias("anchor"))
-    return asked.join(held, "anchor").filter(F.contains("name", F.col("safe"))).select("id", "path")
+    """id and the least path where the key stands in the name.
+
+    Of a key's runs of ``ANCHOR`` characters (a shorter key is one) the one that fewest names have is looked for, then the key as a
+    whole. Works with one key are one, as are files with one name.
+    """
+    asked = works.select("id", F.regexp_replace(F.lower("key"), r"[^\w-]", "").alias("safe")).filter("safe <> ''")
+    keys = asked.select("safe").distinct().withColumn("n", F.least(F.length("safe"), F.lit(ANCHOR)))
+    lengths = F.broadcast(keys.select("n").distinct())  # ANCHOR rows at most
+    named = names.filter("name <> ''").groupBy("name").agg(F.min("path").alias("path"))
+    held = named.join(lengths).select("path", "name", F.explode(_pieces("name", "n")).alias("gram"))
+    each = keys.select(F.col("safe").alias("item_id"), F.lit(1).alias("wanted"), F.explode(_pieces("safe", "n")).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    # what runs make is many times the table's size, which a plan cannot tell: merged, never broadcast
+    few = rarest(each.hint("merge"), counts).withColumnRenamed("item_id", "safe")
+    met = few.hint("merge").join(held, "gram").filter(F.contains("name", F.col("safe")))
+    return asked.hint("merge").join(met.groupBy("safe").agg(F.min("path").alias("path")), "safe").select("id", "path")
 
 
-def _by_words(asked: DataFrame, held: DataFrame, least: int) -> DataFrame:
-    """(id, path) of rows of ``asked`` (id, under, wanted) and ``held`` (path, under, words) that share ``under`` and ``least`` of the wanted words."""
-    each = asked.select("id", "under", "wanted", F.explode("wanted").alias("gram"))
-    named = held.select("path", "under", F.explode("words").alias("gram"))
-    counts = named.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    few = rarest(each.select(F.struct("id", "under").alias("item_id"), (F.size("wanted") - least + 1).alias("wanted"), "gram"), counts)
-    met = few.select("item_id.id", "item_id.under", "gram").join(named, ["under", "gram"]).select("id", "under", "path").distinct()
-    both = met.join(asked, ["id", "under"]).join(held.select("path", "under", "words"), ["path", "under"])
-    return both.filter(F.size(F.array_intersect("wanted", "words")) >= least).select("id", "path")
+def _twos(words: Column) -> Column:
+    """Every two of a row's distinct words, each two in one order."""
+    return F.flatten(F.transform(words, lambda a: F.transform(F.filter(words, lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def _by_words(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """id and the least path of rows of ``asked`` (id, under, wanted) and ``held`` (path, under, words) that share ``under`` and two of the wanted words.
+
+    Two shared words are one shared pair, for which the least path is kept, so each work meets one row for each of its pairs.
+    """
+    each = asked.select("id", "under", F.explode(_twos(F.col("wanted"))).alias("two"))
+    known = asked.select(F.explode("wanted").alias("word")).distinct()
+    # words that no work wants make no pairs
+    words = held.select("path", "under", F.explode(F.array_distinct("words")).alias("word")).hint("merge").join(known, "word", "left_semi")
+    kept = words.groupBy("path", "under").agg(F.collect_set("word").alias("words")).filter(F.size("words") >= 2)
+    best = kept.select("path", "under", F.explode(_twos(F.col("words"))).alias("two")).groupBy("under", "two").agg(F.min("path").alias("path"))
+    return each.hint("merge").join(best, ["under", "two"]).select("id", "path")
 
 
 def _by_title(works: DataFrame, names: DataFrame) -> DataFrame:
@@ -56,7 +79,7 @@ def _by_title(works: DataFrame, names: DataFrame) -> DataFrame:
     words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(rf"[\p{{L}}\d]{{{LETTERS},}}"), F.lit(0)), 1, TITLE_WORDS))
     asked = works.select("id", F.regexp_extract("key", r"\d{4}", 0).alias("under"), words.alias("wanted")).filter(F.size("wanted") >= OCCUR)
     held = names.select("path", F.explode(F.array_union("years", F.array(F.lit("")))).alias("under"), "words")
-    return _by_words(asked, held, OCCUR)
+    return _by_words(asked, held)
 
 
 def _by_author(works: DataFrame, names: DataFrame) -> DataFrame:
@@ -64,7 +87,7 @@ def _by_author(works: DataFrame, names: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.regexp_extract_all("key", F.lit(r"[A-Z][a-z]+|[a-z]+|\d{4}"), F.lit(0)), lambda p: F.lower(p)), lambda p: F.length(p) >= PART)
     asked = works.select("id", parts.alias("parts")).filter(F.size("parts") > OTHERS)
     asked = asked.select("id", F.get("parts", F.lit(0)).alias("under"), F.array_distinct(F.slice("parts", 2, 100)).alias("wanted")).filter(F.size("wanted") >= OTHERS)
-    return _by_words(asked, names.select("path", F.explode("head").alias("under"), "words"), OTHERS)
+    return _by_words(asked, names.select("path", F.explode("head").alias("under"), "words"))
 
 
 def resolve(works: DataFrame, files: DataFrame) -> DataFrame:
@@ -72,7 +95,8 @@ def resolve(works: DataFrame, files: DataFrame) -> DataFrame:
 
     Words are whole: a title word inside a longer one doesn't count. Null keys, titles and paths meet nothing.
     """
-    there, names = files.select("path").distinct(), name_index(files)
+    there = files.select("path").distinct()
+    names = name_index(there)
     named = lambda c: works.select("id", F.col(c).alias("path")).join(there, "path", "left_semi").select("id", "path")
     found = None
     for tier, rows in enumerate((named("direct"), named("lookup"), _by_key(works, names), _by_title(works, names), _by_author(works, names)), 1):

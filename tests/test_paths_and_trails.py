@@ -39,6 +39,23 @@ def test_a_frequent_word_meets_little(spark):
     assert got == {i: (4, f"model tail{i}x {1000 + i}.pdf") for i in range(200)}
 
 
+def test_what_is_made_of_names_is_never_broadcast(spark, tmp_path):
+    """A plan takes runs and pairs of words for as small as the table they come from; keys that begin alike don't meet all names."""
+    works = spark.createDataFrame([(i, f"authorSame{1000 + i}", None, None, None) for i in range(300)], "id long, key string, title string, direct string, lookup string")
+    works.write.parquet(f"{tmp_path}/works")
+    spark.createDataFrame([(f"k/x authorSame{1000 + i} y{i % 2}.pdf",) for i in range(300)], "path string").write.parquet(f"{tmp_path}/files")
+    found = paths.resolve(spark.read.parquet(f"{tmp_path}/works"), spark.read.parquet(f"{tmp_path}/files"))
+    assert {(r.id, r.tier, r.path) for r in found.collect()} == {(i, 3, f"k/x authorSame{1000 + i} y{i % 2}.pdf") for i in range(300)}
+    lines = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastHashJoin" in line:  # the built side is the lower of the two
+            children = [j for j in range(i + 1, len(lines)) if depth[j] == depth[i] + 3 and all(d > depth[i] for d in depth[i + 1 : j + 1])]
+            side = children[1 if "BuildRight" in line else 0]
+            below = [lines[side], *(lines[j] for j in range(side + 1, len(lines)) if all(d > depth[side] for d in depth[side + 1 : j + 1]))]
+            assert not any("Generate explode" in x for x in below) or any("Aggregate" in x for x in below[:3])
+
+
 def closure(links):
     out = {}
     for a, b in links:
