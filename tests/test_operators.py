@@ -103,3 +103,38 @@ def test_metrics(spark):
     a = spark.createDataFrame([("f1", 0.5), ("only", 1.0)], "metric string, value double")
     b = spark.createDataFrame([("f1", 0.75)], "metric string, value double")
     assert rows(evaluation.compare_runs(a, b)) == [("f1", 0.5, 0.75, 0.25), ("only", 1.0, None, None)]
+
+
+def test_duplicate_pairs_are_made_once_and_never_shuffled(spark, monkeypatch):
+    from athenaeum.operators import matching
+
+    monkeypatch.setattr(matching, "SPLIT", 4)
+    data = [(i, "hot" if i % 2 else f"p{i % 5}", None if i % 7 == 0 else f"q{i % 3}") for i in range(60)] + [(3, "p1", "q9"), (4, "hot", "q9"), (5, "hot", "q2"), (None, "hot", "q1")]
+    df = spark.createDataFrame(data, "id long, p string, q string")
+    made = matching.duplicate_pairs(df, "id", [(F.col("q"), 0.7), (F.col("p"), 1.0)])
+    want = {}
+    for column, confidence in ((1, 1.0), (2, 0.7)):
+        for x in data:
+            for y in data:
+                if None not in (x[0], y[0], x[column]) and x[0] < y[0] and x[column] == y[column]:
+                    want.setdefault((x[0], y[0]), confidence)
+    got = made.collect()
+    assert {(r.a, r.b): r.confidence for r in got} == want and len(got) == len(want)
+    # no pair is grouped: what is grouped are keys, below the joins
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_rows_are_fewer_before_they_are_dealt(spark):
+    """Spans that begin alike are one before the window sorts them, and sections are distinct before they meet."""
+    from athenaeum.operators.matching import union_coverage
+    from athenaeum.plans.analytics import i2_intersect
+    from athenaeum.sources.tables import Tables
+
+    spans = spark.createDataFrame([(1, 0, 5), (1, 0, 9), (1, 0, 9), (1, 9, 10), (1, 20, 21), (2, 3, 4)], "doc long, s long, e long")
+    totals = spark.createDataFrame([(1, 22), (2, 0), (3, 5)], "doc long, total int")
+    made = union_coverage(spans, "doc", totals)
+    assert sorted((r.doc, r.covered, r.islands) for r in made.collect()) == [(1, 11, 2), (2, 1, 1), (3, 0, 0)]
+    assert "Aggregate" in made._jdf.queryExecution().optimizedPlan().toString().rsplit("Window", 1)[1]
+    # labels join the works; sections themselves meet by grouping, of which each task sends its own
+    plan = i2_intersect(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Aggregate") == 1
