@@ -124,17 +124,19 @@ def test_duplicate_pairs_are_made_once_and_never_shuffled(spark, monkeypatch):
     assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
-def test_rows_are_fewer_before_they_are_dealt(spark):
-    """Spans that begin alike are one before the window sorts them, and sections are distinct before they meet."""
+def test_what_a_task_holds_does_not_grow(spark, monkeypatch):
+    """Spans are dealt to more tasks the more they are, and sections are grouped in their tasks before they meet."""
+    from athenaeum.operators import matching
     from athenaeum.operators.matching import union_coverage
     from athenaeum.plans.analytics import i2_intersect
     from athenaeum.sources.tables import Tables
 
     spans = spark.createDataFrame([(1, 0, 5), (1, 0, 9), (1, 0, 9), (1, 9, 10), (1, 20, 21), (2, 3, 4)], "doc long, s long, e long")
     totals = spark.createDataFrame([(1, 22), (2, 0), (3, 5)], "doc long, total int")
+    monkeypatch.setattr(matching, "SORTED", 1)
     made = union_coverage(spans, "doc", totals)
     assert sorted((r.doc, r.covered, r.islands) for r in made.collect()) == [(1, 11, 2), (2, 1, 1), (3, 0, 0)]
-    assert "Aggregate" in made._jdf.queryExecution().optimizedPlan().toString().rsplit("Window", 1)[1]
+    assert "RepartitionByExpression [doc" in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and ", 6" in plan
     # labels join the works; sections themselves meet by grouping, of which each task sends its own
     plan = i2_intersect(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan and plan.count("Aggregate") == 1
