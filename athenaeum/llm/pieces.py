@@ -282,10 +282,15 @@ def decode(coded: DataFrame, model_path: str, keys: tuple[str, ...] = ("doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [x or [] for x in batch.column("ids").to_pylist()]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)
-            texts = pieces.value.decode(np.array([i for x in runs for i in x], dtype=np.int64), starts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*keys, "text"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(batch):  # rows of some SLICE ids are spelled together, never as numbers of Python
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                part = batch.slice(at, to - at)
+                starts = np.concatenate([[0], ends[at:to] - (ends[at - 1] if at else 0)]).astype(np.int64)
+                texts = pieces.value.decode(pc.list_flatten(part.column("ids")).to_numpy(zero_copy_only=False), starts)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*keys, "text"])
+                at = to
 
     source = coded.select(*keys, "ids")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "ids")

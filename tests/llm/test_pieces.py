@@ -129,3 +129,13 @@ def test_encoding_and_decoding_frames(spark):
     back = {(r.doc_id, r.lang): r.text for r in decode(coded, PATH, ("doc_id", "lang")).collect()}
     assert back == {(i, k): (t or "").replace(MARKER, " ") for i, t, k in rows}
     assert encode(docs.limit(0), PATH).count() == 0 and decode(coded.limit(0), PATH).count() == 0
+
+
+def test_ids_are_decoded_some_at_a_time(spark, monkeypatch):
+    from athenaeum.llm import pieces
+    from athenaeum.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(pieces, "SLICE", 8)
+    model, texts = tokenizer_path("piece_bpe_32k.model"), [(i, t) for i, t in enumerate(["one two three four five", "", None, "ü ß " * 9, "x"])]
+    coded = pieces.encode(spark.createDataFrame(texts, "doc_id long, text string"), model).unionByName(spark.createDataFrame([(9, None)], "doc_id long, ids array<int>"), allowMissingColumns=True)
+    assert {r.doc_id: r.text for r in pieces.decode(coded, model).collect()} == {i: t or "" for i, t in texts} | {9: ""}

@@ -187,3 +187,12 @@ def test_malformed_files_are_errors(spark):
 def test_maps(spark):
     df = spark.createDataFrame([({"a": {"x": "1", "y": "2"}, "b": {"z": "3"}}, {"a": {"y": "9"}, "c": {"w": "4"}})], "m map<string,map<string,string>>, n map<string,map<string,string>>")
     assert df.select(text.deep_merged(F.col("m"), F.col("n"))).first()[0] == {"a": {"x": "1", "y": "9"}, "b": {"z": "3"}, "c": {"w": "4"}}
+
+
+def test_places_are_kept_as_four_bytes(spark):
+    from athenaeum.functions import arrow
+
+    df = spark.createDataFrame([(1, "a  b-\nc ﬁ"), (2, None), (3, ""), (4, "x")], "id long, t string")
+    got = {r.id: r.m and (r.m.text, r.m.places) for r in df.select("id", arrow.squeeze_with_places_udf("t").alias("m")).collect()}
+    want = {i: (lambda p: (p[0], list(p[1])))(arrow.squeeze_with_places(t)) for i, t in ((1, "a  b-\nc ﬁ"), (3, ""), (4, "x"))}
+    assert got == want | {2: None}
