@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from athenaeum.operators.sizes import bounded
+from athenaeum.operators.sizes import bounded, tasks
 from athenaeum.operators.vectors import dot, unit, units
 from athenaeum.schemas import INTENT_WEIGHTS
 
@@ -18,17 +18,26 @@ def intent_weight(intent: Column, unknown: float | None = 1.0) -> Column:
     return out
 
 
-def gap_scores(edges: DataFrame, quality: DataFrame | None = None, key: str = "cited", unknown: float | None = 1.0, default_quality: float = 3.0) -> DataFrame:
+def gap_scores(edges: DataFrame, quality: DataFrame | None = None, key: str = "cited", unknown: float | None = 1.0, default_quality: float = 3.0, rows: int | None = None) -> DataFrame:
     """For each cited work: distinct citing works x mean quality x mean intent weight.
 
     Without ``quality`` (citing, quality) the edges have that column. With ``unknown`` None, null and foreign intents drop out of
     the mean (1 if none is left); else they weigh that much.
+
+    Citing works are dealt to as many tasks as ``rows`` (how many edges there are; counted if not given) need, before anything is
+    sorted or grouped: repeated citations are told apart where they lie, and what a task holds doesn't grow with the edges.
     """
-    joined = edges.join(quality, "citing", "left") if quality is not None else edges
-    grouped = joined.groupBy(key).agg(
-        F.countDistinct("citing").alias("citing_works"),
-        F.avg(F.coalesce(F.col("quality").cast("double"), F.lit(default_quality))).alias("mean_quality"),
-        F.coalesce(F.avg(intent_weight(F.col("intent"), unknown)), F.lit(1.0)).alias("mean_weight"),
+    weighed = edges.withColumn("weight", intent_weight(F.col("intent"), unknown))
+    dealt = weighed.repartition(tasks(edges.sparkSession, edges.count() if rows is None else rows), "citing")
+    joined = dealt.join(quality, "citing", "left") if quality is not None else dealt
+    each = joined.groupBy(key, "citing").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("quality").cast("double"), F.lit(default_quality))).alias("q"),
+        F.sum("weight").alias("w"), F.count("weight").alias("of"),
+    )
+    grouped = each.groupBy(key).agg(
+        F.count("citing").alias("citing_works"),
+        (F.sum("q") / F.sum("n")).alias("mean_quality"),
+        F.coalesce(F.sum("w") / F.nullif(F.sum("of"), F.lit(0)), F.lit(1.0)).alias("mean_weight"),
     )
     return grouped.withColumn("score", F.col("citing_works") * F.col("mean_quality") * F.col("mean_weight"))
 

@@ -159,9 +159,9 @@ SECTION_WEIGHTS = {"1": 1.0, "2": 0.9, "3": 0.7}
 @query(f"""SELECT c.cited, round(count(DISTINCT e.citing) * avg(coalesce(CAST(w.quality AS DOUBLE), 3.0)) * avg({W_SQL}) * max(CASE WHEN e.cited % 7 + 1 = 1 THEN 1.0::DOUBLE WHEN e.cited % 7 + 1 = 2 THEN 0.9 WHEN e.cited % 7 + 1 = 3 THEN 0.7 ELSE 0.5 END), 6) AS score
  FROM edges e JOIN cited c ON c.cited = e.cited LEFT JOIN works w ON w.work_id = e.citing WHERE NOT c.owned GROUP BY c.cited ORDER BY score DESC, c.cited LIMIT 50""")
 def e7_gap_score_project(t: Tables) -> DataFrame:
-    """Ranks by the full score before the limit."""
-    missing = t.edges.join(t.cited.filter("not owned").select("cited"), "cited", "left_semi")
-    scored = gap_scores(missing, t.works.select(F.col("work_id").alias("citing"), "quality"))
+    """Ranks by the full score before the limit. Works that are owned leave once each is one row, not before, as edges would be sorted for that."""
+    scores = gap_scores(t.edges, t.works.select(F.col("work_id").alias("citing"), "quality"), rows=t.edges.count())
+    scored = scores.join(t.cited.filter("not owned").select("cited").distinct(), "cited")
     chapter = (F.col("cited") % 7 + 1).cast("string")
     weights = F.create_map(*[x for k, v in SECTION_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     sections = F.array_max(F.transform(F.array(chapter), lambda s: F.coalesce(F.try_element_at(weights, s), F.lit(0.5))))
@@ -182,7 +182,7 @@ def _library_gaps(t: Tables, labelled: Column) -> DataFrame:
     """Missing cited works by citing works, their quality, what they are cited for, and how near they are to a section."""
     missing = t.edges.join(t.cited.filter("owned").select("cited"), "cited", "left_anti")
     q = t.raw("labels").select(F.col("doc_id").alias("labelled"), F.when(F.col("quality") == 1, 5).when(F.col("quality") == 0, 1).alias("quality"))
-    scored = gap_scores(missing.join(q, labelled == F.col("labelled"), "left"), unknown=None)
+    scored = gap_scores(missing.join(q, labelled == F.col("labelled"), "left"), unknown=None, rows=t.edges.count())
     near = semantic_factor(missing, t.vectors, centroid(t.vectors, "section", 64).select(F.col("section").alias("target"), "centroid"), 64)
     whole = scored.join(near, "cited", "left").join(top_intent(missing), "cited", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     return whole.select("cited", "citing_works", "top_intent", r6("factor").alias("factor"), r6(F.col("score") * F.col("factor")).alias("score"))

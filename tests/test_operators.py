@@ -140,3 +140,26 @@ def test_what_a_task_holds_does_not_grow(spark, monkeypatch):
     # labels join the works; sections themselves meet by grouping, of which each task sends its own
     plan = i2_intersect(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan and plan.count("Aggregate") == 1
+
+
+def test_gap_scores_are_dealt_by_their_number(spark, monkeypatch):
+    """Citations are dealt to more tasks the more they are, and meet nothing and are not grouped before; what is scored is as it was."""
+    from athenaeum.operators import sizes
+    from athenaeum.plans.analytics import e7_gap_score_project
+    from athenaeum.sources.tables import Tables
+
+    data = [(i % 9 or None, i % 4, ("method", "background", None, "odd")[i * i % 5 % 4]) for i in range(60)]
+    edges = spark.createDataFrame(data, "citing int, cited int, intent string")
+    quality = spark.createDataFrame([(1, 5), (1, 2), (2, None), (3, 1)], "citing int, quality int")
+    joined = edges.join(quality, "citing", "left")
+    for unknown in (1.0, None):
+        weight = scoring.intent_weight(F.col("intent"), unknown)
+        want = joined.groupBy("cited").agg(F.countDistinct("citing").alias("n"), F.avg(F.coalesce("quality", F.lit(3)).cast("double")).alias("q"), F.coalesce(F.avg(weight), F.lit(1.0)).alias("w"))
+        got = scoring.gap_scores(edges, quality, unknown=unknown).select("cited", "citing_works", "mean_quality", "mean_weight")
+        assert rows(got) == [pytest.approx(x) for x in rows(want)]
+    monkeypatch.setattr(sizes, "HELD", 1000)
+    plan = e7_gap_score_project(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "RepartitionByExpression [citing" in line and line.rstrip().endswith(", 6"))
+    deep = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    below = [line for line in plan[at + 1 : at + 1 + next((k for k, x in enumerate(plan[at + 1 :]) if deep(x) <= deep(plan[at])), len(plan))]]
+    assert below and not [x for x in below if "Join" in x or "Aggregate" in x]
