@@ -4,10 +4,18 @@ How many texts hold a pair of neighbouring words is counted first, for the pairs
 only in texts that hold its rarest pair, so it meets these and no others; if changes can spoil ``s`` of its pairs, it lies only in
 texts that hold one of its ``s + 1`` rarest and all but ``s`` of all. Frequent pairs thus meet nothing, and candidates grow with
 the places found and not with the texts.
+
+Few quotations (:data:`LETTERS`) go to the texts instead: what changes may spoil is looked for while a text is read, once, and texts
+are never dealt.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +25,8 @@ from athenaeum.functions import arrow
 CHANGED = 20
 #: Grams of quotations that are sent to every task.
 SENT = 100_000
+#: Characters of all quotations up to which these are sent themselves.
+LETTERS = 1 << 20
 
 
 def _once(value: Column, body) -> Column:
@@ -109,16 +119,88 @@ def fuzzy_candidates(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     return sides.filter(enough & stands(F.col("text"), F.col("pieces"))).select("work_id", "item_id")
 
 
+class Asked(NamedTuple):
+    """A quotation as it is looked for: squeezed, its inner pairs of words, how many may be missing (None: it has too few) and its pieces."""
+
+    item: object
+    q: str
+    pairs: set[tuple[str, str]]
+    lost: int | None
+    pieces: list[str]
+
+
+def asked(item: object, q: str) -> Asked:
+    """What :func:`word_pairs`, :func:`spoiled` and :func:`pieces` say of one quotation."""
+    words = arrow.squeezed_words(q)
+    q, pairs = " ".join(words), set(zip(words[1:-2], words[2:-1], strict=True))
+    k, n = len(q) // CHANGED, len(pairs)
+    size = -(-len(q) // (k + 1))
+    cut = [q[i * size : (i + 1) * size] for i in range(k + 1)]
+    return Asked(item, q, pairs, 3 * k if n > 3 * k else 2 * k if n > 2 * k else None, [p for p in cut if p])
+
+
+def reader(quotes: list[tuple[object, str]]) -> Callable[[str], Iterator[tuple[object, tuple[int, int]]]]:
+    """What finds the items and spans of all quotations (item, q) in a text. Of each, those pairs are looked up that fewest quotations have."""
+    every = [a for a in (asked(*x) for x in quotes) if a.q]
+    short, long = [a for a in every if a.lost is None], [a for a in every if a.lost is not None]
+    held = Counter(p for a in long for p in a.pairs)
+    by_pair: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, a in enumerate(long):
+        for p in sorted(a.pairs, key=lambda p: (held[p], p))[: a.lost + 1]:
+            by_pair[p].append(i)
+    known = frozenset(by_pair)
+
+    def read(text: str) -> Iterator[tuple[object, tuple[int, int]]]:
+        words = arrow.squeezed_words(text)
+        said = set(zip(words, words[1:], strict=False))
+        near = [a for a in map(long.__getitem__, {i for p in known & said for i in by_pair[p]}) if len(a.pairs & said) >= len(a.pairs) - a.lost]
+        if not (near or short):
+            return
+        plain = " ".join(words)
+        if near := [a for a in near + short if any(p in plain for p in a.pieces)]:
+            squeezed = arrow.squeeze_with_places(text)
+            for a in near:
+                if span := arrow.located(a.q, *squeezed):
+                    yield a.item, span
+
+    return read
+
+
+def _read(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """:func:`fuzzy` where every task is sent all quotations."""
+    few = quotes.select("item_id", "q").toArrow().combine_chunks()
+    sent = texts.sparkSession.sparkContext.broadcast(few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, items = reader(list(enumerate(sent.value.column("q").to_pylist()))), sent.value.column("item_id").combine_chunks()
+        for batch in batches:
+            found = [(i, k, *span) for i, text in enumerate(batch.column("text")) if text.is_valid for k, span in read(text.as_py())]
+            at, asked, starts, ends = (pa.array([x[c] for x in found], pa.int32()) for c in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column("work_id").take(at), items.take(asked), starts, ends], names=["work_id", "item_id", "start", "end"])
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for df, k in ((texts, "work_id"), (quotes, "item_id")))
+    made = texts.select("work_id", "text").mapInArrow(run, f"{kinds}, start int, end int")
+    return made.select("work_id", "item_id", F.struct("start", "end").alias("span"))
+
+
 def fuzzy(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     """work_id, item_id and the span of every quotation in every text that holds it with up to a twentieth of its characters changed.
 
     Quotations with too few words to lose some are held against every text, by pieces of which one must stand. Tests measure the recall.
     """
+    quotes = quotes.filter("q IS NOT NULL")
+    if (quotes.agg(F.sum(F.length("q"))).first()[0] or 0) <= LETTERS:
+        return _read(texts, quotes)
+    return _dealt(texts, quotes)
+
+
+def _dealt(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """:func:`fuzzy` for any number of quotations: texts are dealt to those they may hold."""
     plain = texts.select("work_id", arrow.squeeze_udf("text").alias("text"))
     asked = quotes.select("item_id", arrow.squeeze_udf("q").alias("q")).filter("q <> ''")
     found = fuzzy_candidates(plain, asked)
     short = asked.filter(spoiled(F.col("q")).isNull())
     if short.limit(1).count():
         found = found.union(plain.join(short.select("item_id", pieces(F.col("q")).alias("pieces")), stands(F.col("text"), F.col("pieces"))).select("work_id", "item_id"))
-    both = found.join(quotes, "item_id").join(texts, "work_id")
+    both = found.distinct().join(quotes, "item_id").join(texts, "work_id")
     return both.select("work_id", "item_id", arrow.locate_udf("q", "text").alias("span")).filter(F.col("span.start").isNotNull())

@@ -64,3 +64,23 @@ def test_nothing_to_find(spark, planted):
     none = spark.createDataFrame([(1, ""), (2, None), (3, "zzzz yyyy wwww qqqq vvvv")], "item_id long, q string")
     assert quotations.fuzzy(texts, none).count() == 0 and quotations.exact(texts, none.filter("item_id = 3")).count() == 0
     assert quotations.exact(texts.limit(0), quotes).count() == quotations.fuzzy(texts.limit(0), quotes).count() == 0
+
+
+def test_few_quotations_are_sent_and_texts_never_dealt(spark, planted, monkeypatch):
+    """Sent to the texts or dealt to them, quotations are found alike; sent, no text is shuffled or met twice."""
+    texts, quotes, *_ = planted
+    odd = quotes.selectExpr("cast(item_id AS int) AS item_id", "concat('  ', replace(q, ' ', '\n '), '­') AS q")
+    sent = quotations.fuzzy(texts, odd)
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not [x for x in ("Join", "Aggregate", "Repartition", "Generate") if x in plan]
+    got = sorted((r.work_id, r.item_id, *r.span) for r in sent.collect())
+    monkeypatch.setattr(quotations, "LETTERS", 0)
+    assert got == sorted((r.work_id, r.item_id, *r.span) for r in quotations.fuzzy(texts, odd).collect()) and len(got) > 100
+
+
+def test_repeated_texts_are_found_once_each(spark, planted, monkeypatch):
+    texts, quotes, *_ = planted
+    once = sorted((r.work_id, r.item_id) for r in quotations.fuzzy(texts.limit(40), quotes).collect())
+    for letters in (quotations.LETTERS, 0):
+        monkeypatch.setattr(quotations, "LETTERS", letters)
+        assert sorted((r.work_id, r.item_id) for r in quotations.fuzzy(texts.limit(40).union(texts.limit(40)), quotes).collect()) == sorted(once * 2)
