@@ -1,9 +1,9 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
 Two texts are linked if their sets of ``SHINGLE``-word shingles (64-bit hashes) have a Jaccard similarity of ``LEAST`` or
-more; the similarity is computed on the whole sets. Candidates meet in ``BANDS`` bands of ``ROWS`` minima each: a pair of
-similarity s meets in none with a chance of ``(1 - s**ROWS)**BANDS``, which is 5e-8 at 0.8 and less above. (SimHash isn't used
-here: at similarity 0.8 fingerprints differ in some 10 of 64 bits, up to 20, and no blocks of bits are left to meet by.)
+more; the similarity is computed on the whole sets. Candidates meet in the groups of their SimHash fingerprints (``near``, made by
+:mod:`athenaeum.llm.simhash`) and, as those differ in some 10 of 64 bits at similarity 0.8, also in ``BANDS`` bands of ``ROWS`` minima
+each: a pair of similarity s meets in none of these with a chance of ``(1 - s**ROWS)**BANDS``, which is 5e-8 at 0.8 and less above.
 
 Every member of a band's bucket is held against one pivot of the bucket first. Members of a bucket which that leaves in
 different groups are then held against each other, so every pair that meets is either in one group or compared; a large
@@ -33,6 +33,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 32, 4
 #: Shingles whose minima are taken at once.
 CHUNK = 256
+#: Hashes whose bits are counted at once.
+VOTES = 1 << 16
 #: Texts of a block, and numbers of a matrix of shingles by texts.
 MEMBERS, CELLS = 128, 4 << 20
 
@@ -77,6 +79,14 @@ def bands(found: np.ndarray) -> np.ndarray:
     return _chained([np.arange(BANDS, dtype=np.uint64), *rows.T])
 
 
+def voted(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of 64-bit hashes: a bit is set if it is in over half of them."""
+    votes = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), VOTES):
+        votes += np.unpackbits(hashes[i : i + VOTES].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two ordered sets of shingles are similar enough."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -91,9 +101,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part.column("_id"), part.column("_hash"),
                 pa.array(np.array([w for w, _ in made], dtype=np.uint64).view(np.int64)),
                 pa.array([len(s) for _, s in made], pa.int64()),
+                pa.array(np.array([voted(s) for _, s in made], dtype=np.uint64).view(np.int64)),
                 pa.array([bands(s).view(np.int64) for _, s in made], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_hash", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_hash", "key", "n", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +187,8 @@ def _near_in_size(a: str, b: str):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """For every row its id (``_id``, null as the least long), its text's hash (``_hash``), key, number of shingles and buckets."""
-    return cut(keyed(docs).select("_id", "_hash", "_text").mapInArrow(_sketched, "_id long, _hash long, key long, n long, bands array<long>"), "sketches")
+    """For every row its id (``_id``, null as the least long), its text's hash (``_hash``), key, number of shingles, fingerprint and buckets."""
+    return cut(keyed(docs).select("_id", "_hash", "_text").mapInArrow(_sketched, "_id long, _hash long, key long, n long, fp long, bands array<long>"), "sketches")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -186,11 +197,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row(docs).alias("_row"), rank(docs, "doc_id", "text").alias("_rank"), F.col("text").alias("_text"), F.xxhash64("text").alias("_hash"), plain.alias("_id"))
 
 
-def groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(key, root) for every key of ``rows`` (the sketches of ``docs``) that is linked to another one."""
+def groups(docs: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, root) for every key of ``rows`` (the sketches of ``docs``) that is linked to another one; ``near`` (key, n, band) has buckets beside the rows' own."""
     first = F.struct("_id", "_hash")
     each = cut(rows.groupBy("key").agg(F.min(first).alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
-    dealt = each.select("key", "n", F.explode("bands").alias("band"))
+    dealt = each.select("key", "n", F.explode("bands").alias("band")).union(near.select("key", "n", "band"))
     buckets = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key", "n")).alias("p")).filter("m > 1")
     met = cut(dealt.join(buckets.select("band", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "band"), "met")
     # the sets of all texts that meet another one; each is read from one of its rows

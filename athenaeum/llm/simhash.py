@@ -49,9 +49,8 @@ def fingerprint(text: str | None) -> int:
         return digest(whole, SEED)
     ends = list(accumulate((len(w) + 1 for w in words)))
     starts = [0, *ends]
-    hashes = np.array([digest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)], dtype=">u8")
-    votes = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+    hashes = np.array([digest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)], dtype=np.uint64)
+    return shingles.voted(hashes)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +204,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out
 
 
+def buckets(rows: DataFrame) -> DataFrame:
+    """(key, n, band): the texts of sketches ``rows`` whose fingerprints the trees link, over any number of links, are in one bucket."""
+    texts = cut(rows.filter("n > 0").select("key", "n", "fp").distinct(), "prints")
+    placed = texts.join(groups(texts.select("fp").distinct()), "fp", "left")
+    return cut(placed.select("key", "n", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("band")), "near")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Whole rows of ``docs``: of each group the one with the least id (null last; of its repeats the first by the text's hash, then by the other columns).
 
-    Groups are those of :mod:`athenaeum.llm.shingles` (five words, similarity 0.8), not the fingerprints' of the query.
+    Fingerprints of the sets of five-word shingles are linked as those of the query are; texts that they bring together are then
+    held against each other, and are in one group from a similarity of 0.8 on. What three bits can't bring together meets by
+    minima beside them (:mod:`athenaeum.llm.shingles`).
     """
     rows = shingles.sketches(docs)
-    found = rows.join(shingles.groups(docs, rows), "key", "left").select("_id", "_hash", F.coalesce("root", "key").alias("root"))
+    found = rows.join(shingles.groups(docs, rows, buckets(rows)), "key", "left").select("_id", "_hash", F.coalesce("root", "key").alias("root"))
     # the id with nulls made plain, which come last, and the text's hash; rows alike in both are told apart by their other columns below
     chosen = found.groupBy("root").agg(F.min(F.struct((F.col("_id") == -(2**63)).alias("n"), "_id", "_hash")).alias("k"))
     chosen = chosen.select(F.col("k._id").alias("_id"), F.col("k._hash").alias("_hash"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from athenaeum.llm import shingles, simhash
 from athenaeum.llm.common import documents
@@ -91,3 +92,34 @@ def test_intersections(monkeypatch):
         monkeypatch.setattr(shingles, "CELLS", cells)
         got = shingles.intersections([np.concatenate(s) for s in sets], [np.array([len(x) for x in s]) for s in sets])
         assert got.tolist() == want
+
+
+def test_fingerprints_bring_texts_together(spark, monkeypatch):
+    """With no minima to meet by, texts meet by their fingerprints through the trees, and stay apart where these differ in more bits or the texts do."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words = [*words[: -rng.choice((1, 1, 2, 9, 40))], f"x{rng.randrange(9999)}"]
+    sets = [brute_sets(t) for t in texts]
+    prints = [shingles.voted(shingles.shingles(t)[1]) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS}
+
+    def closed(pairs):
+        least = list(range(len(texts)))
+        for _ in texts:
+            for i, j in pairs:
+                least[i] = least[j] = min(least[i], least[j])
+        return least
+
+    bucket = closed(near)
+    want = closed([(i, j) for j in range(len(texts)) for i in range(j) if bucket[i] == bucket[j] and similar(sets[i], sets[j])])
+    everywhere = closed([(i, j) for j in range(len(texts)) for i in range(j) if similar(sets[i], sets[j])])
+    assert len(near) > 10 and len(texts) > len(set(want)) > len(set(everywhere))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(everywhere)
+    made = shingles.sketches
+    monkeypatch.setattr(shingles, "sketches", lambda docs: made(docs).withColumn("bands", F.expr("cast(array() AS array<bigint>)")))
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(want)
