@@ -124,6 +124,37 @@ def test_duplicate_pairs_are_made_once_and_never_shuffled(spark, monkeypatch):
     assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_rows_of_a_hot_key_are_sent_as_often_however_many_they_are(spark, monkeypatch):
+    from athenaeum.operators import matching
+    from athenaeum.sources.tables import Tables
+
+    monkeypatch.setattr(matching, "SPLIT", 4)
+    monkeypatch.setattr(matching, "PARTS", 3, raising=False)
+    monkeypatch.setattr(matching, "LISTED", 5, raising=False)
+    sent, dealt = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *by: (sent.append(self), dealt(self, *by))[1])
+    for n in (63, 252):
+        sent.clear()
+        df = spark.range(n).select("id", F.lit("hot").alias("p"), (F.col("id") % 7).alias("q"))
+        got = matching.duplicate_pairs(df, "id", [(F.col("p"), 0.5), (F.col("q"), 0.9)]).collect()
+        assert {(r.a, r.b): r.confidence for r in got} == {(a, b): 0.9 if a % 7 == b % 7 else 0.5 for a in range(n) for b in range(a + 1, n)} and len(got) == n * (n - 1) // 2
+        # a row of both keys, in three parts each
+        assert sent and sum(d.count() for d in sent) == 2 * n * (matching.PARTS + 1)
+    # texts aren't shuffled to find labels
+    plan = Tables(spark, "/root/testdata/sf0.001").works.select("title", "quality")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_extract")
+
+
+def test_pairs_of_works_need_no_labels(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = [(i, f"{'A title of some length' if i % 2 else f'Another one, the {i % 4}th'}. Text {i}") for i in range(50)] + [(51, None), (None, "A title of some length")]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = entry.queries()["d11_duplicate_pairs"](spark, str(tmp_path))
+    alike = lambda i: "odd" if i % 2 else i % 4
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for b in range(50) for a in range(b) if alike(a) == alike(b)}
+
+
 def test_what_a_task_holds_does_not_grow(spark, monkeypatch):
     """Spans are dealt to more tasks the more they are, and sections are grouped in their tasks before they meet."""
     from athenaeum.operators import matching
